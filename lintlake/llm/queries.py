@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from lintlake.llm.licenses import op9_licenses
+from lintlake.llm.secrets import op8_secrets
 from lintlake.llm.sharding import op5_sharding
 
 
 def queries() -> dict:
     return {
         "op5_sharding": op5_sharding,
+        "op8_secrets": op8_secrets,
+        "op9_licenses": op9_licenses,
     }
 
 

@@ -145,7 +145,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_min(F.transform("spots", lambda s: s["i"])).cast("bigint").alias("first_word"),
         F.array_max(F.transform("spots", lambda s: s["i"])).cast("bigint").alias("last_word"),
         F.coalesce(F.array_sort(F.array_distinct(F.transform("spots", lambda s: s["label"]))), F.array().cast("array<string>")).alias("base_labels"),
-        F.when(F.col("sieved"), F.xxhash64("text", F.length("text"))).alias("th"),
+        F.xxhash64("text", F.length("text")).alias("th"),
     )
     found = rows.where("sieved").groupBy(F.xxhash64("text", F.length("text")).alias("th")).agg(F.first("text").alias("text"))
     labels = park(template_labels(park(found, "candidates"), park(template_idf(rows), "idf")), "labels")

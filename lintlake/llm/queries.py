@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from lintlake.llm.fingerprints import op2_fingerprints
 from lintlake.llm.licenses import op9_licenses
+from lintlake.llm.pii import op10_pii
 from lintlake.llm.secrets import op8_secrets
 from lintlake.llm.sharding import op5_sharding
 
 
 def queries() -> dict:
     return {
+        "op2_fingerprints": op2_fingerprints,
         "op5_sharding": op5_sharding,
         "op8_secrets": op8_secrets,
         "op9_licenses": op9_licenses,
+        "op10_pii": op10_pii,
     }
 
 

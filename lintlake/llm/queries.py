@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lintlake.llm.decontamination import op1_decontamination
 from lintlake.llm.fingerprints import op2_fingerprints
 from lintlake.llm.licenses import op9_licenses
 from lintlake.llm.pii import op10_pii
@@ -11,6 +12,7 @@ from lintlake.llm.sharding import op5_sharding
 
 def queries() -> dict:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_fingerprints": op2_fingerprints,
         "op5_sharding": op5_sharding,
         "op8_secrets": op8_secrets,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lintlake.llm.decontamination import op1_decontamination
 from lintlake.llm.fingerprints import op2_fingerprints
+from lintlake.llm.language import op7_language_id
 from lintlake.llm.licenses import op9_licenses
 from lintlake.llm.pii import op10_pii
 from lintlake.llm.secrets import op8_secrets
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op1_decontamination": op1_decontamination,
         "op2_fingerprints": op2_fingerprints,
         "op5_sharding": op5_sharding,
+        "op7_language_id": op7_language_id,
         "op8_secrets": op8_secrets,
         "op9_licenses": op9_licenses,
         "op10_pii": op10_pii,

@@ -6,6 +6,7 @@ from lintlake.llm.decontamination import op1_decontamination
 from lintlake.llm.fingerprints import op2_fingerprints
 from lintlake.llm.language import op7_language_id
 from lintlake.llm.licenses import op9_licenses
+from lintlake.llm.mixing import op4_mixing
 from lintlake.llm.pii import op10_pii
 from lintlake.llm.secrets import op8_secrets
 from lintlake.llm.sharding import op5_sharding
@@ -15,6 +16,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_fingerprints": op2_fingerprints,
+        "op4_mixing": op4_mixing,
         "op5_sharding": op5_sharding,
         "op7_language_id": op7_language_id,
         "op8_secrets": op8_secrets,

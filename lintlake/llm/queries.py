@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lintlake.llm.decontamination import op1_decontamination
 from lintlake.llm.fingerprints import op2_fingerprints
+from lintlake.llm.jaccard import op3_jaccard_join
 from lintlake.llm.language import op7_language_id
 from lintlake.llm.licenses import op9_licenses
 from lintlake.llm.mixing import op4_mixing
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_fingerprints": op2_fingerprints,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_mixing": op4_mixing,
         "op5_sharding": op5_sharding,
         "op7_language_id": op7_language_id,

@@ -12,7 +12,7 @@ WORDS = bytes(b + 32 if b in _UP else b if b >= 128 or chr(b).isalnum() else 32
 #: ASCII letters lower-cased, nothing else changed; bytes.split() then cuts at ASCII white space.
 CASE = bytes(b + 32 if b in _UP else b for b in range(256))
 #: Texts are handled in runs of about this many bytes, so that memory doesn't follow the size of a batch.
-RUN = 4 << 20
+RUN = 1 << 20
 
 
 def raw(texts: pa.Array) -> list[bytes]:

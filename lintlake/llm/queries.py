@@ -9,6 +9,7 @@ from lintlake.llm.language import op7_language_id
 from lintlake.llm.licenses import op9_licenses
 from lintlake.llm.mixing import op4_mixing
 from lintlake.llm.pii import op10_pii
+from lintlake.llm.quality import op6_quality
 from lintlake.llm.secrets import op8_secrets
 from lintlake.llm.sharding import op5_sharding
 
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_jaccard_join": op3_jaccard_join,
         "op4_mixing": op4_mixing,
         "op5_sharding": op5_sharding,
+        "op6_quality": op6_quality,
         "op7_language_id": op7_language_id,
         "op8_secrets": op8_secrets,
         "op9_licenses": op9_licenses,

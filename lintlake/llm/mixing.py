@@ -55,15 +55,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], repeats: int) -
     return sizes.select("source", "source_size", "rows", F.least("cap", F.col("weight") * level).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int = 3, block_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int = 3, block_rows: int = 500, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words the mix takes of the document), one row per row of docs."""
     rows = id_and_text(docs, id_col, text_col, source=source_col).select("doc_id", F.col("source").cast("string").alias("source"), word_count()("text").alias("size"))
     rows = park(rows.withColumn("turn", F.xxhash64("doc_id", "source", F.lit(17))), "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, repeats)
     targets = park(targets, "targets").withColumnRenamed("source", "s")
     rows = rows.join(targets, rows["source"].eqNullSafe(targets["s"])).drop("s")
-    # Blocks of a source: equal ranges of the hash, so in order of the shuffle.
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / block_rows))
+    # Blocks of a source: equal ranges of the hash, so in order of the shuffle; as many as rows in each, if those are many.
+    blocks = F.ceil(F.col("rows") / F.greatest(F.lit(float(block_rows)), F.sqrt("rows")))
     block = F.least(blocks - 1, F.floor((F.col("turn") / F.lit(2.0**64) + 0.5) * blocks))
     rows = park(rows.withColumn("block", block.cast("bigint")), "queued")
     sums = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))

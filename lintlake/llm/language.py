@@ -114,6 +114,12 @@ def identify(docs: DataFrame, train: DataFrame | None = None, size: int = 400) -
     return docs.withColumn("__lang", guesser(docs.sparkSession, profiles)(docs["text"].cast("string")))
 
 
+def accepted(docs: DataFrame, least: float = 0.3, size: int = 400) -> DataFrame:
+    """The rows of docs, all columns, in which some language stands out: not `und`, and a score of at least `least`."""
+    rows = identify(docs, None, size)
+    return rows.where((F.col("__lang.lang") != "und") & (F.col("__lang.score") >= least)).drop("__lang")
+
+
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 5) == 0

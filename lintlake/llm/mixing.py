@@ -56,8 +56,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], repeats: int) -
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int = 3, block_rows: int = 500, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words the mix takes of the document), one row per row of docs."""
-    rows = id_and_text(docs, id_col, text_col, source=source_col).select("doc_id", F.col("source").cast("string").alias("source"), word_count()("text").alias("size"))
+    """doc_id, th (hash of text and source), source, size, source_size, target, taken (words the mix takes of the document), one row per row of docs."""
+    rows = id_and_text(docs, id_col, text_col, source=source_col).withColumn("source", F.col("source").cast("string"))
+    rows = rows.select("doc_id", F.xxhash64("text", "source").alias("th"), "source", word_count()("text").alias("size"))
     rows = park(rows.withColumn("turn", F.xxhash64("doc_id", "source", F.lit(17))), "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, repeats)
     targets = park(targets, "targets").withColumnRenamed("source", "s")
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int =
     inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(inside))
     rows = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["block"] == sums["b"]))
-    rows = park(rows.select("doc_id", "source", "size", "source_size", "target", "turn", (F.col("upto") + F.col("before")).alias("words")), "finish")
+    rows = park(rows.select("doc_id", "th", "source", "size", "source_size", "target", "turn", (F.col("upto") + F.col("before")).alias("words")), "finish")
     cut = _cut(rows, repeats)
     copies = F.sequence(F.lit(0), F.lit(repeats - 1))
     if cut is None:
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int =
         key = lambda *cols: F.struct(*(c.alias(f"k{i}") for i, c in enumerate(cols)))
         included = lambda e: key(_finish(e), F.col("turn"), F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("words")) <= key(*cut)
         taken = F.col("size") * F.size(F.filter(copies, lambda e: (F.col("size") > 0) & included(e)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return rows.select("doc_id", "th", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def _finish(copy: Column) -> Column:
@@ -113,6 +114,15 @@ def _cut(rows: DataFrame, repeats: int) -> tuple | None:
     return F.lit(end["finish"]), F.lit(end["turn"]), F.lit(end["id"]), F.lit(end["words"])
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, as often as the mix takes them."""
+    copies = mix(docs, **options).where("taken > 0").groupBy("doc_id", "th").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
+    copies = copies.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("th").alias("__th"), "__copies")
+    mine = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-(1 << 63))), "__th": F.xxhash64(docs["text"].cast("string"), docs["source"].cast("string"))})
+    once = mine.dropDuplicates(["__id", "__th"]).join(copies, ["__id", "__th"])
+    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*(once[c] for c in docs.columns))
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")

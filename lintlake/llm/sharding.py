@@ -74,6 +74,15 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, range_rows:
     )
 
 
+def sharded(docs: DataFrame, shards: int = 8, **options) -> DataFrame:
+    """The rows of docs, all columns, with shard and slot."""
+    least = -(1 << 63)
+    placed = shard(docs, shards, **options).select(F.coalesce("doc_id", F.lit(least)).alias("__id"), F.col("key").alias("__th"), "shard", "slot")
+    mine = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit(least)), "__th": F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
+    once = mine.dropDuplicates(["__id", "__th"])  # repeated rows come back with their places
+    return once.join(placed, ["__id", "__th"]).select(*(once[c] for c in docs.columns), placed["shard"], placed["slot"])
+
+
 def _is_hot(hot: list[int]) -> Column:
     return F.col("key").isin(hot) if hot else F.lit(False)
 

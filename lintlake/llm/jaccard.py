@@ -4,16 +4,18 @@ A document's set holds the distinct hashes (64 bits) of its `k`-word shingles.
 more share a token in their prefixes (the first n - ceil(t n) + 1 tokens) under every global order of the tokens.
 
 - Order 1 generates candidates: tokens by hash, but the corpus's frequent tokens last, the most frequent at the very
-  end.  Frequent tokens are found by counting, over all documents, the `bottom` least hashes of each set; the list is
-  broadcast up to `listed` tokens (8 MB), of more only the most frequent; that changes the work, never the result.
+  end.  Frequent tokens are found by counting, over all documents, the least hashes of each set (a twelfth of it); the
+  list is broadcast up to `listed` tokens (8 MB), of more only the most frequent; that changes the work, not the result.
 - Prefix tokens meet in buckets, sorted by set size; length, prefix-index and positional bounds thin the pairs.
+- Parity bitmaps of the sets (about a bit a token) bound the overlap: each differing bit stands for a token that only
+  one of two sets has.  The bound is exact, so no link is lost.
 - Orders 2 and 3 (other hash orders) must agree, by a shared prefix token each, before the sets are intersected.
 
 Equal sets are collapsed first, whatever their number.  A bucket of up to `small` sets gives its pairs.  A larger one,
 as large groups of near copies make, gives stars: each set against the bucket's leader of its size band.  Components
 of the verified links are then formed, and buckets whose sets are still in different components are taken up again:
-with other leaders for `rounds` rounds, at last with every pair across components that is left.  So no link between
-components is missed, and a group of near copies costs a multiple of its members, not of its pairs.
+every pair across components is compared by length and bitmap, in blocks of bounded size, and what passes is verified.
+So no link between components is missed, and a group of near copies gives a multiple of its members, not its pairs.
 
 Nulls: a null text has an empty set, is linked with nothing, and is its own component; a null id never names a
 component unless all its members have none.  Repeated rows and equal texts fall together.  An empty table gives no rows;
@@ -61,8 +63,28 @@ def _digest(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s, 5).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64), 9).view(np.int64)[0])
 
 
-def shingle_sets(docs: DataFrame, k: int = 5, bottom: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th (hash of the text), n (set size), node (digest of the set; of the id where it is empty), least (the `bottom` least hashes)."""
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity bits of the tokens: as many bits as the next power of two of the set's size, 64 at least."""
+    bits = max(64, 1 << int(len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((mix(s, 7) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(maps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps as rows of `size` bytes; a longer one is folded, which keeps parities."""
+    out = np.empty((len(maps), size), np.uint8)
+    for i, b in enumerate(maps):
+        m = np.frombuffer(b, np.uint8)
+        out[i] = m if len(m) == size else np.bitwise_xor.reduce(_by_residue(m, size), axis=0)
+    return out
+
+
+def _by_residue(m: np.ndarray, size: int) -> np.ndarray:
+    return m.reshape(-1, size)
+
+
+def shingle_sets(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, th (hash of the text), n (set size), node (digest of the set; of the id where it is empty), least (its least hashes, a twelfth, 16 at least), bits."""
 
     def sets(batches):
         for batch in batches:
@@ -70,11 +92,14 @@ def shingle_sets(docs: DataFrame, k: int = 5, bottom: int = 32, id_col: str = "d
                 ids, ths, texts = (batch.column(c).slice(i, 1000) for c in range(3))
                 own = [shingle_set(t, k) for t in raw(texts)]
                 nodes = [_digest(s) if len(s) else int(mix(np.array([(x or 0) & (1 << 64) - 1], np.uint64), 3).view(np.int64)[0]) for s, x in zip(own, ids.to_pylist(), strict=True)]
-                least = [s[:bottom].view(np.int64) for s in own]
-                yield pa.RecordBatch.from_arrays([ids, ths, pa.array([len(s) for s in own], pa.int64()), pa.array(nodes, pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "th", "n", "node", "least"])
+                least = [s[: max(16, len(s) // 12)].view(np.int64) for s in own]
+                yield pa.RecordBatch.from_arrays(
+                    [ids, ths, pa.array([len(s) for s in own], pa.int64()), pa.array(nodes, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array([bitmap(s) for s in own], pa.binary())],
+                    ["doc_id", "th", "n", "node", "least", "bits"],
+                )
 
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(sets, "doc_id bigint, th bigint, n bigint, node bigint, least array<bigint>")
+    return rows.mapInArrow(sets, "doc_id bigint, th bigint, n bigint, node bigint, least array<bigint>, bits binary")
 
 
 def frequent_tokens(sets: DataFrame, at_least: int, listed: int) -> np.ndarray:
@@ -125,14 +150,18 @@ def prefix_tokens(docs: DataFrame, order, t: Threshold, k: int, text_col: str =
     return docs.select(F.col(text_col).cast("string")).mapInArrow(tokens, "token bigint, n int, pos int, node bigint")
 
 
-def _buckets(batches, key: str) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of consecutive rows, cut only between two values of `key`; the rows come sorted by it."""
+def _buckets(batches, key: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of consecutive rows, cut only between two values of the key columns; the rows come sorted by them."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not len(batch):
             continue
-        keys = batch.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))  # rows of the last key may go on in the next batch
+        keys = np.stack([batch.column(c).to_numpy() for c in key], 1)
+        if held and (np.array([held[-1].column(c)[-1].as_py() for c in key]) != keys[0]).any():
+            yield _columns(held)
+            held = []
+        other = np.flatnonzero((keys != keys[-1]).any(1))
+        cut = int(other[-1]) + 1 if len(other) else 0  # rows of the last key may go on in the next batch
         if cut == 0:
             held.append(batch)
             continue
@@ -144,7 +173,7 @@ def _buckets(batches, key: str) -> Iterator[dict[str, np.ndarray]]:
 
 def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     table = pa.Table.from_batches(batches)
-    return {c: table.column(c).to_numpy() for c in table.column_names}
+    return {c: table.column(c).to_numpy() for c in table.column_names if c != "bits"} | ({"bits": table.column("bits").to_pylist()} if "bits" in table.column_names else {})
 
 
 def _fits(c: dict, a: np.ndarray, b: np.ndarray, t: Threshold) -> np.ndarray:
@@ -158,7 +187,7 @@ def bucket_pairs(tokens: DataFrame, t: Threshold, small: int) -> DataFrame:
     """a, b, token: candidate pairs with token null; and b = the member, a null, for each member of a bucket over `small`."""
 
     def pairs(batches):
-        for c in _buckets(batches, "token"):
+        for c in _buckets(batches, ("token",)):
             keys, nodes = c["token"], c["node"]
             first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))  # equal sets of several tasks
             c = {x: v[first] for x, v in c.items()}
@@ -234,7 +263,7 @@ def verify(pairs: DataFrame, texts: DataFrame, t: Threshold, k: int, share: int
     return dealt.mapInArrow(check, "u bigint, v bigint")
 
 
-def _texts_of(nodes: DataFrame, docs: DataFrame, sets: DataFrame, few: int = 1 << 20) -> DataFrame:
+def _texts_of(nodes: DataFrame, docs: DataFrame, sets: DataFrame, few: int = 1 << 18) -> DataFrame:
     """node, text for the wanted nodes.  Up to `few` nodes (16 bytes each) are broadcast, more are joined by shuffling."""
     # One text for each set: equal sets may come from texts that differ in white space.
     wanted = park(sets.where("n > 0").groupBy("node").agg(F.min("th").alias("th")).join(nodes.distinct(), "node"), "wanted")
@@ -243,58 +272,98 @@ def _texts_of(nodes: DataFrame, docs: DataFrame, sets: DataFrame, few: int = 1 <
     return park(rows.join(small, "th").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
-def _residual(open_: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (token, n, node, root) of large buckets whose sets are in several components."""
+def bitmaps_allow(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs (a, b) whose bitmaps and sizes allow a link."""
+    own = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    for x in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+
+    def allowed(batches):
+        for batch in batches:
+            c = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("a", "b", "n_a", "n_b")}
+            ma, mb = batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()
+            size = np.array([min(len(x), len(y)) for x, y in zip(ma, mb, strict=True)])
+            ok = t.sizes(c["n_a"], c["n_b"])
+            for z in np.unique(size):
+                at = np.flatnonzero(size == z)
+                for i in range(0, len(at), 4096):
+                    own = at[i : i + 4096]
+                    ok[own] &= _near(_folded([ma[j] for j in own], z), _folded([mb[j] for j in own], z), c["n_a"][own], c["n_b"][own], t)
+            yield pa.RecordBatch.from_arrays([pa.array(c["a"][ok]), pa.array(c["b"][ok])], ["a", "b"])
+
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(allowed, "a bigint, b bigint")
+
+
+def _near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, t: Threshold) -> np.ndarray:
+    """Whether the sets' overlap can reach the threshold: 2 * overlap is at most the sizes' sum less the differing bits."""
+    apart = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+    return nx + ny - apart >= 2 * t.overlap(nx, ny)
+
+
+def _residual(open_: DataFrame, labels: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Rows of large buckets whose sets are in several components, dealt to all pairs of the bucket's blocks.
+
+    token, low, high (numbers of two blocks), mine (the row's block), n, node, root, bits.  A bucket has as many blocks
+    as it takes to keep each at about `block` rows.
+    """
     rows = open_.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("token").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("token")
-    return rows.join(mixed, "token", "left_semi")
+    mixed = rows.groupBy("token").agg((F.min("root") != F.max("root")).alias("mixed"), F.ceil(F.count("*") / block).alias("blocks")).where("mixed").drop("mixed")
+    bits = sets.where("n > 0").groupBy("node").agg(F.first("bits").alias("bits"))
+    rows = rows.join(mixed, "token").join(bits, "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return rows.select("token", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "n", "node", "root", "bits")
 
 
-def _across(rest: DataFrame, t: Threshold, turn: int | None) -> DataFrame:
-    """a, b across components of each large bucket: against one leader a bucket, another in each turn; or (None) all pairs."""
+def _across(rest: DataFrame, t: Threshold) -> DataFrame:
+    """a, b across components, in each large bucket, that sizes and bitmaps allow."""
 
     def pairs(batches):
-        for c in _buckets(batches, "token"):
-            starts = np.flatnonzero(np.concatenate(([True], c["token"][1:] != c["token"][:-1])))
-            for s, e in zip(starts, [*starts[1:], len(c["token"])], strict=True):
-                n, node, root = (c[x][s:e] for x in ("n", "node", "root"))
-                if turn is None:
-                    leaders = range(len(n))
-                else:
-                    leaders = [int(np.argmin(mix(node.view(np.uint64), 100 + turn)))]
-                for i in leaders:
-                    other = (root != root[i]) & t.sizes(n.astype(np.int64), np.int64(n[i]))
-                    if turn is None:
-                        other[: i + 1] = False
-                    a, b = np.full(other.sum(), node[i]), node[other]
-                    for j in range(0, len(a), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(a[j : j + 100_000]), pa.array(b[j : j + 100_000])], ["a", "b"])
-
-    dealt = rest.select("token", "n", "node", "root").repartition("token").sortWithinPartitions("token", "n", "node")
+        for c in _buckets(batches, ("token", "low", "high")):
+            key = np.stack((c["token"], c["low"], c["high"]), 1)
+            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
+            found = []
+            for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
+                n, node, root, mine = (c[x][s:e] for x in ("n", "node", "root", "mine"))
+                n, bits = n.astype(np.int64), c["bits"][s:e]
+                two = c["low"][s] != c["high"][s]
+                lengths = np.array([len(b) for b in bits])
+                maps = {z: _folded([b if len(b) >= z else b"\0" * z for b in bits], z) for z in np.unique(lengths)}
+                for i in range(len(n)):
+                    # Rows come by rising size: the larger partners of i, up to where sizes part.
+                    end = i + 1 + int(np.searchsorted(n[i + 1 :], n[i] * t.den // t.num, "right"))
+                    j = np.arange(i + 1, end)
+                    j = j[(root[j] != root[i]) & ((mine[j] != mine[i]) if two else True)]
+                    if len(j):
+                        own = maps[lengths[i]]
+                        j = j[_near(own[i], own[j], n[i], n[j], t)]
+                        found.append(np.stack((np.full(len(j), node[i]), node[j])))
+            if found:
+                pairs_ = np.unique(np.concatenate(found, 1), axis=1)
+                for i in range(0, pairs_.shape[1], 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs_[0, i : i + 100_000]), pa.array(pairs_[1, i : i + 100_000])], ["a", "b"])
+
+    keys = ("token", "low", "high")
+    dealt = rest.repartition(*keys).sortWithinPartitions(*keys, "n", "node")
     return dealt.mapInArrow(pairs, "a bigint, b bigint").distinct()
 
 
-def jaccard_groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, small: int = 32, rounds: int = 3, bottom: int = 32, at_least: int = 8, listed: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def jaccard_groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, small: int = 32, block: int = 2000, at_least: int = 4, listed: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (doc_id, th, n, node, root), one per row of docs, root the component of its set; links (u, v) between sets."""
     t = Threshold(num, den)
     texts = id_and_text(docs, id_col, text_col)
-    sets = park(shingle_sets(texts, k, bottom), "sets")
+    sets = park(shingle_sets(texts, k), "sets")
     order = docs.sparkSession.sparkContext.broadcast(Order(frequent_tokens(sets, at_least, listed)))
     found = park(bucket_pairs(prefix_tokens(texts, order, t, k), t, small).distinct(), "pairs")
-    pairs = found.where("a is not null").select("a", "b")
+    pairs = park(bitmaps_allow(found.where("a is not null").select("a", "b"), sets, t), "allowed")
     open_ = found.where("a is null").select(F.col("b").alias("node"), "token", "n")
     links = park(_verified(pairs, texts, sets, t, k), "links")
     labels = components(links)
-    turns = [*range(rounds), None] if open_.take(1) else []
-    for turn in turns:
+    if open_.take(1):
         labels = park(labels, "labels")
-        rest = park(_residual(open_, labels), "rest")
-        if not rest.take(1):
-            break
-        more = park(_across(rest, t, turn).join(pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "more")
-        pairs = pairs.unionAll(more)
-        links = park(links.unionAll(_verified(more, texts, sets, t, k)), "links")
-        labels = components(links)
+        more = park(_across(_residual(open_, labels, sets, block), t), "across")
+        if more.take(1):
+            links = park(links.unionAll(_verified(more, texts, sets, t, k)), "links")
+            labels = components(links)
     rows = sets.select("doc_id", "th", "n", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return rows, links
 

@@ -156,10 +156,27 @@ class Network:
         w1, b1, w2, b2 = self.layers
         return np.maximum(0, x @ w1 + b1) @ w2 + b2
 
+    def fold(self) -> None:
+        """Take the scaling and the first layer into the slots' vectors: both are linear, and so is the mean over words."""
+        w1, b1, _, _ = self.layers
+        width = self.vectors.shape[1]
+        w = w1 / self.scale[:, None]
+        self.folded = [(self.vectors @ w[k * width : (k + 1) * width]).astype(np.float32) for k in range(2)]
+        self.offset = b1 - self.mean @ w
+        self.vectors = self.vectors[:, :0]
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.layers is None:
             return np.full(len(texts), self.prior)
-        return _sigmoid(self._logits((self.pool(texts) - self.mean) / self.scale) / self.temperature)
+        words, shapes, counts = tokens(texts, len(self.vectors))
+        h = np.zeros((len(texts), len(self.offset)))
+        text = np.repeat(np.arange(len(texts)), counts)
+        for i in range(0, len(words), CHUNK):
+            own = text[i : i + CHUNK]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            h[own[first]] += np.add.reduceat(self.folded[0][words[i : i + CHUNK]] + self.folded[1][shapes[i : i + CHUNK]], first, axis=0)
+        h = np.maximum(0, h / np.maximum(counts, 1)[:, None] + self.offset)
+        return _sigmoid((h @ self.layers[2] + self.layers[3]) / self.temperature)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -185,6 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, slots: int = 1 << 15, dim: int = 3
         net = Network(vectors, float(y.mean()))
         if 0 < y.mean() < 1:
             net.fit(np.array(rows.column("x").to_pylist(), np.float32)[order], y)
+            net.fold()
     return net
 
 

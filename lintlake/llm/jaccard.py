@@ -7,15 +7,16 @@ more share a token in their prefixes (the first n - ceil(t n) + 1 tokens) under
   end.  Frequent tokens are found by counting, over all documents, the least hashes of each set (a twelfth of it); the
   list is broadcast up to `listed` tokens (8 MB), of more only the most frequent; that changes the work, not the result.
 - Prefix tokens meet in buckets, sorted by set size; length, prefix-index and positional bounds thin the pairs.
-- Parity bitmaps of the sets (about a bit a token) bound the overlap: each differing bit stands for a token that only
+- Parity bitmaps of the sets (two to four bits a token) bound the overlap: each differing bit stands for a token that only
   one of two sets has.  The bound is exact, so no link is lost.
 - Orders 2 and 3 (other hash orders) must agree, by a shared prefix token each, before the sets are intersected.
 
-Equal sets are collapsed first, whatever their number.  A bucket of up to `small` sets gives its pairs.  A larger one,
-as large groups of near copies make, gives stars: each set against the bucket's leader of its size band.  Components
-of the verified links are then formed, and buckets whose sets are still in different components are taken up again:
-every pair across components is compared by length and bitmap, in blocks of bounded size, and what passes is verified.
-So no link between components is missed, and a group of near copies gives a multiple of its members, not its pairs.
+Equal sets are collapsed first, whatever their number.  A bucket of up to `small` sets gives its pairs.  Larger ones,
+as large groups of near copies make, are compared by length and bitmap in blocks of bounded size, against the
+components found so far, in three rounds: each set in its largest bucket only, giving a spanning forest of the pairs
+that pass; then all buckets still in several components, giving forests again; then every pair across components that
+is left.  All pairs given are verified and components formed anew after each round.  So no link between components is
+missed, and a group of near copies gives a multiple of its members, not its pairs.
 
 Nulls: a null text has an empty set, is linked with nothing, and is its own component; a null id never names a
 component unless all its members have none.  Repeated rows and equal texts fall together.  An empty table gives no rows;
@@ -64,8 +65,8 @@ def _digest(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity bits of the tokens: as many bits as the next power of two of the set's size, 64 at least."""
-    bits = max(64, 1 << int(len(s) - 1).bit_length()) if len(s) else 64
+    """Parity bits of the tokens: two to four bits a token, a power of two, 64 at least."""
+    bits = max(64, 2 << int(len(s) - 1).bit_length()) if len(s) else 64
     odd = np.bincount((mix(s, 7) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -184,7 +185,7 @@ def _fits(c: dict, a: np.ndarray, b: np.ndarray, t: Threshold) -> np.ndarray:
 
 
 def bucket_pairs(tokens: DataFrame, t: Threshold, small: int) -> DataFrame:
-    """a, b, token: candidate pairs with token null; and b = the member, a null, for each member of a bucket over `small`."""
+    """a, b, token, n: candidate pairs with token null; and, for each member of a bucket over `small`, b, token and n."""
 
     def pairs(batches):
         for c in _buckets(batches, ("token",)):
@@ -194,26 +195,16 @@ def bucket_pairs(tokens: DataFrame, t: Threshold, small: int) -> DataFrame:
             keys, nodes, n = c["token"], c["node"], c["n"]
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             sizes = np.diff(np.concatenate((starts, [len(keys)])))
-            a, b, open_ = [], [], []
-            for z in np.unique(sizes[sizes > 1]):
+            a, b = [], []
+            for z in np.unique(sizes[(sizes > 1) & (sizes <= small)]):
                 own = starts[sizes == z]
-                if z <= small:
-                    i, j = np.triu_indices(z, 1)
-                    x, y = (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
-                    fit = _fits(c, x, y, t)
-                    a.append(x[fit])
-                    b.append(y[fit])
-                    continue
-                for s in own:
-                    rows = np.arange(s, s + z)
-                    open_.append(rows)
-                    while len(rows) > 1:  # leaders of size bands
-                        near = t.sizes(n[rows[0]].astype(np.int64), n[rows].astype(np.int64))
-                        a.append(np.full(near.sum() - 1, rows[0]))
-                        b.append(rows[near][1:])
-                        rows = rows[~near]
+                i, j = np.triu_indices(z, 1)
+                x, y = (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
+                fit = _fits(c, x, y, t)
+                a.append(x[fit])
+                b.append(y[fit])
             x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-            big = np.concatenate(open_) if open_ else np.empty(0, np.int64)
+            big = np.flatnonzero(np.repeat(sizes, sizes) > small)
             if len(x):
                 found = np.unique(np.stack((nodes[x], nodes[y])), axis=1)
                 none = pa.nulls(found.shape[1], pa.int64())
@@ -314,8 +305,14 @@ def _residual(open_: DataFrame, labels: DataFrame, sets: DataFrame, block: int)
     return rows.select("token", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "n", "node", "root", "bits")
 
 
-def _across(rest: DataFrame, t: Threshold) -> DataFrame:
-    """a, b across components, in each large bucket, that sizes and bitmaps allow."""
+def _largest_bucket(open_: DataFrame) -> DataFrame:
+    """Of each node only the row in its largest bucket."""
+    sizes = open_.groupBy("token").agg(F.count("*").alias("size"))
+    return open_.join(sizes, "token").groupBy("node").agg(F.max(F.struct("size", "token", "n")).alias("m")).select("node", "m.token", "m.n")
+
+
+def _across(rest: DataFrame, t: Threshold, forest: bool) -> DataFrame:
+    """a, b across components, in each large bucket, that sizes and bitmaps allow; with forest only so many that they join the same sets."""
 
     def pairs(batches):
         for c in _buckets(batches, ("token", "low", "high")):
@@ -328,6 +325,14 @@ def _across(rest: DataFrame, t: Threshold) -> DataFrame:
                 two = c["low"][s] != c["high"][s]
                 lengths = np.array([len(b) for b in bits])
                 maps = {z: _folded([b if len(b) >= z else b"\0" * z for b in bits], z) for z in np.unique(lengths)}
+                joined = {}
+
+                def top(x: int, joined: dict = joined) -> int:
+                    while joined.get(x, x) != x:
+                        joined[x] = joined.get(joined[x], joined[x])
+                        x = joined[x]
+                    return x
+
                 for i in range(len(n)):
                     # Rows come by rising size: the larger partners of i, up to where sizes part.
                     end = i + 1 + int(np.searchsorted(n[i + 1 :], n[i] * t.den // t.num, "right"))
@@ -336,6 +341,8 @@ def _across(rest: DataFrame, t: Threshold) -> DataFrame:
                     if len(j):
                         own = maps[lengths[i]]
                         j = j[_near(own[i], own[j], n[i], n[j], t)]
+                        if forest:
+                            j = np.array([x for x in j if _join(joined, top(int(root[i])), top(int(root[x])))], np.int64)
                         found.append(np.stack((np.full(len(j), node[i]), node[j])))
             if found:
                 pairs_ = np.unique(np.concatenate(found, 1), axis=1)
@@ -358,16 +365,23 @@ def jaccard_groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, s
     open_ = found.where("a is null").select(F.col("b").alias("node"), "token", "n")
     links = park(_verified(pairs, texts, sets, t, k), "links")
     labels = components(links)
-    if open_.take(1):
+    for only, forest in ((True, True), (False, True), (False, False)) if open_.take(1) else ():
         labels = park(labels, "labels")
-        more = park(_across(_residual(open_, labels, sets, block), t), "across")
+        rest = _residual(_largest_bucket(open_) if only else open_, labels, sets, block)
+        more = park(_across(rest, t, forest).join(pairs, ["a", "b"], "left_anti"), "across")
         if more.take(1):
+            pairs = pairs.unionAll(more)
             links = park(links.unionAll(_verified(more, texts, sets, t, k)), "links")
             labels = components(links)
     rows = sets.select("doc_id", "th", "n", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return rows, links
 
 
+def _join(joined: dict[int, int], x: int, y: int) -> bool:
+    joined[x] = y
+    return x != y
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame, t: Threshold, k: int) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
     return verify(pairs, _texts_of(nodes, texts, sets), t, k)

@@ -174,7 +174,8 @@ def _buckets(batches, key: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
 
 def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     table = pa.Table.from_batches(batches)
-    return {c: table.column(c).to_numpy() for c in table.column_names if c != "bits"} | ({"bits": table.column("bits").to_pylist()} if "bits" in table.column_names else {})
+    lists = ("bits", "tokens")
+    return {c: table.column(c).to_pylist() if c in lists else table.column(c).to_numpy() for c in table.column_names}
 
 
 def _fits(c: dict, a: np.ndarray, b: np.ndarray, t: Threshold) -> np.ndarray:
@@ -294,15 +295,17 @@ def _near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, t: Thres
 def _residual(open_: DataFrame, labels: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     """Rows of large buckets whose sets are in several components, dealt to all pairs of the bucket's blocks.
 
-    token, low, high (numbers of two blocks), mine (the row's block), n, node, root, bits.  A bucket has as many blocks
-    as it takes to keep each at about `block` rows.
+    token, low, high (numbers of two blocks), mine (the row's block), n, node, root, bits, tokens (of all its buckets).  A
+    bucket has as many blocks as it takes to keep each at about `block` rows.
     """
     rows = open_.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("token").agg((F.min("root") != F.max("root")).alias("mixed"), F.ceil(F.count("*") / block).alias("blocks")).where("mixed").drop("mixed")
     bits = sets.where("n > 0").groupBy("node").agg(F.first("bits").alias("bits"))
-    rows = rows.join(mixed, "token").join(bits, "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.join(mixed, "token")
+    tokens = rows.groupBy("node").agg(F.collect_set("token").alias("tokens"))  # at most its prefix
+    rows = rows.join(bits, "node").join(tokens, "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    return rows.select("token", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "n", "node", "root", "bits")
+    return rows.select("token", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "n", "node", "root", "bits", "tokens")
 
 
 def _largest_bucket(open_: DataFrame) -> DataFrame:
@@ -312,7 +315,10 @@ def _largest_bucket(open_: DataFrame) -> DataFrame:
 
 
 def _across(rest: DataFrame, t: Threshold, forest: bool) -> DataFrame:
-    """a, b across components, in each large bucket, that sizes and bitmaps allow; with forest only so many that they join the same sets."""
+    """a, b across components, in each large bucket, that sizes and bitmaps allow; with forest only so many that they join the same sets.
+
+    Two sets meet in several buckets; their pair is given in that of the least token they have in common.
+    """
 
     def pairs(batches):
         for c in _buckets(batches, ("token", "low", "high")):
@@ -321,7 +327,8 @@ def _across(rest: DataFrame, t: Threshold, forest: bool) -> DataFrame:
             found = []
             for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
                 n, node, root, mine = (c[x][s:e] for x in ("n", "node", "root", "mine"))
-                n, bits = n.astype(np.int64), c["bits"][s:e]
+                n, bits, token = n.astype(np.int64), c["bits"][s:e], int(c["token"][s])
+                own_tokens = [frozenset(x) for x in c["tokens"][s:e]]
                 two = c["low"][s] != c["high"][s]
                 lengths = np.array([len(b) for b in bits])
                 maps = {z: _folded([b if len(b) >= z else b"\0" * z for b in bits], z) for z in np.unique(lengths)}
@@ -341,6 +348,7 @@ def _across(rest: DataFrame, t: Threshold, forest: bool) -> DataFrame:
                     if len(j):
                         own = maps[lengths[i]]
                         j = j[_near(own[i], own[j], n[i], n[j], t)]
+                        j = np.array([x for x in j if min(own_tokens[i] & own_tokens[x]) == token], np.int64)
                         if forest:
                             j = np.array([x for x in j if _join(joined, top(int(root[i])), top(int(root[x])))], np.int64)
                         found.append(np.stack((np.full(len(j), node[i]), node[j])))

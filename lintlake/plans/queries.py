@@ -13,6 +13,7 @@ from lintlake.functions.rulebook import RULES
 from lintlake.functions.textops import line_count, split_lines
 from lintlake.operators import bench, feedback, graph, pulls, review, rules, structure, taint
 from lintlake.sources.corpus import code_files, code_files_sql
+from lintlake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -406,3 +407,29 @@ def pages_var_usage(spark, sf_dir):
 def documents_secrets(spark, sf_dir):
     lines = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.where(F.col("line").rlike("(?iU)token\\s*[=:]\\s*[\"'][^\"']{8,}[\"']")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+# --- Events ---
+
+
+@_query("select time_bucket(interval 1 hour, ts, timestamp '1970-01-01') as window_start, event_type, count(*) as n, sum(value) as total from events group by all")
+def event_windows(spark, sf_dir):
+    return jobs.event_windows(_table(spark, sf_dir, "events"))
+
+
+@_query(
+    "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as fresh from events),"
+    " s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as session_start, count(*) as n from s group by user_id, k"
+)
+def event_sessions(spark, sf_dir):
+    return jobs.sessions(_table(spark, sf_dir, "events"))
+
+
+@_query()
+def review_events(spark, sf_dir):
+    return jobs.review_events(code_files(spark, sf_dir))
+
+
+@_query()
+def review_states(spark, sf_dir):
+    return jobs.fold_events(jobs.review_events(code_files(spark, sf_dir)))

@@ -176,7 +176,8 @@ class Network:
             first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             h[own[first]] += np.add.reduceat(self.folded[0][words[i : i + CHUNK]] + self.folded[1][shapes[i : i + CHUNK]], first, axis=0)
         h = np.maximum(0, h / np.maximum(counts, 1)[:, None] + self.offset)
-        return _sigmoid((h @ self.layers[2] + self.layers[3]) / self.temperature)
+        # Rounded, so that equal texts get equal scores whatever they were batched with.
+        return np.round(_sigmoid((h @ self.layers[2] + self.layers[3]) / self.temperature), 9)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

@@ -29,5 +29,31 @@ def queries() -> dict:
     }
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP1 = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct item_id, least(10, len(w)) as l, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) as k from b where len(w) > 0),
+lens as (select distinct l from win),
+dk as (select doc_id, l, unnest(range(0, len(w) - l + 1)) as i, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i + l - 1], ' '))) as k from d join lens on len(w) >= l),
+hit as (select doc_id, dk.l, i, item_id from dk join win on dk.l = win.l and dk.k = win.k),
+n as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + l)) as p from hit) group by 1),
+it as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from hit) group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n on d.doc_id = n.doc_id left join it on d.doc_id = it.doc_id"""
+
+_OP3 = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as k from d where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.k = b.k and a.doc_id < b.doc_id group by all),
+e as (select x, y from c join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * i >= 80 * (nx.n + ny.n - i)),
+pairs as (select x, y from e union all select y, x from e),
+r(id, root) as (select doc_id, doc_id from n union select y, root from r join pairs on id = x),
+least_root as (select id, min(root) as component_id from r group by id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, d.doc_id) as component_id from d left join n on d.doc_id = n.doc_id left join least_root on d.doc_id = id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the queries that SQL expresses; the others are tested against brute force."""
+    return {"op1_decontamination": _OP1, "op3_jaccard_join": _OP3}

@@ -76,17 +76,23 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.withColumn("th", F.xxhash64("text"))
 
 
-def contexts(rows: DataFrame, nearest: int, reach: int) -> DataFrame:
-    """doc, th, entity, around, term, start, end: the terms next to each entity, at most `nearest` on either side within `reach` characters."""
-    both = F.concat(*(_entities(k) for k in KINDS))
-    found = rows.select("doc_id", "th", "text", both.alias("ents")).where(F.size("ents") > 0)
-    found = found.select("doc_id", "th", F.length("text").alias("n"), "text", F.explode("ents").alias("e"))
-    low = F.greatest(F.lit(0), F.col("e.start") - reach)
-    sides = F.array(
-        F.struct(F.lit(-1).alias("side"), low.alias("from"), F.substring(F.col("text"), (low + 1).cast("int"), (F.col("e.start") - low).cast("int")).alias("part")),
-        F.struct(F.lit(1).alias("side"), F.col("e.end").alias("from"), F.substring(F.col("text"), (F.col("e.end") + 1).cast("int"), F.lit(reach)).alias("part")),
-    )
-    found = found.select("doc_id", "th", "n", F.col("e.entity").alias("entity"), F.explode(sides).alias("s")).select("doc_id", "th", "n", "entity", "s.*")
+def _sides(reach: int) -> Column:
+    """For each entity the text before and after it: (entity, side, from, part, n), n the text's length."""
+    both, n = F.concat(*(_entities(k) for k in KINDS)), F.length("text")
+
+    def of(e: Column) -> Column:
+        low = F.greatest(F.lit(0).cast("bigint"), e["start"] - reach)
+        before = F.substring(F.col("text"), (low + 1).cast("int"), (e["start"] - low).cast("int"))
+        after = F.substring(F.col("text"), (e["end"] + 1).cast("int"), F.lit(reach))
+        side = lambda k, at, part: F.struct(e["entity"].alias("entity"), F.lit(k).alias("side"), at.alias("from"), part.alias("part"), n.alias("n"))
+        return F.array(side(-1, low, before), side(1, e["end"], after))
+
+    return F.flatten(F.transform(both, of))
+
+
+def contexts(rows: DataFrame, nearest: int) -> DataFrame:
+    """doc, th, entity, around, term, start, end: the terms next to each entity, at most `nearest` on either side; rows: doc_id, th, sides."""
+    found = rows.select("doc_id", "th", F.explode("sides").alias("s")).select("doc_id", "th", "s.*")
     found = with_spans(found, "part", "words", f"[^{BREAKS}]++")
     # Words that the reach cuts through are left out, and so are numbers and very short words.
     size = F.length("part")
@@ -107,7 +113,8 @@ def disclosures(rows: DataFrame, near: DataFrame, support: int) -> DataFrame:
     pairs = near.groupBy("entity", "term").agg(F.countDistinct("doc").alias("n_te"), F.countDistinct("around").alias("n_around"))
     pairs = park(pairs.where((F.col("n_te") >= support) & (F.col("n_around") >= support)), "pairs")
     entities = near.groupBy("entity").agg(F.countDistinct("doc").alias("n_e"))
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), f"[{BREAKS}]+"))).alias("term"))
+    # An outer explode: from a plain one the optimizer infers a filter that would split every text a second time.
+    words = rows.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), f"[{BREAKS}]+"))).alias("term"))
     terms = words.where(F.length("term") >= 4).groupBy("term").agg(F.count("*").alias("n_t"))
     n = F.lit(float(rows.count()))
     scored = pairs.join(entities, "entity").join(terms, "term")
@@ -116,17 +123,23 @@ def disclosures(rows: DataFrame, near: DataFrame, support: int) -> DataFrame:
     return scored.select("entity", "term", F.when(ic > 0, F.greatest(F.lit(0.0), pmi / ic)).otherwise(F.lit(0.0)).alias("disclosure"))
 
 
-def sanitise(docs: DataFrame, support: int = 2, generalise: float = 0.8, remove: float = 0.95, nearest: int = 6, reach: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, the kinds' spans, `terms` (start, end, action) and clean_text, one row per row of docs."""
+def sanitise(docs: DataFrame, clean: bool = True, support: int = 2, generalise: float = 0.8, remove: float = 0.95, nearest: int = 6, reach: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the kinds' spans, `terms` (start, end, action), and with `clean` text and clean_text, one row per row of docs.
+
+    Spans and the entities' surroundings are found in one pass over the texts and written; texts are read again for
+    the terms' counts, and to be rewritten.
+    """
     rows = base_spans(docs, id_col, text_col)
-    near = park(contexts(rows, nearest, reach), "contexts")
+    found = park(rows.select("doc_id", "th", *KINDS, _sides(reach).alias("sides")), "spans")
+    near = park(contexts(found, nearest), "contexts")
     plain = id_and_text(docs, id_col, text_col).select(F.coalesce("text", F.lit("")).alias("text"))
     risky = disclosures(plain, near, support).where(F.col("disclosure") >= generalise)
     hits = near.join(risky, ["entity", "term"]).groupBy("th", "start", "end").agg(F.max("disclosure").alias("d"))
     action = F.when(F.col("d") >= remove, "remove").otherwise("generalise")
     terms = hits.groupBy("th").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("action")))).alias("terms"))
+    rows = rows if clean else found.drop("sides")
     rows = rows.join(park(terms, "terms"), "th", "left").withColumn("terms", F.coalesce("terms", F.expr(f"cast(array() as {ARRAY})")))
-    return rows.withColumn("clean_text", _cleaned()).drop("th")
+    return (rows.withColumn("clean_text", _cleaned()) if clean else rows).drop("th")
 
 
 def _cleaned() -> Column:
@@ -146,7 +159,7 @@ def _cleaned() -> Column:
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
-    found = sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet"), clean=False)
     base = F.concat(*(tagged(F.col(k), k, i, by_kind=True) for i, k in enumerate(KINDS)))
     return found.select(
         "doc_id",

@@ -75,9 +75,10 @@ def template_idf(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     vocab = _template_words(spark)
     known = F.array(*(F.lit(w) for w in sorted({w for _, _, t in TEMPLATES for w in t.split()})))
-    # Per text the template words it has; map-side sums leave at most a row per word and task.
-    seen = texts.select(F.explode(F.array_intersect(known, F.split(ascii_lower("text"), f"[{BREAKS}]+"))).alias("word"))
-    counts = seen.groupBy("word").agg(F.count("*").alias("df"))
+    # Per text the template words it has; map-side sums leave at most a row per word and task.  An outer explode: from a
+    # plain one the optimizer infers a filter that would split every text a second time.
+    seen = texts.select(F.explode_outer(F.array_intersect(known, F.split(ascii_lower("text"), f"[{BREAKS}]+"))).alias("word"))
+    counts = seen.where("word is not null").groupBy("word").agg(F.count("*").alias("df"))
     n = texts.count()
     return vocab.join(F.broadcast(counts), "word", "left").select("word", "postings", F.log((F.lit(float(n)) + 1) / (F.coalesce("df", F.lit(0)) + F.lit(0.5))).alias("idf"))
 

@@ -380,10 +380,10 @@ _EXPECTED = [("security", "critical", "eval", 1), ("security", "critical", "hard
 def eval_match(spark, sf_dir):
     """Golden expectations of the first template against what its files give, by title pattern."""
     found = rules.dedup(_shared_findings(spark, sf_dir)).where("language = 'python'").select(F.col("file_id").alias("sample_id"), "category", "severity", "title")
-    rows = ", ".join(f"({i}, '{c}', '{s}', '{p}', {n})" for i, (c, s, p, n) in enumerate(_EXPECTED))
-    expected = spark.sql(f"select * from values {rows} as t(ord, category, severity, title_pattern, min_count)")
-    ids = code_files(spark, sf_dir).where("language = 'python'").select(F.col("file_id").alias("sample_id"))
-    return bench.golden(ids.withColumn("one", F.lit(1)).join(F.broadcast(expected.withColumn("one", F.lit(1))), "one").drop("one"), found)
+    fields = ("category", "severity", "title_pattern", "min_count")
+    wanted = F.array(*(F.struct(F.lit(i).alias("ord"), *(F.lit(v).alias(k) for k, v in zip(fields, e, strict=True))) for i, e in enumerate(_EXPECTED)))
+    ids = code_files(spark, sf_dir).where("language = 'python'").select(F.col("file_id").alias("sample_id"), F.explode(wanted).alias("e"))
+    return bench.golden(ids.select("sample_id", "e.*"), found)
 
 
 @_query(f"select tool, fp_rate, recall, row_number() over (order by fp_rate, recall desc, tool) as place from ({_METRICS})")

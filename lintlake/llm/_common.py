@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import tempfile
 import uuid
@@ -18,11 +19,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARK, OTHER = "￿", "￾"
 
 
+@functools.cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='lintlake-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines share; where it is unset (tests) a temporary one."""
-    if not (at := spark.conf.get("spark.checkpoint.dir", None)):
-        at = f"file://{tempfile.mkdtemp(prefix='lintlake-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+    """The folder of spark.checkpoint.dir, which all machines share; where none is set (tests) a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_dir()
     return at.rstrip("/")
 
 

@@ -51,8 +51,21 @@ TEMPLATES = [
     ("unlicense", ["released into the public domain"], "this is free and unencumbered software released into the public domain"),
 ]
 
-#: A text without any of these words holds neither a base phrase nor a template's key phrase.
-SIEVE = r"(?i)licen[sc]e|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|cc0|public|attribution|redistribution|hereby"
+#: A text without any of these holds neither a base phrase nor a template's key phrase.
+SIEVE_PARTS = ("licen", "public", "attribution", "redistribution", "hereby", "cc0")
+SIEVE_CC = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
+
+
+def sieved(text: Column) -> Column:
+    """Whether a text may hold a phrase: plain substrings of its lower case, worked out once."""
+
+    def some(low: Column) -> Column:
+        found = low.contains("cc") & low.rlike(SIEVE_CC)
+        for part in SIEVE_PARTS:
+            found = low.contains(part) | found
+        return found
+
+    return F.get(F.transform(F.array(F.lower(text)), some), F.lit(0))
 
 
 def words_of(text: Column) -> Column:
@@ -135,7 +148,7 @@ def _place(text: list[str], key: list[str]) -> int:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, template_labels, template_score, one row per row of docs."""
     rows = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("sieved", F.col("text").rlike(SIEVE))
+    rows = rows.withColumn("sieved", sieved(F.col("text")))
     base = rows.withColumn("words", F.when(F.col("sieved"), words_of(F.col("text")))).withColumn("n_words", F.regexp_count("text", F.lit(f"[^{BREAKS}]+")).cast("bigint"))
     spots = F.transform(F.col("words"), lambda w, i: F.struct(i.alias("i"), _label_at(F.col("words"), i, w).alias("label")))
     base = base.withColumn("spots", F.filter(spots, lambda s: s["label"].isNotNull()))

@@ -18,6 +18,8 @@ from lintlake.functions.textops import indent, line_count, matches, split_lines,
 
 #: What the projection over lines makes of a finding; the rest is added from the table of rules.
 HIT = "struct<rule_ord:int,seq:int,line_start:int,severity:string,title:string>"
+#: Every line rule needs one of these in its line, so lines of prose cost one search instead of one a rule.
+SIEVE = r"[-(=\[{!;\"'`#/<>:%+_\p{Nd}]|var|any|md5|MD5|List|Map|Set|Collection|Itera|Optional|Comparator"
 LINE_KINDS = ("line", "outside_tests", "after_loop", "todo")
 
 
@@ -158,7 +160,7 @@ def _of_language(language: str, rules: list[Rule], structured: bool) -> Column:
         at = _place(line, i)
         hits = [F.when(_line_test(r, at, language), _finding(r, _fill(r.title, _todo_title(line)) if r.kind == "todo" else _title(r, line), i + 1)) for r in per_line]
         found = [F.filter(F.array(*hits), lambda x: x.isNotNull())] if hits else []
-        return F.concat(*found, *(_numbers(r, at) for r in numbers))
+        return F.when(line.rlike(SIEVE), F.concat(*found, *(_numbers(r, at) for r in numbers))).otherwise(_none())
 
     parts = [F.flatten(F.transform("lines", each))] if per_line or numbers else []
     parts += [_file_rule(r, language, structured) for r in own if r.kind not in (*LINE_KINDS, "numbers")]

@@ -1,10 +1,11 @@
 """Licence scans by a positional rare-token index [native].
 
 Base places: where the words of a known phrase stand consecutively.  Beyond them, licence templates are found by
-alignment: document frequencies over the whole corpus order the templates' words by rarity; each distinct candidate
-text looks up its rarest licence words in the templates' positional postings; hits that agree on the relative position
-(place in the text minus place in the template) vote for that template with their IDF; and a template counts only if
-its vote reaches a share of its rare words' weight and one of its mandatory key phrases stands near the alignment.
+alignment: document frequencies over the whole corpus order each template's words by rarity, and the rarest make its
+positional postings; each distinct candidate text looks up all its words there, so that every template is sought with
+its own rare words in every text; hits that agree on the relative position (place in the text minus place in the
+template) vote for that template with their IDF; and a template counts only if its vote reaches a share of its rare
+words' weight and one of its mandatory key phrases stands near the alignment.
 
 Nulls count as empty texts (no words, no labels, score 0); null ids are kept; repeated rows and equal texts get equal
 results; an empty table gives no rows; other columns are ignored.
@@ -99,20 +100,19 @@ def template_idf(texts: DataFrame) -> DataFrame:
 def template_labels(found: DataFrame, idf: DataFrame, rarest: int = 24, share: float = 0.5, near: int = 2) -> DataFrame:
     """th, template_labels, template_score for candidate texts (th, text); found holds each text once.
 
-    `rarest`: how many of its rarest distinct licence words a text looks up; `share`: the part of a template's weight
-    (IDF of its rarest words) that must agree on one alignment; `near`: by how many words the key phrase may be off.
+    `rarest`: how many of its rarest places each template is looked up by (all of them, for the templates given);
+    `share`: the part of a template's weight (IDF of these) that must agree on one alignment; `near`: by how many words
+    the key phrase may be off.
     """
-    idf = F.broadcast(idf)  # one row per word of the fixed templates
+    # One row per place of the fixed templates.
+    rare = idf.select("word", "idf", F.explode("postings").alias("at")).select("word", "idf", "at.t", "at.p")
+    rare = rare.withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("idf"), "p"))).where(F.col("r") <= rarest)
+    weight = rare.groupBy("t").agg(F.sum("idf").alias("full"))
+    postings = rare.groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("t", "p")).alias("postings"))
     words = found.select("th", F.posexplode(words_of(F.col("text"))).alias("i", "word"))
-    hits = words.join(idf, "word")
-    distinct = hits.groupBy("th", "word").agg(F.first("idf").alias("idf"))
-    top = distinct.withColumn("r", F.row_number().over(Window.partitionBy("th").orderBy(F.desc("idf"), "word"))).where(F.col("r") <= rarest)
-    hits = hits.join(top.select("th", "word"), ["th", "word"], "left_semi")
+    hits = words.join(F.broadcast(postings), "word")
     votes = hits.select("th", "idf", "i", F.explode("postings").alias("at")).select("th", "idf", F.col("at.t").alias("t"), (F.col("i") - F.col("at.p")).alias("offset"))
     tallies = votes.groupBy("th", "t", "offset").agg(F.sum("idf").alias("vote"), F.count("*").alias("agree"))
-    # Full weight of a template: its words' IDF up to `rarest` of them.
-    weight = idf.select("word", "idf", F.explode("postings").alias("at")).select("idf", F.col("at.t").alias("t"))
-    weight = weight.withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("idf")))).where(F.col("r") <= rarest).groupBy("t").agg(F.sum("idf").alias("full"))
     good = tallies.join(F.broadcast(weight), "t").withColumn("score", F.least(F.lit(1.0), F.col("vote") / F.col("full"))).where(F.col("agree") >= 3)
     # Where key phrases stand, as the alignments they are good for; joined by equality, so repeats stay linear.
     keyed = found.select("th", words_of(F.col("text")).alias("words")).select("th", F.explode(_key_places(F.col("words"))).alias("k"))

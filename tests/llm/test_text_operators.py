@@ -371,6 +371,16 @@ def test_licenses(spark, none):
     assert licenses.license_scan(none).count() == 0
 
 
+def test_every_template_is_found_in_a_text_of_many_notices(spark):
+    notices = [t for _, _, t in licenses.TEMPLATES]
+    texts = ["\n\n".join(notices), "\n\n".join(f"{t}\n" + "some other words here " * 30 for t in reversed(notices))]
+    texts.append(f"{notices[19]}. {notices[4]}. {notices[16]}.")  # MIT grant, BSD, ISC
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["template_labels"] for r in licenses.license_scan(df).collect()}
+    every = sorted({label for label, _, _ in licenses.TEMPLATES})
+    assert got == {0: every, 1: every, 2: ["bsd", "isc", "mit-grant"]}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

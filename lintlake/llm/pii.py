@@ -1,14 +1,19 @@
 """Personal data: known shapes, and terms that disclose them [native].
 
 E-mail and IP addresses, card and phone numbers are found by pattern: the protected entities.  Information-theoretic
-sanitisation goes further: a term near an entity is risky if knowing it reveals the entity.  Over the whole corpus, with
-N documents, n(e) with the entity, n(t) with the term and n(t,e) with the term near the entity, a term's disclosure is
+sanitisation goes further: a term is risky if knowing it reveals an entity.  Over the whole corpus, with N documents,
+n(e) with the entity, n(t) with the term and n(t,e) with both, anywhere in the document, a term's disclosure is
 
     PMI(t; e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)),
 
-1 if the term never occurs without the entity, 0 if it tells nothing.  A term met near the entity in at least `support`
-documents, in as many different surroundings, is generalised if its disclosure reaches `generalise`, removed if it
-reaches `remove`.
+1 if the term never occurs without the entity, 0 if it tells nothing.  A term met with the entity in at least `support`
+documents, and with as many different surroundings of the entity (the characters within `reach`, so that copies of one
+document don't count as many), is generalised if its disclosure reaches `generalise`, removed if it reaches `remove`:
+wherever it stands in the documents that hold the entity.  Terms are words outside entities, of four characters or more
+and without digits.
+
+As n(t,e) is at most n(t) and at most n(e), a disclosure of d needs n(t) <= n(e)^d N^(1-d): pairs of commoner terms
+are left out before they are made, and so are entities without the support.
 
 Nulls count as empty texts; null ids are kept; repeated rows are scanned one by one (and count as one document in the
 statistics of pairs); an empty table gives no rows; other columns are ignored.  Texts are scanned whole; positions are
@@ -17,10 +22,10 @@ code points, ends exclusive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm._common import BREAKS, id_and_text, park, spans_text, tagged, with_spans
+from lintlake.llm._common import BREAKS, MARK, OTHER, id_and_text, park, spans_text, tagged, with_spans
 
 #: The known shapes.  Possessive forms, so that long runs take linear time and no deep recursion; a match
 #: starts where a run of its characters starts, or where the last match ended.
@@ -76,68 +81,99 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.withColumn("th", F.xxhash64("text"))
 
 
-def _sides(reach: int) -> Column:
-    """For each entity the text before and after it: (entity, side, from, part, n), n the text's length."""
-    both, n = F.concat(*(_entities(k) for k in KINDS)), F.length("text")
+def _held(reach: int) -> Column:
+    """The distinct (entity, around) of a text: around is the hash of what stands within `reach` before and after it."""
+    both = F.concat(*(_entities(k) for k in KINDS))
 
     def of(e: Column) -> Column:
         low = F.greatest(F.lit(0).cast("bigint"), e["start"] - reach)
         before = F.substring(F.col("text"), (low + 1).cast("int"), (e["start"] - low).cast("int"))
         after = F.substring(F.col("text"), (e["end"] + 1).cast("int"), F.lit(reach))
-        side = lambda k, at, part: F.struct(e["entity"].alias("entity"), F.lit(k).alias("side"), at.alias("from"), part.alias("part"), n.alias("n"))
-        return F.array(side(-1, low, before), side(1, e["end"], after))
-
-    return F.flatten(F.transform(both, of))
-
-
-def contexts(rows: DataFrame, nearest: int) -> DataFrame:
-    """doc, th, entity, around, term, start, end: the terms next to each entity, at most `nearest` on either side; rows: doc_id, th, sides."""
-    found = rows.select("doc_id", "th", F.explode("sides").alias("s")).select("doc_id", "th", "s.*")
-    found = with_spans(found, "part", "words", f"[^{BREAKS}]++")
-    # Words that the reach cuts through are left out, and so are numbers and very short words.
-    size = F.length("part")
-    whole = lambda w: F.when(F.col("side") < 0, (F.col("from") == 0) | (w["start"] > 0)).otherwise((F.col("from") + size == F.col("n")) | (w["end"] < size))
-    near = F.filter("words", whole)
-    near = F.when(F.col("side") < 0, F.reverse(near)).otherwise(near)
-    near = F.slice(near, 1, nearest)
-    found = found.select("doc_id", "th", "entity", "from", F.xxhash64("part").alias("around"), F.explode(near).alias("w"))
-    term = F.lower(F.col("w.value"))
-    return found.where(~term.rlike("[0-9]") & (F.length(term) >= 4)).select(
-        F.xxhash64("doc_id", "th").alias("doc"), "th", "entity", "around", term.alias("term"),
-        (F.col("from") + F.col("w.start")).alias("start"), (F.col("from") + F.col("w.end")).alias("end"),
-    )
-
-
-def disclosures(rows: DataFrame, near: DataFrame, support: int) -> DataFrame:
-    """entity, term, disclosure for pairs with enough support; counts are taken over all rows."""
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("doc").alias("n_te"), F.countDistinct("around").alias("n_around"))
-    pairs = park(pairs.where((F.col("n_te") >= support) & (F.col("n_around") >= support)), "pairs")
-    entities = near.groupBy("entity").agg(F.countDistinct("doc").alias("n_e"))
-    # An outer explode: from a plain one the optimizer infers a filter that would split every text a second time.
-    words = rows.select(F.explode_outer(F.array_distinct(F.split(F.lower("text"), f"[{BREAKS}]+"))).alias("term"))
-    terms = words.where(F.length("term") >= 4).groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(float(rows.count()))
-    scored = pairs.join(entities, "entity").join(terms, "term")
-    pmi = F.log(n * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    ic = F.log(n / F.col("n_e"))
-    return scored.select("entity", "term", F.when(ic > 0, F.greatest(F.lit(0.0), pmi / ic)).otherwise(F.lit(0.0)).alias("disclosure"))
+        return F.struct(e["entity"].alias("entity"), F.xxhash64(before, after).alias("around"))
+
+    return F.array_distinct(F.transform(both, of))
+
+
+def _blanked() -> Column:
+    """The text, as long as before, with blanks for its entities."""
+    spans = F.array_sort(F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS)))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        plain = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - acc["at"]).cast("int"))
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(acc["at"], s["start"])).cast("int"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(plain, blank)).alias("out"))
 
+    return F.aggregate(spans, start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))), ""))
 
-def sanitise(docs: DataFrame, clean: bool = True, support: int = 2, generalise: float = 0.8, remove: float = 0.95, nearest: int = 6, reach: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _terms(text: str) -> Column:
+    """A text's distinct words in lower case, each lowered by itself, as it is where places are sought."""
+    words = F.array_distinct(F.split(F.translate(F.col(text), MARK, OTHER), f"[{BREAKS}]+"))
+    return F.array_distinct(F.transform(words, F.lower))
+
+
+def _is_term(term: Column) -> Column:
+    return (F.length(term) >= 4) & ~term.rlike("[0-9]")
+
+
+def disclosures(plain: DataFrame, found: DataFrame, texts: DataFrame, support: int, generalise: float) -> DataFrame:
+    """th, entity, term, disclosure for the texts' pairs that have enough support and a disclosure of `generalise` at least.
+
+    plain: text of all rows; found: doc_id, th, held, text and blank (null in rows without entity); texts: th, blank,
+    each text with an entity once.
+    """
+    n = plain.count()
+    # A document is an id with a text, so its counts can be added up over texts.
+    held = found.select(F.xxhash64("doc_id", "th").alias("doc"), "th", F.explode("held").alias("h")).select("doc", "th", "h.*")
+    entities = held.groupBy("entity").agg(F.countDistinct("doc").alias("n_e"), F.countDistinct("around").alias("n_around"))
+    entities = entities.where((F.col("n_e") >= support) & (F.col("n_around") >= support)).drop("n_around")
+    docs = held.groupBy("th", "entity").agg(F.countDistinct("doc").alias("docs"), F.collect_set("around").alias("around"))
+    held = park(docs.join(entities, "entity"), "held")
+    # An outer explode: from a plain one the optimizer infers a filter that would split every text a second time.
+    words = plain.select(F.explode_outer(_terms("text")).alias("term"), F.lit(1).alias("k"))
+    inside = found.where("text is not null").select(F.explode_outer(F.array_except(_terms("text"), _terms("blank"))).alias("term"), F.lit(-1).alias("k"))
+    most = lambda n_e: F.pow(n_e.cast("double"), F.lit(generalise)) * F.lit(float(max(1, n)) ** (1 - generalise)) * (1 + 1e-9)
+    top = held.agg(F.max("n_e")).first()[0] or 0
+    counts = words.unionAll(inside).where(_is_term(F.col("term"))).groupBy("term").agg(F.sum("k").alias("n_t"))
+    counts = park(counts.where((F.col("n_t") >= support) & (F.col("n_t") <= most(F.lit(top)))), "counts")
+    own = texts.join(held.groupBy("th").agg(F.max("n_e").alias("most")), "th")
+    own = own.select("th", "most", F.explode_outer(_terms("blank")).alias("term")).where(_is_term(F.col("term")))
+    own = own.join(counts, "term").where(F.col("n_t") <= most(F.col("most"))).drop("most")
+    met = park(own.join(held, "th").where(F.col("n_t") <= most(F.col("n_e"))), "met")
+    # A text's documents are counted with the first of its surroundings.
+    each = met.select("entity", "term", "n_t", "n_e", "docs", F.posexplode("around").alias("i", "around"))
+    pairs = each.groupBy("entity", "term", "n_t", "n_e").agg(F.sum(F.when(F.col("i") == 0, F.col("docs"))).alias("n_te"), F.countDistinct("around").alias("n_around"))
+    ic = F.log(F.lit(float(max(1, n))) / F.col("n_e"))
+    pmi = F.log(F.lit(float(max(1, n))) * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e")))
+    pairs = pairs.where((F.col("n_te") >= support) & (F.col("n_around") >= support))
+    pairs = pairs.select("entity", "term", F.when(ic > 0, F.greatest(F.lit(0.0), pmi / ic)).otherwise(F.lit(0.0)).alias("disclosure"))
+    return met.select("th", "entity", "term").join(pairs.where(F.col("disclosure") >= generalise), ["entity", "term"])
+
+
+def sanitise(docs: DataFrame, clean: bool = True, support: int = 2, generalise: float = 0.8, remove: float = 0.95, reach: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the kinds' spans, `terms` (start, end, action), and with `clean` text and clean_text, one row per row of docs.
 
-    Spans and the entities' surroundings are found in one pass over the texts and written; texts are read again for
-    the terms' counts, and to be rewritten.
+    Spans are found in one pass over the texts and written, with the texts that hold an entity; all texts are read again
+    for the terms' counts, and to be rewritten.
     """
     rows = base_spans(docs, id_col, text_col)
-    found = park(rows.select("doc_id", "th", *KINDS, _sides(reach).alias("sides")), "spans")
-    near = park(contexts(found, nearest), "contexts")
+    some = F.size("held") > 0
+    found = rows.withColumn("held", _held(reach)).select("doc_id", "th", *KINDS, "held", F.when(some, F.col("text")).alias("text"), F.when(some, _blanked()).alias("blank"))
+    found = park(found, "spans")
+    texts = park(found.where("text is not null").groupBy("th").agg(F.first("blank").alias("blank")), "texts")
     plain = id_and_text(docs, id_col, text_col).select(F.coalesce("text", F.lit("")).alias("text"))
-    risky = disclosures(plain, near, support).where(F.col("disclosure") >= generalise)
-    hits = near.join(risky, ["entity", "term"]).groupBy("th", "start", "end").agg(F.max("disclosure").alias("d"))
+    risky = park(disclosures(plain, found, texts, support, generalise).groupBy("th", "term").agg(F.max("disclosure").alias("d")), "risky")
+    # Every place of a text's risky terms.
+    tokens = F.regexp_extract_all(F.translate("blank", MARK, OTHER), F.lit(f"[^{BREAKS}]++|[{BREAKS}]++"), F.lit(0))
+    places = texts.join(risky.select("th").distinct(), "th", "left_semi").select("th", F.posexplode(tokens).alias("i", "token"))
+    upto = Window.partitionBy("th").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    places = places.withColumn("end", F.sum(F.length("token").cast("bigint")).over(upto))
+    places = places.select("th", F.lower("token").alias("term"), (F.col("end") - F.length("token")).alias("start"), "end")
+    hits = places.join(risky, ["th", "term"])
     action = F.when(F.col("d") >= remove, "remove").otherwise("generalise")
     terms = hits.groupBy("th").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("action")))).alias("terms"))
-    rows = rows if clean else found.drop("sides")
+    rows = rows if clean else found.drop("held", "text", "blank")
     rows = rows.join(park(terms, "terms"), "th", "left").withColumn("terms", F.coalesce("terms", F.expr(f"cast(array() as {ARRAY})")))
     return (rows.withColumn("clean_text", _cleaned()) if clean else rows).drop("th")
 

@@ -409,3 +409,19 @@ def test_pii(spark, none):
     assert got[10]["clean_text"] == "Our  mailed [EMAIL] again"
     assert all(got[100 + i]["clean_text"] == f"plain words number {i} here" for i in range(40))
     assert pii.sanitise(none).count() == 0
+
+
+def test_terms_disclose_from_anywhere_in_the_document(spark):
+    far = "plain filler words go on and on here " * 8
+    texts = [f"Quagga wrote first {i}. {far} {i} mail quagga@fish.org or {i}. {far} {i} So quagga, the QUAGGA." for i in range(3)]
+    # Copies of one document are one surrounding, and tell nothing.
+    texts += [f"Okapi alone. {far} mail okapi@lake.org {far} at last"] * 3
+    texts += [f"{far} without an address {i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.sanitise(df).collect()}
+    for i, t in enumerate(texts):
+        address = t.find("quagga@")
+        want = [(m.start(), m.end()) for m in re.finditer("quagga", t, re.I) if m.start() != address] if i < 3 else []
+        assert [(s["start"], s["end"]) for s in got[i]["terms"] if t[s["start"] : s["end"]].lower() in ("quagga", "okapi")] == want
+        assert "quagga" not in got[i]["clean_text"].lower()
+    assert not any(got[i]["terms"] for i in range(3, len(texts)))

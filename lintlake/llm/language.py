@@ -22,28 +22,27 @@ from lintlake.llm._bytes import runs, text_udf
 
 GUESS = "struct<lang:string,score:double>"
 _GUESS = pa.struct([("lang", pa.string()), ("score", pa.float64())])
-#: Letters fall into 127 symbols: a to z have their own, others share by code point; 0 is the gap between words.
-SYMBOLS = 128
+#: Each letter of Unicode has a symbol of its own, in order of code points; 0 is the gap between words.
+BITS = 20
 _TABLE: list[np.ndarray] = []
 
 
 def symbols(text: bytes) -> np.ndarray:
     """The text's letters, lower-cased, as symbols, single gaps between words and at both ends; only a gap if it has no letter."""
     if not _TABLE:
-        points = np.arange(1 << 16)
-        letter = np.array([chr(c).isalpha() for c in range(1 << 16)])
-        _TABLE.append(np.where(letter, np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 101), 0).astype(np.int32))
+        letter = np.array([chr(c).isalpha() for c in range(0x110000)])
+        _TABLE.append(np.where(letter, np.cumsum(letter), 0))
     points = np.frombuffer(text.decode("utf-8", "ignore").lower().encode("utf-32-le", "ignore"), np.uint32)
-    found = np.zeros(len(points) + 2, np.int32)
-    found[1:-1] = np.where(points < 1 << 16, _TABLE[0][np.minimum(points, (1 << 16) - 1)], 27 + points % 101)
+    found = np.zeros(len(points) + 2, np.int64)
+    found[1:-1] = _TABLE[0][points]
     return found[np.concatenate(([True], (found[1:] > 0) | (found[:-1] > 0)))]
 
 
 def ngrams(s: np.ndarray) -> np.ndarray:
     """Codes of all one- to three-letter n-grams: the length in the top bits."""
     letters = s[s > 0]
-    pairs = 1 << 21 | s[:-1] << 7 | s[1:]
-    triples = (2 << 21 | s[:-2] << 14 | s[1:-1] << 7 | s[2:])[s[1:-1] > 0]
+    pairs = 1 << 3 * BITS | s[:-1] << BITS | s[1:]
+    triples = (2 << 3 * BITS | s[:-2] << 2 * BITS | s[1:-1] << BITS | s[2:])[s[1:-1] > 0]
     return np.concatenate((letters, pairs, triples))
 
 
@@ -52,7 +51,7 @@ class Profiles:
 
     def __init__(self, rows: list[tuple[str, int, int]], size: int):
         self.langs, self.size = sorted({lang for lang, _, _ in rows}), size
-        self.codes = np.unique(np.array([code for _, code, _ in rows], np.int32))
+        self.codes = np.unique(np.array([code for _, code, _ in rows], np.int64))
         self.ranks = np.full((len(self.langs), len(self.codes) + 1), 2 * size, np.int32)
         for lang, code, rank in rows:
             self.ranks[self.langs.index(lang), np.searchsorted(self.codes, code)] = rank
@@ -82,16 +81,14 @@ def learn_profiles(docs: DataFrame, size: int = 400) -> Profiles:
                 own = totals.setdefault(lang, {})
                 for part in runs(batch.column(0).filter(pa.array(langs == lang))):
                     codes = ngrams(np.concatenate([symbols(t) for t in part]))
-                    n = np.bincount(codes, minlength=1) if len(codes) > 500_000 else None
-                    found = np.flatnonzero(n) if n is not None else None
-                    found, n = (found, n[found]) if n is not None else np.unique(codes, return_counts=True)
+                    found, n = np.unique(codes, return_counts=True)
                     for c, k in zip(found.tolist(), n.tolist(), strict=True):
                         own[c] = own.get(c, 0) + k
         for lang, own in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int32()), pa.array(list(own.values()), pa.int64())], ["lang", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "code", "n"])
 
     texts = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull()).select(docs["text"].cast("string"), docs["lang"].cast("string"))
-    counts = texts.mapInArrow(count, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     ranked = counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size)
     return Profiles([(r["lang"], r["code"], r["rank"]) for r in ranked.select("lang", "code", "rank").collect()], size)  # size rows a language

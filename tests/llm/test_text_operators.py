@@ -308,6 +308,19 @@ def test_language(spark, docs, none):
     assert {r["__lang"]["lang"] for r in language.identify(docs, none).collect()} == {"und"}
 
 
+def test_letters_of_all_planes_are_told_apart(spark):
+    rng = random.Random(7)
+    make = lambda first: " ".join("".join(chr(first + rng.randrange(12)) for _ in range(4)) for _ in range(30))
+    # Hangul and Hangul 101 places on, the same for a script beyond U+FFFF.
+    firsts = {"ka": 0xAC00, "kb": 0xAC00 + 101, "xa": 0x20000, "xb": 0x20000 + 101}
+    rows = [(i, make(c), lang) for i, (lang, c) in enumerate(list(firsts.items()) * 10)]
+    rows += [(900, "\U0001f600\U0001f680", None), (901, "\U0001f600 12 \U0001f600", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = {r["doc_id"]: (r["__lang"]["lang"], r["__lang"]["score"]) for r in language.identify(df).collect()}
+    assert [out[i] for i in (900, 901)] == [("und", 0.0)] * 2
+    assert all(out[i][0] == lang for i, _, lang in rows[:40])
+
+
 # --- 8, 9 and 10 ---
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

@@ -5,8 +5,9 @@ powers of two.  Sums don't depend on the order of paragraphs, and a paragraph ca
 fingerprint without the rest of the text.  The vector has two parts:
 
 - `lanes` (16 lanes modulo 2**32, from SHA-512 of the paragraph) decide equality;
-- `sketch` (120 lanes modulo 2**20, packed three to a number) counts, for each bit of two 64-bit hashes, the
-  paragraph's pieces of up to eight words that have the bit; `pieces` is their number.  The cosine between two centred
+- `sketch` (120 lanes modulo 2**31, packed two to a number) counts, for each of 60 bits of two 64-bit hashes, the
+  paragraph's pieces of up to eight words that have the bit; `pieces` is their number.  No text has 2**31 pieces, as it
+  has fewer bytes, so no lane wraps.  The cosine between two centred
   sketches estimates how much of the texts is shared: the likeness, 1 for equal fingerprints, about 0 for unrelated.
 
 Nulls count as empty texts (one empty paragraph, no piece); two empty texts are alike (1), an empty one and another are
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 
 from lintlake.llm._common import id_and_text, long_array, range_of
 
-LANES, SHIFTS, SEEDS = 16, 20, (3, 7)
+LANES, WIDTH, PER, SHIFTS, SEEDS = 16, 31, 2, 30, (3, 7)
 LANE_MASK = (1 << 32) - 1
-#: Bits j, j + 20 and j + 40 of a hash, once shifted right by j.
-PACK = 1 | 1 << SHIFTS | 1 << 2 * SHIFTS
-SUM_MASK = (1 << 3 * SHIFTS) - 1
+#: Bits j and j + 31 of a hash, once shifted right by j.
+PACK = 1 | 1 << WIDTH
+SUM_MASK = (1 << PER * WIDTH) - 1
 PIECE = r"\S+(?:[ \t]+\S+){0,7}"
 MIN_KEY = -(1 << 63)
 
@@ -70,15 +71,15 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 def as_text(fp: Column) -> Column:
     """Hex digits of a fingerprint; equal texts, and texts of the same paragraphs in any order, give the same."""
     width = lambda xs, n: F.array_join(F.transform(xs, lambda x: F.lpad(F.lower(F.hex(x)), n, "0")), "")
-    return F.concat(width(fp["lanes"], 8), F.lpad(F.lower(F.hex(fp["pieces"])), 8, "0"), width(fp["sketch"], 15))
+    return F.concat(width(fp["lanes"], 8), F.lpad(F.lower(F.hex(fp["pieces"])), 8, "0"), width(fp["sketch"], 16))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Cosine of the centred sketches, at least 0."""
 
     def lanes(fp: Column) -> Column:
-        part = lambda x, k: (2 * F.shiftright(x, k * SHIFTS).bitwiseAND(F.lit((1 << SHIFTS) - 1)) - fp["pieces"]).cast("double")
-        return F.flatten(F.transform(fp["sketch"], lambda x: F.array(*(part(x, k) for k in range(3)))))
+        part = lambda x, k: (2 * F.shiftright(x, k * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)) - fp["pieces"]).cast("double")
+        return F.flatten(F.transform(fp["sketch"], lambda x: F.array(*(part(x, k) for k in range(PER)))))
 
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
     both = F.transform(F.array(F.struct(lanes(a).alias("x"), lanes(b).alias("y"))), lambda s: F.struct(dot(s["x"], s["y"]).alias("xy"), (dot(s["x"], s["x"]) * dot(s["y"], s["y"])).alias("n")))

@@ -3,8 +3,8 @@
 Records are ordered by (hash of the text, hash of the id, id).  Splitters are quantiles of a size-weighted sample of
 that key; the ranges between them are summed exactly, and a record's shard follows from the bytes before it, so the
 shards' sizes differ by about one record.  Equal texts are neighbours in this order and stay in one shard unless their
-group is so large (over `tolerance` of a shard) that it would tip the balance: such an overfull range holds that text
-alone, is subdivided by the hash of the id, and may be cut where a shard ends.
+group is so large (over `tolerance` of a shard) that it would tip the balance and may be cut where a shard ends.  Such a
+text, and one with over two ranges' number of rows, has a range alone, which is subdivided by the hash of the id.
 
 Nulls: a null text counts no bytes (size 1) and is grouped with the empty text; a null id sorts first.  Repeated rows
 are placed one by one.  An empty table gives no rows.  Other columns are ignored.
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm._common import id_and_text, park, range_of
+from lintlake.llm._common import id_and_text, long_array, park, range_of
 
 
 def sample_splitters(rows: DataFrame, total_bytes: int, ranges: int, per_range: int = 256) -> list[int]:
@@ -46,22 +46,29 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, range_rows:
     count, total = rows.agg(F.count("*"), F.sum("size")).first()
     total = total or 0
     ranges = min(4096, max(8 * shards, math.ceil(count / range_rows)))
-    # A group over the tolerance gets a range of its own; there are fewer than shards / tolerance of them.
-    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    hot = [r["key"] for r in groups.where(F.col("bytes") > tolerance * total / shards).select("key").collect()]
-    bounds = sorted({*sample_splitters(rows, total, ranges), *hot, *(k + 1 for k in hot if k < (1 << 63) - 1)})
+    # A group over the tolerance, or of very many rows, gets a range of its own; there are fewer than shards / tolerance
+    # and ranges / 2 of them.
+    target = max(1, count // ranges)
+    groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    heavy = F.col("bytes") > tolerance * total / shards
+    large = groups.where(heavy | (F.col("n") > 2 * target)).select("key", heavy.alias("heavy")).collect()
+    alone, hot = [r["key"] for r in large], [r["key"] for r in large if r["heavy"]]
+    bounds = sorted({*sample_splitters(rows, total, ranges), *alone, *(k + 1 for k in alone if k < (1 << 63) - 1)})
     rows = rows.withColumn("part", range_of(F.col("key"), bounds)).withColumn("salt", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 1))
-    full = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where((F.col("a") == F.col("b")) & (F.col("n") > 2 * max(1, count // ranges))).collect()}
-    rows = rows.withColumn("sub", _sub_range(full, max(1, count // ranges)))
+    full = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where((F.col("a") == F.col("b")) & (F.col("n") > 2 * target)).collect()}
+    rows = rows.withColumn("sub", _sub_range(full, target, len(bounds) + 1))
     # Bytes before each range: one row a range, so one task may add them up and every executor hold them.
     before = Window.orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("part", "sub").agg(F.sum("size").alias("bytes")).select("part", "sub", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    starts = rows.groupBy("part", "sub").agg(F.sum("size").alias("bytes")).select("part", "sub", "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    # The middle of a subdivided range, which is that of its one text.
+    whole = Window.partitionBy("part")
+    starts = starts.select("part", "sub", "base", F.when(F.count("*").over(whole) > 1, F.min("base").over(whole) + F.sum("bytes").over(whole) / 2).alias("whole"))
     inside = Window.partitionBy("part", "sub").orderBy("key", "salt", "doc_id")
     group = Window.partitionBy("part", "sub", "key")
     placed = (
         rows.join(F.broadcast(starts), ["part", "sub"])
         .withColumn("at", F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .withColumn("middle", F.when(_is_hot(hot), F.col("at") + F.col("size") / 2).otherwise(F.min("at").over(group) + F.sum("size").over(group) / 2))
+        .withColumn("middle", F.when(_is_hot(hot), F.col("at") + F.col("size") / 2).otherwise(F.coalesce("whole", F.min("at").over(group) + F.sum("size").over(group) / 2)))
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.lit(shards) * F.col("middle") / F.lit(float(max(1, total))))).cast("int"))
         .withColumn("rank", F.row_number().over(Window.partitionBy("part", "sub", "shard").orderBy("key", "salt", "doc_id")))
         .select("doc_id", "size", "text_crc32", "key", "part", "sub", "shard", "rank")
@@ -87,13 +94,10 @@ def _is_hot(hot: list[int]) -> Column:
     return F.col("key").isin(hot) if hot else F.lit(False)
 
 
-def _sub_range(full: dict[int, int], target: int) -> Column:
+def _sub_range(full: dict[int, int], target: int, parts: int) -> Column:
     """Parts of an overfull one-key range, by the salt, about `target` rows each."""
-    sub = F.lit(0)
-    for part, n in sorted(full.items()):
-        pieces = math.ceil(n / target)
-        sub = F.when(F.col("part") == part, F.least(F.lit(pieces - 1), F.floor(F.col("salt") / F.lit(2.0**63) * pieces)).cast("int")).otherwise(sub)
-    return sub
+    pieces = F.get(long_array([math.ceil(full.get(p, 0) / target) or 1 for p in range(parts)]), F.col("part").cast("int"))
+    return F.least(pieces - 1, F.floor(F.col("salt") / F.lit(2.0**63) * pieces)).cast("int")
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:

@@ -288,6 +288,20 @@ def test_shards_are_balanced_even_with_a_hot_text(spark):
     assert all(n == 1 for crc, n in cut.items() if crc != zlib.crc32(b"the same text over and over"))
 
 
+def test_a_text_of_many_rows_and_few_bytes_is_subdivided(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 150)) for i in range(1200)] + [(5000 + i, "" if i % 2 else None) for i in range(600)]
+    placed, keep = {}, sharding.park
+    monkeypatch.setattr(sharding, "park", lambda df, name: placed.setdefault(name, keep(df, name)))
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), 8, range_rows=50).collect()
+    assert 600 < 0.01 * sum(r["size"] for r in out) / 8
+    ranges = Counter((r["part"], r["sub"]) for r in placed["placed"].collect())
+    assert max(ranges.values()) < 200
+    assert len(out) == 1800 and len({r["shard"] for r in out if r["size"] == 1}) == 1
+    for s in range(8):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+
+
 # --- 6 and 7 ---
 
 

@@ -1,7 +1,9 @@
-"""Texts as UTF-8 bytes on the Python side: Arrow UDFs over whole texts, word tables, vectorised shingle hashes."""
+"""Texts as UTF-8 bytes on the Python side: Arrow UDFs over whole texts, word bounds, vectorised hashes of words and shingles."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -44,31 +46,6 @@ def text_udf(fn, returns: str):
     return F.arrow_udf(apply, returns).asNondeterministic()
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base, and of its inverse, modulo 2**64; kept and grown as needed."""
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n).bit_length())
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                p = np.empty(size, np.uint64)
-                p[0] = 1
-                done = 1
-                step = base
-                while done < size:
-                    more = min(done, size - done)
-                    p[done : done + more] = p[:more] * step
-                    done += more
-                    step = step * step
-                _POWERS[name] = p
-    return _POWERS["up"], _POWERS["down"]
-
-
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective finaliser of 64-bit hashes, a different one for each seed."""
     with np.errstate(over="ignore"):
@@ -78,23 +55,65 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+#: Spans over so many bytes are hashed one by one.
+LONG = 64
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end) of data: differences of a prefix polynomial, moved to the origin."""
-    up, down = _powers(len(data) + 1)
+    """64-bit hashes of the byte spans [start, end) of data: eight bytes at a time, each mixed in; long ones by BLAKE2b."""
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+    h = mix(size.astype(np.uint64), 1)
+    own = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    with np.errstate(over="ignore"):
+        while len(own):
+            x = h[own] ^ (eight[starts[own] + at] & _MASKS[np.minimum(size[own] - at, 8)])
+            x = x * np.uint64(0x9FB21C651E98DF25)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            h[own] = x ^ (x >> np.uint64(29))
+            at += 8
+            own = own[size[own] > at]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return mix(h, 4)
+
+
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def word_bounds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in a row as bytes, where their white-space words start and end, and the number of words of each text."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    blank = _BLANK[data]
+    before = np.concatenate(([True], blank[:-1]))
+    starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    return data, starts, ends, np.diff(np.concatenate(([0], np.searchsorted(starts, bounds))))
+
+
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles (white-space words, ASCII lower case); one of all words if fewer, none if none.
+
+    A shingle's hash is a sum of its words' hashes, each with a factor for its place, mixed.
+    """
+    data, starts, ends, counts = word_bounds([t.translate(CASE) for t in texts])
+    words = span_hashes(data, starts, ends)
+    place = mix(np.arange(k + 1, dtype=np.uint64), 8) | np.uint64(1)
+    n = len(words)
+    first = np.cumsum(counts) - counts
+    few = (counts > 0) & (counts < k)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * down[starts]
-        return mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
-
-
-def shingle_set(text: bytes, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles (white-space words, ASCII lower case); all words if fewer, none if none."""
-    words = text.translate(CASE).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    ends = np.flatnonzero(data == 32)
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - k + 1)
-    return np.unique(span_hashes(data, starts[:n], ends[-n:]))
+        sums = np.zeros(n, np.uint64)
+        short = counts[few].astype(np.uint64) * place[k]
+        for j in range(k):
+            sums[: max(0, n - j)] += words[j:] * place[j]
+            own = counts[few] > j
+            short[own] += words[first[few][own] + j] * place[j]
+        sums[first[few]] = short
+    sums = mix(sums, 6)
+    many = np.where(few, 1, np.maximum(counts - k + 1, 0))
+    return [np.unique(sums[a : a + m]) for a, m in zip(first.tolist(), many.tolist(), strict=True)]

@@ -38,11 +38,18 @@ def park(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
-    """Only the columns an operator needs, so that no other column's name can clash with its own."""
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all of a row's columns: rows that differ anywhere, nulls included, have different ones."""
+    cols = [F.col(f"`{c}`").cast("string") if kind.startswith("map") else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    return F.xxhash64(*cols, *(c.isNull() for c in cols))
+
+
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None, **more: str) -> DataFrame:
+    """Only the columns an operator needs, so that no other column's name can clash with its own; row: a name for row_key."""
     return docs.select(
         docs[id_col].cast("bigint").alias("doc_id"),
         docs[text_col].cast("string").alias("text"),
+        *([row_key(docs).alias(row)] if row else []),
         *(docs[col].alias(name) for name, col in more.items()),
     )
 

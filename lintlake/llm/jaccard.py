@@ -7,16 +7,22 @@ more share a token in their prefixes (the first n - ceil(t n) + 1 tokens) under
   end.  Frequent tokens are found by counting, over all documents, the least hashes of each set (a twelfth of it); the
   list is broadcast up to `listed` tokens (8 MB), of more only the most frequent; that changes the work, not the result.
 - Prefix tokens meet in buckets, sorted by set size; length, prefix-index and positional bounds thin the pairs.
-- Parity bitmaps of the sets (two to four bits a token) bound the overlap: each differing bit stands for a token that only
-  one of two sets has.  The bound is exact, so no link is lost.
 - Orders 2 and 3 (other hash orders) must agree, by a shared prefix token each, before the sets are intersected.
 
-Equal sets are collapsed first, whatever their number.  A bucket of up to `small` sets gives its pairs.  Larger ones,
-as large groups of near copies make, are compared by length and bitmap in blocks of bounded size, against the
-components found so far, in three rounds: each set in its largest bucket only, giving a spanning forest of the pairs
-that pass; then all buckets still in several components, giving forests again; then every pair across components that
-is left.  All pairs given are verified and components formed anew after each round.  So no link between components is
-missed, and a group of near copies gives a multiple of its members, not its pairs.
+Equal sets are collapsed first, whatever their number.  A bucket of up to `small` sets gives its pairs.  Larger ones, as
+large groups of near copies make, never meet in one task: tokens that are heavy within a task are dealt out by set, not
+by token, and a large bucket is cut into blocks of at most about `block` sets and `block_tokens` tokens.
+
+1. Each set goes to one block of its largest bucket (to one of each of two cuts, if it has several blocks).  A block
+   links its sets to a spanning forest: sets that it has already joined aren't compared again, so a group of near copies
+   costs about a multiple of its members.
+2. Components are formed from these links and those of the small buckets.  Buckets that still hold several components
+   are taken whole: the sets outside a bucket's largest component visit all its blocks, so that every pair across
+   components meets once, in the bucket of the first prefix token that both have.
+
+Within a block parity bitmaps of the sets (two to four bits a token) bound the overlap before orders 2 and 3 are asked:
+each differing bit stands for a token that only one of two sets has.  All bounds are exact, so no link between components
+is missed, and links within one aren't all listed.
 
 Nulls: a null text has an empty set, is linked with nothing, and is its own component; a null id never names a
 component unless all its members have none.  Repeated rows and equal texts fall together.  An empty table gives no rows;
@@ -29,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm._bytes import mix, raw, shingle_set
-from lintlake.llm._common import id_and_text, park
+from lintlake.llm._bytes import mix, runs, shingle_sets
+from lintlake.llm._common import BLANKS, id_and_text, park, row_key
 from lintlake.llm.components import components
 
 
@@ -64,43 +70,25 @@ def _digest(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s, 5).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64), 9).view(np.int64)[0])
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Parity bits of the tokens: two to four bits a token, a power of two, 64 at least."""
-    bits = max(64, 2 << int(len(s) - 1).bit_length()) if len(s) else 64
-    odd = np.bincount((mix(s, 7) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def _folded(maps: list[bytes], size: int) -> np.ndarray:
-    """Bitmaps as rows of `size` bytes; a longer one is folded, which keeps parities."""
-    out = np.empty((len(maps), size), np.uint8)
-    for i, b in enumerate(maps):
-        m = np.frombuffer(b, np.uint8)
-        out[i] = m if len(m) == size else np.bitwise_xor.reduce(_by_residue(m, size), axis=0)
-    return out
-
-
-def _by_residue(m: np.ndarray, size: int) -> np.ndarray:
-    return m.reshape(-1, size)
-
-
-def shingle_sets(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th (hash of the text), n (set size), node (digest of the set; of the id where it is empty), least (its least hashes, a twelfth, 16 at least), bits."""
+def sets_of(docs: DataFrame, k: int = 5) -> DataFrame:
+    """doc_id, th (hash of the text), rh (the row's key), n (set size), node (digest of the set; of the id where it is empty), least (its least hashes, a twelfth, 16 at least); docs: doc_id, text, rh."""
 
     def sets(batches):
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                ids, ths, texts = (batch.column(c).slice(i, 1000) for c in range(3))
-                own = [shingle_set(t, k) for t in raw(texts)]
+            at = 0
+            for part in runs(batch.column(3)):
+                ids, ths, rhs = (batch.column(c).slice(at, len(part)) for c in range(3))
+                at += len(part)
+                own = shingle_sets(part, k)
                 nodes = [_digest(s) if len(s) else int(mix(np.array([(x or 0) & (1 << 64) - 1], np.uint64), 3).view(np.int64)[0]) for s, x in zip(own, ids.to_pylist(), strict=True)]
                 least = [s[: max(16, len(s) // 12)].view(np.int64) for s in own]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, ths, pa.array([len(s) for s in own], pa.int64()), pa.array(nodes, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array([bitmap(s) for s in own], pa.binary())],
-                    ["doc_id", "th", "n", "node", "least", "bits"],
+                    [ids, ths, rhs, pa.array([len(s) for s in own], pa.int64()), pa.array(nodes, pa.int64()), pa.array(least, pa.list_(pa.int64()))],
+                    ["doc_id", "th", "rh", "n", "node", "least"],
                 )
 
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(sets, "doc_id bigint, th bigint, n bigint, node bigint, least array<bigint>, bits binary")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "rh", "text")
+    return rows.mapInArrow(sets, "doc_id bigint, th bigint, rh bigint, n bigint, node bigint, least array<bigint>")
 
 
 def frequent_tokens(sets: DataFrame, at_least: int, listed: int) -> np.ndarray:
@@ -127,28 +115,51 @@ class Order:
         return np.concatenate((s[~known], s[known][np.argsort(self.rank[at[known]], kind="stable")]))
 
 
-def prefix_tokens(docs: DataFrame, order, t: Threshold, k: int, text_col: str = "text") -> DataFrame:
-    """token, n, pos, node for the prefix tokens of every set; equal sets of one task give theirs once."""
+#: Prefix tokens are handed on when a task holds so many, so that its memory is bounded.
+HELD = 1 << 20
+TOKENS = "token bigint, salt int, n int, pos int, node bigint"
+
+
+def prefix_tokens(docs: DataFrame, order, t: Threshold, k: int, small: int) -> DataFrame:
+    """token, salt, n, pos, node for the prefix tokens of every set; equal sets of one task give theirs once.
+
+    A token that a task meets in over `small` sets is heavy: its rows get salts by set, and one row with salt 0 and n 0
+    marks the token.  So of a token's rows with salt 0 there are at most small + 1 from each HELD tokens.
+    """
+
+    def dealt(sets: list[np.ndarray], nodes: list[int], sizes: list[int]):
+        many = np.array([len(x) for x in sets])
+        token = np.concatenate(sets).view(np.int64)
+        c = {"token": token, "n": np.repeat(np.array(sizes, np.int32), many), "pos": (np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32), "node": np.repeat(np.array(nodes, np.int64), many)}
+        found, counts = np.unique(token, return_counts=True)
+        heavy = found[counts > small]
+        c["salt"] = np.zeros(len(token), np.int32)
+        if len(heavy):
+            at = heavy[np.minimum(np.searchsorted(heavy, token), len(heavy) - 1)] == token
+            c["salt"][at] = 1 + (c["node"][at] & 0xFFFF)
+            c = {x: np.concatenate((v, heavy if x == "token" else np.zeros(len(heavy), v.dtype))) for x, v in c.items()}
+        for i in range(0, len(c["token"]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[x][i : i + 100_000]) for x in ("token", "salt", "n", "pos", "node")], ["token", "salt", "n", "pos", "node"])
 
     def tokens(batches):
         seen: set[int] = set()
+        out, nodes, sizes, held = [], [], [], 0
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                out, nodes, sizes = [], [], []
-                for text in raw(batch.column(0).slice(i, 1000)):
-                    s = shingle_set(text, k)
-                    node = _digest(s)
-                    if len(s) and node not in seen:
+            for part in runs(batch.column(0)):
+                for s in shingle_sets(part, k):
+                    if len(s) and (node := _digest(s)) not in seen:
                         seen.add(node)
                         out.append(order.value.sort(s)[: t.prefix(len(s))])
                         nodes.append(node)
                         sizes.append(len(s))
-                if out:
-                    many = np.array([len(x) for x in out])
-                    pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(pos.astype(np.int32)), pa.array(np.repeat(np.array(nodes, np.int64), many))], ["token", "n", "pos", "node"])
+                        held += len(out[-1])
+                if held >= HELD:
+                    yield from dealt(out, nodes, sizes)
+                    out, nodes, sizes, held = [], [], [], 0
+        if out:
+            yield from dealt(out, nodes, sizes)
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(tokens, "token bigint, n int, pos int, node bigint")
+    return docs.select("text").mapInArrow(tokens, TOKENS)
 
 
 def _buckets(batches, key: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
@@ -174,8 +185,7 @@ def _buckets(batches, key: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
 
 def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     table = pa.Table.from_batches(batches)
-    lists = ("bits", "tokens")
-    return {c: table.column(c).to_pylist() if c in lists else table.column(c).to_numpy() for c in table.column_names}
+    return {c: table.column(c).to_pylist() if c == "set" else table.column(c).to_numpy() for c in table.column_names}
 
 
 def _fits(c: dict, a: np.ndarray, b: np.ndarray, t: Threshold) -> np.ndarray:
@@ -189,23 +199,26 @@ def bucket_pairs(tokens: DataFrame, t: Threshold, small: int) -> DataFrame:
     """a, b, token, n: candidate pairs with token null; and, for each member of a bucket over `small`, b, token and n."""
 
     def pairs(batches):
-        for c in _buckets(batches, ("token",)):
-            keys, nodes = c["token"], c["node"]
-            first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))  # equal sets of several tasks
+        for c in _buckets(batches, ("token", "salt")):
+            keys, salts, nodes = c["token"], c["salt"], c["node"]
+            other = (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1])
+            first = np.concatenate(([True], other | (nodes[1:] != nodes[:-1])))  # equal sets of several tasks
             c = {x: v[first] for x, v in c.items()}
-            keys, nodes, n = c["token"], c["node"], c["n"]
-            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, salts, nodes, n = c["token"], c["salt"], c["node"], c["n"]
+            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (salts[1:] != salts[:-1]))))
             sizes = np.diff(np.concatenate((starts, [len(keys)])))
+            # Rows come by size, so a heavy token's mark comes first.
+            large = (salts[starts] > 0) | (n[starts] == 0) | (sizes > small)
             a, b = [], []
-            for z in np.unique(sizes[(sizes > 1) & (sizes <= small)]):
-                own = starts[sizes == z]
+            for z in np.unique(sizes[(sizes > 1) & ~large]):
+                own = starts[(sizes == z) & ~large]
                 i, j = np.triu_indices(z, 1)
                 x, y = (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
                 fit = _fits(c, x, y, t)
                 a.append(x[fit])
                 b.append(y[fit])
             x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-            big = np.flatnonzero(np.repeat(sizes, sizes) > small)
+            big = np.flatnonzero(np.repeat(large, sizes) & (n > 0))
             if len(x):
                 found = np.unique(np.stack((nodes[x], nodes[y])), axis=1)
                 none = pa.nulls(found.shape[1], pa.int64())
@@ -213,188 +226,210 @@ def bucket_pairs(tokens: DataFrame, t: Threshold, small: int) -> DataFrame:
             if len(big):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(big), pa.int64()), pa.array(nodes[big]), pa.array(keys[big]), pa.array(n[big])], ["a", "b", "token", "n"])
 
-    dealt = tokens.repartition("token").sortWithinPartitions("token", "n", "node")
+    dealt = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
     return dealt.mapInArrow(pairs, "a bigint, b bigint, token bigint, n int")
 
 
-def _prefix_shared(x: np.ndarray, y: np.ndarray, t: Threshold, seed: int) -> bool:
-    p = [np.partition(mix(s, seed), t.prefix(len(s)) - 1)[: t.prefix(len(s))] for s in (x, y)]
-    return len(np.intersect1d(*p, assume_unique=True)) > 0
+class Checked:
+    """A set with its prefixes under orders 2 and 3, worked out when they are first asked for."""
+
+    def __init__(self, s: np.ndarray, t: Threshold, seeds: tuple[int, ...] = (2, 3)):
+        self.set, self.t, self.seeds, self.prefixes = s, t, seeds, None
+
+    def _prefix(self) -> list[np.ndarray]:
+        if self.prefixes is None:
+            size = self.t.prefix(len(self.set))
+            self.prefixes = [np.partition(mix(self.set, seed), size - 1)[:size] for seed in self.seeds]
+        return self.prefixes
+
+    def linked(self, other: Checked) -> bool:
+        """The filters of the other orders, then the exact test."""
+        x, y = self.set, other.set
+        if not self.t.sizes(len(x), len(y)):
+            return False
+        if not all(_common(p, q) for p, q in zip(self._prefix(), other._prefix(), strict=True)):
+            return False
+        return _common(x, y) >= self.t.overlap(len(x), len(y))
 
 
-def linked(x: np.ndarray, y: np.ndarray, t: Threshold, seeds: tuple[int, ...] = (2, 3)) -> bool:
-    """The filters of the other orders, then the exact test."""
-    if not t.sizes(len(x), len(y)) or not all(_prefix_shared(x, y, t, s) for s in seeds):
-        return False
-    return len(np.intersect1d(x, y, assume_unique=True)) >= t.overlap(len(x), len(y))
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, t: Threshold, k: int, share: int = 256) -> DataFrame:
-    """u, v of the pairs (a, b) that are linked; texts: (node, text), each node once.
+def verify(pairs: DataFrame, own: DataFrame, t: Threshold) -> DataFrame:
+    """u, v of the pairs (a, b) that are linked; own: (node, set).
 
-    A node's text is sent once to each group of about `share` partners, so a leader with many members is dealt out.
+    Pairs come from small buckets, so a set has a bounded number of partners for its size; they follow it in one task.
     """
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).alias("groups"))
-    pairs = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("salt"))
-    heads = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.lit(0).cast("bigint").alias("b"), "text")
-    members = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "text")
+    heads = own.select(F.col("node").alias("a"), F.lit(0).alias("role"), F.lit(0).cast("bigint").alias("b"), "set")
+    members = pairs.join(own.withColumnRenamed("node", "b"), "b").select("a", F.lit(1).alias("role"), "b", "set")
 
     def check(batches):
-        head, own = None, None
+        head, mine = None, None
         for batch in batches:
             found = []
-            cols = [batch.column(c).to_pylist() for c in ("a", "role", "b")]
-            for a, role, b, text in zip(*cols, raw(batch.column("text")), strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("a", "role", "b", "set")]
+            for a, role, b, s in zip(*cols, strict=True):
                 if role == 0:
-                    head, own = a, shingle_set(text, k)
-                elif a == head and linked(own, shingle_set(text, k), t):
+                    head, mine = a, Checked(np.frombuffer(s, np.uint64), t)
+                elif a == head and mine.linked(Checked(np.frombuffer(s, np.uint64), t)):
                     found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-    dealt = heads.unionAll(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    dealt = heads.unionAll(members).repartition("a").sortWithinPartitions("a", "role")
     return dealt.mapInArrow(check, "u bigint, v bigint")
 
 
-def _texts_of(nodes: DataFrame, docs: DataFrame, sets: DataFrame, few: int = 1 << 18) -> DataFrame:
-    """node, text for the wanted nodes.  Up to `few` nodes (16 bytes each) are broadcast, more are joined by shuffling."""
-    # One text for each set: equal sets may come from texts that differ in white space.
-    wanted = park(sets.where("n > 0").groupBy("node").agg(F.min("th").alias("th")).join(nodes.distinct(), "node"), "wanted")
-    rows = docs.select(F.xxhash64("text").alias("th"), "text")
-    small = F.broadcast(wanted) if wanted.count() <= few else wanted
-    return park(rows.join(small, "th").groupBy("node").agg(F.first("text").alias("text")), "texts")
+def set_table(nodes: DataFrame, texts: DataFrame, sets: DataFrame, k: int, few: int = 1 << 18) -> DataFrame:
+    """node, set (its hashes as bytes) for the wanted nodes.  Up to `few` nodes (24 bytes each) are broadcast, more joined by shuffling.
 
+    Each node is read from one row; rows that are equal in all columns may give it again, once a task.
+    """
+    nodes = park(nodes.distinct(), "wanted")
+    hint = F.broadcast if nodes.count() <= few else lambda df: df
+    chosen = park(sets.where("n > 0").join(hint(nodes), "node").groupBy("node").agg(F.min(F.struct("th", "rh")).alias("m")).select("m.th", "m.rh"), "chosen")
+    rows = texts.select(F.xxhash64("text").alias("th"), "rh", "text").join(hint(chosen), ["th", "rh"], "left_semi").select("text")
 
-def bitmaps_allow(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (a, b) whose bitmaps and sizes allow a link."""
-    own = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    for x in ("a", "b"):
-        pairs = pairs.join(own.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
-
-    def allowed(batches):
+    def made(batches):
+        seen: set[int] = set()
         for batch in batches:
-            c = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("a", "b", "n_a", "n_b")}
-            ma, mb = batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()
-            size = np.array([min(len(x), len(y)) for x, y in zip(ma, mb, strict=True)])
-            ok = t.sizes(c["n_a"], c["n_b"])
-            for z in np.unique(size):
-                at = np.flatnonzero(size == z)
-                for i in range(0, len(at), 4096):
-                    own = at[i : i + 4096]
-                    ok[own] &= _near(_folded([ma[j] for j in own], z), _folded([mb[j] for j in own], z), c["n_a"][own], c["n_b"][own], t)
-            yield pa.RecordBatch.from_arrays([pa.array(c["a"][ok]), pa.array(c["b"][ok])], ["a", "b"])
+            for part in runs(batch.column(0)):
+                found = {d: s for s in shingle_sets(part, k) if len(s) and (d := _digest(s)) not in seen}
+                seen.update(found)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["node", "set"])
 
-    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(allowed, "a bigint, b bigint")
+    return park(rows.mapInArrow(made, "node bigint, set binary"), "own")
 
 
-def _near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, t: Threshold) -> np.ndarray:
-    """Whether the sets' overlap can reach the threshold: 2 * overlap is at most the sizes' sum less the differing bits."""
-    apart = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
-    return nx + ny - apart >= 2 * t.overlap(nx, ny)
+def first_blocks(hot: DataFrame, block: int, block_tokens: int) -> DataFrame:
+    """token, cut, mine, node, root, guest: each node in its largest bucket, dealt to blocks; in two cuts, if it has several blocks."""
+    sizes = hot.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    rows = hot.join(sizes, "token").groupBy("node").agg(F.max(F.struct("size", "token", "weight")).alias("m")).select("node", "m.*")
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("weight") / block_tokens))
+    rows = rows.withColumn("blocks", blocks).withColumn("cut", F.explode(F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return rows.select("token", "cut", F.pmod(F.xxhash64("node", "cut"), F.col("blocks")).alias("mine"), "node", F.col("node").alias("root"), F.lit(0).alias("guest"))
 
 
-def _residual(open_: DataFrame, labels: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """Rows of large buckets whose sets are in several components, dealt to all pairs of the bucket's blocks.
+def open_blocks(hot: DataFrame, labels: DataFrame, block: int, block_tokens: int) -> DataFrame:
+    """token, cut, mine, node, root, guest: buckets in several components, whole; those outside the largest one visit all its blocks.
 
-    token, low, high (numbers of two blocks), mine (the row's block), n, node, root, bits, tokens (of all its buckets).  A
-    bucket has as many blocks as it takes to keep each at about `block` rows.
+    guest: 0 for a row of the bucket's largest component in its block, 1 for another one in its own block, 2 for one that visits.
     """
-    rows = open_.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("token").agg((F.min("root") != F.max("root")).alias("mixed"), F.ceil(F.count("*") / block).alias("blocks")).where("mixed").drop("mixed")
-    bits = sets.where("n > 0").groupBy("node").agg(F.first("bits").alias("bits"))
-    rows = rows.join(mixed, "token")
-    tokens = rows.groupBy("node").agg(F.collect_set("token").alias("tokens"))  # at most its prefix
-    rows = rows.join(bits, "node").join(tokens, "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    return rows.select("token", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "n", "node", "root", "bits", "tokens")
-
+    rows = hot.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = rows.groupBy("token", "root").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    open_ = parts.groupBy("token").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots"))
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("weight") / block_tokens))
+    rows = rows.join(open_.where("roots > 1").select("token", blocks.alias("blocks"), F.col("m.root").alias("main")), "token")
+    mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.col("root") != F.col("main")
+    rows = rows.withColumn("place", F.explode(F.when(other, F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(mine))))
+    guest = F.when(~other, 0).when(F.col("place") == mine, 1).otherwise(2)
+    return rows.select("token", F.lit(0).alias("cut"), F.col("place").alias("mine"), "node", "root", guest.alias("guest"))
 
-def _largest_bucket(open_: DataFrame) -> DataFrame:
-    """Of each node only the row in its largest bucket."""
-    sizes = open_.groupBy("token").agg(F.count("*").alias("size"))
-    return open_.join(sizes, "token").groupBy("node").agg(F.max(F.struct("size", "token", "n")).alias("m")).select("node", "m.token", "m.n")
 
+class Bitmaps:
+    """Parity bitmaps of sets that come by rising size: two to four bits a token, a power of two, 64 at least.
 
-def _across(rest: DataFrame, t: Threshold, forest: bool) -> DataFrame:
-    """a, b across components, in each large bucket, that sizes and bitmaps allow; with forest only so many that they join the same sets.
+    Partners of a set are in its own class of lengths or the next, whose bitmaps are also kept folded to the shorter length.
+    """
 
-    Two sets meet in several buckets; their pair is given in that of the least token they have in common.
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets], np.int64)
+        bits = np.array([max(64, 2 << int(n - 1).bit_length()) for n in self.n])
+        self.bits, self.start, self.maps, self.folded = bits, {}, {}, {}
+        for z in np.unique(bits).tolist():
+            at = np.flatnonzero(bits == z)
+            self.start[z] = int(at[0])
+            odd = np.stack([np.bincount((mix(sets[i], 7) % np.uint64(z)).astype(np.int64), minlength=z) & 1 for i in at]).astype(np.uint8)
+            self.maps[z] = np.packbits(odd, axis=1)
+            self.folded[z] = self.maps[z][:, : z // 16] ^ self.maps[z][:, z // 16 :]
+
+    def near(self, i: int, j: np.ndarray, t: Threshold) -> np.ndarray:
+        """Those of the later rows j whose overlap with row i can reach the threshold: twice it is at most the sizes' sum less the differing bits."""
+        z = int(self.bits[i])
+        mine, kept = self.maps[z][i - self.start[z]], [j[self.bits[j] > 2 * z]]  # of a threshold under a half
+        for size, maps in ((z, self.maps), (2 * z, self.folded)):
+            at = j[self.bits[j] == size]
+            if len(at):
+                apart = np.bitwise_count(maps[size][at - self.start[size]] ^ mine).sum(1, dtype=np.int64)
+                kept.append(at[self.n[i] + self.n[at] - apart >= 2 * t.overlap(self.n[i], self.n[at])])
+        return np.concatenate(kept)
+
+
+def block_links(rows: DataFrame, own: DataFrame, t: Threshold, order=None) -> DataFrame:
+    """u, v: in each block, links that join all its rows (token, cut, mine, node, root, guest) as all links across roots would.
+
+    With an order, a pair is left to the bucket of the first prefix token that both sets have.
     """
 
-    def pairs(batches):
-        for c in _buckets(batches, ("token", "low", "high")):
-            key = np.stack((c["token"], c["low"], c["high"]), 1)
+    def links(batches):
+        for c in _buckets(batches, ("token", "cut", "mine")):
+            key = np.stack((c["token"], c["cut"], c["mine"]), 1)
             starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
-            found = []
+            found: list[tuple[int, int]] = []
             for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
-                n, node, root, mine = (c[x][s:e] for x in ("n", "node", "root", "mine"))
-                n, bits, token = n.astype(np.int64), c["bits"][s:e], int(c["token"][s])
-                own_tokens = [frozenset(x) for x in c["tokens"][s:e]]
-                two = c["low"][s] != c["high"][s]
-                lengths = np.array([len(b) for b in bits])
-                maps = {z: _folded([b if len(b) >= z else b"\0" * z for b in bits], z) for z in np.unique(lengths)}
-                joined = {}
-
-                def top(x: int, joined: dict = joined) -> int:
-                    while joined.get(x, x) != x:
-                        joined[x] = joined.get(joined[x], joined[x])
-                        x = joined[x]
-                    return x
-
-                for i in range(len(n)):
-                    # Rows come by rising size: the larger partners of i, up to where sizes part.
-                    end = i + 1 + int(np.searchsorted(n[i + 1 :], n[i] * t.den // t.num, "right"))
-                    j = np.arange(i + 1, end)
-                    j = j[(root[j] != root[i]) & ((mine[j] != mine[i]) if two else True)]
-                    if len(j):
-                        own = maps[lengths[i]]
-                        j = j[_near(own[i], own[j], n[i], n[j], t)]
-                        j = np.array([x for x in j if min(own_tokens[i] & own_tokens[x]) == token], np.int64)
-                        if forest:
-                            j = np.array([x for x in j if _join(joined, top(int(root[i])), top(int(root[x])))], np.int64)
-                        found.append(np.stack((np.full(len(j), node[i]), node[j])))
+                found += _linked_in(c, s, e, t, order.value if order else None)
             if found:
-                pairs_ = np.unique(np.concatenate(found, 1), axis=1)
-                for i in range(0, pairs_.shape[1], 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs_[0, i : i + 100_000]), pa.array(pairs_[1, i : i + 100_000])], ["a", "b"])
-
-    keys = ("token", "low", "high")
-    dealt = rest.repartition(*keys).sortWithinPartitions(*keys, "n", "node")
-    return dealt.mapInArrow(pairs, "a bigint, b bigint").distinct()
-
-
-def jaccard_groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, small: int = 32, block: int = 2000, at_least: int = 4, listed: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows (doc_id, th, n, node, root), one per row of docs, root the component of its set; links (u, v) between sets."""
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    keys = ("token", "cut", "mine")
+    dealt = rows.join(own, "node").withColumn("n", F.length("set")).repartition(*keys).sortWithinPartitions(*keys, "n", "node")
+    return dealt.mapInArrow(links, "u bigint, v bigint")
+
+
+def _linked_in(c: dict, s: int, e: int, t: Threshold, order: Order | None) -> list[tuple[int, int]]:
+    node, guest = c["node"][s:e], c["guest"][s:e]
+    label = np.unique(c["root"][s:e], return_inverse=True)[1]
+    if label.max() == 0:
+        return []
+    sets = [np.frombuffer(x, np.uint64) for x in c["set"][s:e]]
+    maps, checked, found = Bitmaps(sets), [Checked(x, t) for x in sets], []
+    prefix = [order.sort(x)[: t.prefix(len(x))] for x in sets] if order else None
+    first = np.uint64(int(c["token"][s]) & (1 << 64) - 1)
+    for i in range(len(node)):
+        # Rows come by rising size: the larger partners of i, up to where sizes part.
+        end = i + 1 + int(np.searchsorted(maps.n[i + 1 :], maps.n[i] * t.den // t.num, "right"))
+        j = np.arange(i + 1, end)
+        meet = guest[i] + guest[j] < 3 if guest[i] != 1 else (guest[j] < 2) | (node[i] < node[j])
+        if guest[i] == 2:
+            meet = (guest[j] == 0) | ((guest[j] == 1) & (node[j] < node[i]))
+        j = j[(label[j] != label[i]) & meet]
+        for x in maps.near(i, j, t).tolist() if len(j) else ():
+            if label[x] == label[i] or (prefix and not _first_common(prefix[i], prefix[x], first)):
+                continue
+            if checked[i].linked(checked[x]):
+                found.append((int(node[i]), int(node[x])))
+                label[label == label[x]] = label[i]
+    return found
+
+
+def _first_common(x: np.ndarray, y: np.ndarray, token: np.uint64) -> bool:
+    """Whether token is the first one of x that y has too."""
+    here = np.isin(x, y)
+    return bool(here.any()) and x[int(np.argmax(here))] == token
+
+
+def jaccard_groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, small: int = 32, block: int = 2000, block_tokens: int = 1 << 22, at_least: int = 4, listed: int = 1 << 20, few: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, links): rows (doc_id, th, rh, n, node, root), one per row of docs, root the component of its set; links (u, v) between sets."""
     t = Threshold(num, den)
-    texts = id_and_text(docs, id_col, text_col)
-    sets = park(shingle_sets(texts, k), "sets")
+    texts = id_and_text(docs, id_col, text_col, row="rh")
+    sets = park(sets_of(texts, k), "sets")
     order = docs.sparkSession.sparkContext.broadcast(Order(frequent_tokens(sets, at_least, listed)))
-    found = park(bucket_pairs(prefix_tokens(texts, order, t, k), t, small).distinct(), "pairs")
-    pairs = park(bitmaps_allow(found.where("a is not null").select("a", "b"), sets, t), "allowed")
-    open_ = found.where("a is null").select(F.col("b").alias("node"), "token", "n")
-    links = park(_verified(pairs, texts, sets, t, k), "links")
-    labels = components(links)
-    for only, forest in ((True, True), (False, True), (False, False)) if open_.take(1) else ():
-        labels = park(labels, "labels")
-        rest = _residual(_largest_bucket(open_) if only else open_, labels, sets, block)
-        more = park(_across(rest, t, forest).join(pairs, ["a", "b"], "left_anti"), "across")
-        if more.take(1):
-            pairs = pairs.unionAll(more)
-            links = park(links.unionAll(_verified(more, texts, sets, t, k)), "links")
-            labels = components(links)
-    rows = sets.select("doc_id", "th", "n", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = park(bucket_pairs(prefix_tokens(texts, order, t, k, small), t, small), "found")
+    pairs = park(found.where("token is null").select("a", "b").distinct(), "pairs")
+    hot = park(found.where("token is not null").select(F.col("b").alias("node"), "token", "n").distinct(), "hot")
+    own = set_table(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(hot.select("node")), texts, sets, k)
+    links = park(verify(pairs, own, t).unionAll(block_links(first_blocks(hot, block, block_tokens), own, t)), "links")
+    labels = park(components(links, few), "labels")
+    more = park(block_links(open_blocks(hot, labels, block, block_tokens), own, t, order), "more")
+    if more.take(1):
+        links = links.unionAll(more)
+        labels = components(links, few)
+    rows = sets.select("doc_id", "th", "rh", "n", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return rows, links
 
 
-def _join(joined: dict[int, int], x: int, y: int) -> bool:
-    joined[x] = y
-    return x != y
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame, t: Threshold, k: int) -> DataFrame:
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
-    return verify(pairs, _texts_of(nodes, texts, sets), t, k)
-
-
 def _least_id(rows: DataFrame) -> DataFrame:
     return rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
 
@@ -408,14 +443,18 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, that have the smallest id of their component, one row each; texts without words all stay."""
+    """The rows of docs, all columns, one of each component: that with the smallest id, then hash of the text and of the row; texts without words all stay.
+
+    Which row stays depends on the rows alone, so reruns agree.
+    """
     rows, _ = jaccard_groups(docs, **options)
-    key: Column = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    rows = rows.select("n", "root", F.struct(key.alias("id"), "th").alias("row"))
-    kept = rows.where("n > 0").groupBy("root").agg(F.min("row").alias("row")).select("row").unionAll(rows.where("n = 0").select("row").distinct())
-    kept = kept.select(F.col("row.id").alias("__id"), F.col("row.th").alias("__th"))
-    mine = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit((1 << 63) - 1)), "__th": F.xxhash64(docs["text"].cast("string"))})
-    return mine.join(kept, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).drop("__id", "__th")
+    rows = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th", "rh")).alias("row"))
+    kept = rows.select(F.col("row.th").alias("__th"), F.col("row.rh").alias("__rh"))
+    mine = docs.withColumns({"__th": F.xxhash64(docs["text"].cast("string")), "__rh": row_key(docs)})
+    blank = ~F.coalesce(docs["text"].cast("string"), F.lit("")).rlike(f"[^{BLANKS}]")
+    # Rows that are equal in all columns stand for one.
+    one = mine.where(~blank).join(kept, ["__th", "__rh"], "left_semi").dropDuplicates(["__th", "__rh"])
+    return one.unionByName(mine.where(blank)).select(*docs.columns)
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm._bytes import mix, runs, span_hashes, text_udf
+from lintlake.llm._bytes import mix, runs, span_hashes, text_udf, word_bounds
 from lintlake.llm._common import id_and_text
 from lintlake.llm.language import fold
 
 _BYTE = np.arange(256)
 _UPPER = ((_BYTE >= 65) & (_BYTE <= 90)).astype(np.int64)
 _LETTER = (_UPPER > 0) | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128)
-_BLANK = np.isin(_BYTE, [32, *range(9, 14)])
 #: Letters and digits end a word alike; other last characters count each for itself.
 _LAST = np.where(_LETTER, 1, np.where((_BYTE >= 48) & (_BYTE <= 57), 2, _BYTE + 3))
 
@@ -38,13 +37,8 @@ CHUNK = 1 << 16
 
 def tokens(texts: list[bytes], slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of the words and of their shapes, for all texts in a row, and the number of words of each text."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    blank = _BLANK[data]
-    before = np.concatenate(([True], blank[:-1]))
-    starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
+    data, starts, ends, counts = word_bounds(texts)
     h = span_hashes(data, starts, ends)
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.concatenate(([0], np.searchsorted(starts, bounds))))
     capitals = np.concatenate(([0], np.cumsum(_UPPER[data])))
     letters = np.concatenate(([0], np.cumsum(_LETTER[data].astype(np.int64))))
     up, all_ = capitals[ends] - capitals[starts], letters[ends] - letters[starts]

@@ -215,12 +215,20 @@ def copies(rows):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 4, "block": 8}, {"small": 2, "block": 1000, "at_least": 10**6}])
+@pytest.mark.parametrize("options", [{}, {"small": 4, "block": 8, "few": 0}, {"small": 2, "block": 1000, "at_least": 10**6}, {"small": 3, "block": 5, "block_tokens": 300}])
 def test_jaccard_components(spark, copies, options):
     df = spark.createDataFrame(copies, "doc_id bigint, text string")
     assert bag(jaccard.jaccard_components(df, **options), "doc_id", "n_shingles", "component_id") == brute_components(copies)
 
 
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    """Thue-Morse words and their complements collide under every polynomial hash modulo a power of two with an odd base."""
+    morse = ["".join("ab"[bin(i).count("1") % 2] for i in range(n)) for n in (32, 1024, 4096)]
+    rows = [(2 * i + k, w if k else w.translate(str.maketrans("ab", "ba"))) for i, w in enumerate(morse) for k in (0, 1)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(i, i) for i, _ in rows}
+
+
 def test_one_of_each(spark, docs, none, rows):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
@@ -230,6 +238,21 @@ def test_one_of_each(spark, docs, none, rows):
     assert jaccard.jaccard_components(none).count() == 0 and jaccard.one_of_each(none).count() == 0
 
 
+def test_one_of_each_of_rows_that_differ_elsewhere(spark):
+    """Of a group one row stays, the same on reruns; rows without words all stay, repeated ones too."""
+    text = "one two three four five six"
+    table = [(1, text, "s0"), (1, text, "s1"), (2, text, "s2"), (None, text, "s3"), (5, " ", "a"), (5, " ", "b"), (5, " ", "b"), (None, None, "c"), (-(1 << 63), None, "c")]
+    seen = set()
+    for parts in (1, 3):
+        kept = jaccard.one_of_each(spark.createDataFrame(table, "doc_id bigint, text string, source string").repartition(parts))
+        got = [tuple(r) for r in kept.collect()]
+        words = [r for r in got if r[1] == text]
+        assert len(words) == 1 and words[0][0] == 1
+        assert Counter(r for r in got if r[1] != text) == Counter(table[4:])
+        seen.update(words)
+    assert len(seen) == 1
+
+
 # --- 4 and 5 ---
 
 

@@ -4,9 +4,12 @@ A document's set holds the distinct hashes (64 bits) of its `k`-word shingles.
 more share a token in their prefixes (the first n - ceil(t n) + 1 tokens) under every global order of the tokens.
 
 - Order 1 generates candidates: tokens by hash, but the corpus's frequent tokens last, the most frequent at the very
-  end.  Frequent tokens are found by counting, over all documents, the least hashes of each set (a twelfth of it); the
-  list is broadcast up to `listed` tokens (8 MB), of more only the most frequent; that changes the work, not the result.
+  end.  Frequent tokens are found by counting, over all documents, the least hashes of each set (as many as its prefix
+  has); the list is broadcast up to `listed` tokens (8 MB), of more only the most frequent; that changes the work, not
+  the result.
 - Prefix tokens meet in buckets, sorted by set size; length, prefix-index and positional bounds thin the pairs.
+- Parity bitmaps of the sets (two to four bits a token) bound the overlap: each differing bit stands for a token that
+  only one of two sets has.
 - Orders 2 and 3 (other hash orders) must agree, by a shared prefix token each, before the sets are intersected.
 
 Equal sets are collapsed first, whatever their number.  A bucket of up to `small` sets gives its pairs.  Larger ones, as
@@ -20,9 +23,7 @@ by token, and a large bucket is cut into blocks of at most about `block` sets an
    are taken whole: the sets outside a bucket's largest component visit all its blocks, so that every pair across
    components meets once, in the bucket of the first prefix token that both have.
 
-Within a block parity bitmaps of the sets (two to four bits a token) bound the overlap before orders 2 and 3 are asked:
-each differing bit stands for a token that only one of two sets has.  All bounds are exact, so no link between components
-is missed, and links within one aren't all listed.
+All bounds are exact, so no link between components is missed; links within one aren't all listed.
 
 Nulls: a null text has an empty set, is linked with nothing, and is its own component; a null id never names a
 component unless all its members have none.  Repeated rows and equal texts fall together.  An empty table gives no rows;
@@ -61,6 +62,10 @@ class Threshold:
         """Shared tokens needed by sets of sizes a and b."""
         return -((-self.num * (a + b)) // (self.den + self.num))
 
+    def reachable(self, a, b, apart):
+        """Whether sets of sizes a and b that differ in `apart` bits of their bitmaps can share enough tokens."""
+        return a + b - apart >= 2 * self.overlap(a, b)
+
     def sizes(self, a, b):
         return self.den * np.minimum(a, b) >= self.num * np.maximum(a, b)
 
@@ -70,8 +75,15 @@ def _digest(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s, 5).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64), 9).view(np.int64)[0])
 
 
-def sets_of(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, th (hash of the text), rh (the row's key), n (set size), node (digest of the set; of the id where it is empty), least (its least hashes, a twelfth, 16 at least); docs: doc_id, text, rh."""
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parity bits of the tokens: two to four bits a token, a power of two, 64 at least."""
+    bits = max(64, 2 << int(len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((mix(s, 7) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def sets_of(docs: DataFrame, t: Threshold, k: int = 5) -> DataFrame:
+    """doc_id, th (hash of the text), rh (the row's key), n (set size), node (digest of the set; of the id where it is empty), least (its least hashes), bits; docs: doc_id, text, rh."""
 
     def sets(batches):
         for batch in batches:
@@ -81,14 +93,14 @@ def sets_of(docs: DataFrame, k: int = 5) -> DataFrame:
                 at += len(part)
                 own = shingle_sets(part, k)
                 nodes = [_digest(s) if len(s) else int(mix(np.array([(x or 0) & (1 << 64) - 1], np.uint64), 3).view(np.int64)[0]) for s, x in zip(own, ids.to_pylist(), strict=True)]
-                least = [s[: max(16, len(s) // 12)].view(np.int64) for s in own]
+                least = [s[: t.prefix(len(s))].view(np.int64) for s in own]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, ths, rhs, pa.array([len(s) for s in own], pa.int64()), pa.array(nodes, pa.int64()), pa.array(least, pa.list_(pa.int64()))],
-                    ["doc_id", "th", "rh", "n", "node", "least"],
+                    [ids, ths, rhs, pa.array([len(s) for s in own], pa.int64()), pa.array(nodes, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array([bitmap(s).tobytes() for s in own], pa.binary())],
+                    ["doc_id", "th", "rh", "n", "node", "least", "bits"],
                 )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "rh", "text")
-    return rows.mapInArrow(sets, "doc_id bigint, th bigint, rh bigint, n bigint, node bigint, least array<bigint>")
+    return rows.mapInArrow(sets, "doc_id bigint, th bigint, rh bigint, n bigint, node bigint, least array<bigint>, bits binary")
 
 
 def frequent_tokens(sets: DataFrame, at_least: int, listed: int) -> np.ndarray:
@@ -258,6 +270,28 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
+def bitmaps_allow(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs (a, b) whose bitmaps and sizes allow a link."""
+    own = sets.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    for x in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
+
+    def allowed(batches):
+        for batch in batches:
+            c = {x: batch.column(x).to_numpy() for x in ("a", "b", "n_a", "n_b")}
+            maps = zip(*([np.frombuffer(m, np.uint8) for m in batch.column(x).to_pylist()] for x in ("bits_a", "bits_b")), strict=True)
+            apart = np.array([int(np.bitwise_count(folded(x, len(y)) ^ folded(y, len(x))).sum()) for x, y in maps], np.int64)
+            ok = t.sizes(c["n_a"], c["n_b"]) & t.reachable(c["n_a"], c["n_b"], apart)
+            yield pa.RecordBatch.from_arrays([pa.array(c["a"][ok]), pa.array(c["b"][ok])], ["a", "b"])
+
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(allowed, "a bigint, b bigint")
+
+
+def folded(m: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap folded to at most `size` bytes, which keeps parities."""
+    return m if len(m) <= size else np.bitwise_xor.reduce(m.reshape(-1, size), axis=0)
+
+
 def verify(pairs: DataFrame, own: DataFrame, t: Threshold) -> DataFrame:
     """u, v of the pairs (a, b) that are linked; own: (node, set).
 
@@ -329,31 +363,29 @@ def open_blocks(hot: DataFrame, labels: DataFrame, block: int, block_tokens: int
 
 
 class Bitmaps:
-    """Parity bitmaps of sets that come by rising size: two to four bits a token, a power of two, 64 at least.
+    """Bitmaps of sets that come by rising size, so that those of a length lie together.
 
-    Partners of a set are in its own class of lengths or the next, whose bitmaps are also kept folded to the shorter length.
+    Partners of a set have bitmaps of its own length or the next, which are also kept folded to the shorter one.
     """
 
     def __init__(self, sets: list[np.ndarray]):
         self.n = np.array([len(s) for s in sets], np.int64)
-        bits = np.array([max(64, 2 << int(n - 1).bit_length()) for n in self.n])
-        self.bits, self.start, self.maps, self.folded = bits, {}, {}, {}
-        for z in np.unique(bits).tolist():
-            at = np.flatnonzero(bits == z)
-            self.start[z] = int(at[0])
-            odd = np.stack([np.bincount((mix(sets[i], 7) % np.uint64(z)).astype(np.int64), minlength=z) & 1 for i in at]).astype(np.uint8)
-            self.maps[z] = np.packbits(odd, axis=1)
-            self.folded[z] = self.maps[z][:, : z // 16] ^ self.maps[z][:, z // 16 :]
+        maps = [bitmap(s) for s in sets]
+        self.size, self.start, self.maps, self.folded = np.array([len(m) for m in maps]), {}, {}, {}
+        for z in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == z)
+            self.start[z], self.maps[z] = int(at[0]), np.stack([maps[i] for i in at])
+            self.folded[z] = self.maps[z][:, : z // 2] ^ self.maps[z][:, z // 2 :]
 
     def near(self, i: int, j: np.ndarray, t: Threshold) -> np.ndarray:
-        """Those of the later rows j whose overlap with row i can reach the threshold: twice it is at most the sizes' sum less the differing bits."""
-        z = int(self.bits[i])
-        mine, kept = self.maps[z][i - self.start[z]], [j[self.bits[j] > 2 * z]]  # of a threshold under a half
+        """Those of the later rows j whose overlap with row i can reach the threshold."""
+        z = int(self.size[i])
+        mine, kept = self.maps[z][i - self.start[z]], [j[self.size[j] > 2 * z]]  # of a threshold under a half
         for size, maps in ((z, self.maps), (2 * z, self.folded)):
-            at = j[self.bits[j] == size]
+            at = j[self.size[j] == size]
             if len(at):
                 apart = np.bitwise_count(maps[size][at - self.start[size]] ^ mine).sum(1, dtype=np.int64)
-                kept.append(at[self.n[i] + self.n[at] - apart >= 2 * t.overlap(self.n[i], self.n[at])])
+                kept.append(at[t.reachable(self.n[i], self.n[at], apart)])
         return np.concatenate(kept)
 
 
@@ -414,10 +446,10 @@ def jaccard_groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, s
     """(rows, links): rows (doc_id, th, rh, n, node, root), one per row of docs, root the component of its set; links (u, v) between sets."""
     t = Threshold(num, den)
     texts = id_and_text(docs, id_col, text_col, row="rh")
-    sets = park(sets_of(texts, k), "sets")
+    sets = park(sets_of(texts, t, k), "sets")
     order = docs.sparkSession.sparkContext.broadcast(Order(frequent_tokens(sets, at_least, listed)))
     found = park(bucket_pairs(prefix_tokens(texts, order, t, k, small), t, small), "found")
-    pairs = park(found.where("token is null").select("a", "b").distinct(), "pairs")
+    pairs = park(bitmaps_allow(found.where("token is null").select("a", "b").distinct(), sets, t), "pairs")
     hot = park(found.where("token is not null").select(F.col("b").alias("node"), "token", "n").distinct(), "hot")
     own = set_table(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(hot.select("node")), texts, sets, k)
     links = park(verify(pairs, own, t).unionAll(block_links(first_blocks(hot, block, block_tokens), own, t)), "links")

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is shuffled (by a hash of the id) and its documents queue up: a document's virtual finish time is the
+Every source is shuffled (by a hash of the id and the row) and its documents queue up: a document's virtual finish time is the
 source's words up to and including it, divided by the source's target.  A source may be asked for more than it has, so
 its queue is repeated, up to `repeats` times.  All copies, ordered by finish time, make up the mix, truncated where
 their words reach the total budget.
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm._bytes import text_udf
-from lintlake.llm._common import id_and_text, park
+from lintlake.llm._common import id_and_text, park, row_key
 
 #: Finish times are at most about `repeats` at the least weighted source; ranges are this fraction of one.
 STEP = 1 / 4096
@@ -56,10 +56,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], repeats: int) -
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int = 3, block_rows: int = 500, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, th (hash of text and source), source, size, source_size, target, taken (words the mix takes of the document), one row per row of docs."""
-    rows = id_and_text(docs, id_col, text_col, source=source_col).withColumn("source", F.col("source").cast("string"))
-    rows = rows.select("doc_id", F.xxhash64("text", "source").alias("th"), "source", word_count()("text").alias("size"))
-    rows = park(rows.withColumn("turn", F.xxhash64("doc_id", "source", F.lit(17))), "sizes")
+    """doc_id, rh (the row's key), source, size, source_size, target, taken (words the mix takes of the document), one row per row of docs."""
+    rows = id_and_text(docs, id_col, text_col, row="rh", source=source_col).withColumn("source", F.col("source").cast("string"))
+    rows = rows.select("doc_id", "rh", "source", word_count()("text").alias("size"))
+    # The shuffle's order is by the id, then the row; ids that repeat, or are null, so make no block of their own.
+    rows = park(rows.withColumn("turn", F.xxhash64("doc_id", "rh", F.lit(17))), "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, repeats)
     targets = park(targets, "targets").withColumnRenamed("source", "s")
     rows = rows.join(targets, rows["source"].eqNullSafe(targets["s"])).drop("s")
@@ -70,10 +71,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int =
     sums = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "rh").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(inside))
     rows = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["block"] == sums["b"]))
-    rows = park(rows.select("doc_id", "th", "source", "size", "source_size", "target", "turn", (F.col("upto") + F.col("before")).alias("words")), "finish")
+    rows = park(rows.select("doc_id", "rh", "source", "size", "source_size", "target", "turn", (F.col("upto") + F.col("before")).alias("words")), "finish")
     cut = _cut(rows, repeats)
     copies = F.sequence(F.lit(0), F.lit(repeats - 1))
     if cut is None:
@@ -83,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int =
         key = lambda *cols: F.struct(*(c.alias(f"k{i}") for i, c in enumerate(cols)))
         included = lambda e: key(_finish(e), F.col("turn"), F.coalesce("doc_id", F.lit(-(1 << 63))), F.col("words")) <= key(*cut)
         taken = F.col("size") * F.size(F.filter(copies, lambda e: (F.col("size") > 0) & included(e)))
-    return rows.select("doc_id", "th", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return rows.select("doc_id", "rh", "source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def _finish(copy: Column) -> Column:
@@ -115,12 +116,10 @@ def _cut(rows: DataFrame, repeats: int) -> tuple | None:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, as often as the mix takes them."""
-    copies = mix(docs, **options).where("taken > 0").groupBy("doc_id", "th").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
-    copies = copies.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("th").alias("__th"), "__copies")
-    mine = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-(1 << 63))), "__th": F.xxhash64(docs["text"].cast("string"), docs["source"].cast("string"))})
-    once = mine.dropDuplicates(["__id", "__th"]).join(copies, ["__id", "__th"])
-    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*(once[c] for c in docs.columns))
+    """The rows of docs, all columns, as often as the mix takes them.  Rows that are equal in all columns share their copies."""
+    copies = mix(docs, **options).where("taken > 0").groupBy(F.col("rh").alias("__rh")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
+    once = docs.withColumn("__rh", row_key(docs)).dropDuplicates(["__rh"]).join(copies, "__rh")
+    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

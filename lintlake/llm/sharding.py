@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm._common import id_and_text, long_array, park, range_of
+from lintlake.llm._common import id_and_text, long_array, park, range_of, row_key
 
 
 def sample_splitters(rows: DataFrame, total_bytes: int, ranges: int, per_range: int = 256) -> list[int]:
@@ -34,10 +34,11 @@ def sample_splitters(rows: DataFrame, total_bytes: int, ranges: int, per_range:
 
 
 def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, range_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, key, shard, slot: every record once, shards near equal in bytes, slots from 0."""
+    """doc_id, rh (the row's key), size, text_crc32, key, shard, slot: every record once, shards near equal in bytes, slots from 0."""
     text = F.coalesce("text", F.lit(""))
-    rows = id_and_text(docs, id_col, text_col).select(
+    rows = id_and_text(docs, id_col, text_col, row="rh").select(
         "doc_id",
+        "rh",
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
@@ -54,7 +55,7 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, range_rows:
     large = groups.where(heavy | (F.col("n") > 2 * target)).select("key", heavy.alias("heavy")).collect()
     alone, hot = [r["key"] for r in large], [r["key"] for r in large if r["heavy"]]
     bounds = sorted({*sample_splitters(rows, total, ranges), *alone, *(k + 1 for k in alone if k < (1 << 63) - 1)})
-    rows = rows.withColumn("part", range_of(F.col("key"), bounds)).withColumn("salt", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 1))
+    rows = rows.withColumn("part", range_of(F.col("key"), bounds)).withColumn("salt", F.shiftrightunsigned(F.xxhash64("doc_id", "rh", F.lit(5)), 1))
     full = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where((F.col("a") == F.col("b")) & (F.col("n") > 2 * target)).collect()}
     rows = rows.withColumn("sub", _sub_range(full, target, len(bounds) + 1))
     # Bytes before each range: one row a range, so one task may add them up and every executor hold them.
@@ -63,31 +64,30 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, range_rows:
     # The middle of a subdivided range, which is that of its one text.
     whole = Window.partitionBy("part")
     starts = starts.select("part", "sub", "base", F.when(F.count("*").over(whole) > 1, F.min("base").over(whole) + F.sum("bytes").over(whole) / 2).alias("whole"))
-    inside = Window.partitionBy("part", "sub").orderBy("key", "salt", "doc_id")
+    inside = Window.partitionBy("part", "sub").orderBy("key", "salt", "doc_id", "rh")
     group = Window.partitionBy("part", "sub", "key")
     placed = (
         rows.join(F.broadcast(starts), ["part", "sub"])
         .withColumn("at", F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("middle", F.when(_is_hot(hot), F.col("at") + F.col("size") / 2).otherwise(F.coalesce("whole", F.min("at").over(group) + F.sum("size").over(group) / 2)))
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.lit(shards) * F.col("middle") / F.lit(float(max(1, total))))).cast("int"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("part", "sub", "shard").orderBy("key", "salt", "doc_id")))
-        .select("doc_id", "size", "text_crc32", "key", "part", "sub", "shard", "rank")
+        .withColumn("rank", F.row_number().over(Window.partitionBy("part", "sub", "shard").orderBy("key", "salt", "doc_id", "rh")))
+        .select("doc_id", "rh", "size", "text_crc32", "key", "part", "sub", "shard", "rank")
     )
     placed = park(placed, "placed")
     earlier = Window.partitionBy("shard").orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
     slots = placed.groupBy("shard", "part", "sub").agg(F.count("*").alias("n")).select("shard", "part", "sub", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     return placed.join(F.broadcast(slots), ["shard", "part", "sub"]).select(
-        "doc_id", "size", "text_crc32", "key", "shard", (F.col("first") + F.col("rank") - 1).cast("bigint").alias("slot")
+        "doc_id", "rh", "size", "text_crc32", "key", "shard", (F.col("first") + F.col("rank") - 1).cast("bigint").alias("slot")
     )
 
 
 def sharded(docs: DataFrame, shards: int = 8, **options) -> DataFrame:
-    """The rows of docs, all columns, with shard and slot."""
-    least = -(1 << 63)
-    placed = shard(docs, shards, **options).select(F.coalesce("doc_id", F.lit(least)).alias("__id"), F.col("key").alias("__th"), "shard", "slot")
-    mine = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("bigint"), F.lit(least)), "__th": F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
-    once = mine.dropDuplicates(["__id", "__th"])  # repeated rows come back with their places
-    return once.join(placed, ["__id", "__th"]).select(*(once[c] for c in docs.columns), placed["shard"], placed["slot"])
+    """The rows of docs, all columns, with shard and slot.  Rows that are equal in all columns share their places."""
+    placed = shard(docs, shards, **options).select(F.col("rh").alias("__rh"), F.struct("shard", "slot").alias("__place"))
+    once = docs.withColumn("__rh", row_key(docs)).dropDuplicates(["__rh"])
+    joined = once.join(placed, "__rh")
+    return joined.select(*(joined[c] for c in docs.columns), F.col("__place.shard"), F.col("__place.slot"))
 
 
 def _is_hot(hot: list[int]) -> Column:

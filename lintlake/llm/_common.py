@@ -73,45 +73,64 @@ def range_of(key: Column, bounds: list[int], fan: int = 64) -> Column:
     return top * fan + F.size(F.filter(F.get(rows, top), lambda b: b <= key))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value worked out once, also where body uses it within lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running_sum(values: Column, group: int = 512) -> Column:
-    """Exclusive prefix sums of an int array, in two levels so that the cost stays near n * group."""
+    """Exclusive prefix sums of an int array, in two levels: each group's own, and those of the groups' totals, worked out once."""
+    none = F.expr("cast(array() as array<bigint>)")
 
     def scan(arr: Column) -> Column:
-        start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        start = F.struct(F.lit(0).cast("bigint").alias("sum"), none.alias("out"))
         step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out"))
         return F.aggregate(arr, start, step, lambda acc: acc["out"])
 
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / group).cast("int")), lambda g: F.slice(values, g * group + 1, F.lit(group)))
-    starts = scan(F.transform(groups, lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda a, x: a + x)))
-    return F.when(F.size(values) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(
-        F.flatten(F.transform(groups, lambda g, i: F.transform(scan(g), lambda s: s + F.get(starts, i))))
-    )
+    def groups(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / group).cast("int")), lambda g: F.slice(all_, g * group + 1, F.lit(group)))
 
+    def sums(parts: Column) -> Column:
+        starts = scan(F.transform(parts, lambda g: F.aggregate(g, F.lit(0).cast("bigint"), lambda a, x: a + x)))
+        return bound(starts, lambda s: F.flatten(F.transform(parts, lambda g, i: F.transform(scan(g), lambda x: x + F.get(s, i)))))
 
-SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
+    made = bound(values, lambda all_: F.when(F.size(all_) > 0, bound(groups(all_), sums)).otherwise(none))
+    return F.when(values.isNotNull(), made)
 
 
-def no_spans() -> Column:
-    return F.expr(f"cast(array() as {SPANS})")
+SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
-def with_spans(df: DataFrame, text: str, out: str, pattern: str, sieve: str | None = None) -> DataFrame:
+def with_spans(df: DataFrame, text: str, out: str, pattern: str, sieve: str | None = None, around: int | None = None, blank: str | None = None) -> DataFrame:
     """Add column `out`: the leftmost non-overlapping matches of a Java pattern, in code points, end exclusive.
 
-    Matches are marked, the text is cut at the marks, and the pieces' lengths add up to positions.  Rows that the
-    sieve (a cheaper pattern, else the pattern itself) doesn't match cost one search.
+    Matches are marked, the text is cut at the marks, and the pieces' lengths add up to positions; the cost is linear in
+    the text.  Rows that the sieve (a cheaper pattern, else the pattern itself) doesn't match cost one search.  around: add
+    to each span a hash of up to so many characters on either side, as far as the neighbouring matches.  blank: a column to
+    add, the text with blanks for its matches, null if there are none.
     """
     parts, hit = f"__{out}_parts", F.col(text).rlike(sieve or pattern)
     marked = F.regexp_replace(F.translate(F.col(text), MARK, OTHER), pattern, f"{MARK}$0{MARK}")
     df = df.withColumn(parts, F.when(hit, F.split(marked, MARK, -1)))
     sizes = F.transform(F.col(parts), lambda p: F.length(p).cast("bigint"))
     df = df.withColumn(f"{parts}_at", F.when(F.size(parts) > 1, running_sum(sizes)))
-    at = F.col(f"{parts}_at")
-    made = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)),
-        lambda i: F.struct(F.get(at, i).alias("start"), (F.get(at, i + 1)).alias("end"), F.get(F.col(parts), i).alias("value")),
-    )
-    return df.withColumn(out, F.coalesce(F.when(F.size(parts) > 1, made), no_spans()).cast(SPANS)).drop(parts, f"{parts}_at")
+
+    def made(all_: Column, at: Column) -> Column:
+        def span(i: Column) -> Column:
+            fields = [F.get(at, i).alias("start"), F.get(at, i + 1).alias("end"), F.get(all_, i).alias("value")]
+            if around:
+                fields.append(F.xxhash64(F.right(F.get(all_, i - 1), F.lit(around)), F.left(F.get(all_, i + 1), F.lit(around))).alias("around"))
+            return F.struct(*fields)
+
+        return F.transform(F.sequence(F.lit(1), F.size(all_) - 1, F.lit(2)), span)
+
+    kind = SPANS if not around else SPANS.replace("value:string", "value:string,around:bigint")
+    found = F.when(F.size(parts) > 1, bound(F.struct(F.col(parts).alias("p"), F.col(f"{parts}_at").alias("at")), lambda s: made(s["p"], s["at"])))
+    df = df.withColumn(out, F.coalesce(found, F.expr(f"cast(array() as {kind})")).cast(kind))
+    if blank:
+        blanked = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(p))).otherwise(p)), "")
+        df = df.withColumn(blank, F.when(F.size(parts) > 1, blanked))
+    return df.drop(parts, f"{parts}_at")
 
 
 def spans_text(spans: Column) -> Column:

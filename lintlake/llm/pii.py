@@ -7,10 +7,10 @@ n(e) with the entity, n(t) with the term and n(t,e) with both, anywhere in the d
     PMI(t; e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)),
 
 1 if the term never occurs without the entity, 0 if it tells nothing.  A term met with the entity in at least `support`
-documents, and with as many different surroundings of the entity (the characters within `reach`, so that copies of one
-document don't count as many), is generalised if its disclosure reaches `generalise`, removed if it reaches `remove`:
+documents, and with as many different surroundings of the entity (the characters within `reach`, as far as the next span
+of its kind, so that copies of one document don't count as many), is generalised if its disclosure reaches `generalise`, removed if it reaches `remove`:
 wherever it stands in the documents that hold the entity.  Terms are words outside entities, of four characters or more
-and without digits.
+and without digits: shorter words, names among them, and numbers are never sanitised.
 
 As n(t,e) is at most n(t) and at most n(e), a disclosure of d needs n(t) <= n(e)^d N^(1-d): pairs of commoner terms
 are left out before they are made, and so are entities without the support.
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm._common import BREAKS, MARK, OTHER, id_and_text, park, spans_text, tagged, with_spans
+from lintlake.llm._common import BREAKS, MARK, OTHER, bound, id_and_text, park, spans_text, tagged, with_spans
 
 #: The known shapes.  Possessive forms, so that long runs take linear time and no deep recursion; a match
 #: starts where a run of its characters starts, or where the last match ended.
@@ -64,47 +64,27 @@ def _kept(kind: str) -> Column:
     return F.filter(kind, lambda s: _holds(kind, s["value"]))
 
 
-def _entities(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(F.lit(kind), F.lower(s["value"])).alias("entity")))
-
-
 def _replaced(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("by")))
 
 
-def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, th (the text's hash), and an array of (start, end, value) for each kind of KINDS."""
+def base_spans(docs: DataFrame, reach: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, blank, th (the text's hash), and an array of (start, end, value, around) for each kind of KINDS.
+
+    blank: the text, as long as before, with blanks for e-mail addresses, null if it has none.  The other kinds have no
+    letters, so no term lies in them.
+    """
     rows = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     for kind, pattern in KINDS.items():
-        rows = with_spans(rows, "text", kind, pattern, SIEVES[kind])
+        rows = with_spans(rows, "text", kind, pattern, SIEVES[kind], around=reach, blank="blank" if kind == "email" else None)
         rows = rows.withColumn(kind, _kept(kind))
     return rows.withColumn("th", F.xxhash64("text"))
 
 
-def _held(reach: int) -> Column:
-    """The distinct (entity, around) of a text: around is the hash of what stands within `reach` before and after it."""
-    both = F.concat(*(_entities(k) for k in KINDS))
-
-    def of(e: Column) -> Column:
-        low = F.greatest(F.lit(0).cast("bigint"), e["start"] - reach)
-        before = F.substring(F.col("text"), (low + 1).cast("int"), (e["start"] - low).cast("int"))
-        after = F.substring(F.col("text"), (e["end"] + 1).cast("int"), F.lit(reach))
-        return F.struct(e["entity"].alias("entity"), F.xxhash64(before, after).alias("around"))
-
-    return F.array_distinct(F.transform(both, of))
-
-
-def _blanked() -> Column:
-    """The text, as long as before, with blanks for its entities."""
-    spans = F.array_sort(F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS)))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        plain = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - acc["at"]).cast("int"))
-        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(acc["at"], s["start"])).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(plain, blank)).alias("out"))
-
-    return F.aggregate(spans, start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))), ""))
+def _held() -> Column:
+    """The (entity, around) of a text's spans: around is the hash of what stands on either side of one."""
+    one = lambda kind: F.transform(kind, lambda s: F.struct(F.xxhash64(F.lit(kind), F.lower(s["value"])).alias("entity"), s["around"]))
+    return F.concat(*(one(k) for k in KINDS))
 
 
 def _terms(text: str) -> Column:
@@ -157,9 +137,9 @@ def sanitise(docs: DataFrame, clean: bool = True, support: int = 2, generalise:
     Spans are found in one pass over the texts and written, with the texts that hold an entity; all texts are read again
     for the terms' counts, and to be rewritten.
     """
-    rows = base_spans(docs, id_col, text_col)
+    rows = base_spans(docs, reach, id_col, text_col)
     some = F.size("held") > 0
-    found = rows.withColumn("held", _held(reach)).select("doc_id", "th", *KINDS, "held", F.when(some, F.col("text")).alias("text"), F.when(some, _blanked()).alias("blank"))
+    found = rows.withColumn("held", _held()).select("doc_id", "th", *KINDS, "held", F.when(some, F.col("text")).alias("text"), F.when(some, F.coalesce("blank", F.translate("text", MARK, OTHER))).alias("blank"))
     found = park(found, "spans")
     texts = park(found.where("text is not null").groupBy("th").agg(F.first("blank").alias("blank")), "texts")
     plain = id_and_text(docs, id_col, text_col).select(F.coalesce("text", F.lit("")).alias("text"))
@@ -173,25 +153,44 @@ def sanitise(docs: DataFrame, clean: bool = True, support: int = 2, generalise:
     hits = places.join(risky, ["th", "term"])
     action = F.when(F.col("d") >= remove, "remove").otherwise("generalise")
     terms = hits.groupBy("th").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("action")))).alias("terms"))
-    rows = rows if clean else found.drop("held", "text", "blank")
+    rows = rows.drop("blank") if clean else found.drop("held", "text", "blank")
     rows = rows.join(park(terms, "terms"), "th", "left").withColumn("terms", F.coalesce("terms", F.expr(f"cast(array() as {ARRAY})")))
     return (rows.withColumn("clean_text", _cleaned()) if clean else rows).drop("th")
 
 
+#: Texts are cut into pieces of so many characters, so that any place is found without a walk from the start.
+PIECE = 1024
+
+
+def _cut(pieces: Column, a: Column, b: Column) -> Column:
+    """The characters [a, b) of a text that is cut into pieces."""
+    i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+    piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    here = lambda k, at, n: F.substring(piece(k), (at % PIECE + 1).cast("int"), n.cast("int"))
+    inside = F.array_join(F.slice(pieces, i + 2, F.greatest(F.lit(0), j - i - 1)), "")
+    return F.when(b <= a, F.lit("")).when(i == j, here(i, a, b - a)).otherwise(F.concat(here(i, a, F.lit(PIECE)), inside, here(j, F.lit(0), b % PIECE)))
+
+
 def _cleaned() -> Column:
     """The text with entities replaced by their kind, risky terms by [TERM] or nothing; overlapping spans count once."""
     spans = [_replaced(k) for k in KINDS]
     spans.append(F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("by"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    piece = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), F.greatest(F.lit(0), b - a).cast("int"))
+    every = F.array_sort(F.concat(*spans))
+    # Each span kept, with the end of what the spans before it cover.
+    empty = F.expr("cast(array() as array<struct<from:bigint,start:bigint,by:string>>)")
 
     def step(acc: Column, s: Column) -> Column:
-        put = F.concat(acc["out"], F.array(piece(acc["at"], s["start"]), s["by"]))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), put.alias("out")))
+        more = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("from"), s["start"].alias("start"), s["by"].alias("by"))))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(more).alias("out"))
 
-    every = F.array_sort(F.concat(*spans))
-    parts = F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))))
-    return F.when(F.size(every) == 0, F.col("text")).otherwise(F.array_join(parts, ""))
+    def built(pieces: Column, kept: Column) -> Column:
+        parts = F.transform(kept["out"], lambda s: F.concat(_cut(pieces, s["from"], s["start"]), s["by"]))
+        return F.concat(F.array_join(parts, ""), _cut(pieces, kept["at"], F.length("text").cast("bigint")))
+
+    kept = F.aggregate(every, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step)
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    both = F.struct(pieces.alias("pieces"), kept.alias("kept"))
+    return F.when(F.size(every) == 0, F.col("text")).otherwise(bound(both, lambda x: built(x["pieces"], x["kept"])))
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:

@@ -442,7 +442,7 @@ def _first_common(x: np.ndarray, y: np.ndarray, token: np.uint64) -> bool:
     return bool(here.any()) and x[int(np.argmax(here))] == token
 
 
-def jaccard_groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, small: int = 32, block: int = 2000, block_tokens: int = 1 << 22, at_least: int = 4, listed: int = 1 << 20, few: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def jaccard_groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, small: int = 32, block: int = 1000, block_tokens: int = 1 << 22, at_least: int = 4, listed: int = 1 << 20, few: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows (doc_id, th, rh, n, node, root), one per row of docs, root the component of its set; links (u, v) between sets."""
     t = Threshold(num, den)
     texts = id_and_text(docs, id_col, text_col, row="rh")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -63,6 +64,13 @@ def test_running_sum(spark):
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def test_running_sum_is_linear(spark):
+    df = spark.range(1).select(F.sequence(F.lit(1), F.lit(200_000)).cast("array<bigint>").alias("a"))
+    began = time.monotonic()
+    assert df.select(F.get(running_sum(F.col("a")), F.lit(199_999))).first()[0] == 199_999 * 200_000 // 2
+    assert time.monotonic() - began < 20
+
+
 def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
@@ -275,6 +283,21 @@ def test_mixing(docs, none, rows):
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).columns == none.columns
 
 
+#: Rows equal in id and text, but not elsewhere; two wholly equal ones; the smallest id beside null.
+ALIKE = [(1, "same text here", "s0", 1), (1, "same text here", "s1", 1), (1, "same text here", "s1", 2), (2, "other words", "s2", 1), (2, "other words", "s2", 1), (None, "no id", "s0", 1), (-(1 << 63), "no id", "s0", 1), (3, None, None, 1)]
+
+
+def test_mixed_and_sharded_lose_no_row(spark):
+    for parts in (1, 3):
+        docs = spark.createDataFrame(ALIKE, "doc_id bigint, text string, source string, n_chars bigint").repartition(parts)
+        placed = sharding.sharded(docs, 3).collect()
+        assert Counter(tuple(r)[:4] for r in placed) == Counter(ALIKE)
+        assert len({(r["shard"], r["slot"]) for r in placed}) == len(ALIKE)
+        # Weights in proportion to the sources' sizes take every row once.
+        taken = {tuple(r)[:4] for r in mixing.mixed(docs, weights=(5, 6, 4, 1)).collect()}
+        assert taken == {r for r in ALIKE if r[1]}
+
+
 def test_targets_by_water_filling(spark):
     sizes = [("a", 10, 1), ("b", 100, 1), ("c", 100, 1), ("d", 500, 1), (None, 1, 1)]
     df = spark.createDataFrame(sizes, "source string, source_size bigint, rows bigint")
@@ -413,6 +436,18 @@ def test_window_entropy_is_exact(spark):
     assert all(math.isclose(g, brute_entropy(v), abs_tol=1e-9) for g, v in zip(got, values, strict=True))
 
 
+def test_long_candidates_and_allow_list(spark, none):
+    rng = random.Random(3)
+    long = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=200_000))
+    letters = "QwErTyUiOpAsDfGhJkLz"
+    key = "Zx9Qm2Lk8Vb4Nc7Wd1Ty6"
+    df = spark.createDataFrame([(0, long), (1, letters), (2, f"/sample/{key}"), (3, f"sample{key}"), (4, "InternationalizationOfTheInterface")], "doc_id bigint, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["entropy"]] for r in secrets.secret_spans(df).collect()}
+    assert time.monotonic() - began < 60
+    assert got == {0: [(0, len(long))], 1: [(0, 20)], 2: [(0, 8 + len(key))], 3: [], 4: []}
+
+
 def brute_license(t):
     w = WORD.findall(lower(t))
     places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
@@ -488,3 +523,13 @@ def test_terms_disclose_from_anywhere_in_the_document(spark):
         assert [(s["start"], s["end"]) for s in got[i]["terms"] if t[s["start"] : s["end"]].lower() in ("quagga", "okapi")] == want
         assert "quagga" not in got[i]["clean_text"].lower()
     assert not any(got[i]["terms"] for i in range(3, len(texts)))
+
+
+def test_a_text_of_very_many_addresses(spark):
+    text = " ".join(f"person{i} a{i}@b{i}.org" for i in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, "plain words")], "doc_id bigint, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in pii.sanitise(df).collect()}
+    assert time.monotonic() - began < 90
+    assert [(s["start"], s["end"]) for s in got[1]["email"]] == [(m.start(), m.end()) for m in re.finditer(PATTERNS["email"], text)]
+    assert got[1]["clean_text"] == re.sub(PATTERNS["email"], "[EMAIL]", text)

@@ -5,10 +5,11 @@ shingles, and a document contains it only if it contains all of its shingles.  S
 number of places in all documents; full containment makes one prefix token enough, the record's rarest shingle.  The
 documents' shingles are joined with the prefix tokens only; the token's place in the window and in the document gives
 the one place where the window could stand, which must lie within the document (length and positional bounds), and the
-words of that item-sized window are then compared one by one.
+words of that item-sized window are then compared one by one: their hashes first, then their bytes.
 
-The benchmark is taken in blocks of about `block_bytes` of text, each broadcast and met by all documents; so memory
-doesn't grow with the benchmark, and one block is the usual case.
+The benchmark is taken in blocks of about `block_bytes` of text, each broadcast (as arrays, about thirteen bytes a byte of
+text) and met by all documents in two passes, one to count, one to match; so memory doesn't grow with the benchmark, and
+one block is the usual case.
 
 Nulls: a null text, of a document or an item, has no words; an item without id still marks words but isn't listed.
 Repeated rows get equal results; repeated items count once; empty tables give no rows (documents) or no hits
@@ -24,117 +25,153 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm._bytes import WORDS, runs, text_udf
-from lintlake.llm._common import id_and_text, park
+from lintlake.llm._bytes import WORDS, mix, runs, span_hashes, text_udf, word_bounds
+from lintlake.llm._common import id_and_text, park, row_key
 
 HITS = "struct<n_words:bigint,items:array<string>,spans:array<struct<start:bigint,end:bigint>>>"
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _HITS = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(_SPAN))])
-
-
-def _words(text: bytes) -> list[bytes]:
-    return text.translate(WORDS).split()
+#: Rows of a matrix that are handled at a time.
+CHUNK = 1 << 16
+
+
+class Words:
+    """The words of texts in a row: their bytes, bounds, hashes, and where each text's words begin (and the last ends)."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data, self.starts, self.ends, counts = word_bounds([t.translate(WORDS) for t in texts])
+        self.hashes = span_hashes(self.data, self.starts, self.ends)
+        self.first = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
+
+    def shingles(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (numbers of words) where q words of one text begin, and the hashes of these words."""
+        n = max(0, len(self.hashes) - q + 1)
+        key = np.full(n, q, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(q):
+                key += self.hashes[j : j + n] * (mix(np.array([j], np.uint64), 8)[0] | np.uint64(1))
+        # A place is cut off where the text ends before the last of the words.
+        inside = np.ones(n, bool)
+        for j in range(1, q):
+            at = self.first[1:-1] - j
+            inside[at[(at >= 0) & (at < n)]] = False
+        place = np.flatnonzero(inside)
+        return place, mix(key[place], 6)
+
+    def said(self, begin: int, size: int) -> list[bytes]:
+        return self.data[self.starts[begin] : self.ends[begin + size - 1]].tobytes().split()
+
+
+class Sorted:
+    """Distinct hashes in order, with a table of some of their bits that most others fail."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        self.mask = np.uint64((1 << max(10, (16 * max(1, len(self.keys)) - 1).bit_length())) - 1)
+        self.table = np.zeros(int(self.mask) + 1, bool)
+        self.table[self.keys & self.mask] = True
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are known, and their numbers."""
+        own = np.flatnonzero(self.table[keys & self.mask]) if len(self.keys) else np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys[own]), len(self.keys) - 1)
+        same = self.keys[at] == keys[own] if len(own) else np.empty(0, bool)
+        return own[same], at[same]
 
 
 class Windows:
-    """The windows of one benchmark block, their shingles, and, once ranked, their prefix tokens."""
+    """The windows of one benchmark block; rank() chooses their prefix tokens."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int, shingle: int):
-        self.ids, self.vocabulary, found = [i for i, _ in items], {}, {}
-        for k, (_, text) in enumerate(items):
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in _words(text)]
-            size = min(window, len(words))
-            for s in range(len(words) - size + 1) if size else ():
-                found.setdefault(tuple(words[s : s + size]), set()).add(k)
-        self.windows, self.owners = list(found), [sorted(v) for v in found.values()]
-        self.radix, self.shingle, self.prefix = len(self.vocabulary) + 1, shingle, {}
-        if self.radix ** min(shingle, max(map(len, self.windows), default=1)) >= 1 << 62:
-            raise ValueError("the block's vocabulary is too large for its shingle length")
-        #: By shingle length: the sorted distinct shingles of all windows.
-        self.tokens = {q: np.unique(np.concatenate([self.keys(np.array(w, np.int64), q) for w in self.windows if min(shingle, len(w)) == q])) for q in sorted({min(shingle, len(w)) for w in self.windows})}
-
-    def keys(self, ids: np.ndarray, q: int) -> np.ndarray:
-        """A number for each q consecutive words, 0 where one isn't in the vocabulary."""
-        n = max(0, len(ids) - q + 1)
-        key, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for j in range(q):
-            key = key * self.radix + ids[j : j + n]
-            known &= ids[j : j + n] > 0
-        return np.where(known, key, 0)
-
-    def rank(self, counts: dict[int, np.ndarray]) -> None:
+        self.ids, self.words, self.shingle = [i for i, _ in items], Words([t for _, t in items]), shingle
+        first = self.words.first
+        sizes = np.minimum(window, np.diff(first))
+        many = np.where(sizes > 0, np.diff(first) - sizes + 1, 0)
+        item = np.repeat(np.arange(len(items)), many)
+        begin = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[:-1][item]
+        size = sizes[item]
+        # Windows of the same words are one; owners lists the items of each.
+        key = size.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(window):
+                own = size > j
+                key[own] = mix(key[own] ^ self.words.hashes[begin[own] + j], 9)
+        _, at, group = np.unique(key, return_index=True, return_inverse=True)
+        order = np.lexsort((item, group))
+        self.begin, self.size = begin[at], size[at]
+        self.owners, self.bounds = item[order].astype(np.int32), np.searchsorted(group[order], np.arange(len(at) + 1))
+        self.lengths = sorted(set(np.minimum(self.size, shingle).tolist()))
+        self.prefix: dict[int, tuple] = {}
+
+    def tokens(self) -> dict[int, Sorted]:
+        """By length: the distinct shingles of all windows."""
+        out = {}
+        for q in self.lengths:
+            place, key = self.words.shingles(q)
+            # Texts of other lengths have shingles too that no window needs; they only cost room.
+            out[q] = Sorted(key)
+        return out
+
+    def rank(self, tokens: dict[int, Sorted], counts: dict[int, np.ndarray]) -> None:
         """Choose each window's rarest shingle, ties by the shingle; counts are by shingle length, in the tokens' order."""
-        entries: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for k, w in enumerate(self.windows):
-            q = min(self.shingle, len(w))
-            keys = self.keys(np.array(w, np.int64), q)
-            order = np.lexsort((keys, counts[q][np.searchsorted(self.tokens[q], keys)]))
-            entries.setdefault((q, int(keys[order[0]])), []).append((k, int(order[0])))
-        for q in self.tokens:
-            mine = sorted((key, at) for (length, key), at in entries.items() if length == q)
-            sizes = np.array([len(at) for _, at in mine])
-            flat = np.array([x for _, at in mine for x in at], np.int64)
-            self.prefix[q] = np.array([key for key, _ in mine], np.int64), np.concatenate(([0], np.cumsum(sizes))), flat[:, 0], flat[:, 1]
-        self.lengths = np.array([len(w) for w in self.windows])
-        self.words = np.zeros((len(self.windows), max(self.lengths)), np.int64)
-        for k, w in enumerate(self.windows):
-            self.words[k, : len(w)] = w
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all texts, one 0 after each, and where each text starts (and the last ends)."""
-        get, ids, starts = self.vocabulary.get, [], [0]
-        for text in texts:
-            ids.extend([get(w, 0) for w in _words(text)])
-            ids.append(0)
-            starts.append(len(ids))
-        return np.array(ids, np.int64), np.array(starts, np.int64)
-
-    def count(self, texts: list[bytes], totals: dict[int, np.ndarray]) -> None:
-        ids, _ = self.encode(texts)
-        for q, tokens in self.tokens.items():
-            keys = self.keys(ids, q)
-            keys = keys[keys > 0]
-            at = np.searchsorted(tokens, keys)
-            at[at == len(tokens)] = 0
-            totals[q] += np.bincount(at[tokens[at] == keys], minlength=len(tokens))
+        for q in self.lengths:
+            place, key = self.words.shingles(q)
+            number = np.zeros(len(self.words.hashes), np.int64)
+            number[place] = np.searchsorted(tokens[q].keys, key)
+            own = np.flatnonzero(np.minimum(self.size, self.shingle) == q)
+            token, offset = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+            for size in np.unique(self.size[own]).tolist():
+                of = np.flatnonzero(self.size[own] == size)
+                for i in range(0, len(of), CHUNK):
+                    some = of[i : i + CHUNK]
+                    n = number[self.begin[own[some]][:, None] + np.arange(size - q + 1)]
+                    c = counts[q][n]
+                    n = np.where(c == c.min(1, keepdims=True), n, len(tokens[q].keys))
+                    offset[some] = n.argmin(1)
+                    token[some] = n.min(1)
+            order = np.argsort(token, kind="stable")
+            some, starts = np.unique(token[order], return_index=True)
+            self.prefix[q] = Sorted(tokens[q].keys[some]), np.append(starts, len(order)), own[order], offset[order]
 
     def hits(self, texts: list[bytes]) -> pa.Array:
         """For each text its number of words, the items with windows in it, and the word ranges that windows cover."""
-        ids, starts = self.encode(texts)
-        begins, windows = [], []
+        docs = Words(texts)
+        found: list[tuple[int, int]] = []
         for q, (tokens, bounds, window, offset) in self.prefix.items():
-            keys = self.keys(ids, q)
-            place = np.flatnonzero(keys)
-            at = np.searchsorted(tokens, keys[place])
-            at[at == len(tokens)] = 0
-            found = tokens[at] == keys[place]
-            place, at = place[found], at[found]
+            place, key = docs.shingles(q)
+            own, at = tokens.find(key)
+            place = place[own]
             sizes = bounds[at + 1] - bounds[at]
-            entry = np.repeat(bounds[at] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum()) if len(at) else at
-            w, begin = window[entry], np.repeat(place, sizes) - offset[entry]
-            # Length and positional bounds: the window must lie within the text of its token.
-            text = np.searchsorted(starts, np.repeat(place, sizes), "right") - 1
-            fits = (begin >= starts[text]) & (begin + self.lengths[w] <= starts[text + 1] - 1)
-            w, begin = w[fits], begin[fits]
-            for size in np.unique(self.lengths[w]):
-                own = self.lengths[w] == size
-                same = (ids[begin[own][:, None] + np.arange(size)] == self.words[w[own], :size]).all(1)
-                begins.append(begin[own][same])
-                windows.append(w[own][same])
-        begin = np.concatenate(begins) if begins else np.empty(0, np.int64)
-        window = np.concatenate(windows) if windows else np.empty(0, np.int64)
-        order = np.argsort(begin, kind="stable")
-        begin, window = begin[order], window[order]
-        text = np.searchsorted(starts, begin, "right") - 1
-        out = [{"n_words": int(n), "items": [], "spans": []} for n in np.diff(starts) - 1]
+            ends = np.cumsum(sizes)
+            # A token of very many windows, or a text of very many tokens, is handled in parts.
+            for i in range(0, int(ends[-1]) if len(ends) else 0, CHUNK):
+                each = np.arange(i, min(i + CHUNK, int(ends[-1])))
+                k = np.searchsorted(ends, each, "right")
+                entry = bounds[at[k]] + each - (ends[k] - sizes[k])
+                w, begin = window[entry], place[k] - offset[entry]
+                # Length and positional bounds: the window must lie within the text of its token.
+                text = np.searchsorted(docs.first, place[k], "right") - 1
+                fits = (begin >= docs.first[text]) & (begin + self.size[w] <= docs.first[text + 1])
+                w, begin = w[fits], begin[fits]
+                for size in np.unique(self.size[w]).tolist():
+                    mine = self.size[w] == size
+                    span = np.arange(size)
+                    same = (docs.hashes[begin[mine][:, None] + span] == self.words.hashes[self.begin[w[mine]][:, None] + span]).all(1)
+                    found += zip(begin[mine][same].tolist(), w[mine][same].tolist(), strict=True)
+        out = [{"n_words": int(n), "items": [], "spans": []} for n in np.diff(docs.first)]
         owners: dict[int, set[int]] = {}
-        for t, b, w in zip(text.tolist(), (begin - starts[text]).tolist(), window.tolist(), strict=True):
-            spans, end = out[t]["spans"], b + len(self.windows[w])
-            if spans and b <= spans[-1]["end"]:
-                spans[-1]["end"] = max(spans[-1]["end"], end)
+        for b, w in sorted(found):
+            size = int(self.size[w])
+            if docs.said(b, size) != self.words.said(int(self.begin[w]), size):
+                continue
+            t = int(np.searchsorted(docs.first, b, "right")) - 1
+            start = b - int(docs.first[t])
+            spans = out[t]["spans"]
+            if spans and start <= spans[-1]["end"]:
+                spans[-1]["end"] = max(spans[-1]["end"], start + size)
             else:
-                spans.append({"start": b, "end": end})
-            owners.setdefault(t, set()).update(self.owners[w])
+                spans.append({"start": start, "end": start + size})
+            owners.setdefault(t, set()).update(self.owners[self.bounds[w] : self.bounds[w + 1]].tolist())
         for t, own in owners.items():
             out[t]["items"] = sorted({self.ids[k] for k in own} - {None})
         return pa.array(out, _HITS)
@@ -153,24 +190,29 @@ def _blocks(bench: DataFrame, block_bytes: int, id_col: str, text_col: str):
 def _ranked(texts: DataFrame, items: list, window: int, shingle: int) -> Windows:
     """The block's windows with prefix tokens, by the shingles' counts over all texts."""
     windows = Windows(items, window, shingle)
-    shared = texts.sparkSession.sparkContext.broadcast(windows)
+    tokens = windows.tokens()
+    if not len(windows.begin):
+        return windows
+    shared = texts.sparkSession.sparkContext.broadcast(tokens)
 
     def count(batches):
-        own = shared.value
-        totals = {q: np.zeros(len(t), np.int64) for q, t in own.tokens.items()}
+        totals = {q: np.zeros(len(t.keys), np.int64) for q, t in shared.value.items()}
         for batch in batches:
             for part in runs(batch.column(0)):
-                own.count(part, totals)
+                words = Words(part)
+                for q, own in shared.value.items():
+                    totals[q] += np.bincount(own.find(words.shingles(q)[1])[1], minlength=len(own.keys))
         for q, n in totals.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at])], ["q", "at", "n"])
 
-    totals = {q: np.zeros(len(t), np.int64) for q, t in windows.tokens.items()}
-    counted = texts.select("text").mapInArrow(count, "q int, at int, n bigint").groupBy("q", "at").agg(F.sum("n").alias("n"))
-    for r in counted.collect() if windows.windows else []:  # at most a row per shingle of the block
-        totals[r["q"]][r["at"]] = r["n"]
-    if windows.windows:
-        windows.rank(totals)
+    totals = {q: np.zeros(len(t.keys), np.int64) for q, t in tokens.items()}
+    counted = texts.select("text").mapInArrow(count, "q int, at int, n bigint").groupBy("q", "at").agg(F.sum("n").alias("n")).toArrow()  # at most a row per shingle of the block
+    q, at, n = (counted.column(c).to_numpy() for c in ("q", "at", "n"))
+    for length in totals:
+        totals[length][at[q == length]] = n[q == length]
+    shared.unpersist()
+    windows.rank(tokens, totals)
     return windows
 
 
@@ -216,11 +258,15 @@ def _result(rows: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = 10, shingle: int = 3, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of docs, all columns, without those in which a benchmark window occurs."""
+    hit_rows = None
     for n, items in _blocks(bench, block_bytes, "item_id", "text"):
         hit = _hits_column(id_and_text(docs), items, window, shingle)
-        docs = docs.withColumn("__hits", hit(F.col("text").cast("string"))).where(F.size("__hits.spans") == 0).drop("__hits")
-        docs = docs if n == 1 else park(docs, "kept")
-    return docs
+        rows = docs.withColumn("__hits", hit(F.col("text").cast("string")))
+        if n == 1:
+            return rows.where(F.size("__hits.spans") == 0).drop("__hits")
+        found = park(rows.where(F.size("__hits.spans") > 0).select(row_key(docs).alias("__rh")), "hit")
+        hit_rows = found if hit_rows is None else hit_rows.unionAll(found)
+    return docs.withColumn("__rh", row_key(docs)).join(hit_rows.distinct(), "__rh", "left_anti").select(*docs.columns)
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

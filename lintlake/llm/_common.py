@@ -19,23 +19,40 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARK, OTHER = "￿", "￾"
 
 
+#: Folders of parked tables that this process wrote.
+_PARKED: list[str] = []
+
+
 @functools.cache
 def _own_dir() -> str:
     return f"file://{tempfile.mkdtemp(prefix='lintlake-')}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines share; where none is set (tests) a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_dir()
+    """The folder of spark.checkpoint.dir, which all machines share; where none is set, and all is on one machine (tests), a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        at = _own_dir()
     return at.rstrip("/")
 
 
 def park(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lintlake-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/lintlake-{uuid.uuid4().hex}"
+    _PARKED.append(folder)
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def drop_parked(spark: SparkSession) -> None:
+    """Delete the tables parked so far; to be called once the results that read them are written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _PARKED:
+        path = jvm.org.apache.hadoop.fs.Path(_PARKED.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def row_key(docs: DataFrame) -> Column:

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm._common import id_and_text, long_array, range_of
+from lintlake.llm._common import id_and_text, long_array, park, range_of
 
 LANES, WIDTH, PER, SHIFTS, SEEDS = 16, 31, 2, 30, (3, 7)
 LANE_MASK = (1 << 32) - 1
@@ -94,32 +94,75 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return add_fingerprint(rows, "text", "fingerprint")
 
 
+#: There are at most about so many blocks, and as many ids, or texts of an id, with a block's number of rows.
+BLOCKS = 1 << 16
+
+
 def with_next(rows: DataFrame, block_rows: int = 500) -> DataFrame:
     """Add next_text, next_fingerprint: those of the next row by doc_id (then by the text's hash); the last row's are the first's.
 
     Rows are dealt by doc_id into blocks cut at approximate quantiles; the first rows of a block are also sent to the
-    block before, so that each block finds its rows' next ones alone.  Text moves once, whatever the number of rows.
+    block before, so that each block finds its rows' next ones alone.  Text moves once, whatever the number of rows.  An id
+    with over a block's number of rows (as null may be) has blocks of its own, by ranges of the text's hash; rows of such an
+    id that are also equal in text are each other's next, so one of them stands for all.
     """
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(MIN_KEY)))
     ids = rows.select("key")
     least, n = ids.agg(F.min("key"), F.count("*")).first()
-    blocks = min(1 << 16, math.ceil((n or 0) / block_rows))
+    target = max(block_rows, math.ceil((n or 0) / BLOCKS))
+    blocks = math.ceil((n or 0) / target)
     bounds = []
     if blocks > 1:
         cuts = F.array(*(F.lit(i / blocks) for i in range(1, blocks)))
         bounds = ids.agg(F.percentile_approx("key", cuts, F.lit(max(10_000, 4 * blocks)))).first()[0]
     bounds = sorted({least if least is not None else 0, *bounds})
+    hot = {r["key"]: r["n"] for r in ids.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > target).collect()} if blocks > 1 else {}
+    order = ["place.ahead", "key", F.xxhash64("text")]
+    if hot:
+        rows, alike = _spread(rows, hot, bounds, target)
+        found = _led(rows, Window.partitionBy("place.block", "place.sub").orderBy(*order))
+        return found.unionByName(alike)
     own = F.col("block")
     rows = rows.withColumn("block", range_of(F.col("key"), bounds) - 1)
     first = F.col("key") == F.get(long_array(bounds), own)
     before = F.when(own == 0, F.lit(len(bounds) - 1)).otherwise(own - 1)
     places = F.array(F.struct(own.alias("block"), F.lit(0).alias("ahead")), F.when(first, F.struct(before.alias("block"), F.lit(1).alias("ahead"))))
     rows = rows.withColumn("place", F.explode(F.filter(places, lambda p: p.isNotNull()))).drop("block")
-    order = Window.partitionBy("place.block").orderBy("place.ahead", "key", F.xxhash64("text"))
+    return _led(rows, Window.partitionBy("place.block").orderBy(*order))
+
+
+def _led(rows: DataFrame, order) -> DataFrame:
     rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)})
     return rows.where(F.col("place.ahead") == 0).drop("place", "key")
 
 
+def _spread(rows: DataFrame, hot: dict[int, int], bounds: list[int], target: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their places, rows whose next is their like): ids of `hot` get blocks of their own, cut by the text's hash."""
+    bounds = sorted({*bounds, *hot, *(k + 1 for k in hot if k < (1 << 63) - 1)})
+    block = range_of(F.col("key"), bounds) - 1
+    pieces = F.get(long_array([math.ceil(hot.get(b, 0) / target) or 1 for b in bounds]), F.col("block"))
+    sub = F.least(pieces - 1, F.floor((F.col("th") / F.lit(2.0**64) + 0.5) * pieces))
+    rows = rows.withColumn("th", F.xxhash64("text")).withColumn("block", block).withColumn("sub", sub)
+    # Equal texts of a hot id, if they are as many: at most BLOCKS groups.
+    groups = rows.where(pieces > 1).groupBy("key", "th").agg(F.count("*").alias("n")).where(F.col("n") > target)
+    groups = F.broadcast(park(groups, "alike"))
+    one = rows.join(groups, ["key", "th"]).groupBy("key", "th", "block", "sub").agg(*(F.first(c).alias(c) for c in ("doc_id", "text", "fingerprint", "n")))
+    one = park(one, "ones")
+    alike = one.withColumn("i", F.explode(F.sequence(F.lit(2), F.col("n")))).select("doc_id", "text", "fingerprint", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
+    # A row a block: few enough for one task to put in order, and for a broadcast.
+    firsts = rows.groupBy("block", "sub").agg(F.min(F.struct("key", "th")).alias("first"))
+    around = Window.orderBy("block", "sub")
+    last = Window.orderBy(F.desc("block"), F.desc("sub"))
+    here = F.struct("block", "sub")
+    firsts = firsts.withColumn("before", F.coalesce(F.lag(here).over(around), F.first(here).over(last)))
+    rows = rows.join(groups, ["key", "th"], "left_anti").unionByName(one.drop("n"))
+    rows = rows.join(F.broadcast(park(firsts, "firsts")), ["block", "sub"])
+    place = lambda b, c, ahead: F.struct(b.alias("block"), c.alias("sub"), F.lit(ahead).alias("ahead"))
+    ahead = F.when(F.struct("key", "th") == F.col("first"), place(F.col("before.block"), F.col("before.sub"), 1))
+    places = F.filter(F.array(place(F.col("block"), F.col("sub"), 0), ahead), lambda p: p.isNotNull())
+    return rows.withColumn("place", F.explode(places)).drop("block", "sub", "th", "first", "before"), alike
+
+
 def op2_fingerprints(spark, sf_dir: str) -> DataFrame:
     rows = with_next(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     n = F.length("text")

@@ -4,7 +4,8 @@ Records are ordered by (hash of the text, hash of the id, id).  Splitters are qu
 that key; the ranges between them are summed exactly, and a record's shard follows from the bytes before it, so the
 shards' sizes differ by about one record.  Equal texts are neighbours in this order and stay in one shard unless their
 group is so large (over `tolerance` of a shard) that it would tip the balance and may be cut where a shard ends.  Such a
-text, and one with over two ranges' number of rows, has a range alone, which is subdivided by the hash of the id.
+text, and one with over two ranges' number of rows, has a range alone, which is subdivided by the hash of the id; other
+ranges with that many rows, as of very many small texts, are subdivided by the key.
 
 Nulls: a null text counts no bytes (size 1) and is grouped with the empty text; a null id sorts first.  Repeated rows
 are placed one by one.  An empty table gives no rows.  Other columns are ignored.
@@ -12,6 +13,7 @@ are placed one by one.  An empty table gives no rows.  Other columns are ignored
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,14 +58,17 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, range_rows:
     alone, hot = [r["key"] for r in large], [r["key"] for r in large if r["heavy"]]
     bounds = sorted({*sample_splitters(rows, total, ranges), *alone, *(k + 1 for k in alone if k < (1 << 63) - 1)})
     rows = rows.withColumn("part", range_of(F.col("key"), bounds)).withColumn("salt", F.shiftrightunsigned(F.xxhash64("doc_id", "rh", F.lit(5)), 1))
-    full = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).where((F.col("a") == F.col("b")) & (F.col("n") > 2 * target)).collect()}
-    rows = rows.withColumn("sub", _sub_range(full, target, len(bounds) + 1))
+    most = min(target, range_rows)
+    parts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
+    full = {r["part"]: (r["n"], r["a"], r["b"]) for r in parts.where(F.col("n") > 2 * most).collect()}
+    rows = rows.withColumn("sub", _sub_range(full, most, len(bounds) + 1))
+    single = F.get(long_array([int(p in full and full[p][1] == full[p][2]) for p in range(len(bounds) + 1)]), F.col("part").cast("int")) == 1
     # Bytes before each range: one row a range, so one task may add them up and every executor hold them.
     before = Window.orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("part", "sub").agg(F.sum("size").alias("bytes")).select("part", "sub", "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
     # The middle of a subdivided range, which is that of its one text.
     whole = Window.partitionBy("part")
-    starts = starts.select("part", "sub", "base", F.when(F.count("*").over(whole) > 1, F.min("base").over(whole) + F.sum("bytes").over(whole) / 2).alias("whole"))
+    starts = starts.select("part", "sub", "base", F.when(single & (F.count("*").over(whole) > 1), F.min("base").over(whole) + F.sum("bytes").over(whole) / 2).alias("whole"))
     inside = Window.partitionBy("part", "sub").orderBy("key", "salt", "doc_id", "rh")
     group = Window.partitionBy("part", "sub", "key")
     placed = (
@@ -94,10 +99,15 @@ def _is_hot(hot: list[int]) -> Column:
     return F.col("key").isin(hot) if hot else F.lit(False)
 
 
-def _sub_range(full: dict[int, int], target: int, parts: int) -> Column:
-    """Parts of an overfull one-key range, by the salt, about `target` rows each."""
-    pieces = F.get(long_array([math.ceil(full.get(p, 0) / target) or 1 for p in range(parts)]), F.col("part").cast("int"))
-    return F.least(pieces - 1, F.floor(F.col("salt") / F.lit(2.0**63) * pieces)).cast("int")
+def _sub_range(full: dict[int, tuple[int, int, int]], target: int, parts: int) -> Column:
+    """Parts of an overfull range, about `target` rows each: of one key by the salt, of several by the key, which is a hash."""
+    part = F.col("part").cast("int")
+    doubles = lambda values: F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
+    none = (0, 0, 0)
+    pieces = F.get(long_array([math.ceil(full.get(p, none)[0] / target) or 1 for p in range(parts)]), part)
+    low, wide = (F.get(doubles(v), part) for v in ([full.get(p, none)[1] for p in range(parts)], [full.get(p, none)[2] - full.get(p, none)[1] for p in range(parts)]))
+    along = F.when(wide > 0, (F.col("key") - low) / wide).otherwise(F.col("salt") / F.lit(2.0**63))
+    return F.when(pieces > 1, F.least(pieces - 1, F.floor(along * pieces))).otherwise(F.lit(0)).cast("int")
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -11,7 +12,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lintlake.llm import decontamination, fingerprints, jaccard, language, licenses, mixing, pii, quality, secrets, sharding
+from lintlake.llm import _common, decontamination, fingerprints, jaccard, language, licenses, mixing, pii, quality, secrets, sharding
 from lintlake.llm._common import running_sum
 
 SYLLABLES = "an be co du er fi go ha in jo ka li mo nu or pa qui ré so tü".split()
@@ -142,6 +143,19 @@ def test_next_document(docs, none, rows, block_rows):
     assert fingerprints.with_next(fingerprints.fingerprints(none)).count() == 0
 
 
+def test_next_document_of_hot_ids(spark):
+    """Rows of one id, and of none, by far over a block, many of them equal."""
+    rng = random.Random(9)
+    rows = [(None, "same nothing" if i % 2 else f"none {i}") for i in range(60)] + [(7, f"seven {i % 9}") for i in range(50)] + [(i, prose(rng, 4)) for i in range(40)]
+    df = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    got = Counter((r["doc_id"], r["text"], r["next_text"]) for r in fingerprints.with_next(df, 6).collect())
+    order = fingerprints.with_next(df, 10_000)
+    assert got == Counter((r["doc_id"], r["text"], r["next_text"]) for r in order.collect())
+    hashes = {t: h for t, h in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t")).distinct().collect()}
+    line = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    assert got == Counter((i, t, line[(k + 1) % len(line)][1]) for k, (i, t) in enumerate(line))
+
+
 def test_likeness(spark):
     rng = random.Random(3)
     a, b = prose(rng, 800), prose(rng, 800)
@@ -348,6 +362,30 @@ def test_a_text_of_many_rows_and_few_bytes_is_subdivided(spark, monkeypatch):
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
 
 
+def test_a_range_of_many_small_texts_is_subdivided(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, f"t{i}") for i in range(3000)] + [(5000 + i, prose(rng, 3000)) for i in range(40)]
+    placed, keep = {}, sharding.park
+    monkeypatch.setattr(sharding, "park", lambda df, name: placed.setdefault(name, keep(df, name)))
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, range_rows=50).collect()
+    ranges = Counter((r["part"], r["sub"]) for r in placed["placed"].collect())
+    assert max(ranges.values()) < 150
+    size = Counter()
+    for r in out:
+        size[r["shard"]] += r["size"]
+    assert max(size.values()) - min(size.values()) <= 2 * max(r["size"] for r in out)
+    for s in range(4):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+
+
+def test_parked_tables_are_dropped(spark, tmp_path):
+    table = _common.park(spark.range(3), "some")
+    at = table.inputFiles()[0].split("file:")[1].replace("///", "/")
+    assert os.path.exists(at)
+    _common.drop_parked(spark)
+    assert not os.path.exists(at)
+
+
 # --- 6 and 7 ---
 
 

@@ -26,7 +26,8 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Template label, mandatory key phrases (one must stand in the alignment), template text.
+#: Template label, mandatory key phrases (one must stand in the alignment), template text: notices of one
+#: sentence first, then the paragraphs of the licences' own texts and headers.
 TEMPLATES = [
     ("agpl-3.0", ["affero general public license"], "this work is licensed under the gnu affero general public license version 3"),
     ("apache-2.0", ["apache license version 2"], "licensed under the apache license version 2 0"),
@@ -50,10 +51,25 @@ TEMPLATES = [
     ("mit-grant", ["permission is hereby granted free of charge"], "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", ["mozilla public license"], "subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", ["released into the public domain"], "this is free and unencumbered software released into the public domain"),
+    ("agpl-3.0", ["affero general public license as published"], "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("apache-2.0", ["licensed under the apache license version 2"], "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd", ["redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice"], "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", ["neither the name of"], "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", ["this software is provided by the copyright holders and contributors"], "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("bsl-1.0", ["permission is hereby granted free of charge to any person or organization"], "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"),
+    ("gpl-2.0", ["either version 2 of the license"], "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3.0", ["either version 3 of the license"], "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("isc", ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"], "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl-3.0", ["lesser general public license as published"], "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("mit-grant", ["permission is hereby granted free of charge to any person obtaining"], "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit-grant", ["the software is provided as is without warranty of any kind"], "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("mpl-2.0", ["this source code form is subject to the terms of the mozilla public license"], "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("unlicense", ["free and unencumbered software"], "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("zlib", ["provided as is without any express or implied warranty"], "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
 ]
 
 #: A text without any of these holds neither a base phrase nor a template's key phrase.
-SIEVE_PARTS = ("licen", "public", "attribution", "redistribution", "hereby", "cc0")
+SIEVE_PARTS = ("licen", "public", "attribution", "redistribution", "hereby", "cc0", "contributors", "copyright", "warranty", "unencumbered")
 SIEVE_CC = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 
 

@@ -6,11 +6,12 @@ import argparse
 import subprocess
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.api import review_tree
 from lintlake.operators.review import SEVERITIES, as_json, at_least, position, severity_rank
+from lintlake.sources.config import DEFAULTS, load_config
 
 
 def changed(root: str, ref: str | None) -> list[str]:
@@ -19,12 +20,6 @@ def changed(root: str, ref: str | None) -> list[str]:
     return subprocess.run(command, capture_output=True, text=True, check=True).stdout.splitlines()
 
 
-def only(found: DataFrame, root: str, names: list[str]) -> DataFrame:
-    """Findings in the named files, which are few enough for a command line."""
-    inside = F.substring_index("path", root.rstrip("/") + "/", -1)
-    return found.where(inside.isin(names))
-
-
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lintlake", description=__doc__)
     p.add_argument("root", nargs="?", default=".")
@@ -37,9 +32,9 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--json", metavar="FOLDER", help="write the findings there as JSON")
     o = p.parse_args(args)
     spark = SparkSession.builder.appName("lintlake").getOrCreate()
-    _, found = review_tree(spark, o.root, disabled=tuple(o.disable))
-    if o.staged or o.diff:
-        found = only(found, o.root, changed(o.root, o.diff))
+    names = changed(o.root, o.diff) if o.staged or o.diff else None
+    config = load_config(o.root) or DEFAULTS
+    _, found = review_tree(spark, o.root, names, disabled=(*o.disable, *config["ignore"]["rules"]))
     found = at_least(found, o.min_severity, o.min_confidence).cache()
     if o.json:
         as_json(found).select("finding").write.mode("overwrite").text(o.json)

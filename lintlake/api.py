@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.operators import graph, review, rules, structure, taint
-from lintlake.sources.files import scan_tree
+from lintlake.sources.files import HINTS, read_file, scan_tree
 
 
 def review_files(files: DataFrame, disabled: tuple[str, ...] = (), suppressed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -30,9 +32,25 @@ def review_code(spark: SparkSession, code: str, language: str = "python") -> dic
     return review.review_rows(scores, found).first().asDict(recursive=True)
 
 
-def review_tree(spark: SparkSession, root: str, **options) -> tuple[DataFrame, DataFrame]:
-    """(scores, findings) of all files below a folder; findings have their path."""
-    files = scan_tree(spark, root)
+def analyze_file(spark: SparkSession, path: str) -> dict:
+    """Score, summary and findings of one file, or an error."""
+    if not os.path.exists(path):
+        return {"error": f"File not found: {path}"}
+    if not os.path.isfile(path):
+        return {"error": f"Not a file: {path}"}
+    row = read_file(spark, os.path.abspath(path)).first()
+    return review_code(spark, row["code"], row["language"]) | {"file_path": os.path.abspath(path)}
+
+
+def get_findings(spark: SparkSession, code: str, language: str = "python", severity: str | None = None) -> list[dict]:
+    """Findings of one text, of one severity if it is given; languages that aren't known count as python."""
+    found = review_code(spark, code, language if language in HINTS else "python")["findings"] or []
+    return [f for f in found if severity is None or f["severity"] == severity.lower()]
+
+
+def review_tree(spark: SparkSession, root: str, only: list[str] | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(scores, findings) of all files below a folder, or of those named; findings have their path."""
+    files = scan_tree(spark, root, only=only)
     scores, found = review_files(files, **options)
     paths = files.select("file_id", "path")
     return scores.join(paths, "file_id"), found.join(paths, "file_id")

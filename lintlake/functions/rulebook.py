@@ -7,6 +7,7 @@ rules of a language into one projection over the lines of a file, and the line r
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from lintlake.functions.predicates import FirstNotIn, Has, Re, Starts, Test, any_of, any_re
@@ -21,7 +22,8 @@ class Rule:
     """One rule.  kind: how `test` is used; see lintlake.operators.rules.
 
     key is unique, id the public one.  skip: prefixes of stripped lines that are passed over.  extract: pattern and
-    group whose match fills {} in the title.
+    group whose match fills {} in the title.  check: of kind "function", a function of (code, language) that gives
+    (line or None, title or None, severity or None) for each finding, None standing for the rule's own.
     """
 
     key: str
@@ -35,10 +37,12 @@ class Rule:
     extract: tuple[str, int] | None = None
     kind: str = "line"
     least: int = 0
+    check: Callable[[str, str], list[tuple[int | None, str | None, str | None]]] | None = None
 
     @property
     def id(self) -> str:
-        return re.match(r"[A-Z]+\d{3}", self.key)[0]
+        found = re.match(r"[A-Z]+\d{3}", self.key)
+        return found[0] if found else self.key
 
 
 # --- Fixed values: the patterns, titles, severities and confidences that findings are compared by. ---
@@ -187,3 +191,21 @@ RULES: list[Rule] = [
     Rule("CL003", ALL, "low", "quality", 0.7, "Magic number: {}", ~Has("import", "stripped") & ~Has('"""', "stripped") & ~Has("'''", "stripped"), (HASH, SLASH, STAR), kind="numbers"),
     Rule("CL004", ALL, "critical", "security", 0.85, "Hardcoded credential detected", any_re(_CL004) & ~any_of([Has(s) for s in ("os.environ", "process.env", "getenv", "config.")]), (HASH, SLASH, STAR)),
 ]
+
+#: Rules of the user's own, run after those above in the order in which they were registered.
+REGISTERED: list[Rule] = []
+
+
+def register(rule: Rule) -> None:
+    """Add a rule: predicates join the projection over lines, a function is called once a file."""
+    if any(r.key == rule.key for r in every_rule()):
+        raise ValueError(f"there is a rule {rule.key} already")
+    REGISTERED.append(rule)
+
+
+def unregister(key: str) -> None:
+    REGISTERED[:] = [r for r in REGISTERED if r.key != key]
+
+
+def every_rule() -> list[Rule]:
+    return [*RULES, *REGISTERED]

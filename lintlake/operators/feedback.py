@@ -50,6 +50,15 @@ def active(suppressed: DataFrame, now: Column) -> DataFrame:
     return suppressed.where(F.col("active_until") > now)
 
 
+#: What the keys of suppressed source and sink pairs begin with.
+PAIRS = "taint:"
+
+
+def listed(suppressed: DataFrame) -> DataFrame:
+    """Suppressions of findings alone: rows (fingerprint, ...) without those of source and sink pairs."""
+    return suppressed.where(~F.col("fingerprint").startswith(PAIRS))
+
+
 def split_cached(files: DataFrame, results: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(files with a stored result that hasn't expired, the others); results: (key, expires_at)."""
     keyed = files.withColumn("key", content_key(F.col("code"), F.col("language")))

@@ -11,11 +11,14 @@ def node_id(kind: Column, name: Column, path: Column) -> Column:
 
 
 def import_name(statement: Column, language: Column) -> Column:
-    """The module an import statement names; null for languages without a rule."""
+    """The module an import statement of Python or JavaScript names; null for other languages and statements."""
     text = F.trim(statement)
-    python = F.when(text.startswith("from "), F.split_part(text, F.lit(" "), F.lit(2))).otherwise(F.split_part(F.split_part(F.split_part(text, F.lit(" "), F.lit(2)), F.lit("."), F.lit(1)), F.lit(","), F.lit(1)))
-    script = F.regexp_replace(F.trim(F.regexp_extract(text, r".*\bfrom\b(.*)$", 1)), "[\"';]", "")
-    return F.when(language == "python", python).when(language.isin("javascript", "typescript") & text.rlike(r"\bfrom\b"), script)
+    word = F.get(F.split(F.regexp_replace(text, r"\s+", " "), " "), F.lit(1))
+    python = F.when(text.startswith("from "), word).when(text.startswith("import "), F.split_part(word, F.lit("."), F.lit(1)))
+    # What stands after the last "from", without blanks, then quotes, then semicolons at its ends.
+    script = F.trim(F.element_at(F.split(text, "from"), -1))
+    script = F.regexp_replace(F.regexp_replace(script, "^['\"]+|['\"]+$", ""), "^;+|;+$", "")
+    return F.when(language == "python", python).when((language == "javascript") & text.contains("from") & (script != ""), script)
 
 
 def _node(kind: str, name: Column, path: Column, first: Column | None = None, last: Column | None = None) -> Column:

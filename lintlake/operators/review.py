@@ -92,6 +92,36 @@ def at_least(findings: DataFrame, severity: str = "low", confidence: float = 0.0
     return findings.where((severity_rank(F.col("severity")) <= SEVERITIES.index(severity)) & (F.col("confidence") >= confidence))
 
 
+def of_severity(findings: DataFrame, severity: str | None) -> DataFrame:
+    """Findings of one severity, whatever its case; all without one."""
+    return findings.where(F.col("severity") == severity.lower()) if severity else findings
+
+
+#: Words in a category that give a finding to the security or the documentation agent; quality has the rest.
+AGENT_WORDS = {"security": ("security", "vulnerab", "injection", "auth"), "docs": ("doc", "comment", "readme")}
+
+
+def agent_of(category: Column) -> Column:
+    out = F.lit("quality")
+    for agent, words in reversed(AGENT_WORDS.items()):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.lower(category).contains(w)
+        out = F.when(hit, agent).otherwise(out)
+    return out
+
+
+def agent_counts(findings: DataFrame) -> DataFrame:
+    """agent, n: findings by the agent that their category points to."""
+    return findings.groupBy(agent_of(F.col("category")).alias("agent")).agg(F.count("*").alias("n"))
+
+
+def plain_rows(findings: DataFrame) -> DataFrame:
+    """The fields that a report on the command line shows, in its order; what a finding lacks is null."""
+    fields = {"severity": "string", "category": "string", "title": "string", "description": "string", "line_start": "int", "line_end": "int", "rule_id": "string", "confidence": "double"}
+    return findings.select("file_id", *((F.col(c) if c in findings.columns else F.lit(None)).cast(k).alias(c) for c, k in fields.items()))
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n"))
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions import rulebook as book
 from lintlake.functions.predicates import Place, Test, quote, window_column
-from lintlake.functions.rulebook import ALL, RULES, Rule
+from lintlake.functions.rulebook import ALL, Rule
 from lintlake.functions.textops import indent, line_count, matches, split_lines, starts_with_any, strip
 
 #: What the projection over lines makes of a finding; the rest is added from the table of rules.
@@ -27,7 +28,7 @@ def _finding(rule: Rule, title: Column | None, line: Column | None, seq: Column
     """A HIT; title and severity only where they aren't the rule's own."""
     none = F.lit(None)
     return F.struct(
-        F.lit(RULES.index(rule)).alias("rule_ord"),
+        F.lit(book.every_rule().index(rule)).alias("rule_ord"),
         (F.lit(seq) if isinstance(seq, int) else seq.cast("int")).alias("seq"),
         (none if line is None else line).cast("int").alias("line_start"),
         (none if severity is None else severity).cast("string").alias("severity"),
@@ -167,9 +168,31 @@ def _of_language(language: str, rules: list[Rule], structured: bool) -> Column:
     return F.concat(*parts) if parts else _none()
 
 
+def _called(rules: list[Rule]) -> Column:
+    """Findings of rules that are functions, each called once a file; one that raises finds nothing."""
+    numbers = {r.key: book.every_rule().index(r) for r in rules}
+
+    def of(code: str, language: str) -> list[dict]:
+        found = []
+        for r in rules:
+            if language in r.languages:
+                try:
+                    hits = list(r.check(code, language))
+                except Exception:  # noqa: BLE001  a user's rule must not end the job
+                    hits = []
+                found += [{"rule_ord": numbers[r.key], "seq": i, "line_start": line, "severity": severity, "title": title} for i, (line, title, severity) in enumerate(hits)]
+        return found
+
+    kind = pa.list_(pa.struct([("rule_ord", pa.int32()), ("seq", pa.int32()), ("line_start", pa.int32()), ("severity", pa.string()), ("title", pa.string())]))
+    run = F.arrow_udf(lambda codes, languages: pa.array([of(c, k) for c, k in zip(codes.to_pylist(), languages.to_pylist(), strict=True)], kind), f"array<{HIT}>")
+    return run("code", "language")
+
+
 def raw_findings(files: DataFrame, disabled: tuple[str, ...] = (), only: tuple[str, ...] | None = None) -> DataFrame:
     """file_id, language and the fields of a finding, before deduplication.  disabled: public ids; only: keys or ids."""
-    rules = [r for r in RULES if r.id not in disabled and (only is None or r.key in only or r.id in only)]
+    rules = [r for r in book.every_rule() if r.id not in disabled and (only is None or r.key in only or r.id in only)]
+    functions = [r for r in rules if r.kind == "function"]
+    rules = [r for r in rules if r.kind != "function"]
     structured = "structure" in files.columns
     rows = files.where(F.col("language").isin(*ALL) & F.col("code").isNotNull()).withColumn("lines", split_lines(F.col("code")))
     rows = rows.withColumn("stripped", F.transform("lines", strip))
@@ -178,7 +201,8 @@ def raw_findings(files: DataFrame, disabled: tuple[str, ...] = (), only: tuple[s
     for language in ALL:
         if own := [r for r in rules if r.languages != ALL and language in r.languages]:
             found = F.when(F.col("language") == language, _of_language(language, own, structured)).otherwise(found)
-    rows = rows.select("file_id", "language", F.concat(_of_language(ALL[0], shared, structured), found).alias("findings"))
+    called = [_called(functions)] if functions else []
+    rows = rows.select("file_id", "language", F.concat(_of_language(ALL[0], shared, structured), found, *called).alias("findings"))
     # An outer explode: from a plain one the optimizer infers a filter that would work out the findings twice more.
     hits = rows.select("file_id", "language", F.explode_outer("findings").alias("f")).where("f is not null").select("file_id", "language", "f.*")
     own = rule_table(files.sparkSession)
@@ -192,7 +216,7 @@ def raw_findings(files: DataFrame, disabled: tuple[str, ...] = (), only: tuple[s
 
 def rule_table(spark: SparkSession) -> DataFrame:
     """rule_ord, rule_id, severity, category, title, confidence: one row a rule."""
-    rows = ", ".join(f"({i}, '{r.id}', '{r.severity}', '{r.category}', {_spark_quote(r.title)}, {r.confidence}D)" for i, r in enumerate(RULES))
+    rows = ", ".join(f"({i}, '{r.id}', '{r.severity}', '{r.category}', {_spark_quote(r.title)}, {r.confidence}D)" for i, r in enumerate(book.every_rule()))
     return spark.sql(f"select * from values {rows} as t(rule_ord, rule_id, severity, category, title, confidence)")
 
 

@@ -202,3 +202,21 @@ def with_structure(files: DataFrame) -> DataFrame:
         return pa.array([scan(c, k) for c, k in zip(code.to_pylist(), language.to_pylist(), strict=True)], pa.struct(_fields()))
 
     return files.withColumn("structure", F.arrow_udf(structure_of, STRUCTURE)("code", "language"))
+
+
+def summary_text(structure: Column, imports: int = 10) -> Column:
+    """A structure as text for a model: its metrics, functions, classes, and its first `imports` imports."""
+    s = structure
+    metric = lambda label, value, unit="": F.concat(F.lit(f"{label}: "), value.cast("string"), F.lit(unit))
+    doc = lambda x: F.when(x["has_docstring"], "has docstring").otherwise("NO docstring")
+    lines = [
+        metric("Lines of code", s["lines_of_code"]), metric("Functions", F.size(s["functions"])), metric("Classes", F.size(s["classes"])),
+        metric("Cyclomatic complexity", s["complexity"]), metric("Max nesting depth", s["max_nesting"]),
+        metric("Average function length", F.round(s["avg_function_length"], 1), " lines"), metric("Max function length", s["max_function_length"], " lines"),
+        F.concat(F.lit("Comment ratio: "), F.format_string("%.1f%%", s["comment_ratio"] * 100)), metric("Imports", F.size(s["imports"])),
+    ]
+    functions = F.transform(s["functions"], lambda f: F.format_string("  - %s(params=%d) lines %d-%d (%d lines, %s)", f["name"], f["params"], f["line_start"], f["line_end"], f["length"], doc(f)))
+    classes = F.transform(s["classes"], lambda c: F.format_string("  - %s lines %d-%d (%d methods, %s)", c["name"], c["line_start"], c["line_end"], c["methods"], doc(c)))
+    listed = lambda title, rows: F.when(F.size(rows) > 0, F.concat(F.lit(f"\n{title}:\n"), F.array_join(rows, "\n")))
+    names = F.when(F.size(s["imports"]) > 0, F.concat(F.lit("\nImports: "), F.array_join(F.slice(s["imports"], 1, imports), ", ")))
+    return F.concat_ws("\n", *lines, listed("Functions", functions), listed("Classes", classes), names)

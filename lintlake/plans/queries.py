@@ -11,8 +11,10 @@ from lintlake.functions import taintbook
 from lintlake.functions.predicates import quote
 from lintlake.functions.rulebook import RULES
 from lintlake.functions.textops import line_count, split_lines
-from lintlake.operators import bench, feedback, graph, pulls, review, rules, structure, taint
-from lintlake.sources.corpus import code_files, code_files_sql
+from lintlake.operators import bench, feedback, graph, pulls, review, rules, store, structure, taint
+from lintlake.sources import files as readers
+from lintlake.sources import samples
+from lintlake.sources.corpus import code_files, code_files_sql, repeated_files, repeated_files_sql, shaped_files
 from lintlake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +54,14 @@ def line_count_file(spark, sf_dir):
     return code_files(spark, sf_dir).select("file_id", line_count(F.col("code")).alias("n_lines"))
 
 
+#: The rules that the templates never break run over other files made from the same documents.
+_MADE = {"PY006": shaped_files, "PY007": shaped_files, "PY008": shaped_files, "CL002": repeated_files}
+_SHAPED = "select doc_id as file_id, doc_id % 13 as deep, doc_id % 130 + 1 as long from documents"
+
+
 def _rule_query(rule_id: str) -> Query:
     def run(spark, sf_dir):
-        files = code_files(spark, sf_dir)
+        files = _MADE.get(rule_id, code_files)(spark, sf_dir)
         if any(r.kind in ("complexity", "long_function", "nesting") for r in RULES if r.id == rule_id):
             files = structure.with_structure(files)
         return rules.raw_findings(files, only=(rule_id,)).select("file_id", "rule_id", "line_start")
@@ -66,7 +73,11 @@ for _id in dict.fromkeys(r.id for r in RULES):
     _own = [r for r in RULES if r.id == _id]
     QUERIES[f"rule_{_id.lower()}"] = _rule_query(_id)
     if all(rules.has_sql(r) for r in _own):
-        ORACLES[f"rule_{_id.lower()}"] = "with " + rules.lines_sql(code_files_sql(), _own) + " " + " union all ".join(rules.rule_sql(r) for r in _own)
+        ORACLES[f"rule_{_id.lower()}"] = "with " + rules.lines_sql(repeated_files_sql() if _id == "CL002" else code_files_sql(), _own) + " " + " union all ".join(rules.rule_sql(r) for r in _own)
+
+ORACLES["rule_py006"] = f"select file_id, 'PY006' as rule_id, cast(null as integer) as line_start from ({_SHAPED}) where deep + 1 > 10"
+ORACLES["rule_py007"] = f"select file_id, 'PY007' as rule_id, 1 as line_start from ({_SHAPED}) where 1 + deep + long > 50"
+ORACLES["rule_py008"] = f"select file_id, 'PY008' as rule_id, cast(null as integer) as line_start from ({_SHAPED}) where deep + 1 > 6"
 
 _META = "(values " + ", ".join(f"({quote(r.id)}, {quote(r.key)}, {i}, {quote(r.severity)}, {quote(r.category)}, {r.confidence}::double)" for i, r in enumerate(RULES)) + ") as m(rule_id, key, rule_ord, severity, category, confidence)"
 
@@ -176,6 +187,19 @@ def file_metrics(spark, sf_dir):
     return rows.select("file_id", "language", F.size(s["functions"]).alias("n_functions"), F.size(s["classes"]).alias("n_classes"), F.size(s["imports"]).alias("n_imports"), *(s[c].alias(c) for c in ("lines_of_code", "complexity", "max_nesting", "comment_ratio", "avg_function_length", "max_function_length")))
 
 
+@_query(f"select file_id, deep + 1 as max_nesting, deep + 1 as complexity, 2 + deep + long as lines_of_code, 1 + deep + long as max_function_length, 1 as n_functions, 1 as n_params from ({_SHAPED})")
+def shaped_metrics(spark, sf_dir):
+    """Metrics of files whose shape is known."""
+    s = F.col("structure")
+    rows = structure.with_structure(shaped_files(spark, sf_dir))
+    return rows.select("file_id", *(s[c].alias(c) for c in ("max_nesting", "complexity", "lines_of_code", "max_function_length")), F.size(s["functions"]).alias("n_functions"), F.get(s["functions"], F.lit(0))["params"].alias("n_params"))
+
+
+@_query()
+def summary_texts(spark, sf_dir):
+    return structure.with_structure(code_files(spark, sf_dir)).select("file_id", structure.summary_text(F.col("structure")).alias("summary"))
+
+
 @_query()
 def functions_long(spark, sf_dir):
     rows = structure.with_structure(code_files(spark, sf_dir)).select("file_id", F.explode_outer("structure.functions").alias("f"))
@@ -223,18 +247,24 @@ def taint_findings(spark, sf_dir):
 # --- Graph ---
 
 
+#: In SQL: both kinds of quote, to be trimmed.
+_QUOTES = "'''" + '"' + "'"
+
+
 @_query(
-    _LINES + " select distinct file_id, language, case when language = 'python' and starts_with(stripped, 'from ') then split_part(stripped, ' ', 2) when language = 'python' then split_part(split_part(split_part(stripped, ' ', 2), '.', 1), ',', 1)"
-    " else regexp_replace(trim(regexp_extract(stripped, '.*\\bfrom\\b(.*)$', 1)), '[\"'';]', '', 'g') end as module from lines where (language = 'python' and regexp_matches(stripped, '^(import|from) ')) or (language in ('javascript', 'typescript') and regexp_matches(stripped, '^import .*\\bfrom\\b'))"
+    _LINES + " select distinct file_id, language, case when starts_with(stripped, 'from ') then split_part(stripped, ' ', 2) when language = 'python' then split_part(split_part(stripped, ' ', 2), '.', 1)"
+    f" else trim(trim(trim(string_split(stripped, 'from')[-1]), {_QUOTES}), ';') end as module from lines where (language = 'python' and regexp_matches(stripped, '^(import|from) ')) or (language = 'javascript' and regexp_matches(stripped, '^import .*from'))"
 )
 def import_edges(spark, sf_dir):
     lines = code_files(spark, sf_dir).select("file_id", "language", F.explode(split_lines(F.col("code"))).alias("line"))
     text = F.trim("line")
-    statement = ((F.col("language") == "python") & text.rlike("^(import|from) ")) | (F.col("language").isin("javascript", "typescript") & text.rlike(r"^import .*\bfrom\b"))
-    return lines.where(statement).select("file_id", "language", graph.import_name(text, F.col("language")).alias("module")).distinct()
+    statement = ((F.col("language") == "python") & text.rlike("^(import|from) ")) | text.rlike("^import .*from")
+    named = lines.where(statement).select("file_id", "language", graph.import_name(text, F.col("language")).alias("module"))
+    return named.where("module is not null").distinct()
 
 
 def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all files."""
     files = structure.with_structure(code_files(spark, sf_dir)).withColumn("path", F.concat(F.lit("file"), F.col("file_id").cast("string")))
     nodes, edges = graph.extract(files)
     nodes = graph.upsert_nodes(nodes.withColumn("ord", F.struct(F.coalesce("line_start", F.lit(0)).alias("l"), "language")))
@@ -291,9 +321,43 @@ def pair_suppressions(spark, sf_dir):
     return feedback.suppressions(_table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], F.lit(True), feedback.PAIR_LAST, feedback.PAIR_LEAST)
 
 
-@_query(f"with s as (select user_id from ({_RECENT.format(keys='user_id')}) where rn <= 100 group by user_id having count(*) filter (event_type = 'error') >= 3) select event_id, user_id from events where user_id not in (select user_id from s)")
+_BY_DAY = "select *, 'u' || user_id as category, event_type || dayofyear(ts) % 5 as title, 'go' as language from events"
+_PRINTS = f"select event_id, ts, event_type, value, substring(sha256(concat_ws(':', category, substring(title, 1, 50), language)), 1, 16) as fingerprint from ({_BY_DAY})"
+_MARKED = f"select fingerprint from (select *, row_number() over (partition by fingerprint order by ts desc) as rn from ({_PRINTS})) where rn <= 100 group by fingerprint having count(*) filter (value > 30) >= 3"
+
+
+def _reports(spark, sf_dir) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return e.select("event_id", "ts", "value", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("category"), F.concat("event_type", (F.dayofyear("ts") % 5).cast("string")).alias("title"), F.lit("go").alias("language"))
+
+
+@_query(f"select event_id from ({_PRINTS}) where fingerprint not in ({_MARKED})")
 def apply_suppressions(spark, sf_dir):
-    return _table(spark, sf_dir, "events").join(fp_suppressions(spark, sf_dir).select("user_id"), "user_id", "left_anti").select("event_id", "user_id")
+    """Findings, one an event, without those whose kind was marked three times; a mark is an event of a high value."""
+    found = _reports(spark, sf_dir)
+    marked = feedback.finding_suppressions(found.withColumn("action", F.when(F.col("value") > 30, "false_positive").otherwise("helpful")))
+    return feedback.apply_suppressions(found, marked).select("event_id")
+
+
+@_query("select fingerprint from (select case when user_id % 3 = 0 then 'taint:' else '' end || event_type || user_id as fingerprint from events group by all) where not starts_with(fingerprint, 'taint:')")
+def listed_suppressions(spark, sf_dir):
+    key = F.concat(F.when(F.col("user_id") % 3 == 0, feedback.PAIRS).otherwise(""), "event_type", F.col("user_id").cast("string"))
+    return feedback.listed(_table(spark, sf_dir, "events").select(key.alias("fingerprint")).distinct())
+
+
+_NOW = "2100-01-01 00:00:00"
+
+
+@_query(
+    "with t as (select user_id % 500 as key, ts as saved_at, case when event_type = 'error' then null else event_type end as payload, ts + to_days(cast(365 * 100 * (value % 1) as integer)) as expires_at from events),"
+    f" r as (select *, row_number() over (partition by key order by saved_at desc, (payload is null) desc, expires_at desc, payload desc) as rn from t) select cast(key as varchar) as key, payload from r where rn = 1 and payload is not null and expires_at > timestamp '{_NOW}'"
+)
+def stored_current(spark, sf_dir):
+    """What a store of results still holds: the last write of a key counts, a write without payload deletes, and time runs out."""
+    days = (365 * 100 * (F.col("value") % 1)).cast("decimal(20,6)")
+    e = _table(spark, sf_dir, "events")
+    table = e.select((F.col("user_id") % 500).cast("string").alias("key"), F.col("ts").alias("saved_at"), (F.col("ts") + F.make_dt_interval(F.round(days).cast("int"))).alias("expires_at"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("payload"))
+    return store.current(table, F.lit(_NOW).cast("timestamp")).select("key", "payload")
 
 
 @_query("select event_id as review_id, ts as saved_at from events order by ts desc, event_id limit 20 offset 40")
@@ -368,9 +432,9 @@ _METRICS = (
 @_query(_METRICS)
 def confusion_matrix(spark, sf_dir):
     labels = _table(spark, sf_dir, "labels")
-    samples = labels.select(F.col("doc_id").alias("sample_id"), (F.col("doc_id") % 3).alias("tool"), F.when(F.col("quality") == 0, "vulnerable").otherwise("clean").alias("label"))
+    rated = labels.select(F.col("doc_id").alias("sample_id"), (F.col("doc_id") % 3).alias("tool"), F.when(F.col("quality") == 0, "vulnerable").otherwise("clean").alias("label"))
     found = labels.where("toxic = 1").select(F.col("doc_id").alias("sample_id"), F.lit(1.0).alias("confidence"))
-    return bench.metrics(bench.classify(samples, found), ["tool"])
+    return bench.metrics(bench.classify(rated, found), ["tool"]).drop("n_samples", "n_vuln", "n_clean")
 
 
 _EXPECTED = [("security", "critical", "eval", 1), ("security", "critical", "hardcoded|credential", 1), ("quality", "high", "bare except", 1)]
@@ -378,14 +442,53 @@ _EXPECTED = [("security", "critical", "eval", 1), ("security", "critical", "hard
 
 @_query()
 def eval_match(spark, sf_dir):
-    """Golden expectations of the first template against what its files give, by title pattern."""
-    found = rules.dedup(_shared_findings(spark, sf_dir)).where("language = 'python'").select(F.col("file_id").alias("sample_id"), "category", "severity", "title")
+    """Golden expectations against what all files give, by title pattern."""
+    found = rules.dedup(_shared_findings(spark, sf_dir)).select(F.col("file_id").alias("sample_id"), "category", "severity", "title")
     fields = ("category", "severity", "title_pattern", "min_count")
     wanted = F.array(*(F.struct(F.lit(i).alias("ord"), *(F.lit(v).alias(k) for k, v in zip(fields, e, strict=True))) for i, e in enumerate(_EXPECTED)))
-    ids = code_files(spark, sf_dir).where("language = 'python'").select(F.col("file_id").alias("sample_id"), F.explode(wanted).alias("e"))
+    ids = code_files(spark, sf_dir).select(F.col("file_id").alias("sample_id"), F.explode(wanted).alias("e"))
     return bench.golden(ids.select("sample_id", "e.*"), found)
 
 
+_FOUND = "select user_id as sample_id, case when event_id % 2 = 0 then 'BUILDING' else 'security' end as category, case when value > 60 then 'High' else 'low' end as severity, event_type as title from events"
+_WANTED = (
+    "select c_custkey as sample_id, 0 as ord, case when c_custkey % 4 = 0 then '' else lower(c_mktsegment) end as category, case when c_custkey % 5 = 0 then null else 'high' end as severity, '^(E|c)' as title_pattern, c_custkey % 3 + 1 as min_count from customer where c_custkey % 7 <> 0"
+    " union all select c_custkey, 1, 'Security', 'LOW', case when c_custkey % 2 = 0 then 'rr' end, 1 from customer where c_custkey % 3 = 0"
+)
+
+
+@_query(
+    f"with f as ({_FOUND}), e as ({_WANTED}), ids as (select c_custkey as sample_id from customer), m as (select e.sample_id, e.ord, count(f.sample_id) >= any_value(e.min_count) as met from e left join f on e.sample_id = f.sample_id"
+    " and (coalesce(e.category, '') = '' or lower(e.category) = lower(f.category)) and (coalesce(e.severity, '') = '' or lower(e.severity) = lower(f.severity)) and (coalesce(e.title_pattern, '') = '' or regexp_matches(f.title, e.title_pattern, 'i')) group by all),"
+    " w as (select sample_id, count(*) as n, count(*) filter (met) as ok from m group by 1), g as (select sample_id, count(*) as m from f group by 1),"
+    " r as (select ids.sample_id, coalesce(n, 0) as expected_count, coalesce(m, 0) as actual_count, coalesce(ok, 0) as satisfied from ids left join w on ids.sample_id = w.sample_id left join g on ids.sample_id = g.sample_id),"
+    " p as (select *, case when actual_count > 0 then satisfied / actual_count when expected_count = 0 then 1.0 else 0.0 end::double as precision, case when expected_count > 0 then satisfied / expected_count else 1.0 end::double as recall from r)"
+    " select *, case when precision + recall = 0 then 0 else 2 * precision * recall / (precision + recall) end::double as f1, recall >= 0.7 as passed from p"
+)
+def golden_scores(spark, sf_dir):
+    """Golden expectations with empty fields, other cases, and samples that expect or give nothing."""
+    e, c = _table(spark, sf_dir, "events"), _table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    found = e.select(F.col("user_id").alias("sample_id"), F.when(F.col("event_id") % 2 == 0, "BUILDING").otherwise("security").alias("category"), F.when(F.col("value") > 60, "High").otherwise("low").alias("severity"), F.col("event_type").alias("title"))
+    one = c.where(k % 7 != 0).select(k.alias("sample_id"), F.lit(0).alias("ord"), F.when(k % 4 == 0, "").otherwise(F.lower("c_mktsegment")).alias("category"), F.when(k % 5 != 0, "high").alias("severity"), F.lit("^(E|c)").alias("title_pattern"), (k % 3 + 1).alias("min_count"))
+    two = c.where(k % 3 == 0).select(k.alias("sample_id"), F.lit(1).alias("ord"), F.lit("Security").alias("category"), F.lit("LOW").alias("severity"), F.when(k % 2 == 0, "rr").alias("title_pattern"), F.lit(1).cast("bigint").alias("min_count"))
+    return bench.golden(one.unionAll(two), found, c.select(k.alias("sample_id")))
+
+
+_SAMPLES = "select file_id, sample_id, dataset, language, code, label from (values " + ", ".join("(" + ", ".join([str(r[0]), *map(quote, r[1:])]) + ")" for r in samples.rows()) + ") as s(file_id, sample_id, dataset, language, code, label)"
+
+
+@_query(
+    "with " + rules.lines_sql(f"select file_id, language, code from ({_SAMPLES})", SHARED) + ", hits as (" + " union all ".join(f"select file_id from ({rules.rule_sql(r)})" for r in SHARED) + f"), c as (select dataset, label, file_id in (select file_id from hits) as flagged from ({_SAMPLES}))"
+    " select 'rules' as tool, dataset, count(*) filter (label = 'vulnerable' and flagged) as tp, count(*) filter (label = 'vulnerable' and not flagged) as fn, count(*) filter (label = 'clean' and flagged) as fp, count(*) filter (label = 'clean' and not flagged) as tn from c group by dataset"
+)
+def parity(spark, sf_dir):
+    """The line rules over the labelled samples."""
+    files = samples.samples(spark)
+    found = rules.raw_findings(files, only=tuple(r.key for r in SHARED)).join(files.select("file_id", "sample_id"), "file_id")
+    return bench.run_harness(files, {"rules": lambda _: found}).select("tool", "dataset", "tp", "fn", "fp", "tn")
+
+
 @_query(f"select tool, fp_rate, recall, row_number() over (order by fp_rate, recall desc, tool) as place from ({_METRICS})")
 def leaderboard(spark, sf_dir):
     from pyspark.sql import Window
@@ -425,11 +528,128 @@ def event_sessions(spark, sf_dir):
     return jobs.sessions(_table(spark, sf_dir, "events"))
 
 
-@_query()
+_POSITION = "case severity " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(review.SEVERITIES)) + " end, coalesce(nullif(line_start, 0), 999999), rule_id"
+_EVENTS = (
+    _all_sql() + _DEDUP + _SCORES + ", e as (select file_id as review_id, 0 as step, 'agent_start' as type, null as rule_id, null as score, 0 as place from files"
+    f" union all select file_id, 1, 'finding', rule_id, null, row_number() over (partition by file_id order by {_POSITION}) from best union all select file_id, 2, 'complete', null, score, 0 from scores),"
+    " numbered as (select review_id, row_number() over (partition by review_id order by step, place) - 1 as seq, type, rule_id, score from e)"
+)
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return jobs.review_events(code_files(spark, sf_dir), rules.dedup(_shared_findings(spark, sf_dir)))
+
+
+@_query(_EVENTS + " select * from numbered")
 def review_events(spark, sf_dir):
-    return jobs.review_events(code_files(spark, sf_dir))
+    rows = _events(spark, sf_dir)
+    return rows.select("review_id", "seq", "type", F.get_json_object("payload", "$.rule_id").alias("rule_id"), F.get_json_object("payload", "$.score").cast("int").alias("score"))
 
 
-@_query()
+@_query(_all_sql() + _DEDUP + _SCORES + " select file_id as review_id, 'complete' as status, n_findings, score from scores")
 def review_states(spark, sf_dir):
-    return jobs.fold_events(jobs.review_events(code_files(spark, sf_dir)))
+    return jobs.fold_events(_events(spark, sf_dir))
+
+
+# --- Reports of other tools, requests and pull requests, written as JSON from the driver's tables ---
+
+_PART = "select *, p_partkey as k from part"
+
+
+@_query(
+    "select 'q' as tool, 'r' || k % 4 as rule_id, case when k % 6 = 0 then 'r' || k % 4 else p_name end as title,"
+    " case when k % 5 = 0 then 'high' when k % 5 = 1 then 'medium' else case k % 4 when 0 then 'critical' when 1 then 'high' when 2 then 'high' else case k % 3 when 0 then 'critical' when 1 then 'medium' else 'high' end end end as severity,"
+    " 'security' as category, 1.0::double as confidence, p_brand as file_path, cast(k % 100 as integer) as line_start, cast(case when k % 2 = 0 then k % 100 + 1 else k % 100 end as integer) as line_end from "
+    f"({_PART})"
+)
+def sarif_findings(spark, sf_dir):
+    k = F.col("p_partkey")
+    sev = lambda c: F.struct(c.alias("problem.severity"))
+    pick = lambda n, *values: F.get(F.array(*(F.lit(v) for v in values)), (k % n).cast("int"))
+    rule = lambda i, s: F.struct(F.lit(i).alias("id"), sev(F.lit(s).cast("string")).alias("properties"))
+    region = F.struct((k % 100).alias("startLine"), F.when(k % 2 == 0, k % 100 + 1).alias("endLine"))
+    result = F.struct(
+        F.concat(F.lit("r"), (k % 4).cast("string")).alias("ruleId"), pick(3, "error", "note").alias("level"), F.struct(F.when(k % 6 != 0, F.col("p_name")).alias("text")).alias("message"),
+        sev(pick(5, "warning", "NOTE", "odd")).alias("properties"), F.array(F.struct(F.struct(F.struct(F.col("p_brand").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))).alias("locations"),
+    )
+    driver = F.struct(F.lit("q").alias("name"), F.array(rule("r0", "Error"), rule("r1", None), rule("r2", "odd")).alias("rules"))
+    run = lambda results: F.struct(F.struct(driver.alias("driver")).alias("tool"), results.alias("results"))
+    # A second run, which isn't read.
+    return readers.read_sarif(_table(spark, sf_dir, "part").select(F.to_json(F.struct(F.array(run(F.array(result)), run(F.array(result, result))).alias("runs"))).alias("json")))
+
+
+@_query(
+    "select 'semgrep' as tool, 'c' || k as rule_id, case when k % 4 = 0 then 'c' || k else p_name end as title, case k % 6 when 0 then 'critical' when 1 then 'high' when 2 then 'medium' when 3 then 'low' else 'medium' end as severity,"
+    f" 'security' as category, 1.0::double as confidence, p_brand as file_path, cast(p_size as integer) as line_start, cast(p_size + 2 as integer) as line_end from ({_PART})"
+)
+def semgrep_findings(spark, sf_dir):
+    k, line = F.col("p_partkey"), lambda n: F.struct((F.col("p_size") + n).alias("line"))
+    severity = F.get(F.array(*(F.lit(v) for v in ("ERROR", "warning", "INFO", "Note", "odd"))), (k % 6).cast("int"))
+    result = F.struct(F.concat(F.lit("c"), k.cast("string")).alias("check_id"), F.col("p_brand").alias("path"), line(0).alias("start"), line(2).alias("end"), F.struct(F.when(k % 4 != 0, F.col("p_name")).alias("message"), severity.alias("severity")).alias("extra"))
+    return readers.read_semgrep(_table(spark, sf_dir, "part").select(F.to_json(F.struct(F.array(result).alias("results"))).alias("json")))
+
+
+@_query(
+    "select 'Order ' || o_orderkey as title, case when o_orderkey % 3 = 0 then '' else o_orderstatus end as body, case when o_orderkey % 4 = 0 then '' else 'u' || o_custkey end as author, 'main' as base_branch, o_orderpriority as head_branch, cast(o_orderkey % 50 as integer) as additions, 0 as deletions, 1 as changed_files from orders"
+)
+def pull_metadata(spark, sf_dir):
+    k = F.col("o_orderkey")
+    user = F.struct(F.when(k % 4 != 0, F.concat(F.lit("u"), F.col("o_custkey").cast("string"))).alias("login"))
+    ref = lambda c: F.struct(c.alias("ref"))
+    fields = [F.concat(F.lit("Order "), k.cast("string")).alias("title"), F.when(k % 3 != 0, F.col("o_orderstatus")).alias("body"), user.alias("user"), ref(F.lit("main")).alias("base"), ref(F.col("o_orderpriority")).alias("head"), (k % 50).alias("additions"), F.lit(1).alias("changed_files")]
+    return readers.read_pull(_table(spark, sf_dir, "orders").select(F.to_json(F.struct(*fields)).alias("json")))
+
+
+@_query("select k, case when k % 3 = 0 then p_brand else split_part(p_brand || '/' || p_size || '/x', '/', 1) end as owner, case when k % 3 = 0 then '' else p_size || '/x' end as name from " + f"({_PART})")
+def owners_and_names(spark, sf_dir):
+    full = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string"), F.lit("/x")))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), readers.owner_and_name(full).alias("r")).select("k", "r.*")
+
+
+_NAMES, _GIVEN = ["a.py", "x/b.JS", "c.tsx", "d.rs", "e", ".py", "f.go"], ["rust", "perl", "", "java"]
+
+
+@_query(
+    f"select k, case k % 7 when 0 then 'python' when 1 then 'javascript' when 2 then 'typescript' when 6 then 'go' else case k % 4 when 0 then 'rust' when 3 then 'java' else 'python' end end as language from ({_PART})"
+)
+def hinted_languages(spark, sf_dir):
+    k, pick = F.col("p_partkey"), lambda values, n: F.get(F.array(*(F.lit(v) for v in values)), n.cast("int"))
+    return _table(spark, sf_dir, "part").select(k.alias("k"), readers.hinted_language(pick(_NAMES, k % 7), pick(_GIVEN, k % 4)).alias("language"))
+
+
+_CATEGORIES = ["Security", "vulnerability-x", "code doc", "Comments", "style", "AUTH doc", "readme", "performance"]
+
+
+@_query("select case when k % 8 in (0, 1, 5) then 'security' when k % 8 in (2, 3, 6) then 'docs' else 'quality' end as agent, count(*) as n from " + f"({_PART}) group by 1")
+def agent_counts(spark, sf_dir):
+    return review.agent_counts(_table(spark, sf_dir, "part").select(F.get(F.array(*(F.lit(c) for c in _CATEGORIES)), (F.col("p_partkey") % 8).cast("int")).alias("category")))
+
+
+@_query(_all_sql() + _DEDUP + " select file_id, rule_id, line_start from best where severity = 'high'")
+def findings_of_severity(spark, sf_dir):
+    return review.of_severity(rules.dedup(_shared_findings(spark, sf_dir)), "High").select("file_id", "rule_id", "line_start")
+
+
+_SIGN = "case when {0} >= 80 then '🟢 ' when {0} >= 60 then '🟡 ' else '🔴 ' end || {0} || '/100'"
+_SOME = "case when {0} > 0 then {0}::varchar else '—' end"
+
+
+@_query(
+    f"with f as (select k // 30 as pull_id, k % 30 as ord, 'f' || k as filename, case when k % 5 <> 0 then p_size * 2 end as score, k % 3 as c, k % 4 as h, 1 as m, 0 as l, p_name, k from ({_PART})),"
+    " kept as (select * from (select *, row_number() over (partition by pull_id order by ord) as rn from f) where rn <= 20),"
+    f" t as (select pull_id, string_agg('| `' || filename || '` | ' || case when score is null then '— | — | — | — | — |' else {_SIGN.format('score')} || ' | ' || {_SOME.format('c')} || ' | ' || {_SOME.format('h')} || ' | ' || {_SOME.format('m')} || ' | ' || {_SOME.format('l')} || ' |' end, chr(10) order by ord) as lines,"
+    " cast(floor(sum(score) / count(score)) as integer) as mean, count(score) as done, sum(case when score is not null then c + h + m + l end) as found, string_agg(case when k % 2 = 0 then '**`' || filename || '`** ' || case when k % 4 = 0 then '🔴' else '⚪' end || ' **' || p_name || '**' || chr(10) || chr(10) || 'd' || k || chr(10) || case when k % 6 = 0 then chr(10) || '> 💡 fix' || chr(10) else '' end end, chr(10) order by ord) filter (where k % 2 = 0 and g <= 10) as general"
+    " from (select *, sum(case when k % 2 = 0 then 1 else 0 end) over (partition by pull_id order by ord) as g from kept) group by pull_id), s as (select pull_id, greatest(0, count(*) - 20) as skipped from f group by 1)"
+    " select t.pull_id, concat_ws(chr(10), '## Code Review' || chr(10), '### 📊 File Review Summary' || chr(10) || chr(10) || '| File | Score | Critical | High | Medium | Low |' || chr(10) || '|------|-------|----------|------|--------|-----|', lines,"
+    f" case when done > 0 then chr(10) || '**Overall Score: ' || {_SIGN.format('mean')} || '** &nbsp; | &nbsp; **' || found || ' finding(s)** across ' || done || ' file(s)' || chr(10) end,"
+    " case when general is not null then '<details>' || chr(10) || '<summary>📝 General Findings</summary>' || chr(10) || chr(10) || general || chr(10) || '</details>' || chr(10) end, case when skipped > 0 then '*' || skipped || ' more file(s) were not reviewed.*' end) as body from t join s on t.pull_id = s.pull_id"
+)
+def pull_reports(spark, sf_dir):
+    """Reports of pull requests of thirty files each, of which twenty are reviewed."""
+    k = F.col("p_partkey")
+    p = _table(spark, sf_dir, "part").withColumns({"pull_id": F.floor(k / 30), "filename": F.concat(F.lit("f"), k.cast("string"))})
+    files, skipped = pulls.chosen_files(p.withColumn("changes", 30 - k % 30))
+    counts = {"n_critical": k % 3, "n_high": k % 4, "n_medium": F.lit(1), "n_low": F.lit(0)}
+    scored = files.select("pull_id", "ord", "filename", F.when(k % 5 != 0, F.col("p_size") * 2).alias("score"), (k % 3 + k % 4 + 1).alias("n_findings"), *(v.alias(c) for c, v in counts.items()))
+    general = files.where(k % 2 == 0).select("pull_id", "ord", "filename", F.when(k % 4 == 0, "critical").otherwise("info").alias("severity"), F.col("p_name").alias("title"), F.concat(F.lit("d"), k.cast("string")).alias("description"), F.when(k % 6 == 0, "fix").alias("suggestion"), F.lit(None).cast("int").alias("line_start"))
+    return pulls.report(scored, general, skipped=skipped)

@@ -184,3 +184,22 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_files_sql() -> str:
     rows = ", ".join(f"({i}, {quote(language)}, {quote(code)})" for i, (language, code) in enumerate(TEMPLATES))
     return f"select doc_id as file_id, t.language, t.code || text as code from documents join (values {rows}) as t(k, language, code) on doc_id % {len(TEMPLATES)} = t.k"
+
+
+def shaped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, language, code: for each document a Python function whose depth of nesting and length follow from the id."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    deep, long = F.pmod("doc_id", F.lit(13)).cast("int"), (F.pmod("doc_id", F.lit(130)) + 1).cast("int")
+    ifs = F.transform(F.sequence(F.lit(1), F.lit(13)), lambda k: F.when(k <= deep, F.concat(F.repeat(F.lit("    "), k), F.lit("if a:\n"))).otherwise(""))
+    body = F.repeat(F.concat(F.repeat(F.lit("    "), deep + 1), F.lit("a = a + 1\n")), long)
+    code = F.concat(F.lit("def grow(a):\n"), F.array_join(ifs, ""), body)
+    return docs.select(F.col("doc_id").alias("file_id"), F.lit("python").alias("language"), code.alias("code"))
+
+
+def repeated_files(spark: SparkSession, sf_dir: str, times: int = 30) -> DataFrame:
+    """The files of code_files, each written out `times` times over."""
+    return code_files(spark, sf_dir).withColumn("code", F.repeat(F.concat("code", F.lit("\n")), F.lit(times)))
+
+
+def repeated_files_sql(times: int = 30) -> str:
+    return f"select file_id, language, repeat(code || chr(10), {times}) as code from ({code_files_sql()})"

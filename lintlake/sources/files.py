@@ -10,6 +10,9 @@ from lintlake.functions.textops import matches
 #: Folders that are passed over, and languages by extension and by the first line.
 SKIPPED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".next", "target", "vendor")
 BY_EXTENSION = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "java": "java"}
+#: By extension for a path beside a caller's hint, and the languages a hint may name.
+BY_HINTED_EXTENSION = {"py": "python", "js": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go"}
+HINTS = ("python", "javascript", "typescript", "go", "rust", "java")
 BY_SHEBANG = (("python", "python"), ("node", "javascript"), ("deno", "typescript"), ("ts-node", "typescript"))
 
 
@@ -17,34 +20,67 @@ def detect_language(path: Column, code: Column) -> Column:
     """By the extension, else by a #! line; null if neither tells."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     known = F.create_map(*(F.lit(x) for pair in BY_EXTENSION.items() for x in pair))
-    first = F.split_part(code, F.lit("\n"), F.lit(1))
+    first = F.lower(F.split_part(code, F.lit("\n"), F.lit(1)))
     bang = F.lit(None).cast("string")
     for word, language in reversed(BY_SHEBANG):
         bang = F.when(first.startswith("#!") & first.contains(word), language).otherwise(bang)
     return F.coalesce(F.try_element_at(known, suffix), bang)
 
 
-def scan_tree(spark: SparkSession, root: str, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
-    """file_id, path, language, code of all files below root whose language is known; bytes that are no UTF-8 are replaced."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    code = F.make_valid_utf8(F.col("content").cast("string"))
-    inside = F.split(F.substring_index("path", root.rstrip("/") + "/", -1), "/")
-    rows = raw.where(~F.arrays_overlap(inside, F.array(*(F.lit(s) for s in skipped)))).select("path", code.alias("code"))
+def hinted_language(path: Column, hint: Column) -> Column:
+    """By the extension, else the hint if it names a language, else python."""
+    suffix = F.lower(F.regexp_extract(path, r"[^/.][^/]*\.([^./]+)$", 1))
+    known = F.create_map(*(F.lit(x) for pair in BY_HINTED_EXTENSION.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, suffix), F.when(hint.isin(*HINTS), hint), F.lit("python"))
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as text; those that are no UTF-8 are dropped, replacement characters that the text holds itself are kept."""
+    own, kept = "\uFFFD", "\uFFFE"
+    text = F.replace(content.cast("string"), F.lit(own), F.lit(kept))
+    return F.replace(F.replace(F.make_valid_utf8(text), F.lit(own), F.lit("")), F.lit(kept), F.lit(own))
+
+
+def scan_tree(spark: SparkSession, root: str, skipped: tuple[str, ...] = SKIPPED, only: list[str] | None = None) -> DataFrame:
+    """file_id, path, language, code of all files below root whose language is known; bytes that are no UTF-8 are dropped.
+
+    Paths are listed first, without reading a byte; only folders that aren't skipped are read then.  only: names below root.
+    """
+    if only is not None:
+        paths = [f"{root.rstrip('/')}/{name}" for name in only]
+        raw = spark.read.format("binaryFile").load(paths) if paths else spark.createDataFrame([], "path string, content binary")
+    else:
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+        inside = F.split(F.substring_index("path", root.rstrip("/") + "/", -1), "/")
+        kept = names.where(~F.arrays_overlap(inside, F.array(*(F.lit(s) for s in skipped))))
+        folders = sorted(r[0] for r in kept.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1)).distinct().collect())  # the driver lists them anyway
+        raw = spark.read.format("binaryFile").load(folders) if folders else names.withColumn("content", F.lit(b"")).limit(0)
+    rows = raw.select("path", decoded(F.col("content")).alias("code"))
     rows = rows.withColumn("language", detect_language(F.col("path"), F.col("code"))).where("language is not null")
     return rows.select(F.xxhash64("path").alias("file_id"), "path", "language", "code")
 
 
+def read_file(spark: SparkSession, path: str, hint: str = "python") -> DataFrame:
+    """file_id, path, language, code of one file, bytes that are no UTF-8 replaced; no row if there is none."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", path.rsplit("/", 1)[-1]).load(path.rsplit("/", 1)[0] if "/" in path else ".")
+    code = F.make_valid_utf8(F.col("content").cast("string"))
+    return raw.select(F.xxhash64("path").alias("file_id"), "path", hinted_language(F.col("path"), F.lit(hint)).alias("language"), code.alias("code"))
+
+
 def valid_requests(requests: DataFrame, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) review requests by the length of their code."""
     ok = F.coalesce(F.length("code").between(1, most), F.lit(False))
     return requests.where(ok), requests.where(~ok)
 
 
-_SARIF = "runs array<struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string,defaultConfiguration:struct<level:string>,properties:struct<`security-severity`:string>>>>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,endLine:int>>>>>>>>"
-_LEVELS = {"error": "high", "warning": "medium", "note": "low", "none": "info"}
+_PROPERTIES = "properties:struct<`problem.severity`:string>"
+_SARIF = f"runs array<struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string,{_PROPERTIES}>>>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,{_PROPERTIES},locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,endLine:int>>>>>>>>"
+#: Severities of the reports' own words.
+SARIF_SEVERITY = {"error": "critical", "warning": "high", "recommendation": "medium", "note": "medium"}
+SEMGREP_SEVERITY = {"ERROR": "critical", "WARNING": "high", "INFO": "medium", "NOTE": "low"}
 
 
-def _mapped(value: Column, table: dict[str, str], default: str) -> Column:
+def _mapped(value: Column, table: dict[str, str], default: str | None) -> Column:
     out = F.lit(default)
     for k, v in table.items():
         out = F.when(value == k, v).otherwise(out)
@@ -52,22 +88,27 @@ def _mapped(value: Column, table: dict[str, str], default: str) -> Column:
 
 
 def read_sarif(reports: DataFrame) -> DataFrame:
-    """tool, rule_id, title, severity, file_path, line_start, line_end of SARIF reports (column json).
+    """tool, rule_id, title, severity, category, confidence, file_path, line_start, line_end of the first run of SARIF reports (column json).
 
-    Severity: the rule's security score, else the result's level, else the rule's, else medium.
+    Severity: the result's own problem severity if it is a known one, else its rule's (warning where the rule has none),
+    else, for rules that aren't listed, the result's level (warning where it has none); words that aren't known are high.
     """
-    run = reports.select(F.explode(F.from_json("json", _SARIF)["runs"]).alias("run"))
+    run = reports.select(F.get(F.from_json("json", _SARIF)["runs"], F.lit(0)).alias("run"))
     rows = run.select(F.col("run.tool.driver.name").alias("tool"), F.col("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("r"))
-    own = F.get(F.filter("rules", lambda x: x["id"] == F.col("r.ruleId")), F.lit(0))
-    rows = rows.withColumn("own", own)
-    score = F.expr("try_cast(own.properties.`security-severity` as double)")
-    scored = F.when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low")
-    level = F.coalesce("r.level", "own.defaultConfiguration.level")
+    # Of rules listed twice the last one counts.
+    own = F.element_at(F.filter("rules", lambda x: x["id"] == F.col("r.ruleId")), -1)
+    rows = rows.withColumn("own", F.when(F.exists("rules", lambda x: x["id"] == F.col("r.ruleId")), own))
+    word = lambda c: F.lower(F.coalesce(c, F.lit("warning")))
+    severity = F.coalesce(
+        _mapped(F.lower(F.col("r.properties.`problem.severity`")), SARIF_SEVERITY, None),
+        F.when(F.col("own").isNotNull(), _mapped(word(F.col("own.properties.`problem.severity`")), SARIF_SEVERITY, "high")),
+        _mapped(word(F.col("r.level")), SARIF_SEVERITY, "high"),
+    )
     place = F.get("r.locations", F.lit(0))["physicalLocation"]
     return rows.select(
-        "tool", F.col("r.ruleId").alias("rule_id"), F.col("r.message.text").alias("title"),
-        F.coalesce(scored, F.when(level.isNotNull(), _mapped(level, _LEVELS, "medium")), F.lit("medium")).alias("severity"),
-        place["artifactLocation"]["uri"].alias("file_path"), place["region"]["startLine"].alias("line_start"), F.coalesce(place["region"]["endLine"], place["region"]["startLine"]).alias("line_end"),
+        "tool", F.col("r.ruleId").alias("rule_id"), F.coalesce("r.message.text", "r.ruleId", F.lit("")).alias("title"), severity.alias("severity"),
+        F.lit("security").alias("category"), F.lit(1.0).alias("confidence"), place["artifactLocation"]["uri"].alias("file_path"),
+        place["region"]["startLine"].alias("line_start"), F.coalesce(place["region"]["endLine"], place["region"]["startLine"]).alias("line_end"),
     )
 
 
@@ -75,10 +116,15 @@ _SEMGREP = "results array<struct<check_id:string,path:string,start:struct<line:i
 
 
 def read_semgrep(reports: DataFrame) -> DataFrame:
-    """tool, rule_id, title, severity, file_path, line_start, line_end of JSON reports (column json)."""
+    """tool, rule_id, title, severity, category, confidence, file_path, line_start, line_end of JSON reports (column json)."""
     rows = reports.select(F.explode(F.from_json("json", _SEMGREP)["results"]).alias("r"))
-    severity = _mapped(F.upper("r.extra.severity"), {"ERROR": "high", "WARNING": "medium", "INFO": "low"}, "medium")
-    return rows.select(F.lit("semgrep").alias("tool"), F.col("r.check_id").alias("rule_id"), F.col("r.extra.message").alias("title"), severity.alias("severity"), F.col("r.path").alias("file_path"), F.col("r.start.line").alias("line_start"), F.col("r.end.line").alias("line_end"))
+    severity = _mapped(F.upper(F.coalesce("r.extra.severity", F.lit("INFO"))), SEMGREP_SEVERITY, "medium")
+    title = F.coalesce("r.extra.message", "r.check_id", F.lit(""))
+    return rows.select(
+        F.lit("semgrep").alias("tool"), F.col("r.check_id").alias("rule_id"), title.alias("title"), severity.alias("severity"),
+        F.lit("security").alias("category"), F.lit(1.0).alias("confidence"), F.col("r.path").alias("file_path"),
+        F.col("r.start.line").alias("line_start"), F.col("r.end.line").alias("line_end"),
+    )
 
 
 _GOLDEN = "array<struct<category:string,severity:string,title_pattern:string,min_count:int>>"
@@ -99,6 +145,24 @@ def read_pull_files(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(F.from_json("json", f"array<struct<{_CONTENT}>>")).alias("f")).select("f.*")
 
 
+_PULL = "title string, body string, user struct<login:string>, base struct<ref:string>, head struct<ref:string>, additions int, deletions int, changed_files int"
+
+
+def read_pull(pages: DataFrame) -> DataFrame:
+    """title, body, author, base_branch, head_branch, additions, deletions, changed_files of stored pull requests (column json); what is missing is empty or 0."""
+    p = F.from_json("json", _PULL)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    counts = [F.coalesce(p[c], F.lit(0)).alias(c) for c in ("additions", "deletions", "changed_files")]
+    return pages.select(text(p["title"]).alias("title"), text(p["body"]).alias("body"), text(p["user"]["login"]).alias("author"), text(p["base"]["ref"]).alias("base_branch"), text(p["head"]["ref"]).alias("head_branch"), *counts)
+
+
+def owner_and_name(full_name: Column) -> Column:
+    """struct(owner, name) of a repository's full name, cut at the first slash."""
+    cut = F.instr(full_name, "/")
+    owner = F.when(cut > 0, F.substring(full_name, F.lit(1), cut - 1)).otherwise(full_name)
+    return F.struct(owner.alias("owner"), F.when(cut > 0, F.substring(full_name, cut + 1, F.length(full_name))).otherwise("").alias("name"))
+
+
 def decode_content(content: Column, size: Column, most: int = 100_000) -> Column:
     """Text of base64 file content; null if it is too large, no base64 or no UTF-8."""
     data = F.try_to_binary(F.regexp_replace(content, r"\s", ""), F.lit("base64"))

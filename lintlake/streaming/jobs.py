@@ -32,9 +32,9 @@ def review_stream(files: DataFrame, sink: Callable[[DataFrame, int], None], chec
     return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def review_events(files: DataFrame) -> DataFrame:
-    """review_id, seq, type, payload: start, findings in order, complete."""
-    found = rules.findings(files)
+def review_events(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """review_id, seq, type, payload: start, findings in order, complete; found: the files' findings, if they are known."""
+    found = rules.findings(files) if found is None else found
     scores = review.file_scores(files.select("file_id", "language"), found)
     event = lambda seq, kind, payload: [F.col("file_id").alias("review_id"), F.struct(*seq).alias("at"), F.lit(kind).alias("type"), payload.alias("payload")]
     sort = lambda step, *keys: [F.lit(step).alias("step"), *(k.alias(f"k{i}") for i, k in enumerate(keys))]
@@ -57,14 +57,14 @@ def suppression_stream(events: DataFrame, key: str, hit: Column, last: int = fee
         if state.hasTimedOut:
             state.remove()
             return
-        flags, times = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(list(batches)).sort_values("ts")
-        flags += rows["hit"].astype(bool).tolist()
-        times += (rows["ts"].astype("datetime64[us]").astype("int64")).tolist()
-        flags, times = flags[-last:], times[-last:]
-        state.update((flags, times))
-        hits = [t for f, t in zip(flags, times, strict=True) if f]
-        state.setTimeoutTimestamp(max(max(times) // 1000, state.getCurrentWatermarkMs()) + days * 86_400_000)
+        # Events are kept by their time, so one that comes late takes its place among them.
+        seen = sorted(zip(state.get[1], state.get[0], strict=True)) if state.exists else []
+        for rows in batches:
+            times = rows["ts"].astype("datetime64[us]").astype("int64")
+            seen = sorted([*seen, *zip(times.tolist(), rows["hit"].astype(bool).tolist(), strict=True)])[-last:]
+        state.update(([f for _, f in seen], [t for t, _ in seen]))
+        hits = [t for t, f in seen if f]
+        state.setTimeoutTimestamp(max(seen[-1][0] // 1000, state.getCurrentWatermarkMs()) + days * 86_400_000)
         if len(hits) >= least:
             yield pd.DataFrame({key: [k[0]], "n_hits": [len(hits)], "active_until": [pd.Timestamp(max(hits), unit="us") + pd.Timedelta(days=days)]})
 

@@ -6,8 +6,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from lintlake.operators import bench, feedback, graph, pulls, review, structure, taint
-from lintlake.sources import files as sources
+from lintlake.operators import bench, feedback, graph, pulls, review, rules, structure, taint
+from lintlake.sources import files as sources, samples
 from lintlake.streaming import jobs
 
 
@@ -130,6 +130,22 @@ def test_bench_metrics(spark):
     golden = sources.read_golden(spark.createDataFrame([("a", json.dumps([{"category": "security", "severity": "high", "title_pattern": "^sql"}])), ("b", json.dumps({"expected_findings": [{"category": "quality", "severity": "low", "title_pattern": "x", "min_count": 2}]}))], "sample_id string, json string"))
     got = spark.createDataFrame([("a", "security", "high", "SQL injection"), ("b", "quality", "low", "x")], "sample_id string, category string, severity string, title string")
     assert {(r["sample_id"], r["passed"]) for r in bench.golden(golden, got).collect()} == {("a", True), ("b", False)}
+    ids = spark.createDataFrame([("a",), ("b",), ("c",)], "sample_id string")
+    scored = bench.golden(golden, got, ids)
+    assert [(r["precision"], r["recall"], r["f1"]) for r in scored.where("sample_id = 'c'").collect()] == [(1.0, 1.0, 1.0)]
+    total = bench.eval_summary(scored).first()
+    assert (total["n_passed"], total["n_samples"], total["ok"]) == (2, 3, True)
+
+
+def test_harness_parity(spark, tmp_path):
+    """The published confusion counts, from rules over samples of our own."""
+    files = samples.samples(spark)
+    assert files.groupBy("dataset").count().orderBy("dataset").collect() == [("clean", 60), ("weaknesses", 14)]
+    found = rules.raw_findings(files).join(files.select("file_id", "sample_id"), "file_id")
+    rows = {r["dataset"]: r for r in bench.run_harness(files, {"rules": lambda _: found}).collect()}
+    assert [(rows[d]["tp"], rows[d]["fn"], rows[d]["fp"], rows[d]["tn"]) for d in ("weaknesses", "clean")] == [(12, 2, 0, 0), (0, 0, 0, 60)]
+    bench.write_results(bench.run_harness(files, {"none": lambda s: s.limit(0).select("sample_id", F.lit(1.0).alias("confidence"))}), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).agg(F.sum("fn")).first()[0] == 14
 
 
 def test_readers(spark, tmp_path):
@@ -141,11 +157,21 @@ def test_readers(spark, tmp_path):
     (tmp_path / "node_modules" / "c.js").write_text("var a")
     rows = sources.scan_tree(spark, str(tmp_path)).collect()
     assert sorted((r["path"].rsplit("/", 1)[1], r["language"]) for r in rows) == [("a.py", "python"), ("run", "python")]
-    sarif = {"runs": [{"tool": {"driver": {"name": "q", "rules": [{"id": "r1", "properties": {"security-severity": "9.8"}}]}}, "results": [{"ruleId": "r1", "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "a.py"}, "region": {"startLine": 3}}}]}, {"ruleId": "r2", "level": "note", "message": {"text": "n"}}]}]}
-    got = sources.read_sarif(spark.createDataFrame([(json.dumps(sarif),)], "json string")).collect()
-    assert [(r["severity"], r["line_start"], r["line_end"]) for r in got] == [("critical", 3, 3), ("low", None, None)]
-    semgrep = {"results": [{"check_id": "c", "path": "p", "start": {"line": 1}, "end": {"line": 2}, "extra": {"message": "m", "severity": "ERROR"}}]}
-    assert sources.read_semgrep(spark.createDataFrame([(json.dumps(semgrep),)], "json string")).first()["severity"] == "high"
+    assert {r["path"].rsplit("/", 1)[1]: r["code"] for r in rows}["a.py"] == "x = 1\n"
+    assert [r["path"].rsplit("/", 1)[1] for r in sources.scan_tree(spark, str(tmp_path), only=["src/a.py"]).collect()] == ["a.py"]
+    prop = lambda s: {"properties": {"problem.severity": s}}
+    place = [{"physicalLocation": {"artifactLocation": {"uri": "a.py"}, "region": {"startLine": 3}}}]
+    results = [{"ruleId": "r1", "message": {"text": "m"}, "locations": place}, {"ruleId": "r1", "message": {}} | prop("note"), {"ruleId": "r2"}, {"ruleId": "r3", "level": "error"}, {"ruleId": "r3"}]
+    sarif = {"runs": [{"tool": {"driver": {"name": "q", "rules": [{"id": "r1"} | prop("ERROR"), {"id": "r2"}]}}, "results": results}, {"results": results}]}
+    got = sources.read_sarif(spark.createDataFrame([(json.dumps(sarif),), ("{}",)], "json string")).collect()
+    assert [(r["severity"], r["title"], r["line_start"], r["line_end"]) for r in got] == [("critical", "m", 3, 3), ("medium", "r1", None, None), ("high", "r2", None, None), ("critical", "r3", None, None), ("high", "r3", None, None)]
+    result = lambda s: {"check_id": "c", "path": "p", "start": {"line": 1}, "end": {"line": 2}, "extra": {"message": "m"} | ({"severity": s} if s else {})}
+    semgrep = {"results": [result(s) for s in ("ERROR", "Warning", "INFO", "NOTE", "other", None)]}
+    assert [r["severity"] for r in sources.read_semgrep(spark.createDataFrame([(json.dumps(semgrep),)], "json string")).collect()] == ["critical", "high", "medium", "low", "medium", "medium"]
+    shebang = spark.createDataFrame([("run", "#!/usr/bin/env PYTHON3\nx"), ("b", "echo")], "path string, code string")
+    assert [r[0] for r in shebang.select(sources.detect_language(F.col("path"), F.col("code"))).collect()] == ["python", None]
+    bad = spark.createDataFrame([(b"a\xffb\xef\xbf\xbdc\xc3",)], "b binary").select(sources.decoded(F.col("b"))).first()[0]
+    assert bad == "ab\ufffdc" == b"a\xffb\xef\xbf\xbdc\xc3".decode("utf-8", "ignore")
     content = spark.createDataFrame([(base64.b64encode("é".encode()).decode(), 2), ("!!", 2), (base64.b64encode(b"\xff").decode(), 1), ("YQ==", 200_000)], "c string, n int")
     assert [r[0] for r in content.select(sources.decode_content(F.col("c"), F.col("n"))).collect()] == ["é", None, None, None]
 

@@ -19,20 +19,20 @@ _CLEAN = {
     "java": ("final class {0}Rule {{\n  double of(double base, double step) {{\n    return base * step;\n  }}\n}}\n", 3),
 }
 _VULNERABLE = [
-    ("eval", "python", "def run(text):\n    return eval(text)\n"),
-    ("command", "python", "import os\n\ndef show(name):\n    os.system(\"ls \" + name)\n"),
-    ("shell", "python", "import subprocess\n\ndef find(word):\n    subprocess.run(\"grep \" + word, shell=True)\n"),
-    ("sql", "python", "def user(cursor, name):\n    cursor.execute(\"SELECT * FROM users WHERE name = '%s'\" % name)\n"),
+    ("eval", "python", "def run(text: str) -> object:\n    return eval(text)\n"),
+    ("command", "python", "import os\n\ndef show(name: str) -> None:\n    os.system(\"ls \" + name)\n"),
+    ("shell", "python", "import subprocess\n\ndef find(word: str) -> None:\n    subprocess.run(\"grep \" + word, shell=True)\n"),
+    ("sql", "python", "def user(cursor: object, name: str) -> None:\n    cursor.execute(\"SELECT * FROM users WHERE name = '%s'\" % name)\n"),
     ("secret", "python", "api_key = \"k3y-of-the-house-0815\"\n"),
-    ("weak-hash", "python", "import hashlib\n\ndef digest(data):\n    return hashlib.md5(data)\n"),
-    ("yaml", "python", "import yaml\n\ndef settings(text):\n    return yaml.load(text)\n"),
+    ("weak-hash", "python", "import hashlib\n\ndef digest(data: bytes) -> object:\n    return hashlib.md5(data)\n"),
+    ("yaml", "python", "import yaml\n\ndef settings(text: str) -> dict:\n    return yaml.load(text)\n"),
     ("html", "javascript", "function show(el, data) {\n  el.innerHTML = data;\n}\n"),
     ("log", "javascript", "function enter(user, password) {\n  console.log(password);\n}\n"),
     ("password", "typescript", "const password = \"open-the-gate-now\";\n"),
     ("sql-go", "go", "package store\n\nfunc user(name string) string {\n\treturn fmt.Sprintf(\"SELECT * FROM users WHERE name = '%s'\", name)\n}\n"),
     ("sql-java", "java", "class Users {\n  String query(String name) {\n    return \"SELECT * FROM users WHERE name = \" + name;\n  }\n}\n"),
-    ("path", "python", "def page(folder, name):\n    return (folder / name).read_text()\n"),
-    ("request", "python", "def fetch(client, place):\n    return client.get(place).text\n"),
+    ("path", "python", "def page(folder: Path, name: str) -> str:\n    return (folder / name).read_text()\n"),
+    ("request", "python", "def fetch(client: Client, place: str) -> str:\n    return client.get(place).text\n"),
 ]
 
 

@@ -54,18 +54,15 @@ def _title(rule: Rule, line: Column) -> Column | None:
 def _line_test(rule: Rule, at: Place, language: str) -> Column:
     """Whether a line rule fires at a line."""
     if rule.kind == "after_loop":
-        found = matches(at.line, book.CONCAT[language])
-        # At or after the file's first loop line that isn't a comment.
-        loops = lambda s, k: (k <= at.i) & matches(s, book.LOOP_WORD) & ~starts_with_any(s, rule.skip)
-        found = found & F.exists(F.transform(F.col("stripped"), loops), lambda x: x)
+        found = matches(at.line, book.CONCAT[language]) & F.coalesce(F.col("first_loop") <= at.i, F.lit(False))
     else:
         found = rule.test.spark(at)
     if rule.kind == "todo":
         return found
     if rule.kind == "outside_tests":
         # In tests: after the last test attribute no line was a lone closing brace.
-        last = lambda hit: F.array_max(F.transform(F.col("stripped"), lambda s, k: F.when((k <= at.i) & hit(s), k)))
-        begun, ended = last(lambda s: matches(s, book.RUST_TEST)), last(lambda s: s == "}")
+        last = lambda places: F.array_max(F.filter(places, lambda k: k <= at.i))
+        begun, ended = last(F.col("test_lines")), last(F.col("closing_lines"))
         found = found & (begun.isNull() | F.coalesce(ended > begun, F.lit(False)))
     return (~starts_with_any(at.stripped, rule.skip) & found) if rule.skip else found
 
@@ -152,6 +149,26 @@ def _place(line: Column, i: Column) -> Place:
     return Place(line, F.get("stripped", i), i, F.col("lines"), F.col("code"))
 
 
+def _with_places(rows: DataFrame) -> DataFrame:
+    """rows with what rules ask of a file as a whole, worked out once a file and only where some line can need it.
+
+    first_loop: number of the first loop line that isn't a comment; test_lines, closing_lines: of Rust's test attributes and
+    lone closing braces.
+    """
+    language, code = F.col("language"), F.col("code")
+    skip = next((r.skip for r in book.RULES if r.kind == "after_loop"), ())
+    places = lambda hit: F.filter(F.transform("stripped", lambda x, k: F.when(hit(x), k)), lambda k: k.isNotNull())
+    needed = F.lit(False)
+    for name, pattern in book.CONCAT.items():
+        needed = needed | ((language == name) & matches(code, pattern))
+    tested = (language == "rust") & matches(code, book.RUST_TEST)
+    return rows.withColumns({
+        "first_loop": F.when(needed, F.array_min(places(lambda x: matches(x, book.LOOP_WORD) & ~starts_with_any(x, skip)))),
+        "test_lines": F.when(tested, places(lambda x: matches(x, book.RUST_TEST))),
+        "closing_lines": F.when(tested, places(lambda x: x == "}")),
+    })
+
+
 def _of_language(language: str, rules: list[Rule], structured: bool) -> Column:
     own = [r for r in rules if language in r.languages]
     per_line = [r for r in own if r.kind in LINE_KINDS]
@@ -195,7 +212,7 @@ def raw_findings(files: DataFrame, disabled: tuple[str, ...] = (), only: tuple[s
     rules = [r for r in rules if r.kind != "function"]
     structured = "structure" in files.columns
     rows = files.where(F.col("language").isin(*ALL) & F.col("code").isNotNull()).withColumn("lines", split_lines(F.col("code")))
-    rows = rows.withColumn("stripped", F.transform("lines", strip))
+    rows = _with_places(rows.withColumn("stripped", F.transform("lines", strip)))
     # Rules of all languages stand once in the plan; the others in one branch a language.
     shared, found = [r for r in rules if r.languages == ALL], _none()
     for language in ALL:

@@ -238,10 +238,13 @@ def taint_candidates(spark, sf_dir):
 
 @_query()
 def taint_findings(spark, sf_dir):
-    """Candidates whose pair isn't suppressed (twice reported pairs of file reads are), triaged by the offline scorer."""
+    """Candidates whose pair isn't suppressed, triaged by the offline scorer; events stand for the reports of pairs of file reads."""
+    reads = [r["signature"] for r in taintbook.sources() if r["kind"] == "file_read"]
+    ends = [r["signature"] for r in taintbook.sinks()]
+    pick = lambda values, k: F.get(F.array(*(F.lit(v) for v in values)), F.pmod(k, F.lit(len(values))).cast("int"))
+    reports = _table(spark, sf_dir, "events").select(pick(reads, F.col("user_id")).alias("source_sig"), pick(ends, F.col("event_id")).alias("sink_sig"), "ts")
     found = taint.taint_candidates(code_files(spark, sf_dir))
-    suppressed = found.where("source_kind = 'file_read'").groupBy("source_sig", "sink_sig").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
-    return taint.triage(taint.without_suppressed(found, suppressed)).drop("language")
+    return taint.triage(taint.without_suppressed(found, feedback.pair_suppressions(reports).select("source_sig", "sink_sig"))).drop("language")
 
 
 # --- Graph ---

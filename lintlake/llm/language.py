@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lintlake.llm._bytes import runs, text_udf
 
-GUESS = "struct<lang:string,score:double>"
-_GUESS = pa.struct([("lang", pa.string()), ("score", pa.float64())])
+GUESS = "struct<lang:string,score:double,distance:double>"
+_GUESS = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("distance", pa.float64())])
 #: Each letter of Unicode has a symbol of its own, in order of code points; 0 is the gap between words.
 BITS = 20
 _TABLE: list[np.ndarray] = []
@@ -59,7 +59,7 @@ class Profiles:
     def guess(self, text: bytes) -> dict:
         s = symbols(text)
         if len(s) < 3 or not self.langs:
-            return {"lang": "und", "score": 0.0}
+            return {"lang": "und", "score": 0.0, "distance": 1.0}
         codes, counts = np.unique(ngrams(s), return_counts=True)
         codes = codes[np.lexsort((codes, -counts))[: self.size]]
         at = np.searchsorted(self.codes, codes)
@@ -67,7 +67,7 @@ class Profiles:
         apart = np.minimum(np.abs(self.ranks[:, at] - np.arange(len(codes), dtype=np.int32)), self.size)
         mean = apart.mean(1) / self.size
         best = int(np.argmin(mean))
-        return {"lang": self.langs[best], "score": float(1 / np.exp(40 * (mean[best] - mean)).sum())}
+        return {"lang": self.langs[best], "score": float(1 / np.exp(40 * (mean[best] - mean)).sum()), "distance": float(mean[best])}
 
 
 def learn_profiles(docs: DataFrame, size: int = 400) -> Profiles:
@@ -95,7 +95,7 @@ def learn_profiles(docs: DataFrame, size: int = 400) -> Profiles:
 
 
 def guesser(spark, profiles: Profiles):
-    """A column function: struct(lang, score) of a text column."""
+    """A column function: struct(lang, score, distance) of a text column; distance: the mean one to the nearest profile, 0 to 1."""
     shared = spark.sparkContext.broadcast(profiles)
     return text_udf(lambda part: pa.array([shared.value.guess(t) for t in part], _GUESS), GUESS)
 
@@ -106,15 +106,18 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def identify(docs: DataFrame, train: DataFrame | None = None, size: int = 400) -> DataFrame:
-    """docs, all columns, with `__lang`: struct(lang, score); profiles are learned from train, else from docs."""
+    """docs, all columns, with `__lang`: struct(lang, score, distance); profiles are learned from train, else from docs."""
     profiles = learn_profiles(docs if train is None else train, size)
     return docs.withColumn("__lang", guesser(docs.sparkSession, profiles)(docs["text"].cast("string")))
 
 
-def accepted(docs: DataFrame, least: float = 0.3, size: int = 400) -> DataFrame:
-    """The rows of docs, all columns, in which some language stands out: not `und`, and a score of at least `least`."""
+def accepted(docs: DataFrame, most: float = 0.85, size: int = 400) -> DataFrame:
+    """The rows of docs, all columns, that are near some language: not `und`, and a distance of at most `most`.
+
+    The distance doesn't depend on how many languages were learned; of an unknown script it is 1, of random letters about 0.9.
+    """
     rows = identify(docs, None, size)
-    return rows.where((F.col("__lang.lang") != "und") & (F.col("__lang.score") >= least)).drop("__lang")
+    return rows.where((F.col("__lang.lang") != "und") & (F.col("__lang.distance") <= most)).drop("__lang")
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

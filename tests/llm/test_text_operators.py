@@ -419,6 +419,16 @@ def test_language(spark, docs, none):
     assert {r["__lang"]["lang"] for r in language.identify(docs, none).collect()} == {"und"}
 
 
+def test_languages_are_rejected_by_distance(spark):
+    """However many labels share a language, its texts stay; an unknown script goes even beside one language."""
+    rng = random.Random(12)
+    texts = [prose(rng, 60) for _ in range(40)]
+    for labels in (["en"], ["en", "en-GB", "en-US", "en-AU"]):
+        rows = [(i, t, labels[i % len(labels)]) for i, t in enumerate(texts)] + [(100, "привет мир как дела у тебя сегодня", None), (101, "这是一个测试文档", None), (102, "12 34", None)]
+        kept = language.accepted(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(40))
+
+
 def test_letters_of_all_planes_are_told_apart(spark):
     rng = random.Random(7)
     make = lambda first: " ".join("".join(chr(first + rng.randrange(12)) for _ in range(4)) for _ in range(30))

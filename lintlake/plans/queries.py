@@ -14,7 +14,7 @@ from lintlake.functions.textops import line_count, split_lines
 from lintlake.operators import bench, feedback, graph, pulls, review, rules, store, structure, taint
 from lintlake.sources import files as readers
 from lintlake.sources import samples
-from lintlake.sources.corpus import code_files, code_files_sql, repeated_files, repeated_files_sql, shaped_files
+from lintlake.sources.corpus import TEMPLATES, code_files, code_files_sql, repeated_files, repeated_files_sql, shaped_files
 from lintlake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,19 +274,58 @@ def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return nodes, graph.upsert_edges(edges, nodes)
 
 
-@_query()
+def _template_graph_sql() -> str:
+    """CTEs `nodes` and `edges`, from the structures of the templates alone: prose after them adds nothing to a graph."""
+    made, imports, calls = [], [], []
+    for k, (language, code) in enumerate(TEMPLATES):
+        found = structure.scan(code, language)
+        made += [(k, "function", f["name"], f["line_start"], f["line_end"]) for f in found["functions"]]
+        made += [(k, "class", c["name"], c["line_start"], c["line_end"]) for c in found["classes"]]
+        calls += [(k, c.rsplit(".", 1)[-1]) for c in found["calls"] if language in ("python", "javascript")]
+        imports += [(k, i.split()[1].split(".")[0] if i.startswith("import ") else i.split()[1]) for i in found["imports"] if language == "python"]
+    rows = lambda values, names: "(select * from (values " + ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else quote(v) for v in r) + ")" for r in values) + f") as v({names}))"
+    node = lambda kind, name, path: f"substring(sha256(concat_ws(':', {kind}, {name}, {path})), 1, 16)"
+    languages = rows([(k, x) for k, (x, _) in enumerate(TEMPLATES)], "k, language")
+    return f"""with f as (select 'file' || doc_id as path, language, t.k from documents join {languages} t on doc_id % {len(TEMPLATES)} = t.k),
+fn as (select {node("kind", "name", "path")} as id, name, kind, path, first, last, language, f.k from f join {rows(made, "k, kind, name, first, last")} m on f.k = m.k),
+im as (select {node("'module'", "name", "name")} as id, name, path, language from f join {rows(imports, "k, name")} i on f.k = i.k),
+raw as (select {node("'module'", "path", "path")} as id, path as name, 'module' as kind, path as file_path, null as line_start, null as line_end, language from f
+union all select id, name, kind, path, first, last, language from fn union all select id, name, 'module', name, null, null, language from im),
+nodes as (select id, name, kind, file_path, line_start, line_end, language from (select *, row_number() over (partition by id order by coalesce(line_start, 0) desc, language desc) as rn from raw) where rn = 1),
+edges as (select distinct {node("'module'", "path", "path")} as source_id, id as target_id, 'CONTAINS' as relationship from fn union select {node("'module'", "path", "path")}, id, 'IMPORTS' from im
+union select {node("'module'", "path", "path")}, id, 'CALLS' from fn join {rows(calls, "k, name")} c on fn.k = c.k and fn.name = c.name where kind = 'function')"""
+
+
+_GRAPH = _template_graph_sql()
+
+
+@_query(_GRAPH + " select * from nodes")
 def graph_nodes(spark, sf_dir):
     return _graph(spark, sf_dir)[0]
 
 
-@_query()
+@_query(_GRAPH + " select * from edges")
 def graph_edges(spark, sf_dir):
     return _graph(spark, sf_dir)[1]
 
 
-@_query()
+_ASKED = ["token_for", "run", "area", "go", "Save"]
+
+
+@_query(
+    _GRAPH + ", inside as (select source_id, target_id from edges where relationship = 'CONTAINS'), asked as (select id, name from nodes where name in (" + ", ".join(map(quote, _ASKED)) + "))"
+    " select distinct asked.name as queried, n.id, n.name, n.kind, n.file_path from asked join inside i on i.target_id = asked.id join inside j on i.source_id = j.source_id and j.target_id <> asked.id join nodes n on n.id = j.target_id"
+)
 def graph_siblings(spark, sf_dir):
-    return graph.siblings(*_graph(spark, sf_dir), ["token_for"])
+    """What stands beside the functions that are asked for, in all files that have them."""
+    return graph.siblings(*_graph(spark, sf_dir), _ASKED)
+
+
+@_query(
+    _GRAPH + ", asked as (select id, name from nodes where name in (" + ", ".join(map(quote, _ASKED)) + ")) select distinct asked.name as queried, n.id, n.name, n.kind, n.file_path from asked join edges e on e.target_id = asked.id and relationship = 'CALLS' join nodes n on n.id = e.source_id"
+)
+def graph_callers(spark, sf_dir):
+    return graph.callers(*_graph(spark, sf_dir), _ASKED)
 
 
 @_query("select user_id as id, event_type as name, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1")

@@ -6,10 +6,11 @@ TypeScript and Go by braces.  Other languages get an empty structure with comple
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FUNCTION = "struct<name:string,line_start:int,line_end:int,params:int,length:int,has_docstring:boolean>"
@@ -129,7 +130,8 @@ def _braced(code: str, language: str) -> dict:
     out = _empty(code)
     text, comments = _blank(code, "c")
     go = language == "go"
-    line_of = lambda at: text.count("\n", 0, at) + 1
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    line_of = lambda at: bisect.bisect_left(breaks, at) + 1
     out["complexity"] += len(re.findall(_BRANCHES[language], text))
     # Nesting: each keyword opens a level that ends with the block after it, or with the statement if it has none.
     levels: list[tuple[bool, int]] = []  # (counted, of a brace) for open braces
@@ -162,10 +164,11 @@ def _braced(code: str, language: str) -> dict:
         inner = m[3] if arrow and m[3] is not None else m[4] if arrow else text[text.find("(", m.end() - 1 if go or m[1] else lead) + 1 : _closing(text, text.find("(", m.end() - 1 if go or m[1] else lead))]
         start, stop = line_of(lead), line_of(max(lead, end))
         out["functions"].append({"name": name, "line_start": start, "line_end": stop, "params": _params(inner or "", False), "length": stop - start + 1, "has_docstring": False})
+    named = sorted(f["line_start"] for f in out["functions"] if f["name"] != "<anonymous>")
     for m in re.finditer(r"^type\s+(\w+)" if go else r"\bclass\s+(\w+)", text, re.M):
         body = text.find("{", m.end())
         end = _closing(text, body, "{", "}") if body >= 0 else m.end()
-        methods = 0 if go else sum(1 for f in out["functions"] if f["name"] != "<anonymous>" and line_of(m.start()) < f["line_start"] <= line_of(end))
+        methods = 0 if go else bisect.bisect_right(named, line_of(end)) - bisect.bisect_right(named, line_of(m.start()))
         out["classes"].append({"name": m[1], "line_start": line_of(m.start()), "line_end": line_of(end), "methods": methods, "has_docstring": False})
     pattern = r"^import\s*(?:\([^)]*\)|[^\n]*)" if go else r"^import\b[^\n]*"
     out["imports"] = [m[0].strip() for m in re.finditer(pattern, code, re.M)]

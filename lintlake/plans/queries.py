@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.functions import rulebook as book
 from lintlake.functions import taintbook
 from lintlake.functions.predicates import quote
 from lintlake.functions.rulebook import RULES
@@ -14,7 +15,7 @@ from lintlake.functions.textops import line_count, split_lines
 from lintlake.operators import bench, feedback, graph, pulls, review, rules, store, structure, taint
 from lintlake.sources import files as readers
 from lintlake.sources import samples
-from lintlake.sources.corpus import TEMPLATES, code_files, code_files_sql, repeated_files, repeated_files_sql, shaped_files
+from lintlake.sources.corpus import TEMPLATES, code_files, code_files_sql, repeated_files, repeated_files_sql, shaped_files, shaped_scripts
 from lintlake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +56,7 @@ def line_count_file(spark, sf_dir):
 
 
 #: The rules that the templates never break run over other files made from the same documents.
-_MADE = {"PY006": shaped_files, "PY007": shaped_files, "PY008": shaped_files, "CL002": repeated_files}
+_MADE = {"PY006": shaped_files, "PY007": shaped_files, "PY008": shaped_files, "JS004": shaped_scripts, "CL002": repeated_files}
 _SHAPED = "select doc_id as file_id, doc_id % 13 as deep, doc_id % 130 + 1 as long from documents"
 
 
@@ -79,6 +80,24 @@ ORACLES["rule_py006"] = f"select file_id, 'PY006' as rule_id, cast(null as integ
 ORACLES["rule_py007"] = f"select file_id, 'PY007' as rule_id, 1 as line_start from ({_SHAPED}) where 1 + deep + long > 50"
 ORACLES["rule_py008"] = f"select file_id, 'PY008' as rule_id, cast(null as integer) as line_start from ({_SHAPED}) where deep + 1 > 6"
 
+ORACLES["rule_js004"] = f"select file_id, 'JS004' as rule_id, cast(null as integer) as line_start from ({_SHAPED}) where deep + 1 > 5"
+
+
+def _loop_body_sql() -> str:
+    """PERF001 without a fold: a line is inside a loop before it if all lines between are indented deeper than that loop."""
+    compiles = " or ".join(f"(language = {quote(k)} and regexp_matches(line, {quote(v)}) and not starts_with(stripped, '#') {'' if k != 'python' else _UNQUOTED})" for k, v in book.COMPILE_CALL.items())
+    return (
+        "with " + rules.lines_sql(code_files_sql(), []) + ", code_lines as (select file_id, language, i, line, stripped, length(line) - length(regexp_replace(line, '^\\s+', '')) as depth from lines where stripped <> '' and not starts_with(stripped, '#') and not starts_with(stripped, '//')),"
+        f" loops as (select * from code_lines where regexp_matches(line, {quote(book.LOOP_LINE)})),"
+        f" hits as (select * from code_lines where ({compiles}) and not regexp_matches(line, {quote(book.LOOP_LINE)}))"
+        " select file_id, 'PERF001' as rule_id, i as line_start from hits h where exists (select 1 from loops l where l.file_id = h.file_id and l.i < h.i and l.depth < h.depth"
+        " and not exists (select 1 from code_lines m where m.file_id = l.file_id and m.i > l.i and m.i <= h.i and m.depth <= l.depth))"
+    )
+
+
+_UNQUOTED = "and not regexp_matches(stripped, '^(''|\"|f''|f\"|`)')"
+ORACLES["rule_perf001"] = _loop_body_sql()
+
 _META = "(values " + ", ".join(f"({quote(r.id)}, {quote(r.key)}, {i}, {quote(r.severity)}, {quote(r.category)}, {r.confidence}::double)" for i, r in enumerate(RULES)) + ") as m(rule_id, key, rule_ord, severity, category, confidence)"
 
 
@@ -200,12 +219,6 @@ def summary_texts(spark, sf_dir):
     return structure.with_structure(code_files(spark, sf_dir)).select("file_id", structure.summary_text(F.col("structure")).alias("summary"))
 
 
-@_query()
-def functions_long(spark, sf_dir):
-    rows = structure.with_structure(code_files(spark, sf_dir)).select("file_id", F.explode_outer("structure.functions").alias("f"))
-    return rows.select("file_id", "f.*").where("length > 10")
-
-
 def _specs_sql(rows: list[dict]) -> str:
     return "(values " + ", ".join(f"({quote(r['language'])}, {quote(r['kind'])}, {quote(r['pattern'])}, {quote(r['signature'])})" for r in rows) + ") as s(language, kind, pattern, signature)"
 
@@ -274,6 +287,19 @@ def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return nodes, graph.upsert_edges(edges, nodes)
 
 
+def _functions_sql() -> str:
+    """The templates' functions; prose after them has none."""
+    found = [(k, f) for k, (language, code) in enumerate(TEMPLATES) for f in structure.scan(code, language)["functions"]]
+    rows = ", ".join(f"({k}, {quote(f['name'])}, {f['line_start']}, {f['line_end']}, {f['params']}, {f['length']}, {str(f['has_docstring']).lower()})" for k, f in found)
+    return f"select doc_id as file_id, name, line_start, line_end, params, length, has_docstring from documents join (values {rows}) as v(k, name, line_start, line_end, params, length, has_docstring) on doc_id % {len(TEMPLATES)} = k where length > 5"
+
+
+@_query(_functions_sql())
+def functions_long(spark, sf_dir):
+    rows = structure.with_structure(code_files(spark, sf_dir)).select("file_id", F.explode_outer("structure.functions").alias("f"))
+    return rows.select("file_id", "f.*").where("length > 5")
+
+
 def _template_graph_sql() -> str:
     """CTEs `nodes` and `edges`, from the structures of the templates alone: prose after them adds nothing to a graph."""
     made, imports, calls = [], [], []

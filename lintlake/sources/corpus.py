@@ -197,6 +197,14 @@ def shaped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("file_id"), F.lit("python").alias("language"), code.alias("code"))
 
 
+def shaped_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, language, code: the same for JavaScript, with braces."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    deep, long = F.pmod("doc_id", F.lit(13)).cast("int"), (F.pmod("doc_id", F.lit(130)) + 1).cast("int")
+    code = F.concat(F.lit("function grow(a) {\n"), F.repeat(F.lit("if (a) {\n"), deep), F.repeat(F.lit("a = a + 1;\n"), long), F.repeat(F.lit("}\n"), deep + 1))
+    return docs.select(F.col("doc_id").alias("file_id"), F.lit("javascript").alias("language"), code.alias("code"))
+
+
 def repeated_files(spark: SparkSession, sf_dir: str, times: int = 30) -> DataFrame:
     """The files of code_files, each written out `times` times over."""
     return code_files(spark, sf_dir).withColumn("code", F.repeat(F.concat("code", F.lit("\n")), F.lit(times)))

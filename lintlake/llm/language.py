@@ -41,7 +41,7 @@ def symbols(text: bytes) -> np.ndarray:
 def ngrams(s: np.ndarray) -> np.ndarray:
     """Codes of all one- to three-letter n-grams: the length in the top bits."""
     letters = s[s > 0]
-    pairs = 1 << 3 * BITS | s[:-1] << BITS | s[1:]
+    pairs = (1 << 3 * BITS | s[:-1] << BITS | s[1:])[(s[:-1] > 0) | (s[1:] > 0)]  # none of the gaps between two texts
     triples = (2 << 3 * BITS | s[:-2] << 2 * BITS | s[1:-1] << BITS | s[2:])[s[1:-1] > 0]
     return np.concatenate((letters, pairs, triples))
 

@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -419,6 +420,72 @@ def test_language(spark, docs, none):
     assert {r["__lang"]["lang"] for r in language.identify(docs, none).collect()} == {"und"}
 
 
+def brute_grams(text):
+    """N-grams of one to three characters as (length, code points), gaps as 0."""
+    out = Counter()
+    for word in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (text or "").lower())):
+        w = [0, *map(ord, word), 0]
+        for n in (1, 2, 3):
+            out.update((n, tuple(w[i : i + n])) for i in range(len(w) - n + 1) if n > 1 or w[i])
+    return out
+
+
+def brute_ranks(grams, size):
+    return {g: r for r, g in enumerate(sorted(grams, key=lambda g: (-grams[g], g))[:size])}
+
+
+@pytest.mark.parametrize("size", [400, 15])
+def test_language_profiles_against_brute_force(spark, size):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(1, 30)), "xx") for i in range(30)] + [(100 + i, "".join(rng.choices("mnoprst uvw", k=90)), "yy") for i in range(30)]
+    rows += [(200, None, "xx"), (201, "no lang", None), (202, "", "yy"), (203, "7", "yy"), (204, "Ölß éa", None)]
+    grams = {}
+    for _, text, lang in rows:
+        if lang and text is not None:
+            grams.setdefault(lang, Counter()).update(brute_grams(text))
+    ranks = {lang: brute_ranks(g, size) for lang, g in grams.items()}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    for r in language.identify(docs, None, size).collect():
+        own = brute_ranks(brute_grams(r["text"]), size)
+        if not own:
+            assert (r["__lang"]["lang"], r["__lang"]["score"]) == ("und", 0.0)
+            continue
+        mean = {lang: sum(min(size, abs(known[g] - k) if g in known else size) for g, k in own.items()) / len(own) / size for lang, known in ranks.items()}
+        best = min(sorted(mean), key=lambda x: mean[x])
+        assert r["__lang"]["lang"] == best
+        assert math.isclose(r["__lang"]["distance"], mean[best], rel_tol=1e-9)
+        assert math.isclose(r["__lang"]["score"], 1 / sum(math.exp(40 * (mean[best] - m)) for m in mean.values()), rel_tol=1e-9)
+
+
+def test_quality_vectors_against_brute_force(spark):
+    rng = random.Random(15)
+    texts = [prose(rng, rng.randint(1, 25)) for _ in range(20)] + ["One one ONE two. Two!", "", "x"]
+    slots, dim = 64, 8
+    index = quality.index_vectors(slots, dim).astype(int)
+    total = [[0] * dim for _ in range(slots)]
+    for t in texts:
+        words, shapes, counts = quality.tokens([t.encode()], slots)
+        assert list(counts) == [len(t.split())]
+        for i in range(len(words)):
+            near = [index[words[j]] + index[shapes[j]] for j in range(max(0, i - 2), min(len(words), i + 3)) if j != i]
+            for at in (words[i], shapes[i]):
+                total[at] = [a + b for a, b in zip(total[at], sum(near, index[0] * 0), strict=True)]
+    got = quality.context_vectors(spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").repartition(3), slots, dim)
+    for at in range(slots):
+        long = math.sqrt(sum(x * x for x in total[at]))
+        assert all(math.isclose(g, x / max(long, 1), abs_tol=1e-6) for g, x in zip(got[at], total[at], strict=True))
+    # A document is the mean of its tokens' vectors; scoring by folded vectors is the network's own answer.
+    net = quality.Network(np.concatenate((index.astype(np.float32), got), 1), 0.5)
+    raw = [t.encode() for t in texts]
+    pooled = net.pool(raw)
+    words, shapes, _ = quality.tokens(raw[:1], slots)
+    assert np.allclose(pooled[0], np.concatenate((net.vectors[words].mean(0), net.vectors[shapes].mean(0))), atol=1e-6)
+    net.fit(pooled, np.array([i % 2 for i in range(len(texts))], float), hidden=4, epochs=3)
+    want = 1 / (1 + np.exp(-net._logits((pooled - net.mean) / net.scale) / net.temperature))
+    net.fold()
+    assert np.allclose(net.score(raw), want, atol=1e-4)
+
+
 def test_languages_are_rejected_by_distance(spark):
     """However many labels share a language, its texts stay; an unknown script goes even beside one language."""
     rng = random.Random(12)

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,80 +53,105 @@ def spec_matches(files: DataFrame, specs: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(specs), on).select("file_id", (F.col("i") + 1).alias("line_no"), "kind", "signature")
 
 
-class Tracker:
-    """The fold for one language."""
-
-    def __init__(self, language: str, most: int = MOST, strict_shell: bool = False):
-        self.language, self.most, self.strict = language, most, strict_shell
-        self.sources = [s for s in book.sources() if s["language"] == language]
-        self.sinks = [s for s in book.sinks() if s["language"] == language]
-        self.clean = book.SANITIZERS.get(language, [])
-        self.assign = re.compile(book.ASSIGNMENT.get(language, book.ASSIGNMENT["other"]))
-        self.interpolated = re.compile(book.INTERPOLATED[language]) if language in book.INTERPOLATED else None
-
-    def sanitized(self, text: str) -> bool:
-        return any(p in text for p in self.clean)
-
-    def target(self, line: str) -> str | None:
-        m = self.assign.match(line.strip())
-        return m[1] if m and m[1] not in book.RESERVED else None
-
-    def uses(self, name: str, rhs: str, line: str) -> bool:
-        if re.search(rf"\b{re.escape(name)}\b", rhs):
-            return True
-        return bool(self.interpolated and self.interpolated.search(line)) and name in line
-
-    def run(self, lines: list[str], function: str | None = None) -> list[dict]:
-        tainted: dict[str, tuple[dict, list[dict]]] = {}
-        found: dict[str, dict] = {}
-        for no, line in enumerate(lines, 1):
-            if not line.strip() or line.strip().startswith(("#", "//")):
+class Line(NamedTuple):
+    """What the fold needs to know of a line; lines without an assignment and without a sink aren't read."""
+
+    no: int
+    text: str
+    words: frozenset[str]
+    clean: bool
+    name: str | None
+    source: dict | None
+    given: frozenset[str]
+    given_clean: bool
+    embeds: bool
+    sinks: list[dict]
+
+
+class Reader:
+    """Turns a file's lines into facts, by the registries of one language."""
+
+    def __init__(self, language: str, strict_shell: bool = False):
+        own = lambda rows: [r for r in rows if r["language"] == language]
+        one = lambda patterns: re.compile("|".join(map(re.escape, patterns)) or r"(?!)")
+        self.sources, self.sinks, self.strict = own(book.sources()), own(book.sinks()), strict_shell
+        self.some_source, self.some_sink = one(r["pattern"] for r in self.sources), one(r["pattern"] for r in self.sinks)
+        self.cleaner = one(book.SANITIZERS.get(language, []))
+        self.assignment = re.compile(book.ASSIGNMENT.get(language, book.ASSIGNMENT["other"]))
+        self.embedding = re.compile(book.INTERPOLATED.get(language, r"(?!)"))
+
+    def read(self, lines: list[str]) -> Iterator[Line]:
+        for no, text in enumerate(lines, 1):
+            bare = text.strip()
+            if not bare or bare[0] == "#" or bare[:2] == "//":
+                continue
+            assigned = self.assignment.match(bare)
+            name = assigned[1] if assigned and assigned[1] not in book.RESERVED else None
+            sinks = [r for r in self.sinks if r["pattern"] in text and self._dangerous(r, text)] if self.some_sink.search(text) else []
+            if not name and not sinks:
                 continue
-            name = self.target(line)
-            hop = name and {"line": no, "col": line.find(name), "variable": name, "operation": "assign", "snippet": line.rstrip()}
-            if name:
-                for s in self.sources:  # the last matching source wins
-                    if s["pattern"] in line:
-                        tainted[name] = s, [hop]
-                if name not in tainted:
-                    rhs = line.split("=", 1)[-1]
-                    donor = next((v for v in tainted if self.uses(v, rhs, line)), None) if not self.sanitized(rhs) else None
-                    if donor:
-                        tainted[name] = tainted[donor][0], [*tainted[donor][1], hop]
-            for sink in self.sinks:
-                if sink["pattern"] not in line or self.strict and sink["shell_only"] and not re.search(r"shell\s*=\s*True", line):
-                    continue
-                for var, (source, hops) in tainted.items():
-                    if not re.search(rf"\b{re.escape(var)}\b", line) or self.sanitized(line):
-                        continue
-                    key = hashlib.sha256(f"{source['signature']}:{sink['signature']}:{function}:{no}".encode()).hexdigest()[:16]
-                    if key in found:
-                        continue
-                    found[key] = {
-                        "candidate_id": key, "source_sig": source["signature"], "sink_sig": sink["signature"], "source_kind": source["kind"], "sink_kind": sink["kind"],
-                        "source_line": hops[0]["line"], "sink_line": no, "sink_col": line.find(sink["pattern"]), "hops": list(hops), "snippet": _snippet(lines, no, hops),
-                    }
-                    if len(found) >= self.most:
-                        return list(found.values())
-        return list(found.values())
-
-
-def _snippet(lines: list[str], sink: int, hops: list[dict]) -> str:
-    marked = {h["line"] for h in hops} | {sink}
-    first, last = max(1, min(marked) - 2), min(len(lines), max(marked) + 2)
-    return "\n".join(f"{i:3d}{' >> ' if i in marked else '    '}{lines[i - 1]}" for i in range(first, last + 1))
+            # Of several sources the one last in the registry counts.
+            source = next((r for r in reversed(self.sources) if r["pattern"] in text), None) if name and self.some_source.search(text) else None
+            given = text.partition("=")[2] if "=" in text else text
+            yield Line(no, text, _words(text), bool(self.cleaner.search(text)), name, source, _words(given), bool(self.cleaner.search(given)), bool(self.embedding.search(text)), sinks)
+
+    def _dangerous(self, sink: dict, text: str) -> bool:
+        return not (self.strict and sink["shell_only"]) or bool(re.search(r"shell\s*=\s*True", text))
+
+
+def _words(text: str) -> frozenset[str]:
+    """A name stands in a text as a whole word just if it is one of these."""
+    return frozenset(re.findall(r"\w+", text))
+
+
+def flows(facts: Iterable[Line]) -> Iterator[tuple[Line, dict, tuple[dict, list[dict]]]]:
+    """(line, sink, (source, hops)) for each value from outside that a sink's line names, in order of discovery.
+
+    The state is what each name holds, in the order in which names came to hold anything; nothing is ever forgotten.
+    """
+    held: dict[str, tuple[dict, list[dict]]] = {}
+    for at in facts:
+        if at.name and (at.source or at.name not in held):
+            hop = {"line": at.no, "col": at.text.find(at.name), "variable": at.name, "operation": "assign", "snippet": at.text.rstrip()}
+            if at.source:
+                held[at.name] = at.source, [hop]
+            elif not at.given_clean:
+                passed = (t for v, t in held.items() if v in at.given or at.embeds and v in at.text)
+                if trail := next(passed, None):
+                    held[at.name] = trail[0], [*trail[1], hop]
+        if at.sinks and not at.clean:
+            reaching = [t for v, t in held.items() if v in at.words]
+            yield from ((at, sink, trail) for sink in at.sinks for trail in reaching)
+
+
+def candidates_of(lines: list[str], reader: Reader, most: int, function: str | None = None) -> list[dict]:
+    """The first `most` different candidates of a file."""
+    found: dict[str, dict] = {}
+    for at, sink, (source, hops) in flows(reader.read(lines)):
+        key = hashlib.sha256(f"{source['signature']}:{sink['signature']}:{function}:{at.no}".encode()).hexdigest()[:16]
+        if key not in found:
+            found[key] = {
+                "candidate_id": key, "source_sig": source["signature"], "sink_sig": sink["signature"], "source_kind": source["kind"], "sink_kind": sink["kind"],
+                "source_line": hops[0]["line"], "sink_line": at.no, "sink_col": at.text.find(sink["pattern"]), "hops": hops, "snippet": excerpt(lines, {at.no, *(h["line"] for h in hops)}),
+            }
+        if len(found) == most:
+            break
+    return list(found.values())
+
+
+def excerpt(lines: list[str], marked: set[int], around: int = 2) -> str:
+    """Numbered lines from a little before the first marked one to a little after the last, the marked ones pointed out."""
+    shown = range(max(1, min(marked) - around), min(len(lines), max(marked) + around) + 1)
+    return "\n".join(f"{no:3d}{' >> ' if no in marked else '    '}{lines[no - 1]}" for no in shown)
 
 
 def taint_candidates(files: DataFrame, most: int = MOST, strict_shell: bool = False) -> DataFrame:
     """file_id, language, ord and the candidate's fields; at most `most` a file, in order of discovery."""
 
     def fold(lines: pa.Array, language: pa.Array) -> pa.Array:
-        trackers: dict[str, Tracker] = {}
-        out = []
-        for own, kind in zip(lines.to_pylist(), language.to_pylist(), strict=True):
-            tracker = trackers.setdefault(kind, Tracker(kind, most, strict_shell))
-            out.append(tracker.run(own or []))
-        return pa.array(out, pa.list_(CANDIDATE))
+        kinds = language.to_pylist()
+        readers = {k: Reader(k, strict_shell) for k in set(kinds)}
+        return pa.array([candidates_of(own or [], readers[k], most) for own, k in zip(lines.to_pylist(), kinds, strict=True)], pa.list_(CANDIDATE))
 
     run = F.arrow_udf(fold, f"array<{CANDIDATE_DDL}>")
     rows = files.select("file_id", "language", run(split_lines(F.col("code")), F.col("language")).alias("found"))

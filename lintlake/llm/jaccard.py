@@ -20,8 +20,9 @@ by token, and a large bucket is cut into blocks of at most about `block` sets an
    links its sets to a spanning forest: sets that it has already joined aren't compared again, so a group of near copies
    costs about a multiple of its members.
 2. Components are formed from these links and those of the small buckets.  Buckets that still hold several components
-   are taken whole: the sets outside a bucket's largest component visit all its blocks, so that every pair across
-   components meets once, in the bucket of the first prefix token that both have.
+   are taken whole: blocks of all their sets meet blocks of the sets outside the bucket's largest component, so that
+   every pair across components meets once, in the bucket of the first prefix token that both have.  Rows whose place in
+   the prefix is too far back for any set of the bucket are left out before.
 
 All bounds are exact, so no link between components is missed; links within one aren't all listed.
 
@@ -208,7 +209,7 @@ def _fits(c: dict, a: np.ndarray, b: np.ndarray, t: Threshold) -> np.ndarray:
 
 
 def bucket_pairs(tokens: DataFrame, t: Threshold, small: int) -> DataFrame:
-    """a, b, token, n: candidate pairs with token null; and, for each member of a bucket over `small`, b, token and n."""
+    """a, b, token, n, pos: candidate pairs (a, b); and, for each member of a bucket over `small`, b, token, n and pos."""
 
     def pairs(batches):
         for c in _buckets(batches, ("token", "salt")):
@@ -231,15 +232,16 @@ def bucket_pairs(tokens: DataFrame, t: Threshold, small: int) -> DataFrame:
                 b.append(y[fit])
             x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
             big = np.flatnonzero(np.repeat(large, sizes) & (n > 0))
+            names, gap = ["a", "b", "token", "n", "pos"], lambda kind, many: pa.nulls(many, kind)
             if len(x):
                 found = np.unique(np.stack((nodes[x], nodes[y])), axis=1)
-                none = pa.nulls(found.shape[1], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), none, pa.nulls(found.shape[1], pa.int32())], ["a", "b", "token", "n"])
+                many = found.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), gap(pa.int64(), many), gap(pa.int32(), many), gap(pa.int32(), many)], names)
             if len(big):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(big), pa.int64()), pa.array(nodes[big]), pa.array(keys[big]), pa.array(n[big])], ["a", "b", "token", "n"])
+                yield pa.RecordBatch.from_arrays([gap(pa.int64(), len(big)), pa.array(nodes[big]), pa.array(keys[big]), pa.array(n[big]), pa.array(c["pos"][big])], names)
 
     dealt = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
-    return dealt.mapInArrow(pairs, "a bigint, b bigint, token bigint, n int")
+    return dealt.mapInArrow(pairs, "a bigint, b bigint, token bigint, n int, pos int")
 
 
 class Checked:
@@ -337,6 +339,18 @@ def set_table(nodes: DataFrame, texts: DataFrame, sets: DataFrame, k: int, few:
     return park(rows.mapInArrow(made, "node bigint, set binary"), "own")
 
 
+def within_reach(hot: DataFrame, t: Threshold) -> DataFrame:
+    """The rows (node, token, n, pos) of large buckets whose place allows a link with any set as small as the bucket's least.
+
+    Before its first shared token a set of size n has pos tokens that its partner lacks, so pos is at most n less the
+    overlap needed.
+    """
+    least = hot.groupBy("token").agg(F.min("n").alias("least"))
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * t.num / t.den))
+    needed = F.ceil((F.col("n") + smallest) * t.num / (t.den + t.num) - 1e-9)
+    return hot.join(least, "token").where(F.col("pos") <= F.col("n") - needed).select("node", "token", "n")
+
+
 def first_blocks(hot: DataFrame, block: int, block_tokens: int) -> DataFrame:
     """token, cut, mine, node, root, guest: each node in its largest bucket, dealt to blocks; in two cuts, if it has several blocks."""
     sizes = hot.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
@@ -347,19 +361,24 @@ def first_blocks(hot: DataFrame, block: int, block_tokens: int) -> DataFrame:
 
 
 def open_blocks(hot: DataFrame, labels: DataFrame, block: int, block_tokens: int) -> DataFrame:
-    """token, cut, mine, node, root, guest: buckets in several components, whole; those outside the largest one visit all its blocks.
+    """token, cut, mine, node, root, guest: buckets in several components, as blocks of all their rows, each beside each block of guests.
 
-    guest: 0 for a row of the bucket's largest component in its block, 1 for another one in its own block, 2 for one that visits.
+    guest: 0 for a row of the bucket's largest component, 1 for another one, 2 for the latter as a guest.
     """
     rows = hot.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = rows.groupBy("token", "root").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
-    open_ = parts.groupBy("token").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots"))
-    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("weight") / block_tokens))
-    rows = rows.join(open_.where("roots > 1").select("token", blocks.alias("blocks"), F.col("m.root").alias("main")), "token")
-    mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.col("root") != F.col("main")
-    rows = rows.withColumn("place", F.explode(F.when(other, F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(mine))))
-    guest = F.when(~other, 0).when(F.col("place") == mine, 1).otherwise(2)
-    return rows.select("token", F.lit(0).alias("cut"), F.col("place").alias("mine"), "node", "root", guest.alias("guest"))
+    largest = F.max(F.struct("size", "root", "weight")).alias("m")
+    open_ = parts.groupBy("token").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), largest, F.count("*").alias("roots")).where("roots > 1")
+    blocks = lambda size, weight: F.ceil(F.greatest(size / block, weight / block_tokens))
+    open_ = open_.select("token", F.col("m.root").alias("main"), blocks(F.col("size"), F.col("weight")).alias("blocks"), blocks(F.col("size") - F.col("m.size"), F.col("weight") - F.col("m.weight")).alias("guests"))
+    rows = rows.join(open_, "token").withColumn("other", F.col("root") != F.col("main"))
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    mine, seat = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("guests"))
+    place = lambda i, j, kind: F.struct((i * F.col("guests") + j).alias("mine"), kind.alias("guest"))
+    home = F.transform(upto(F.col("guests")), lambda j: place(mine, j, F.when(F.col("other"), 1).otherwise(0)))
+    away = F.when(F.col("other"), F.transform(upto(F.col("blocks")), lambda i: place(i, seat, F.lit(2))))
+    rows = rows.withColumn("place", F.explode(F.concat(home, F.coalesce(away, F.slice(home, 1, 0)))))
+    return rows.select("token", F.lit(0).alias("cut"), "place.mine", "node", "root", "place.guest")
 
 
 class Bitmaps:
@@ -423,10 +442,10 @@ def _linked_in(c: dict, s: int, e: int, t: Threshold, order: Order | None) -> li
         # Rows come by rising size: the larger partners of i, up to where sizes part.
         end = i + 1 + int(np.searchsorted(maps.n[i + 1 :], maps.n[i] * t.den // t.num, "right"))
         j = np.arange(i + 1, end)
-        meet = guest[i] + guest[j] < 3 if guest[i] != 1 else (guest[j] < 2) | (node[i] < node[j])
-        if guest[i] == 2:
-            meet = (guest[j] == 0) | ((guest[j] == 1) & (node[j] < node[i]))
-        j = j[(label[j] != label[i]) & meet]
+        if order:  # a guest meets those at home; of two that are guests elsewhere, the lesser is at home
+            least_home = (guest[j] == 0) | (node[j] < node[i]) if guest[i] == 2 else (guest[i] == 0) | (node[i] < node[j])
+            j = j[((guest[j] == 2) != (guest[i] == 2)) & least_home]
+        j = j[label[j] != label[i]]
         for x in maps.near(i, j, t).tolist() if len(j) else ():
             if label[x] == label[i] or (prefix and not _first_common(prefix[i], prefix[x], first)):
                 continue
@@ -450,7 +469,7 @@ def jaccard_groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, s
     order = docs.sparkSession.sparkContext.broadcast(Order(frequent_tokens(sets, at_least, listed)))
     found = park(bucket_pairs(prefix_tokens(texts, order, t, k, small), t, small), "found")
     pairs = park(bitmaps_allow(found.where("token is null").select("a", "b").distinct(), sets, t), "pairs")
-    hot = park(found.where("token is not null").select(F.col("b").alias("node"), "token", "n").distinct(), "hot")
+    hot = park(within_reach(found.where("token is not null").select(F.col("b").alias("node"), "token", "n", "pos").distinct(), t), "hot")
     own = set_table(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(hot.select("node")), texts, sets, k)
     links = park(verify(pairs, own, t).unionAll(block_links(first_blocks(hot, block, block_tokens), own, t)), "links")
     labels = park(components(links, few), "labels")

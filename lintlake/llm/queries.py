@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lintlake.llm.chat import op13_chat
 from lintlake.llm.decontamination import op1_decontamination
 from lintlake.llm.fingerprints import op2_fingerprints
 from lintlake.llm.jaccard import op3_jaccard_join
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_secrets": op8_secrets,
         "op9_licenses": op9_licenses,
         "op10_pii": op10_pii,
+        "op13_chat": op13_chat,
     }
 
 
@@ -53,7 +55,16 @@ r(id, root) as (select doc_id, doc_id from n union select y, root from r join pa
 least_root as (select id, min(root) as component_id from r group by id)
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, d.doc_id) as component_id from d left join n on d.doc_id = n.doc_id left join least_root on d.doc_id = id"""
 
+_ESCAPED = r"regexp_replace(coalesce({}, ''), '([<\[])(\\*)((?:/?s>|/?INST\]|/?SYS>>|\|[a-z_]+\|>))', '\1\\\2\3', 'g')"
+_OP13 = rf"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t as (select *, row_number() over w as i, count(*) over (partition by conv_id) as n, sum(length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + 23) over (w rows unbounded preceding) as upto
+  from c window w as (partition by conv_id order by turn nulls first, role, {_ESCAPED.format("text")})),
+g as (select conv_id, n, string_agg(role || chr(10) || text || chr(10), '' order by i) as told, coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '') as loss, sum(upto) filter (role = 'assistant' or i = n) as chars from t group by all)
+select conv_id, n::bigint as n_turns, sha256(told) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, chars::bigint as formatted_chars from g"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL expresses; the others are tested against brute force."""
-    return {"op1_decontamination": _OP1, "op3_jaccard_join": _OP3}
+    return {"op1_decontamination": _OP1, "op3_jaccard_join": _OP3, "op13_chat": _OP13}

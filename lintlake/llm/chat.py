@@ -55,7 +55,7 @@ def chat_examples(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
 
 def read_back(text: Column) -> Column:
     """The turns of an example's text, as an array of role and text."""
-    piece = lambda p: F.struct(unescaped(F.substring_index(p, TEXT, 1)).alias("role"), unescaped(F.regexp_replace(p, rf"(?s)^.*?{_quoted(TEXT)}|{_quoted(END)}\\z", "")).alias("text"))
+    piece = lambda p: F.struct(unescaped(F.substring_index(p, TEXT, 1)).alias("role"), unescaped(F.regexp_replace(p, rf"(?s)^.*?{_quoted(TEXT)}|{_quoted(END)}\z", "")).alias("text"))
     return F.transform(F.slice(F.split(text, _quoted(TURN), -1), 2, F.length(text) + 1), piece)
 
 

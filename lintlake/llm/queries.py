@@ -13,6 +13,7 @@ from lintlake.llm.pii import op10_pii
 from lintlake.llm.quality import op6_quality
 from lintlake.llm.secrets import op8_secrets
 from lintlake.llm.sharding import op5_sharding
+from lintlake.llm.spelling import op12_spelling
 
 
 def queries() -> dict:
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_secrets": op8_secrets,
         "op9_licenses": op9_licenses,
         "op10_pii": op10_pii,
+        "op12_spelling": op12_spelling,
         "op13_chat": op13_chat,
     }
 

@@ -9,6 +9,7 @@ from lintlake.llm.jaccard import op3_jaccard_join
 from lintlake.llm.language import op7_language_id
 from lintlake.llm.licenses import op9_licenses
 from lintlake.llm.mixing import op4_mixing
+from lintlake.llm.negatives import op11_negatives
 from lintlake.llm.pii import op10_pii
 from lintlake.llm.quality import op6_quality
 from lintlake.llm.secrets import op8_secrets
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_secrets": op8_secrets,
         "op9_licenses": op9_licenses,
         "op10_pii": op10_pii,
+        "op11_negatives": op11_negatives,
         "op12_spelling": op12_spelling,
         "op13_chat": op13_chat,
     }
@@ -57,6 +59,15 @@ r(id, root) as (select doc_id, doc_id from n union select y, root from r join pa
 least_root as (select id, min(root) as component_id from r group by id)
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, d.doc_id) as component_id from d left join n on d.doc_id = n.doc_id left join least_root on d.doc_id = id"""
 
+_OP11 = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, v.vec_id as id, a.label = v.label as same, list_dot_product(a.e, v.e)::bigint as score from v a join v on a.vec_id <> v.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select p.*, id as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by score desc, id) as rank
+  from p join s on s.anchor_id = p.anchor_id where not same and 80 * positive_score <= 100 * score and score <= positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5"""
+
 _ESCAPED = r"regexp_replace(coalesce({}, ''), '([<\[])(\\*)((?:/?s>|/?INST\]|/?SYS>>|\|[a-z_]+\|>))', '\1\\\2\3', 'g')"
 _OP13 = rf"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -69,4 +80,4 @@ select conv_id, n::bigint as n_turns, sha256(told) as turns_sha256, length(loss)
 
 def oracle_sql() -> dict[str, str]:
     """Twins of the queries that SQL expresses; the others are tested against brute force."""
-    return {"op1_decontamination": _OP1, "op3_jaccard_join": _OP3, "op13_chat": _OP13}
+    return {"op1_decontamination": _OP1, "op3_jaccard_join": _OP3, "op11_negatives": _OP11, "op13_chat": _OP13}

@@ -68,11 +68,25 @@ TEMPLATES = [
     ("zlib", ["provided as is without any express or implied warranty"], "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
 ]
 
-#: A text without any of these holds neither a base phrase nor a template's key phrase.
-SIEVE_PARTS = ("licen", "public", "attribution", "redistribution", "hereby", "cc0", "contributors", "copyright", "warranty", "unencumbered")
+#: The phrases of short words only: no substring tells them, a pattern does.
 SIEVE_CC = r"(?i)cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 
 
+def _sieve_parts() -> list[str]:
+    """Words of five letters or more such that each base phrase and each key phrase has one, but those that begin with "cc by"; common words first."""
+    phrases = [p.split() for p in [*PHRASES, *(k for _, keys, _ in TEMPLATES for k in keys)]]
+    left, parts = [p for p in phrases if p[:2] != ["cc", "by"]], []
+    while left:
+        words = {w for p in left for w in p if len(w) >= 5 or max(map(len, p)) < 5}
+        parts.append(max(words, key=lambda w: (sum(w in p for p in left), len(w), w)))
+        left = [p for p in left if parts[-1] not in p]
+    return parts
+
+
+#: A text without any of these, and without SIEVE_CC, holds neither a base phrase nor a template's key phrase.
+SIEVE_PARTS = _sieve_parts()
+
+
 def sieved(text: Column) -> Column:
     """Whether a text may hold a phrase: plain substrings of its lower case, worked out once."""
 
@@ -116,8 +130,8 @@ def template_idf(texts: DataFrame) -> DataFrame:
 def template_labels(found: DataFrame, idf: DataFrame, rarest: int = 24, share: float = 0.5, near: int = 2) -> DataFrame:
     """th, template_labels, template_score for candidate texts (th, text); found holds each text once.
 
-    `rarest`: how many of its rarest places each template is looked up by (all of them, for the templates given);
-    `share`: the part of a template's weight (IDF of these) that must agree on one alignment; `near`: by how many words
+    `rarest`: how many of its rarest places each template is looked up by; its further words cast no vote and aren't
+    asked for.  `share`: the part of a template's weight (IDF of these) that must agree on one alignment; `near`: by how many words
     the key phrase may be off.
     """
     # One row per place of the fixed templates.

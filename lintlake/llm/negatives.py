@@ -239,7 +239,7 @@ def _search(anchors: DataFrame, index: DataFrame, directory: DataFrame, space: _
         bounds = F.zip_with("targets", "lows", kth)
         left = guests.join(full, ["anchor_id", "anchor"], "left").withColumn("needed", F.least(space.distance(F.col("square"), F.array_min(bounds)), F.col("farthest")) + space.slack)
         left = left.filter(F.col("needed") > F.col("radius"))
-        grown = F.least(F.col("needed"), F.greatest(2 * F.col("radius"), F.lit(space.radius), F.lit(space.top**0.5 / 16)))
+        grown = F.least(F.col("needed"), F.greatest(2 * F.col("radius"), F.lit(space.radius), F.lit(space.top**0.5 / 16), F.lit(2 * space.slack)))
         guests = park(left.select(*(c for c in guests.columns if c not in ("radius", "before")), F.col("radius").alias("before"), grown.alias("radius")), "guests")
         if guests.isEmpty():
             return found

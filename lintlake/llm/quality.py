@@ -7,7 +7,8 @@ index and context vectors, for words and for shapes.  A network with one hidden
 to labelled rows, of which a part is set aside to find the temperature that calibrates its probabilities.
 
 The contexts are counted over all documents.  Labels come from at most `train_rows` rows, a hash sample of those allowed
-(all of them where there are fewer): the documented bound of what the driver holds.
+(all of them where there are fewer): the documented bound of what the driver holds.  An id that has several rows teaches
+with one of them, the one whose text's hash is least.
 
 A null or empty text has the zero vector and gets the network's answer for it.  Labelled rows that are null or absent
 teach nothing; without labels of both kinds every score is the mean label (0.5 without any).  Repeated rows get equal
@@ -189,8 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, slots: int = 1 << 15, dim: int = 3
     def pool(part):
         return pa.array(list(shared.value.pool(part)), pa.list_(pa.float32()))
 
-    # train_rows rows of 16 bytes at most: a proven bound for the broadcast.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", text_udf(pool, "array<float>")("text").alias("x")).toArrow()
+    # train_rows rows of 16 bytes at most: a proven bound for the broadcast.  Of an id's rows one is learned from, the
+    # one whose text's hash is least, so that train_rows bounds what comes to the driver however often ids repeat.
+    once = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = once.select("doc_id", "label", text_udf(pool, "array<float>")("text").alias("x")).toArrow()
     if rows.num_rows:
         order = np.lexsort((rows.column("doc_id").to_numpy(),))
         y = rows.column("label").to_numpy().astype(np.float64)[order]

@@ -76,12 +76,12 @@ def _key(word: Column) -> list[Column]:
 
 
 def _first_keys(words: DataFrame) -> DataFrame:
-    """Two keys of each word as it is, two as one longer than its partner; `apart`: a prefix that must differ, so that no pair is met twice."""
+    """Two keys of each word as it is, two as one longer than its partner; `apart`: length of a prefix that must differ (-1: none), so that no pair is met twice."""
 
     def keys(short: Column) -> list[Column]:
         half = F.floor(short / 2).cast("int")
         zero = F.lit(0)
-        return [F.struct(short.alias("short"), a.alias("head"), b.alias("tail"), c.alias("apart")) for a, b, c in ((half, zero, zero), (zero, short - half, half))]
+        return [F.struct(short.alias("short"), a.alias("head"), b.alias("tail"), c.alias("apart")) for a, b, c in ((half, zero, F.lit(-1)), (zero, short - half, half))]
 
     sized = words.select("word", "n", F.length("word").alias("size"))
     each = sized.select("*", F.explode(F.array(*keys(F.col("size")), *keys(F.col("size") - 1))).alias("k"))
@@ -115,7 +115,7 @@ def near_pairs(words: DataFrame, crowd: int = 64) -> DataFrame:
         all_ = all_.unionByName(more)
     x, y = all_.filter("size = short").alias("x"), all_.alias("y")
     once = (F.col("y.size") > F.col("x.size")) | (F.col("x.word") < F.col("y.word"))
-    apart = (F.col("x.apart") == 0) | (F.left(F.col("x.word"), F.col("x.apart")) != F.left(F.col("y.word"), F.col("x.apart")))
+    apart = (F.col("x.apart") < 0) | (F.left(F.col("x.word"), F.col("x.apart")) != F.left(F.col("y.word"), F.col("x.apart")))
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "short", "head", "tail")]
     near = F.levenshtein(F.col("x.word"), F.col("y.word"), 1) == 1
     on = same[0] & same[1] & same[2] & same[3] & once & apart & near

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Line ends of str.splitlines().
 LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85  ]"
-_BLANK = r"[\s\x1c-\x1f]"
+#: What str.strip() takes off.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def unicode_regex(pattern: str) -> str:
@@ -27,12 +28,12 @@ def split_lines(code: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, unicode_regex(f"^{_BLANK}+|{_BLANK}+$"), "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def indent(text: Column) -> Column:
     """Number of blank characters before the first other one; of all characters in a blank text."""
-    return F.length(text) - F.length(F.regexp_replace(text, unicode_regex(f"^{_BLANK}+"), ""))
+    return F.length(text) - F.length(F.ltrim(text, F.lit(_BLANKS)))
 
 
 def around(lines: Column, i: Column, first: int, last: int) -> Column:

@@ -6,7 +6,7 @@ and unknown languages have no findings.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +16,12 @@ from lintlake.functions import rulebook as book
 from lintlake.functions.predicates import Place, Test, quote, window_column
 from lintlake.functions.rulebook import ALL, Rule
 from lintlake.functions.textops import indent, line_count, matches, split_lines, starts_with_any, strip
+from lintlake.functions.triggers import folded, holds, needs
 
 #: What the projection over lines makes of a finding; the rest is added from the table of rules.
 HIT = "struct<rule_ord:int,seq:int,line_start:int,severity:string,title:string>"
-#: Every line rule needs one of these in its line, so lines of prose cost one search instead of one a rule.
-SIEVE = r"[-(=\[{!;\"'`#/<>:%+_\p{Nd}]|var|any|md5|MD5|List|Map|Set|Collection|Itera|Optional|Comparator"
+#: What a number rule needs in a line.
+DIGITS = r"\p{Nd}{3}"
 LINE_KINDS = ("line", "outside_tests", "after_loop", "todo")
 
 
@@ -94,7 +95,7 @@ def _numbers(rule: Rule, at: Place) -> Column:
         found = F.transform(F.sequence(F.lit(1), F.size(ps) - 1, F.lit(2)), one)
         return F.when(F.size(ps) > 1, F.filter(found, lambda x: x.isNotNull())).otherwise(_none())
 
-    ok = ~starts_with_any(at.stripped, rule.skip) & rule.test.spark(at) & matches(at.line, book.NUMBER)
+    ok = at.line.rlike(DIGITS) & ~starts_with_any(at.stripped, rule.skip) & rule.test.spark(at) & matches(at.line, book.NUMBER)
     return F.when(ok, F.flatten(F.transform(F.array(pieces), each))).otherwise(_none())
 
 
@@ -169,19 +170,50 @@ def _with_places(rows: DataFrame) -> DataFrame:
     })
 
 
-def _of_language(language: str, rules: list[Rule], structured: bool) -> Column:
+def _may_fire(rule: Rule) -> Column:
+    """Whether a file holds what a line rule needs; `low` is its folded code."""
+    if rule.kind == "after_loop":
+        return F.col("first_loop").isNotNull()
+    if rule.kind == "numbers":
+        return F.col("code").rlike(DIGITS)
+    held = holds(F.col("low"), needs(rule.test, "code"))
+    return F.lit(True) if held is None else held
+
+
+def _guarded(rule: Rule, at: Place, low: Column, language: str) -> Column:
+    """A line rule's test behind what it needs in the line, where those are a few literals."""
+    few = tuple(s for s in needs(rule.test, "line") if len(s) <= 8)
+    held, found = holds(low, few), _line_test(rule, at, language)
+    return found if held is None else held & found
+
+
+def _by_line(rules: list[Rule]) -> list[Rule]:
+    return [r for r in rules if r.kind in (*LINE_KINDS, "numbers", "first_of", "count_of")]
+
+
+def _of_language(language: str, rules: list[Rule], structured: bool, on: str) -> Column:
+    """Findings of a language's rules.  on: a column with _may_fire of each rule of _by_line; a rule that can't fire isn't tried."""
     own = [r for r in rules if language in r.languages]
+    flagged = _by_line(own)
+    fires = lambda r: F.get(F.col(on), flagged.index(r))
     per_line = [r for r in own if r.kind in LINE_KINDS]
     numbers = [r for r in own if r.kind == "numbers"]
 
     def each(line: Column, i: Column) -> Column:
-        at = _place(line, i)
-        hits = [F.when(_line_test(r, at, language), _finding(r, _fill(r.title, _todo_title(line)) if r.kind == "todo" else _title(r, line), i + 1)) for r in per_line]
+        at, low = _place(line, i), F.get("lows", i)
+        hits = [F.when(fires(r) & _guarded(r, at, low, language), _finding(r, _fill(r.title, _todo_title(line)) if r.kind == "todo" else _title(r, line), i + 1)) for r in per_line]
         found = [F.filter(F.array(*hits), lambda x: x.isNotNull())] if hits else []
-        return F.when(line.rlike(SIEVE), F.concat(*found, *(_numbers(r, at) for r in numbers))).otherwise(_none())
-
-    parts = [F.flatten(F.transform("lines", each))] if per_line or numbers else []
-    parts += [_file_rule(r, language, structured) for r in own if r.kind not in (*LINE_KINDS, "numbers")]
+        return F.concat(*found, *(F.when(fires(r), _numbers(r, at)).otherwise(_none()) for r in numbers))
+
+    parts = []
+    if per_line or numbers:
+        some = reduce(lambda a, b: a | b, (fires(r) for r in per_line + numbers))
+        parts.append(F.when(some, F.flatten(F.transform("lines", each))).otherwise(_none()))
+    for r in own:
+        if r.kind in ("first_of", "count_of"):
+            parts.append(F.when(fires(r), _file_rule(r, language, structured)).otherwise(_none()))
+        elif r.kind not in (*LINE_KINDS, "numbers"):
+            parts.append(_file_rule(r, language, structured))
     return F.concat(*parts) if parts else _none()
 
 
@@ -205,6 +237,24 @@ def _called(rules: list[Rule]) -> Column:
     return run("code", "language")
 
 
+@lru_cache(maxsize=64)
+def _projection(application: str, rules: tuple[Rule, ...], functions: tuple[Rule, ...], every: tuple[Rule, ...], structured: bool) -> tuple[dict[str, Column], Column]:
+    """Columns that say which rules can fire in a file, and the findings; kept, for thousands of columns take seconds to put together.
+
+    Rules of all languages stand once; the others in one branch a language.  What rules need is sought in the whole file
+    first, so one that can't fire isn't tried on any line.
+    """
+    shared, own = [r for r in rules if r.languages == ALL], {k: [r for r in rules if r.languages != ALL and k in r.languages] for k in ALL}
+    flags = lambda some: F.array(*(_may_fire(r) for r in _by_line(some))).cast("array<boolean>")
+    flagged, found = flags([]), _none()
+    for language in ALL:
+        if own[language]:
+            flagged = F.when(F.col("language") == language, flags(own[language])).otherwise(flagged)
+            found = F.when(F.col("language") == language, _of_language(language, own[language], structured, "on_own")).otherwise(found)
+    called = [_called(list(functions))] if functions else []
+    return {"on_shared": flags(shared), "on_own": flagged}, F.concat(_of_language(ALL[0], shared, structured, "on_shared"), found, *called)
+
+
 def raw_findings(files: DataFrame, disabled: tuple[str, ...] = (), only: tuple[str, ...] | None = None) -> DataFrame:
     """file_id, language and the fields of a finding, before deduplication.  disabled: public ids; only: keys or ids."""
     rules = [r for r in book.every_rule() if r.id not in disabled and (only is None or r.key in only or r.id in only)]
@@ -212,14 +262,10 @@ def raw_findings(files: DataFrame, disabled: tuple[str, ...] = (), only: tuple[s
     rules = [r for r in rules if r.kind != "function"]
     structured = "structure" in files.columns
     rows = files.where(F.col("language").isin(*ALL) & F.col("code").isNotNull()).withColumn("lines", split_lines(F.col("code")))
-    rows = _with_places(rows.withColumn("stripped", F.transform("lines", strip)))
-    # Rules of all languages stand once in the plan; the others in one branch a language.
-    shared, found = [r for r in rules if r.languages == ALL], _none()
-    for language in ALL:
-        if own := [r for r in rules if r.languages != ALL and language in r.languages]:
-            found = F.when(F.col("language") == language, _of_language(language, own, structured)).otherwise(found)
-    called = [_called(functions)] if functions else []
-    rows = rows.select("file_id", "language", F.concat(_of_language(ALL[0], shared, structured), found, *called).alias("findings"))
+    rows = rows.withColumns({"stripped": F.transform("lines", strip), "lows": F.transform("lines", folded), "low": folded(F.col("code"))})
+    rows = _with_places(rows)
+    flags, found = _projection(files.sparkSession.sparkContext.applicationId, tuple(rules), tuple(functions), tuple(book.every_rule()), structured)
+    rows = rows.withColumns(flags).select("file_id", "language", found.alias("findings"))
     # An outer explode: from a plain one the optimizer infers a filter that would work out the findings twice more.
     hits = rows.select("file_id", "language", F.explode_outer("findings").alias("f")).where("f is not null").select("file_id", "language", "f.*")
     own = rule_table(files.sparkSession)

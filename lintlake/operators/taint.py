@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import taintbook as book
 from lintlake.functions.textops import split_lines
+from lintlake.functions.triggers import gram_counts, indexed_matches, trigger_index
 
 MOST = 20
 HOP = pa.struct([("line", pa.int32()), ("col", pa.int32()), ("variable", pa.string()), ("operation", pa.string()), ("snippet", pa.string())])
@@ -47,10 +48,10 @@ def sink_specs(spark: SparkSession) -> DataFrame:
 
 
 def spec_matches(files: DataFrame, specs: DataFrame) -> DataFrame:
-    """file_id, line_no, kind, signature: lines that hold a spec's pattern.  specs has some tens of rows a language."""
-    lines = files.select("file_id", "language", F.posexplode(split_lines(F.col("code"))).alias("i", "line"))
-    on = (lines["language"] == specs["language"]) & F.contains(lines["line"], specs["pattern"])
-    return lines.join(F.broadcast(specs), on).select("file_id", (F.col("i") + 1).alias("line_no"), "kind", "signature")
+    """file_id, line_no, kind, signature: lines that hold a spec's pattern.  specs: a fixed list, read as an index by each pattern's rarest gram."""
+    index = trigger_index(specs, gram_counts(files, specs, "language"), "language")
+    met = indexed_matches(files.select("file_id", "language", "code"), split_lines(F.col("code")), index, "language")
+    return met.select("file_id", (F.col("i") + 1).alias("line_no"), "kind", "signature")
 
 
 class Line(NamedTuple):

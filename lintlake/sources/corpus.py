@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions.predicates import quote
+from lintlake.sources.files import spread
 
 TEMPLATES: list[tuple[str, str]] = [
     ("python", '''import os, pickle, random, requests, yaml, hashlib
@@ -176,7 +177,7 @@ fn add(a: i32, b: i32) -> i32 {
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, language, code: each document's text after the template that its id picks."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
     pick = F.pmod("doc_id", F.lit(len(TEMPLATES))).cast("int")
     languages, codes = F.array(*(F.lit(x) for x, _ in TEMPLATES)), F.array(*(F.lit(x) for _, x in TEMPLATES))
     return docs.select(F.col("doc_id").alias("file_id"), F.get(languages, pick).alias("language"), F.concat(F.get(codes, pick), "text").alias("code"))

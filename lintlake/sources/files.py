@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from lintlake.functions.textops import matches
 
 #: Folders that are passed over, and languages by extension and by the first line.
-SKIPPED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".next", "target", "vendor")
+SKIPPED = ("node_modules", "vendor", "__pycache__", ".git", "dist", "build", ".venv", "venv", ".tox", ".mypy_cache")
 BY_EXTENSION = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "java": "java"}
 #: By extension for a path beside a caller's hint, and the languages a hint may name.
 BY_HINTED_EXTENSION = {"py": "python", "js": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go"}
 HINTS = ("python", "javascript", "typescript", "go", "rust", "java")
-BY_SHEBANG = (("python", "python"), ("node", "javascript"), ("deno", "typescript"), ("ts-node", "typescript"))
+BY_SHEBANG = (("python", "python"), ("node", "javascript"), ("bun", "javascript"), ("deno", "typescript"))
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over all cores, where they come from fewer files than there are cores: a small file is read by one task, which
+    the work on each row would keep busy alone.  Tables of many files stay as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(2 * cores, *keys)
 
 
 def detect_language(path: Column, code: Column) -> Column:

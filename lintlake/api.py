@@ -11,12 +11,15 @@ from lintlake.operators import graph, review, rules, structure, taint
 from lintlake.sources.files import HINTS, read_file, scan_tree
 
 
-def review_files(files: DataFrame, disabled: tuple[str, ...] = (), suppressed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def review_files(files: DataFrame, disabled: tuple[str, ...] = (), suppressed: DataFrame | None = None, rules_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """(scores, findings) of files (file_id, language, code): rules and triaged taint, merged and deduplicated.
 
-    suppressed: (source_sig, sink_sig) pairs that aren't reported.
+    suppressed: (source_sig, sink_sig) pairs that aren't reported.  rules_only: no taint.
     """
     files = structure.with_structure(files)
+    if rules_only:
+        found = review.dedup_ranges(rules.findings(files, disabled).withColumn("source", F.lit("rule")))
+        return review.file_scores(files, found, structured=True), found
     flows = taint.taint_candidates(files.drop("structure"))
     if suppressed is not None:
         flows = taint.without_suppressed(flows, suppressed)
@@ -63,3 +66,13 @@ def query_codebase(spark: SparkSession, root: str, names: list[str]) -> dict[str
     edges = graph.upsert_edges(edges, nodes)
     ask = {"callers": graph.callers, "callees": graph.callees, "siblings": graph.siblings, "imports": graph.imports_of, "parents": graph.parents}
     return {k: f(nodes, edges, names) for k, f in ask.items()}
+
+
+def codebase_context(spark: SparkSession, root: str, path: str) -> str:
+    """What a tree's code graph knows about the functions of one of its files, as text."""
+    files = structure.with_structure(scan_tree(spark, root))
+    own = files.where(F.col("path") == path).select(F.explode("structure.functions.name").alias("name")).where("name <> '<anonymous>'")
+    names = sorted({r["name"] for r in own.collect()})  # of one file
+    nodes, edges = graph.extract(files)
+    nodes = graph.upsert_nodes(nodes.withColumn("ord", F.coalesce("line_start", F.lit(0))))
+    return graph.file_context(nodes, graph.upsert_edges(edges, nodes), names, path).first()["context"] if names else ""

@@ -83,20 +83,46 @@ def imports_of(nodes: DataFrame, edges: DataFrame, names: list[str]) -> DataFram
     return _hop(nodes, edges, "IMPORTS", names, "source_id")
 
 
-def parents(nodes: DataFrame, edges: DataFrame, names: list[str]) -> DataFrame:
-    return _hop(nodes, edges, "CONTAINS", names, "target_id")
+def parents(nodes: DataFrame, edges: DataFrame, names: list[str], path: str | None = None) -> DataFrame:
+    """The classes that contain the named nodes, of one file if its path is given."""
+    found = _hop(nodes, edges, "CONTAINS", names, "target_id").where(F.col("kind") == "class")
+    return found if path is None else found.where(F.col("file_path") == path)
 
 
-def siblings(nodes: DataFrame, edges: DataFrame, names: list[str]) -> DataFrame:
-    """Other nodes that a container of the named nodes contains."""
+def siblings(nodes: DataFrame, edges: DataFrame, names: list[str], path: str | None = None) -> DataFrame:
+    """file_path, id, name: functions other than the named ones, in the file `path`, or else in each file that contains a named one."""
     inside = edges.where(F.col("relationship") == "CONTAINS").select("source_id", "target_id")
-    named = nodes.where(F.col("name").isin(names)).select(F.col("id").alias("target_id"), F.col("name").alias("queried"))
-    held = inside.join(named, "target_id").select("source_id", "queried", F.col("target_id").alias("self"))
-    found = inside.join(held, "source_id").where(F.col("target_id") != F.col("self"))
-    return found.join(nodes.select(F.col("id").alias("target_id"), "name", "kind", "file_path"), "target_id").select("queried", F.col("target_id").alias("id"), "name", "kind", "file_path").distinct()
-
-
-def context_text(found: DataFrame, label: str, most: int = 10) -> DataFrame:
-    """queried, context: up to `most` related names as a line of text."""
-    names = F.slice(F.array_sort(F.collect_set("name")), 1, most)
-    return found.groupBy("queried").agg(F.concat(F.lit(f"{label}: "), F.array_join(names, ", ")).alias("context"))
+    modules = nodes.where(F.col("kind") == "module").select(F.col("id").alias("source_id"), F.col("file_path").alias("in_path"))
+    if path is not None:
+        modules = modules.where(F.col("in_path") == path)
+    else:
+        named = nodes.where(F.col("name").isin(names)).select(F.col("id").alias("target_id"))
+        modules = modules.join(inside.join(named, "target_id", "left_semi"), "source_id", "left_semi")
+    functions = nodes.where((F.col("kind") == "function") & ~F.col("name").isin(names)).select(F.col("id").alias("target_id"), "name")
+    found = inside.join(modules, "source_id").join(functions, "target_id")
+    return found.select(F.col("in_path").alias("file_path"), F.col("target_id").alias("id"), "name").distinct()
+
+
+def file_context(nodes: DataFrame, edges: DataFrame, names: list[str], path: str, most: int = 10) -> DataFrame:
+    """One row, `context`: what calls the named functions of a file, what they call, the file's other functions, its imports
+    and the class around them, at most `most` of each, as text for a model; empty if nothing is known."""
+    here = nodes.where((F.col("kind") == "module") & (F.col("file_path") == path)).select(F.col("id").alias("source_id"))
+    imported = edges.where(F.col("relationship") == "IMPORTS").join(here, "source_id", "left_semi").select(F.col("target_id").alias("id"))
+    parts = [
+        ("Called by:", callers(nodes, edges, names).select("name", "kind", "file_path"), F.concat(F.lit("  - "), "name", F.lit(" ("), "kind", F.lit(") in "), "file_path"), most),
+        ("Calls:", callees(nodes, edges, names).select("name", "file_path"), F.concat(F.lit("  - "), "name"), most),
+        ("Sibling functions in file: ", siblings(nodes, edges, names, path).select("name"), F.col("name"), most),
+        ("Module imports: ", nodes.join(imported, "id", "left_semi").select("name"), F.col("name"), most),
+        ("Defined in class: ", parents(nodes, edges, names, path).select("name"), F.col("name"), 1),
+    ]
+    texts = []
+    for at, (title, rows, shown, limit) in enumerate(parts):
+        first = rows.distinct().orderBy(*rows.columns).limit(limit).agg(F.array_sort(F.collect_list(F.struct(*rows.columns, shown.alias("shown")))).alias("r"))
+        lines = F.transform("r", lambda x: x["shown"])
+        body = F.concat(F.lit(title + "\n"), F.array_join(lines, "\n")) if title.endswith(":") else F.concat(F.lit(title), F.array_join(lines, ", "))
+        texts.append(first.where(F.size("r") > 0).select(F.lit(at).alias("at"), body.alias("text")))
+    all_ = texts[0]
+    for more in texts[1:]:
+        all_ = all_.unionAll(more)
+    whole = all_.agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t"))
+    return whole.select(F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("context"))

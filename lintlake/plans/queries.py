@@ -287,10 +287,26 @@ def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return nodes, graph.upsert_edges(edges, nodes)
 
 
+#: What a reader finds in the templates, written down by hand: template, name, first line, last line, parameters, docstring.
+_FUNCTIONS = [
+    (0, "load", 2, 6, 2, False), (0, "token_for", 7, 10, 1, False), (0, "run", 12, 21, 3, False),
+    (1, "scan", 3, 18, 1, False),
+    (2, "area", 4, 6, 2, True), (2, "__init__", 8, 9, 2, False),
+    (3, "go", 9, 11, 0, False),
+    (4, "f", 4, 4, 0, False),
+    (6, "Save", 2, 13, 2, False),
+    (7, "main", 2, 10, 0, False),
+]
+#: Classes: template, name, first line, last line.  Imported modules of Python (the first word after import, as it stands).
+_CLASSES = [(2, "Box", 7, 9)]
+_IMPORTS = [(0, "os,"), (1, "re,"), (1, "xml.dom"), (2, "defusedxml")]
+#: Functions that their own file calls: yaml.load counts as a call of load.
+_CALLED = [(0, "load"), (0, "token_for")]
+
+
 def _functions_sql() -> str:
     """The templates' functions; prose after them has none."""
-    found = [(k, f) for k, (language, code) in enumerate(TEMPLATES) for f in structure.scan(code, language)["functions"]]
-    rows = ", ".join(f"({k}, {quote(f['name'])}, {f['line_start']}, {f['line_end']}, {f['params']}, {f['length']}, {str(f['has_docstring']).lower()})" for k, f in found)
+    rows = ", ".join(f"({k}, {quote(name)}, {first}, {last}, {params}, {last - first + 1}, {str(doc).lower()})" for k, name, first, last, params, doc in _FUNCTIONS)
     return f"select doc_id as file_id, name, line_start, line_end, params, length, has_docstring from documents join (values {rows}) as v(k, name, line_start, line_end, params, length, has_docstring) on doc_id % {len(TEMPLATES)} = k where length > 5"
 
 
@@ -301,14 +317,9 @@ def functions_long(spark, sf_dir):
 
 
 def _template_graph_sql() -> str:
-    """CTEs `nodes` and `edges`, from the structures of the templates alone: prose after them adds nothing to a graph."""
-    made, imports, calls = [], [], []
-    for k, (language, code) in enumerate(TEMPLATES):
-        found = structure.scan(code, language)
-        made += [(k, "function", f["name"], f["line_start"], f["line_end"]) for f in found["functions"]]
-        made += [(k, "class", c["name"], c["line_start"], c["line_end"]) for c in found["classes"]]
-        calls += [(k, c.rsplit(".", 1)[-1]) for c in found["calls"] if language in ("python", "javascript")]
-        imports += [(k, i.split()[1].split(".")[0] if i.startswith("import ") else i.split()[1]) for i in found["imports"] if language == "python"]
+    """CTEs `nodes` and `edges`, from what the templates hold, written down by hand: prose after them adds nothing to a graph."""
+    made = [(k, "function", name, first, last) for k, name, first, last, _, _ in _FUNCTIONS] + [(k, "class", *c) for k, *c in _CLASSES]
+    imports, calls = _IMPORTS, _CALLED
     rows = lambda values, names: "(select * from (values " + ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else quote(v) for v in r) + ")" for r in values) + f") as v({names}))"
     node = lambda kind, name, path: f"substring(sha256(concat_ws(':', {kind}, {name}, {path})), 1, 16)"
     languages = rows([(k, x) for k, (x, _) in enumerate(TEMPLATES)], "k, language")
@@ -338,15 +349,39 @@ def graph_edges(spark, sf_dir):
 _ASKED = ["token_for", "run", "area", "go", "Save"]
 
 
+_NAMED = ", ".join(map(quote, _ASKED))
+
+
 @_query(
-    _GRAPH + ", inside as (select source_id, target_id from edges where relationship = 'CONTAINS'), asked as (select id, name from nodes where name in (" + ", ".join(map(quote, _ASKED)) + "))"
-    " select distinct asked.name as queried, n.id, n.name, n.kind, n.file_path from asked join inside i on i.target_id = asked.id join inside j on i.source_id = j.source_id and j.target_id <> asked.id join nodes n on n.id = j.target_id"
-)
+    _GRAPH + ", held as (select m.file_path, f.id, f.name, f.kind from nodes m join edges e on e.source_id = m.id and relationship = 'CONTAINS' join nodes f on f.id = e.target_id where m.kind = 'module')"
+    f" select distinct file_path, id, name from held where kind = 'function' and name not in ({_NAMED}) and file_path in (select file_path from held where name in ({_NAMED}))"
+)
 def graph_siblings(spark, sf_dir):
-    """What stands beside the functions that are asked for, in all files that have them."""
+    """The other functions of the files that contain the functions that are asked for."""
     return graph.siblings(*_graph(spark, sf_dir), _ASKED)
 
 
+def _context_sql() -> str:
+    """The context of the functions of file0 by its parts, each from the hand-written nodes and edges."""
+    first = lambda rows, shown, order, title, sep: f"(select {quote(title)} || string_agg({shown}, {sep} order by {order}) as t from (select distinct * from ({rows}) order by {order} limit 10))"
+    names, line = "'load', 'run', 'token_for'", "chr(10)"
+    calls = "from edges e join nodes a on a.id = e.source_id join nodes b on b.id = e.target_id where relationship = 'CALLS'"
+    inside = "from edges e join nodes a on a.id = e.source_id join nodes b on b.id = e.target_id where a.kind = 'module' and a.file_path = 'file0'"
+    parts = [
+        first(f"select a.name, a.kind, a.file_path {calls} and b.name in ({names})", "'  - ' || name || ' (' || kind || ') in ' || file_path", "name, kind, file_path", "Called by:\n", line),
+        first(f"select b.name, b.file_path {calls} and a.name in ({names})", "'  - ' || name", "name, file_path", "Calls:\n", line),
+        first(f"select b.name {inside} and relationship = 'CONTAINS' and b.kind = 'function' and b.name not in ({names})", "name", "name", "Sibling functions in file: ", "', '"),
+        first(f"select b.name {inside} and relationship = 'IMPORTS'", "name", "name", "Module imports: ", "', '"),
+    ]
+    return _GRAPH + " select concat_ws(chr(10), " + ", ".join(parts) + ") as context"
+
+
+@_query(_context_sql())
+def graph_context(spark, sf_dir):
+    """What the graph tells about the functions of file0."""
+    return graph.file_context(*_graph(spark, sf_dir), ["load", "run", "token_for"], "file0")
+
+
 @_query(
     _GRAPH + ", asked as (select id, name from nodes where name in (" + ", ".join(map(quote, _ASKED)) + ")) select distinct asked.name as queried, n.id, n.name, n.kind, n.file_path from asked join edges e on e.target_id = asked.id and relationship = 'CALLS' join nodes n on n.id = e.source_id"
 )

@@ -79,10 +79,16 @@ def test_graph(spark):
     edges = graph.upsert_edges(edges.unionAll(spark.createDataFrame([("x", "y", "CALLS")], edges.schema)), nodes)
     assert edges.count() == 5
     assert [r["name"] for r in graph.callers(nodes, edges, ["b"]).collect()] == ["m.py"]
-    assert {r["name"] for r in graph.siblings(nodes, edges, ["a"]).collect()} == {"b", "C"}
+    assert {r["name"] for r in graph.siblings(nodes, edges, ["a"]).collect()} == {"b"}
     assert [r["name"] for r in graph.imports_of(nodes, edges, ["m.py"]).collect()] == ["os"]
-    assert [r["name"] for r in graph.parents(nodes, edges, ["C"]).collect()] == ["m.py"]
-    assert graph.context_text(graph.siblings(nodes, edges, ["a"]), "Siblings").first()["context"] == "Siblings: C, b"
+    assert graph.parents(nodes, edges, ["C"]).collect() == []  # a module is no class
+    held = nodes.where("name = 'C'").selectExpr("id as source_id").crossJoin(nodes.where("name = 'a'").selectExpr("id as target_id")).withColumn("relationship", F.lit("CONTAINS"))
+    more = edges.unionByName(held)
+    assert [r["name"] for r in graph.parents(nodes, more, ["a"]).collect()] == ["C"]
+    assert graph.parents(nodes, more, ["a"], "other.py").collect() == []
+    text = graph.file_context(nodes, more, ["b"], "m.py").first()["context"]
+    assert text.startswith("Called by:\n  - m.py (module) in m.py\n") and "Sibling functions in file: a" in text
+    assert graph.file_context(nodes, edges, ["none"], "none.py").first()["context"] == ""
 
 
 T0 = dt.datetime(2026, 1, 1)

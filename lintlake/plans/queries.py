@@ -12,7 +12,7 @@ from lintlake.functions import taintbook
 from lintlake.functions.predicates import quote
 from lintlake.functions.rulebook import RULES
 from lintlake.functions.textops import line_count, split_lines
-from lintlake.operators import bench, feedback, graph, pulls, review, rules, store, structure, taint
+from lintlake.operators import bench, blocks, feedback, graph, pulls, review, rules, store, structure, taint, temporal
 from lintlake.sources import files as readers
 from lintlake.sources import samples
 from lintlake.sources.corpus import TEMPLATES, code_files, code_files_sql, repeated_files, repeated_files_sql, shaped_files, shaped_scripts
@@ -768,3 +768,77 @@ def pull_reports(spark, sf_dir):
     scored = files.select("pull_id", "ord", "filename", F.when(k % 5 != 0, F.col("p_size") * 2).alias("score"), (k % 3 + k % 4 + 1).alias("n_findings"), *(v.alias(c) for c, v in counts.items()))
     general = files.where(k % 2 == 0).select("pull_id", "ord", "filename", F.when(k % 4 == 0, "critical").otherwise("info").alias("severity"), F.col("p_name").alias("title"), F.concat(F.lit("d"), k.cast("string")).alias("description"), F.when(k % 6 == 0, "fix").alias("suggestion"), F.lit(None).cast("int").alias("line_start"))
     return pulls.report(scored, general, skipped=skipped)
+
+
+# --- Joins by order ---
+
+
+@_query(
+    "with l as (select event_id, user_id, ts from events where event_type = 'purchase'),"
+    " r as (select user_id, ts, value, event_id from events where event_type = 'click' qualify row_number() over (partition by user_id, ts order by event_id desc) = 1)"
+    " select l.event_id, l.user_id, r.event_id as click_id, r.value as click_value from l asof left join r on l.user_id = r.user_id and l.ts >= r.ts"
+)
+def asof_clicks(spark, sf_dir):
+    """Each purchase with the user's last click before it."""
+    e = _table(spark, sf_dir, "events")
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
+    bought = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return temporal.asof_join(bought, clicks, "user_id", "ts", ["click_id", "click_value"], 86_400, "click_id").drop("ts")
+
+
+@_query(
+    "with days as (select l_orderkey, l_linenumber, l_suppkey, l_shipdate::date - date '1970-01-01' as ship, l_quantity::bigint as days from lineitem)"
+    " select r.l_suppkey, r.l_orderkey, r.l_linenumber, count(*) as n_shipped, min(p.ship)::bigint as first_ship from days p join days r on p.l_suppkey = r.l_suppkey and p.ship between r.ship and r.ship + r.days where r.l_linenumber = 1 group by all"
+)
+def shipped_in_ranges(spark, sf_dir):
+    """For each first line of an order: how many lines its supplier shipped within as many days after it as it has pieces."""
+    lines = _table(spark, sf_dir, "lineitem").withColumn("day", F.unix_date(F.to_date("l_shipdate")).cast("bigint"))
+    ranges = lines.where("l_linenumber = 1").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("day").alias("low"), (F.col("day") + F.col("l_quantity").cast("bigint")).alias("high"))
+    hits = temporal.in_ranges(lines.select("l_suppkey", F.col("day").alias("ship")), ranges, "l_suppkey", F.col("ship"), F.col("low"), F.col("high"), 32)
+    return hits.groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.count("*").alias("n_shipped"), F.min("ship").alias("first_ship"))
+
+
+@_query(
+    "select a.event_id as finding_id, b.event_id as feedback_id, a.user_id, a.ts, b.ts as feedback_ts from events a join events b on a.user_id = b.user_id"
+    " and b.ts between a.ts and a.ts + interval 6 hours where a.event_type = 'click' and b.event_type = 'purchase'"
+)
+def feedback_within(spark, sf_dir):
+    """Pairs of a click and a purchase of the same user within six hours; the batch form of a stream-stream join."""
+    e = _table(spark, sf_dir, "events")
+    side = lambda kind, name: e.where(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias(name))
+    return jobs.feedback_of(side("click", "finding_id"), side("purchase", "feedback_id"), "user_id", "6 hours")
+
+
+# --- Blocks of Python by indentation ---
+
+#: Blocks of the templates, by reading: template, keyword, name, first and last line, depth, name of the function or class around.
+_BLOCKS = [
+    (0, "def", "load", 2, 6, 1, None), (0, "try", None, 3, 6, 2, "load"), (0, "def", "token_for", 7, 10, 1, None), (0, "def", "run", 12, 21, 1, None),
+    (1, "def", "scan", 3, 18, 1, None), (1, "for", None, 5, 8, 2, "scan"), (1, "if", None, 6, 7, 3, "scan"),
+    (2, "def", "area", 4, 6, 1, None), (2, "class", "Box", 7, 9, 1, None), (2, "def", "__init__", 8, 9, 2, "Box"),
+]
+
+
+def _blocks_sql() -> str:
+    rows = ", ".join("(" + ", ".join("null" if x is None else quote(x) if isinstance(x, str) else str(x) for x in b) + ")" for b in _BLOCKS)
+    return f"select doc_id as file_id, word, name, line_start, line_end, depth, inside from documents join (values {rows}) as v(k, word, name, line_start, line_end, depth, inside) on doc_id % {len(TEMPLATES)} = k"
+
+
+def _python_files(spark, sf_dir) -> DataFrame:
+    """The templates of Python alone, one a document: prose after them may begin with a word of the language."""
+    picks = F.pmod("doc_id", F.lit(len(TEMPLATES))).cast("int")
+    codes = F.array(*(F.lit(code if language == book.PY else None).cast("string") for language, code in TEMPLATES))
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.lit(book.PY).alias("language"), F.get(codes, picks).alias("code")).where("code is not null")
+
+
+@_query(_blocks_sql())
+def python_blocks(spark, sf_dir):
+    return blocks.python_blocks(_python_files(spark, sf_dir))
+
+
+@_query(
+    f"with b as ({_blocks_sql()}) select file_id, count(*) filter (word = 'def') as n_functions, count(*) filter (word = 'class') as n_classes, max(depth) as max_nesting,"
+    " coalesce(max(line_end - line_start + 1) filter (word = 'def'), 0) as max_function_length, sum(line_end - line_start + 1) filter (word = 'def') / count(*) filter (word = 'def') as avg_function_length from b group by 1"
+)
+def python_block_metrics(spark, sf_dir):
+    return blocks.block_metrics(blocks.python_blocks(_python_files(spark, sf_dir)))

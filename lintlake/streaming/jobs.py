@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lintlake.operators import feedback, pulls, review, rules
 
@@ -73,6 +74,68 @@ def suppression_stream(events: DataFrame, key: str, hit: Column, last: int = fee
     return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n_hits bigint, active_until timestamp", "flags array<boolean>, times array<bigint>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def feedback_of(findings: DataFrame, feedback_: DataFrame, key: str, within: str, late: str = "1 hour") -> DataFrame:
+    """key, ts, feedback_ts and the other columns: feedback (key, ts, ...) on a finding (key, ts, ...) of the same key, from the
+    finding's time to `within` after it.
+
+    Of two streams each side waits in the state only as long as a partner can still come: watermarks of `late` on both and
+    the bound on the times let Spark drop what is older.  Batches give the same pairs.
+    """
+    theirs = feedback_.select(F.col(key).alias("__key"), F.col("ts").alias("feedback_ts"), *(c for c in feedback_.columns if c not in (key, "ts")))
+    if findings.isStreaming:
+        findings, theirs = findings.withWatermark("ts", late), theirs.withWatermark("feedback_ts", late)
+    on = (F.col(key) == F.col("__key")) & (F.col("feedback_ts") >= F.col("ts")) & (F.col("feedback_ts") <= F.col("ts") + F.expr(f"interval {within}"))
+    return findings.join(theirs, on).drop("__key")
+
+
+class _LastReports(StatefulProcessor):
+    """Per key the last `last` reports as list state, which expires `days` after the last one; a row whenever `least` of them are hits."""
+
+    def __init__(self, key: str, last: int, least: int, days: int):
+        self.key, self.last, self.least, self.days = key, last, least, days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.reports = handle.getListState("reports", "time bigint, hit boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seen = sorted(self.reports.get()) if self.reports.exists() else []
+        for batch in rows:
+            times = batch["ts"].astype("datetime64[us]").astype("int64")
+            seen = sorted([*map(tuple, seen), *zip(times.tolist(), batch["hit"].astype(bool).tolist(), strict=True)])[-self.last :]
+        self.reports.put(seen)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(seen[-1][0] // 1000 + self.days * 86_400_000)
+        hits = [t for t, hit in seen if hit]
+        if len(hits) >= self.least:
+            yield self._row(key[0], "active", len(hits), max(hits))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        hits = [t for t, hit in self.reports.get() if hit]
+        self.reports.clear()
+        if len(hits) >= self.least:
+            yield self._row(key[0], "expired", len(hits), max(hits))
+
+    def _row(self, key, state: str, n: int, latest: int) -> pd.DataFrame:
+        until = pd.Timestamp(latest, unit="us") + pd.Timedelta(days=self.days)
+        return pd.DataFrame({self.key: [key], "state": [state], "n_hits": [n], "active_until": [until]})
+
+    def close(self) -> None:
+        pass
+
+
+def suppression_states(events: DataFrame, key: str, hit: Column, last: int = feedback.FINDING_LAST, least: int = feedback.FINDING_LEAST, days: int = feedback.DAYS, late: str = "1 hour") -> DataFrame:
+    """key, state, n_hits, active_until: `active` whenever a key's last reports come to hold enough hits, `expired` when its state goes.
+
+    The state is a list with an event-time timer, `days` after the key's last report; needs the RocksDB state store.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(key, "ts", hit.alias("hit")).withWatermark("ts", late)
+    out = f"{key} {kind}, state string, n_hits bigint, active_until timestamp"
+    return rows.groupBy(key).transformWithStateInPandas(_LastReports(key, last, least, days), out, "Update", "EventTime")
+
+
 def event_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """window_start, event_type, n, total of tumbling windows; the same for a batch and a stream of events."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events

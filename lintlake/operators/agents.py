@@ -7,7 +7,9 @@ read as the JSON asked for, and a null answer, count as no answer.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -89,3 +91,28 @@ def observed(scores: DataFrame, name: str = "reviews") -> tuple[DataFrame, Obser
     """scores, and what is counted while they are first worked out: reviews, findings, and reviews with critical ones."""
     seen = Observation(name)
     return scores.observe(seen, F.count(F.lit(1)).alias("reviews_total"), F.coalesce(F.sum("n_findings"), F.lit(0)).alias("findings_total"), F.count_if(F.col("n_critical") > 0).alias("critical_reviews")), seen
+
+
+def concurrent(call: Callable[[str], str], most: int = 4, tasks: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A scorer from a function that takes a prompt and waits for its answer: at most `most` calls of a task are in flight.
+
+    Answers keep their prompts' order; a null prompt, and a call that raises, give a null answer.  tasks: at most so many
+    tasks call at once, so that tasks * most bounds all calls in flight.
+    """
+
+    def answered(prompts: pa.Array) -> pa.Array:
+        def one(prompt: str | None) -> str | None:
+            try:
+                return None if prompt is None else call(prompt)
+            except Exception:  # noqa: BLE001  an answer that fails is no answer
+                return None
+
+        with ThreadPoolExecutor(most) as pool:
+            return pa.array(list(pool.map(one, prompts.to_pylist())), pa.string())
+
+    def scorer(prompts: DataFrame) -> DataFrame:
+        rows = prompts if tasks is None else prompts.coalesce(tasks)
+        # What a call gives may differ the next time: the optimizer must not repeat it.
+        return rows.withColumn("answer", F.arrow_udf(answered, "string").asNondeterministic()("prompt"))
+
+    return scorer

@@ -47,12 +47,18 @@ def park(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def drop_parked(spark: SparkSession) -> None:
-    """Delete the tables parked so far; to be called once the results that read them are written."""
+def parked() -> int:
+    """How many folders of parked tables there are: a mark for drop_parked."""
+    return len(_PARKED)
+
+
+def drop_parked(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables parked since a mark, but for the newest `keep`; to be called once what reads them is written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _PARKED:
-        path = jvm.org.apache.hadoop.fs.Path(_PARKED.pop())
+    for folder in _PARKED[since : len(_PARKED) - keep]:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+    del _PARKED[since : len(_PARKED) - keep]
 
 
 def row_key(docs: DataFrame) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm._common import park
+from lintlake.llm._common import drop_parked, park, parked
 from lintlake.llm.decontamination import remove_contaminated
 from lintlake.llm.jaccard import one_of_each
 from lintlake.llm.language import accepted
@@ -54,8 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents, each result written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = park(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """Apply STAGES to documents, each result written to the shared folder and read again.
+
+    What a stage parked goes once its result is written, all of it if a stage fails; the last stage's goes with drop_parked.
+    """
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), parked()
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = park(stage(spark, docs, sf_dir), name)
+            drop_parked(spark, mark, keep=1)
+        return STAGES[-1][1](spark, docs, sf_dir)
+    except Exception:
+        drop_parked(spark, mark)
+        raise

@@ -56,5 +56,28 @@ def test_stages_take_effect(spark, tables, tmp_path):
 
 def test_names():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_run_drops_what_stages_parked(spark, tables, monkeypatch):
+    import os
+
+    from lintlake.llm import _common
+
+    at, _ = tables
+    mark = _common.parked()
+    corpus_pipeline.run(spark, at).collect()
+    left = [f.removeprefix("file://") for f in _common._PARKED[mark:]]
+    assert all(os.path.isdir(f) for f in left)
+    assert any("mixture" in os.listdir(f) for f in left) and not any({"language", "near_duplicates", "decontamination"} & set(os.listdir(f)) for f in left)
+    _common.drop_parked(spark, mark)
+    assert not any(os.path.exists(f) for f in left) and _common.parked() == mark
+
+    def fails(spark, docs, sf_dir):
+        raise ValueError("stage")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[0], ("fails", fails), corpus_pipeline.STAGES[4]])
+    with pytest.raises(ValueError, match="stage"):
+        corpus_pipeline.run(spark, at)
+    assert _common.parked() == mark

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.api import review_tree
-from lintlake.operators.review import SEVERITIES, as_json, at_least, position
+from lintlake.operators.review import SEVERITIES, as_json, at_least, position, with_advice
 from lintlake.sources.config import DEFAULTS, load_config
 
 
@@ -45,7 +45,7 @@ def main(args: list[str] | None = None) -> int:
         own = at_least(own, o.min_severity or config["review"]["severity_threshold"], o.min_confidence)
         found, most = own if found is None else found.unionByName(own), most + config["review"]["max_findings"]
     if o.json:
-        as_json(found).select("finding").write.mode("overwrite").text(o.json)
+        as_json(with_advice(found)).select("finding").write.mode("overwrite").text(o.json)
     # A report has at most max_findings of each folder's settings, the most severe; the counts and the exit code are of all.
     for r in found.orderBy(*position(), "path").limit(most).collect():
         print(f"{r['severity']:8} {r['path']}:{r['line_start'] or '-'} {r['rule_id'] or r['source']} {r['title']}")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.functions.advice import ADVICE
+
 #: Severities in order, and what each takes off the score.
 PENALTY = {"critical": 20, "high": 10, "medium": 5, "low": 2, "info": 0}
 SEVERITIES = list(PENALTY)
@@ -116,9 +118,18 @@ def agent_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy(agent_of(F.col("category")).alias("agent")).agg(F.count("*").alias("n"))
 
 
+def with_advice(findings: DataFrame) -> DataFrame:
+    """findings with `description` and `suggestion`: their own, else those of their rule."""
+    known = F.create_map(*(x for rule, texts in ADVICE.items() for x in (F.lit(rule), F.array(*map(F.lit, texts)))))
+    of_rule = F.try_element_at(known, F.col("rule_id")) if "rule_id" in findings.columns else F.lit(None).cast("array<string>")
+    own = lambda c: F.col(c).cast("string") if c in findings.columns else F.lit(None).cast("string")
+    return findings.withColumns({c: F.coalesce(own(c), F.get(of_rule, i)) for i, c in enumerate(("description", "suggestion"))})
+
+
 def plain_rows(findings: DataFrame) -> DataFrame:
     """The fields that a report on the command line shows, in its order; what a finding lacks is null."""
-    fields = {"severity": "string", "category": "string", "title": "string", "description": "string", "line_start": "int", "line_end": "int", "rule_id": "string", "confidence": "double"}
+    fields = {"severity": "string", "category": "string", "title": "string", "description": "string", "line_start": "int", "line_end": "int", "suggestion": "string", "rule_id": "string", "confidence": "double", "source": "string"}
+    findings = with_advice(findings)
     return findings.select("file_id", *((F.col(c) if c in findings.columns else F.lit(None)).cast(k).alias(c) for c, k in fields.items()))
 
 

@@ -192,4 +192,6 @@ def triage(candidates: DataFrame, scorer: Callable[[DataFrame], DataFrame] = off
         F.when(sure >= critical, "critical").otherwise("high").alias("severity"), F.lit("security").alias("category"),
         F.concat(F.lit("Tainted data flow: "), "source_kind", F.lit(" to "), "sink_kind").alias("title"), sure.alias("confidence"),
         F.col("sink_line").alias("line_start"), F.col("sink_line").alias("line_end"), F.lit("dataflow").alias("source"),
+        F.coalesce("v.exploit_scenario", F.concat("source_kind", F.lit(" data of line "), F.col("source_line").cast("string"), F.lit(" reaches "), "sink_kind")).alias("description"),
+        F.coalesce("v.suggested_sanitizer", F.lit("Check or escape the value before it is used there.")).alias("suggestion"),
     )

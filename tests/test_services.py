@@ -145,7 +145,7 @@ def test_summaries_and_rows(spark):
     assert "  - f(params=2) lines 4-5 (2 lines, NO docstring)" in text[0]["t"] and "  - A lines 3-5 (1 methods, NO docstring)" in text[0]["t"] and text[0]["t"].endswith("\nImports: import os")
     assert "Functions:\n" not in text[1]["t"]
     found = rules.raw_findings(_files(spark, ("python", "x = eval(y)")))
-    assert review.plain_rows(found).columns == ["file_id", "severity", "category", "title", "description", "line_start", "line_end", "rule_id", "confidence"]
+    assert review.plain_rows(found).columns == ["file_id", "severity", "category", "title", "description", "line_start", "line_end", "suggestion", "rule_id", "confidence", "source"]
     scores, seen = agents.observed(spark.createDataFrame([(3, 1), (0, 0)], "n_findings bigint, n_critical bigint"))
     scores.collect()
     assert seen.get == {"reviews_total": 2, "findings_total": 3, "critical_reviews": 1}
@@ -153,3 +153,15 @@ def test_summaries_and_rows(spark):
     assert [r["author"] for r in sources.read_pull(heads).collect()] == ["u", ""]
     names = spark.createDataFrame([("a/b/c",), ("x",)], "n string").select(sources.owner_and_name(F.col("n")).alias("r")).select("r.*").collect()
     assert [tuple(r) for r in names] == [("a", "b/c"), ("x", "")]
+
+
+def test_every_rule_has_advice(spark):
+    from lintlake.functions.advice import ADVICE
+    from lintlake.functions.rulebook import RULES
+
+    assert set(ADVICE) == {r.id for r in RULES}
+    rows = spark.createDataFrame([(1, r.id, r.severity) for r in RULES] + [(2, "OWN1", "low"), (2, None, "low")], "file_id int, rule_id string, severity string")
+    plain = {r.rule_id: (r.description, r.suggestion) for r in review.plain_rows(rows).collect()}
+    assert all(plain[k] == v for k, v in ADVICE.items()) and plain["OWN1"] == plain[None] == (None, None)
+    own = review.with_advice(rows.withColumn("description", F.lit("mine"))).where("rule_id = 'PY001'").first()
+    assert (own.description, own.suggestion) == ("mine", ADVICE["PY001"][1])

@@ -244,7 +244,30 @@ def spec_signatures(spark, sf_dir):
     return s.select("signature", made.alias("computed"))
 
 
-@_query()
+#: The flows of the templates, by reading: template, order, source's kind, call and attribute, sink's kind and call, line of
+#: the source, line of the sink, assignments on the way.
+_FLOWS = [
+    (0, 0, "http_param", None, "request.args", "ssrf_fetch", "requests.get(", 15, 16, 1),
+    (0, 1, "deserialized", "yaml.load", None, "deserialized", "yaml.load(", 18, 18, 1),
+    (1, 0, "http_body", None, "request.form", "sql_query", ".execute(", 13, 15, 2),
+    (1, 1, "argv", None, "sys.argv", "path_traversal", "open(", 16, 17, 1),
+    (1, 2, "file_read", "open(", None, "path_traversal", "open(", 17, 17, 1),
+    (3, 0, "http_body", None, "req.body", "sql_query", ".query(", 13, 14, 1),
+]
+
+
+def _flows_sql() -> str:
+    put = lambda x: str(x) if isinstance(x, int) else quote(str(x))
+    rows = ", ".join(f"({k}, {quote(TEMPLATES[k][0])}, {', '.join(map(put, rest))})" for k, *rest in _FLOWS)
+    source = "substring(sha256(concat_ws(':', source_kind, language, call, attribute)), 1, 12)"
+    sink = "substring(sha256(concat_ws(':', sink_kind, language, sink)), 1, 12)"
+    return (
+        f"select doc_id as file_id, ord, substring(sha256(concat_ws(':', {source}, {sink}, 'None', sink_line)), 1, 16) as candidate_id, source_kind, sink_kind, source_line, sink_line, n_hops from documents"
+        f" join (values {rows}) as v(k, language, ord, source_kind, call, attribute, sink_kind, sink, source_line, sink_line, n_hops) on doc_id % {len(TEMPLATES)} = k"
+    )
+
+
+@_query(_flows_sql())
 def taint_candidates(spark, sf_dir):
     return taint.taint_candidates(code_files(spark, sf_dir)).select("file_id", "ord", "candidate_id", "source_kind", "sink_kind", "source_line", "sink_line", F.size("hops").alias("n_hops"))
 

@@ -64,13 +64,15 @@ def run_agents(files: DataFrame, models: dict[str, Model]) -> DataFrame:
 
 def summary_prompt(pulls: DataFrame, files: DataFrame) -> DataFrame:
     """pulls (pull_id, title, body) with prompt: the first files (pull_id, ord, filename, additions, deletions, patch) with the first lines of their patches."""
-    preview = F.when(F.coalesce("patch", F.lit("")) == "", "(no diff available)").otherwise(F.array_join(F.slice(F.split("patch", "\n"), 1, SHOWN_LINES), "\n"))
-    block = F.concat(F.lit("### "), F.col("filename"), F.lit(" (+"), F.coalesce("additions", F.lit(0)).cast("string"), F.lit("/-"), F.coalesce("deletions", F.lit(0)).cast("string"), F.lit(")\n```diff\n"), preview, F.lit("\n```"))
+    lines = F.slice(F.split("patch", "\n"), 1, SHOWN_LINES)
+    patch = F.when(F.coalesce("patch", F.lit("")) == "", "no patch").otherwise(F.array_join(lines, "\n"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    block = F.concat(F.lit("File "), "filename", F.lit(": "), number("additions"), F.lit(" lines in, "), number("deletions"), F.lit(" lines out\n"), patch)
     shown = files.where(F.col("ord") < SHOWN_FILES).groupBy("pull_id").agg(F.array_sort(F.collect_list(F.struct("ord", block.alias("block")))).alias("b"))
     rows = pulls.join(shown, "pull_id", "left")
-    changes = F.array_join(F.transform("b", lambda x: x["block"]), "\n")
-    body = F.when(F.coalesce("body", F.lit("")) == "", "(no description)").otherwise(F.col("body"))
-    text = F.concat(F.lit("PR Title: "), F.coalesce("title", F.lit("")), F.lit("\n\nPR Description: "), body, F.lit("\n\n## Changed Files:\n"), F.coalesce(changes, F.lit("")), F.lit("\n\nGenerate the PR summary JSON."))
+    told = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "none given").otherwise(F.col(c))
+    asked = "Read the pull request below and answer with one JSON object: summary, change_type, risk (low, medium or high), risk_reason, and walkthrough, a list of file and change."
+    text = F.concat_ws("\n\n", F.lit(asked), F.concat(F.lit("Its title: "), told("title")), F.concat(F.lit("What its author says: "), told("body")), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"))
     return rows.withColumn("prompt", text).drop("b")
 
 

@@ -61,7 +61,7 @@ def test_summary_of_pull_requests(spark):
     heads = spark.createDataFrame([(1, "Add x", None), (2, "Other", "why")], "pull_id bigint, title string, body string")
     changed = spark.createDataFrame([(1, i, f"f{i}.py", 1, 0, "\n".join(map(str, range(50))) if i else None) for i in range(20)], "pull_id bigint, ord int, filename string, additions int, deletions int, patch string")
     prompt = {r["pull_id"]: r["prompt"] for r in agents.summary_prompt(heads, changed).collect()}
-    assert prompt[1].count("### ") == 15 and "(no diff available)" in prompt[1] and "\n29\n```" in prompt[1] and "(no description)" in prompt[1]
+    assert prompt[1].count("File ") == 15 and "no patch" in prompt[1] and "\n29\n\n" in prompt[1] and "\n30\n" not in prompt[1] and "none given" in prompt[1]
     plain = {r["pull_id"]: r for r in agents.summarise_pulls(heads, changed).collect()}
     assert plain[1]["summary"] == "PR modifies 20 file(s)." and len(plain[1]["walkthrough"]) == 10 and plain[2]["summary"] == "PR modifies 0 file(s)."
     said = agents.summarise_pulls(heads, changed, lambda rows: rows.withColumn("answer", F.lit('{"summary": "s", "change_type": "docs", "risk": "low", "walkthrough": [{"file": "a", "change": "b"}]}')))

@@ -12,7 +12,7 @@ from lintlake.functions import taintbook
 from lintlake.functions.predicates import quote
 from lintlake.functions.rulebook import RULES
 from lintlake.functions.textops import line_count, split_lines
-from lintlake.operators import bench, blocks, feedback, graph, pulls, review, rules, store, structure, taint, temporal
+from lintlake.operators import bench, blocks, feedback, graph, metrics, pulls, review, rules, store, structure, taint, temporal
 from lintlake.sources import files as readers
 from lintlake.sources import samples
 from lintlake.sources.corpus import TEMPLATES, code_files, code_files_sql, repeated_files, repeated_files_sql, shaped_files, shaped_scripts
@@ -865,3 +865,28 @@ def python_blocks(spark, sf_dir):
 )
 def python_block_metrics(spark, sf_dir):
     return blocks.block_metrics(blocks.python_blocks(_python_files(spark, sf_dir)))
+
+
+# --- Metrics ---
+
+_BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0)
+_LE = f"coalesce(list_min(list_filter([{', '.join(map(str, _BOUNDS))}], lambda b: b >= value)), 'infinity'::double)"
+
+
+@_query(f"select event_type, {_LE} as le, count(*) as n from events where value is not null group by all")
+def value_histograms(spark, sf_dir):
+    """Histograms of the values of each type of event, merged from those of even and odd users."""
+    e = _table(spark, sf_dir, "events")
+    parts = [metrics.histogram(e.where(F.col("user_id") % 2 == k), F.col("value"), ["event_type"], _BOUNDS) for k in (0, 1)]
+    return metrics.merged(*parts)
+
+
+@_query(
+    f"with h as (select event_type, {_LE} as le, count(*) as n from events where value is not null group by all),"
+    " c as (select *, sum(n) over (partition by event_type order by le) as upto, sum(n) over (partition by event_type) as whole from h)"
+    " select event_type, max(whole)::bigint as n, min(le) as quantile from c where upto >= whole * 0.9 group by 1"
+)
+def value_quantiles(spark, sf_dir):
+    """The bound that nine tenths of the values of each type of event are at most."""
+    e = _table(spark, sf_dir, "events")
+    return metrics.quantile(metrics.histogram(e, F.col("value"), ["event_type"], _BOUNDS), ["event_type"], 0.9)

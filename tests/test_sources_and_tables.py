@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lintlake.operators import agents, keyed
+from lintlake.operators import agents, keyed, metrics
 from lintlake.sources.pulls import PullFiles, PullReader
 
 
@@ -88,3 +88,27 @@ def test_calls_in_flight_are_bounded(spark):
     assert all(int(a[0]) == i for i, a in answers.items())  # in order
     assert 1 < max(int(a[1]) for a in answers.values()) <= 4
     assert agents.concurrent(call, 2, tasks=1)(rows.repartition(8)).rdd.getNumPartitions() == 1
+
+
+def test_histograms_merge_and_listen(spark, tmp_path):
+    values = [None, 0.0, 0.005, 0.006, 1.0, 9.0, 11.0, 11.5]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", None)], "k string, v double")
+    got = {(r.k, r.le): r.n for r in metrics.histogram(df, F.col("v"), ["k"]).collect()}
+    assert got == {("a", 0.005): 2, ("a", 0.01): 1, ("a", 1.0): 1, ("a", 10.0): 1, ("a", float("inf")): 2}
+    parts = [metrics.histogram(spark.createDataFrame([("a", v) for v in vs], "k string, v double"), F.col("v"), ["k"]) for vs in (values[:4], values[4:])]
+    assert {(r.k, r.le): r.n for r in metrics.merged(*parts).collect()} == got
+    q = lambda x: metrics.quantile(metrics.merged(*parts), ["k"], x).first()["quantile"]
+    assert (q(0.2), q(0.5), q(0.7), q(1.0)) == (0.005, 1.0, 10.0, float("inf"))
+    listener = metrics.BatchTimes()
+    spark.streams.addListener(listener)
+    try:
+        spark.range(7).write.parquet(str(tmp_path / "in"))
+        query = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        for _ in range(100):
+            if listener.rows == 7 and not listener.running:
+                break
+            time.sleep(0.1)
+        assert (listener.rows, listener.running) == (7, 0) and sum(r.n for r in listener.table(spark).collect()) >= 1
+    finally:
+        spark.streams.removeListener(listener)

@@ -23,11 +23,36 @@ _SUMMARY = "summary string, change_type string, risk string, risk_reason string,
 SHOWN_FILES, SHOWN_LINES, LISTED_FILES = 15, 30, 10
 
 
-def _prompt(agent: str, files: DataFrame) -> DataFrame:
-    """files (file_id, language, code; summary where there is one) with column `prompt`."""
-    shape = F.col("summary") if "summary" in files.columns else F.lit("")
-    text = F.concat(F.lit(f"Review this "), F.col("language"), F.lit(f" code for {agent}. Answer in JSON with findings.\n\n"), F.coalesce(shape, F.lit("")), F.lit("\n\n"), F.col("code"))
-    return files.withColumn("prompt", text)
+#: Characters of a pull request's description and of a file's diff that a prompt shows.
+SHOWN_BODY, SHOWN_DIFF = 500, 4000
+
+
+def review_prompt(agent: str, files: DataFrame) -> DataFrame:
+    """files (file_id, language, code) with column `prompt`, in parts: the pull request, the diff, the file, its shape, its surroundings.
+
+    More columns, where there are any, add to it: title and body of the pull request, diff, ranges (changed lines, array of
+    first and last), summary (of the structure), context (of the code graph).  A part whose column is missing, null or
+    blank is left out; changed lines are told only beside a diff.
+    """
+    has = set(files.columns)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in has else F.lit("")
+    said = lambda c: F.regexp_replace(text(c), r"\s", "") != ""
+    cut = lambda c, most, note: F.when(F.length(text(c)) < most, text(c)).otherwise(F.concat(F.substring(text(c), 1, most), F.lit(note)))
+    body = F.when(said("body"), F.concat(F.lit("\nIts author writes: "), F.substring(text("body"), 1, SHOWN_BODY)))
+    pull = F.when(text("title") != "", F.concat(F.lit("Part of the pull request: "), text("title"), F.coalesce(body, F.lit(""))))
+    diff = F.when(said("diff"), F.concat(F.lit("The change:\n```diff\n"), cut("diff", SHOWN_DIFF, "\n(the rest isn't shown)"), F.lit("\n```")))
+    lines = F.lit(None).cast("string")
+    if "ranges" in has:
+        shown = F.transform("ranges", lambda r: F.when(r["first"] == r["last"], r["first"].cast("string")).otherwise(F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))))
+        lines = F.when(said("diff") & (F.size("ranges") > 0), F.concat(F.lit("Changed lines: "), F.array_join(shown, ", ")))
+    whole = F.concat(F.lit("The whole file:\n```"), text("language"), F.lit("\n"), text("code"), F.lit("\n```"))
+    shape = F.when(said("summary"), F.concat(F.lit("Its structure:\n"), text("summary")))
+    around = F.when(said("context"), F.concat(F.lit("What the code base knows of it:\n"), text("context")))
+    task = F.concat(
+        F.lit("You review "), text("language"), F.lit(f" code for {agent}. "), F.when(said("diff"), "Judge the changed lines first. ").otherwise(""),
+        F.lit("Answer with one JSON object, findings: a list of severity, category, title, description, line_start, line_end, suggestion and confidence."),
+    )
+    return files.withColumn("prompt", F.concat_ws("\n\n", pull, diff, lines, whole, shape, around, task))
 
 
 def offline(rows: DataFrame) -> DataFrame:
@@ -43,7 +68,7 @@ def _json(answer):
 
 def run_agent(agent: str, files: DataFrame, model: Model = offline) -> DataFrame:
     """Findings of one agent over files; a file whose answer can't be read has none."""
-    rows = model(_prompt(agent, files)).withColumn("f", F.explode(F.from_json(_json(F.col("answer")), _ANSWER)["findings"])).select("file_id", "language", "f.*")
+    rows = model(review_prompt(agent, files)).withColumn("f", F.explode(F.from_json(_json(F.col("answer")), _ANSWER)["findings"])).select("file_id", "language", "f.*")
     allowed = CATEGORY[agent]
     category = F.when(F.lower("category").isin(*allowed), F.lower("category")).otherwise(F.lit(allowed[0]))
     sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.8))))

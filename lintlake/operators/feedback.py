@@ -72,7 +72,8 @@ def page(reviews: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def installations(events: DataFrame) -> DataFrame:
-    """The latest event of each installation, without those removed or suspended; events: (installation_id, ts, action, ...)."""
+    """The latest event of each installation, without those removed or suspended; events: (installation_id, ts, action, ...).
+    Of events of one time the last by action counts: a removal rather than a creation."""
     rest = [c for c in events.columns if c != "installation_id"]
-    latest = events.groupBy("installation_id").agg(F.max_by(F.struct(*rest), F.col("ts")).alias("e"))
+    latest = events.groupBy("installation_id").agg(F.max_by(F.struct(*rest), F.struct("ts", "action")).alias("e"))
     return latest.select("installation_id", "e.*").where(~F.col("action").isin("deleted", "suspend"))

@@ -12,10 +12,10 @@ from lintlake.functions import taintbook
 from lintlake.functions.predicates import quote
 from lintlake.functions.rulebook import RULES
 from lintlake.functions.textops import line_count, split_lines
-from lintlake.operators import bench, blocks, feedback, graph, metrics, pulls, review, rules, store, structure, taint, temporal
+from lintlake.operators import agents, bench, blocks, feedback, graph, graph_table, metrics, pulls, review, rules, store, structure, taint, temporal
 from lintlake.sources import files as readers
 from lintlake.sources import samples
-from lintlake.sources.corpus import TEMPLATES, code_files, code_files_sql, repeated_files, repeated_files_sql, shaped_files, shaped_scripts
+from lintlake.sources.corpus import TEMPLATES, code_files, code_files_sql, noted_files, repeated_files, repeated_files_sql, shaped_files, shaped_scripts
 from lintlake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +196,24 @@ def sorted_findings_topk(spark, sf_dir):
     return found.orderBy(*review.position(), "file_id").limit(20).select("file_id", "rule_id", "line_start")
 
 
+#: Files of known shape, every second one with two comments before each line: their tokens and lines are counted by hand.
+_NOTED = (
+    f"select *, case when file_id % 2 = 0 then 2 * long else 0 end as notes, 6 + 3 * deep + 5 * long as words, 1 + deep + long * case when file_id % 2 = 0 then 3 else 1 end as height, cast(file_id % 9 as integer) as n from ({_SHAPED})"
+)
+
+
+@_query(
+    f"select file_id, n as n_findings, cast(greatest(0, least(100, 100 - (10 * (n // 2) + 5 * (n - n // 2)) + case when notes::double / (words + notes) > 0.15 then 5 else 0 end"
+    f" + case when deep + 1 <= 3 then 5 else 0 end + case when height < 30 then 5 else 0 end)) as integer) as score from ({_NOTED})"
+)
+def review_bonuses(spark, sf_dir):
+    """Scores with what comments, flat nesting and short functions add: a file's findings are medium and high by turns."""
+    files = structure.with_structure(noted_files(spark, sf_dir))
+    each = F.explode(F.sequence(F.lit(0), F.pmod("file_id", F.lit(9)).cast("int")))
+    found = files.select("file_id", each.alias("i")).where("i > 0").select("file_id", F.when(F.col("i") % 2 == 0, "high").otherwise("medium").alias("severity"))
+    return review.file_scores(files, found, structured=True).select("file_id", F.col("n_findings").cast("int").alias("n_findings"), "score")
+
+
 # --- Structure and taint ---
 
 
@@ -369,6 +387,24 @@ def graph_edges(spark, sf_dir):
     return _graph(spark, sf_dir)[1]
 
 
+def _table_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The same by the table function."""
+    files = structure.with_structure(code_files(spark, sf_dir)).withColumn("path", F.concat(F.lit("file"), F.col("file_id").cast("string")))
+    nodes, edges = graph_table.extract_by_table(files)
+    nodes = graph.upsert_nodes(nodes.withColumn("ord", F.struct(F.coalesce("line_start", F.lit(0)).alias("l"), "language")))
+    return nodes, graph.upsert_edges(edges, nodes)
+
+
+@_query(_GRAPH + " select * from nodes")
+def graph_table_nodes(spark, sf_dir):
+    return _table_graph(spark, sf_dir)[0]
+
+
+@_query(_GRAPH + " select * from edges")
+def graph_table_edges(spark, sf_dir):
+    return _table_graph(spark, sf_dir)[1]
+
+
 _ASKED = ["token_for", "run", "area", "go", "Save"]
 
 
@@ -701,6 +737,11 @@ _PART = "select *, p_partkey as k from part"
     f"({_PART})"
 )
 def sarif_findings(spark, sf_dir):
+    return readers.read_sarif(_sarif_reports(spark, sf_dir)).drop("raw")
+
+
+def _sarif_reports(spark, sf_dir, *more) -> DataFrame:
+    """Reports made from the parts, a result each; more: further fields of the results, which the reader doesn't know."""
     k = F.col("p_partkey")
     sev = lambda c: F.struct(c.alias("problem.severity"))
     pick = lambda n, *values: F.get(F.array(*(F.lit(v) for v in values)), (k % n).cast("int"))
@@ -708,12 +749,35 @@ def sarif_findings(spark, sf_dir):
     region = F.struct((k % 100).alias("startLine"), F.when(k % 2 == 0, k % 100 + 1).alias("endLine"))
     result = F.struct(
         F.concat(F.lit("r"), (k % 4).cast("string")).alias("ruleId"), pick(3, "error", "note").alias("level"), F.struct(F.when(k % 6 != 0, F.col("p_name")).alias("text")).alias("message"),
-        sev(pick(5, "warning", "NOTE", "odd")).alias("properties"), F.array(F.struct(F.struct(F.struct(F.col("p_brand").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))).alias("locations"),
+        sev(pick(5, "warning", "NOTE", "odd")).alias("properties"), F.array(F.struct(F.struct(F.struct(F.col("p_brand").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))).alias("locations"), *more,
     )
     driver = F.struct(F.lit("q").alias("name"), F.array(rule("r0", "Error"), rule("r1", None), rule("r2", "odd")).alias("rules"))
     run = lambda results: F.struct(F.struct(driver.alias("driver")).alias("tool"), results.alias("results"))
     # A second run, which isn't read.
-    return readers.read_sarif(_table(spark, sf_dir, "part").select(F.to_json(F.struct(F.array(run(F.array(result)), run(F.array(result, result))).alias("runs"))).alias("json")))
+    return _table(spark, sf_dir, "part").select(F.to_json(F.struct(F.array(run(F.array(result)), run(F.array(result, result))).alias("runs"))).alias("json"))
+
+
+def _unread(spark, sf_dir) -> DataFrame:
+    """Findings of reports with fields that the reader doesn't know."""
+    k = F.col("p_partkey")
+    prints = F.when(k % 3 != 0, F.struct(F.concat(F.lit("p"), k.cast("string")).alias("primary/v1")))
+    return readers.read_sarif(_sarif_reports(spark, sf_dir, prints.alias("partialFingerprints"), F.col("p_retailprice").cast("double").alias("rank")))
+
+
+@_query(f"select p_brand as file_path, 'r' || k % 4 as rule_id, case when k % 3 <> 0 then 'p' || k end as fingerprint, p_retailprice::double as rank from ({_PART})")
+def report_unread_fields(spark, sf_dir):
+    """Fields of reports that no reader names, asked for later, from the results as they came."""
+    raw = lambda path, kind: F.try_variant_get("raw", path, kind)
+    return _unread(spark, sf_dir).select("file_path", "rule_id", raw("$.partialFingerprints['primary/v1']", "string").alias("fingerprint"), raw("$.rank", "double").alias("rank"))
+
+
+@_query(
+    f"select 'q' as tool, field, count(*) as n from ({_PART}), (values ('ruleId', 3), ('level', 2), ('message', 3), ('properties', 3), ('locations', 3), ('rank', 3), ('partialFingerprints', -1)) as v(field, below)"
+    " where k % 3 < below or (below < 0 and k % 3 <> 0) group by all"
+)
+def report_fields(spark, sf_dir):
+    """Which fields the results of reports hold, and how often."""
+    return readers.raw_fields(_unread(spark, sf_dir))
 
 
 @_query(
@@ -724,7 +788,7 @@ def semgrep_findings(spark, sf_dir):
     k, line = F.col("p_partkey"), lambda n: F.struct((F.col("p_size") + n).alias("line"))
     severity = F.get(F.array(*(F.lit(v) for v in ("ERROR", "warning", "INFO", "Note", "odd"))), (k % 6).cast("int"))
     result = F.struct(F.concat(F.lit("c"), k.cast("string")).alias("check_id"), F.col("p_brand").alias("path"), line(0).alias("start"), line(2).alias("end"), F.struct(F.when(k % 4 != 0, F.col("p_name")).alias("message"), severity.alias("severity")).alias("extra"))
-    return readers.read_semgrep(_table(spark, sf_dir, "part").select(F.to_json(F.struct(F.array(result).alias("results"))).alias("json")))
+    return readers.read_semgrep(_table(spark, sf_dir, "part").select(F.to_json(F.struct(F.array(result).alias("results"))).alias("json"))).drop("raw")
 
 
 @_query(
@@ -793,6 +857,76 @@ def pull_reports(spark, sf_dir):
     return pulls.report(scored, general, skipped=skipped)
 
 
+_TASK = "Answer with one JSON object, findings: a list of severity, category, title, description, line_start, line_end, suggestion and confidence."
+
+
+@_query(
+    "with f as (select file_id, language, coalesce(code, '') as code, case when file_id % 3 <> 0 then 'Change ' || file_id end as title, repeat('why ', cast(file_id % 170 as integer)) as body,"
+    f" case when file_id % 4 <> 0 then repeat('+ a' || chr(10), cast(file_id % 1100 as integer)) end as diff, file_id % 5 = 0 as known, file_id % 7 as k from ({code_files_sql()})),"
+    " p as (select file_id, concat_ws(chr(10) || chr(10), 'Part of the pull request: ' || title || case when trim(body) <> '' then chr(10) || 'Its author writes: ' || substring(body, 1, 500) else '' end,"
+    " case when diff <> '' then 'The change:' || chr(10) || '```diff' || chr(10) || case when length(diff) < 4000 then diff else substring(diff, 1, 4000) || chr(10) || '(the rest isn''t shown)' end || chr(10) || '```' end,"
+    " case when diff <> '' then 'Changed lines: 1, 3-' || (4 + k) end, 'The whole file:' || chr(10) || '```' || language || chr(10) || code || chr(10) || '```',"
+    " case when known then 'What the code base knows of it:' || chr(10) || 'Calls: f' || file_id end,"
+    f" 'You review ' || language || ' code for security. ' || case when diff <> '' then 'Judge the changed lines first. ' else '' end || {quote(_TASK)}) as prompt from f)"
+    " select file_id, length(prompt) as n_chars, sha256(prompt) as prompt_sha256 from p"
+)
+def agent_prompts(spark, sf_dir):
+    """Prompts of the security reviewer over files of pull requests: with and without title, diff, changed lines and surroundings."""
+    k = F.col("file_id")
+    pair = lambda a, b: F.struct(F.lit(a).cast("int").alias("first"), b.cast("int").alias("last"))
+    files = code_files(spark, sf_dir).withColumns({
+        "title": F.when(k % 3 != 0, F.concat(F.lit("Change "), k.cast("string"))), "body": F.repeat(F.lit("why "), (k % 170).cast("int")),
+        "diff": F.when(k % 4 != 0, F.repeat(F.lit("+ a\n"), (k % 1100).cast("int"))), "ranges": F.array(pair(1, F.lit(1)), pair(3, 4 + k % 7)),
+        "context": F.when(k % 5 == 0, F.concat(F.lit("Calls: f"), k.cast("string"))),
+    })
+    rows = agents.review_prompt("security", files)
+    return rows.select("file_id", F.length("prompt").cast("bigint").alias("n_chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+_SECRET = "of the tests"
+
+
+def _signature(payload):
+    """A payload's HMAC-SHA256 under _SECRET in built-in functions, from its definition."""
+    pad = lambda byte: F.lit(bytes(b ^ byte for b in _SECRET.encode().ljust(64, b"\0")))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), payload.cast("binary")), 256))
+    return F.concat(F.lit("sha256="), F.sha2(F.concat(pad(0x5C), inner), 256))
+
+
+def _deliveries(spark, sf_dir) -> DataFrame:
+    """A delivery for each event: of eight one has a wrong signature, one tells of a push, two of pull requests, four of installations."""
+    e, k, user = _table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id").cast("string")
+    action = F.get(F.array(*(F.lit(a) for a in ("created", "deleted", "created", "unsuspend"))), (k % 4).cast("int"))
+    account = F.struct(F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("u"), user)).alias("login"), F.lit("User").alias("type"))
+    installed = F.struct(action.alias("action"), F.struct(F.col("user_id").alias("id"), account.alias("account")).alias("installation"), F.array(F.struct(F.concat(F.lit("o/"), user).alias("full_name"))).alias("repositories"))
+    head = F.struct(F.lit("opened").alias("action"), F.struct((k % 5).alias("number"), F.struct(F.concat(F.lit("c"), F.floor(k / 64).cast("string")).alias("sha")).alias("head")).alias("pull_request"), F.struct(F.when(k % 3 == 0, user).otherwise(F.concat(F.lit("o/"), user)).alias("full_name")).alias("repository"))
+    kind = F.when(k % 8 < 5, "installation").when(k % 8 < 7, "pull_request").otherwise("push")
+    rows = e.select("ts", kind.alias("event"), F.when(k % 8 < 5, F.to_json(installed)).otherwise(F.to_json(head)).alias("json"), k)
+    sealed = rows.withColumn("signature", F.when(k % 8 != 4, _signature(F.col("json"))).otherwise("sha256=0"))
+    return jobs.app_deliveries(sealed.drop("event_id"), _SECRET)
+
+
+@_query("select case when event_id % 8 = 4 then 'rejected' when event_id % 8 = 7 then 'ignored' else 'accepted' end as status, count(*) as n from events group by 1")
+def app_delivery_counts(spark, sf_dir):
+    return _deliveries(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@_query(
+    "with e as (select user_id, ts, case when event_id % 4 = 1 then 'deleted' else 'created' end as action from events where event_id % 8 in (0, 1, 2)), l as (select *, row_number() over (partition by user_id order by ts desc, action desc) as rn from e)"
+    " select user_id as installation_id, case when user_id % 3 <> 0 then 'u' || user_id else 'unknown' end as account_login, 'User' as account_type, 'o/' || user_id as repos from l where rn = 1 and action = 'created'"
+)
+def app_installations(spark, sf_dir):
+    """What is installed after all accepted deliveries."""
+    found = feedback.installations(jobs.installation_events(_deliveries(spark, sf_dir).where("status = 'accepted'")))
+    return found.select("installation_id", "account_login", "account_type", F.array_join("repos", ",").alias("repos"))
+
+
+@_query("select distinct 'o/' || user_id as repo, cast(event_id % 5 as integer) as number, 'c' || event_id // 64 as sha from events where event_id % 8 in (5, 6) and event_id % 3 <> 0 and event_id % 5 <> 0")
+def app_pulls(spark, sf_dir):
+    """The head commits to review, once each."""
+    return jobs.app_pull_events(_deliveries(spark, sf_dir).where("status = 'accepted'")).select("repo", "number", "sha")
+
+
 # --- Joins by order ---
 
 

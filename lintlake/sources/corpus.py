@@ -198,6 +198,13 @@ def shaped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("file_id"), F.lit("python").alias("language"), code.alias("code"))
 
 
+def noted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of shaped_files, those of even ids with two comments before each statement of the body."""
+    line = r"( *)a = a \+ 1\n"
+    noted = F.regexp_replace("code", line, "$1# one more\n$1# step\n$0")
+    return shaped_files(spark, sf_dir).withColumn("code", F.when(F.col("file_id") % 2 == 0, noted).otherwise(F.col("code")))
+
+
 def shaped_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, language, code: the same for JavaScript, with braces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")

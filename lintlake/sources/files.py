@@ -80,8 +80,9 @@ def valid_requests(requests: DataFrame, most: int = 100_000) -> tuple[DataFrame,
     return requests.where(ok), requests.where(~ok)
 
 
+#: A run's rules are few and typed; each result is a variant of its own, so that fields which aren't read stay with it.
 _PROPERTIES = "properties:struct<`problem.severity`:string>"
-_SARIF = f"runs array<struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string,{_PROPERTIES}>>>>,results:array<struct<ruleId:string,level:string,message:struct<text:string>,{_PROPERTIES},locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,endLine:int>>>>>>>>"
+_SARIF = f"runs array<struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string,{_PROPERTIES}>>>>,results:array<variant>>>"
 #: Severities of the reports' own words.
 SARIF_SEVERITY = {"error": "critical", "warning": "high", "recommendation": "medium", "note": "medium"}
 SEMGREP_SEVERITY = {"ERROR": "critical", "WARNING": "high", "INFO": "medium", "NOTE": "low"}
@@ -95,45 +96,53 @@ def _mapped(value: Column, table: dict[str, str], default: str | None) -> Column
 
 
 def read_sarif(reports: DataFrame) -> DataFrame:
-    """tool, rule_id, title, severity, category, confidence, file_path, line_start, line_end of the first run of SARIF reports (column json).
+    """tool, rule_id, title, severity, category, confidence, file_path, line_start, line_end, raw of the first run of SARIF reports (column json).
 
     Severity: the result's own problem severity if it is a known one, else its rule's (warning where the rule has none),
     else, for rules that aren't listed, the result's level (warning where it has none); words that aren't known are high.
+    raw: the whole result as a variant, what is read from it and what isn't.
     """
     run = reports.select(F.get(F.from_json("json", _SARIF)["runs"], F.lit(0)).alias("run"))
-    rows = run.select(F.col("run.tool.driver.name").alias("tool"), F.col("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("r"))
+    rows = run.select(F.col("run.tool.driver.name").alias("tool"), F.col("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("raw"))
+    field = lambda path, kind="string": F.try_variant_get("raw", path, kind)
+    rows = rows.withColumn("rule_id", field("$.ruleId"))
     # Of rules listed twice the last one counts.
-    own = F.element_at(F.filter("rules", lambda x: x["id"] == F.col("r.ruleId")), -1)
-    rows = rows.withColumn("own", F.when(F.exists("rules", lambda x: x["id"] == F.col("r.ruleId")), own))
+    own = F.element_at(F.filter("rules", lambda x: x["id"] == F.col("rule_id")), -1)
+    rows = rows.withColumn("own", F.when(F.exists("rules", lambda x: x["id"] == F.col("rule_id")), own))
     word = lambda c: F.lower(F.coalesce(c, F.lit("warning")))
     severity = F.coalesce(
-        _mapped(F.lower(F.col("r.properties.`problem.severity`")), SARIF_SEVERITY, None),
+        _mapped(F.lower(field("$.properties['problem.severity']")), SARIF_SEVERITY, None),
         F.when(F.col("own").isNotNull(), _mapped(word(F.col("own.properties.`problem.severity`")), SARIF_SEVERITY, "high")),
-        _mapped(word(F.col("r.level")), SARIF_SEVERITY, "high"),
+        _mapped(word(field("$.level")), SARIF_SEVERITY, "high"),
     )
-    place = F.get("r.locations", F.lit(0))["physicalLocation"]
+    place = "$.locations[0].physicalLocation"
+    first, last = (field(f"{place}.region.{c}", "int") for c in ("startLine", "endLine"))
     return rows.select(
-        "tool", F.col("r.ruleId").alias("rule_id"), F.coalesce("r.message.text", "r.ruleId", F.lit("")).alias("title"), severity.alias("severity"),
-        F.lit("security").alias("category"), F.lit(1.0).alias("confidence"), place["artifactLocation"]["uri"].alias("file_path"),
-        place["region"]["startLine"].alias("line_start"), F.coalesce(place["region"]["endLine"], place["region"]["startLine"]).alias("line_end"),
+        "tool", "rule_id", F.coalesce(field("$.message.text"), "rule_id", F.lit("")).alias("title"), severity.alias("severity"),
+        F.lit("security").alias("category"), F.lit(1.0).alias("confidence"), field(f"{place}.artifactLocation.uri").alias("file_path"),
+        first.alias("line_start"), F.coalesce(last, first).alias("line_end"), "raw",
     )
 
 
-_SEMGREP = "results array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:struct<message:string,severity:string>>>"
-
-
 def read_semgrep(reports: DataFrame) -> DataFrame:
-    """tool, rule_id, title, severity, category, confidence, file_path, line_start, line_end of JSON reports (column json)."""
-    rows = reports.select(F.explode(F.from_json("json", _SEMGREP)["results"]).alias("r"))
-    severity = _mapped(F.upper(F.coalesce("r.extra.severity", F.lit("INFO"))), SEMGREP_SEVERITY, "medium")
-    title = F.coalesce("r.extra.message", "r.check_id", F.lit(""))
+    """tool, rule_id, title, severity, category, confidence, file_path, line_start, line_end, raw of JSON reports (column json)."""
+    rows = reports.select(F.explode(F.from_json("json", "results array<variant>")["results"]).alias("raw"))
+    field = lambda path, kind="string": F.try_variant_get("raw", path, kind)
+    severity = _mapped(F.upper(F.coalesce(field("$.extra.severity"), F.lit("INFO"))), SEMGREP_SEVERITY, "medium")
+    title = F.coalesce(field("$.extra.message"), field("$.check_id"), F.lit(""))
     return rows.select(
-        F.lit("semgrep").alias("tool"), F.col("r.check_id").alias("rule_id"), title.alias("title"), severity.alias("severity"),
-        F.lit("security").alias("category"), F.lit(1.0).alias("confidence"), F.col("r.path").alias("file_path"),
-        F.col("r.start.line").alias("line_start"), F.col("r.end.line").alias("line_end"),
+        F.lit("semgrep").alias("tool"), field("$.check_id").alias("rule_id"), title.alias("title"), severity.alias("severity"),
+        F.lit("security").alias("category"), F.lit(1.0).alias("confidence"), field("$.path").alias("file_path"),
+        field("$.start.line", "int").alias("line_start"), field("$.end.line", "int").alias("line_end"), "raw",
     )
 
 
+def raw_fields(findings: DataFrame) -> DataFrame:
+    """tool, field, n: how many findings hold a top-level field of their raw results, whether a reader uses it or not."""
+    keys = F.map_keys(F.try_variant_get("raw", "$", "map<string,variant>"))
+    return findings.select("tool", F.explode(keys).alias("field")).groupBy("tool", "field").agg(F.count("*").alias("n"))
+
+
 _GOLDEN = "array<struct<category:string,severity:string,title_pattern:string,min_count:int>>"
 
 

@@ -24,6 +24,34 @@ def pull_events(webhooks: DataFrame, wait: str = "1 hour") -> DataFrame:
     return rows.withWatermark("ts", wait).dropDuplicatesWithinWatermark(["repo", "number", "sha"]) if rows.isStreaming else rows.dropDuplicates(["repo", "number", "sha"])
 
 
+_INSTALLED = "action string, installation struct<id:bigint,account:struct<login:string,type:string>>, repositories array<struct<full_name:string>>"
+#: The deliveries that an installed app acts on, and what it notes of installations.
+APP_EVENTS, INSTALLED = ("installation", "pull_request"), ("created", "deleted", "suspend")
+
+
+def app_deliveries(deliveries: DataFrame, secret: str) -> DataFrame:
+    """deliveries of an app's webhook (ts, event, signature, json) with `status`: rejected (wrong or no signature, or no secret
+    is set), accepted, or ignored (an event that isn't acted on)."""
+    valid = pulls.signed(F.col("json"), F.col("signature"), secret) if secret else F.lit(False)
+    return deliveries.withColumn("status", F.when(~valid, "rejected").when(F.col("event").isin(*APP_EVENTS), "accepted").otherwise("ignored"))
+
+
+def installation_events(accepted: DataFrame) -> DataFrame:
+    """installation_id, ts, action, account_login, account_type, repos of the deliveries that tell of an installation's begin or end;
+    an account without name or kind is `unknown`, an id that is missing 0."""
+    p = F.from_json("json", _INSTALLED)
+    rows = accepted.where(F.col("event") == "installation").select("ts", p.alias("p")).where(F.col("p.action").isin(*INSTALLED))
+    known = lambda c: F.coalesce(F.col(f"p.installation.account.{c}"), F.lit("unknown")).alias(f"account_{c}")
+    repos = F.transform(F.coalesce("p.repositories", F.expr("cast(array() as array<struct<full_name:string>>)")), lambda r: F.coalesce(r["full_name"], F.lit("")))
+    return rows.select(F.coalesce("p.installation.id", F.lit(0)).alias("installation_id"), "ts", F.col("p.action").alias("action"), known("login"), known("type"), repos.alias("repos"))
+
+
+def app_pull_events(accepted: DataFrame, wait: str = "1 hour") -> DataFrame:
+    """pull_events of an app's accepted deliveries; those without owner, name, number or commit aren't acted on."""
+    rows = pull_events(accepted.where(F.col("event") == "pull_request"), wait)
+    return rows.where(F.col("repo").rlike("^[^/]+/.") & (F.col("number") != 0) & (F.col("sha") != ""))
+
+
 def review_stream(files: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Review each micro-batch of files (file_id, language, code) and hand its typed events to `sink`."""
 

@@ -47,6 +47,23 @@ def park(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def numbered(rows: DataFrame, name: str, block: int = 4096) -> DataFrame:
+    """rows, parked, with `copy`: rows that are equal in all columns are numbered from 0.
+
+    They are counted where they lie, before any shuffle, and dealt out again in blocks, so however many rows are equal, no
+    task meets them all; the numbers don't depend on how the rows lay.
+    """
+    counted = park(rows.groupBy(*rows.columns).agg(F.count("*").alias("__n")), name)
+    once = counted.where("__n = 1").select(*rows.columns, F.lit(0).cast("bigint").alias("copy"))
+    many = counted.where("__n > 1")
+    if many.isEmpty():
+        return once
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / block)))
+    dealt = many.withColumn("__b", blocks).repartition(*rows.columns, "__b")
+    copies = F.sequence(F.col("__b") * block, F.least(F.col("__n"), (F.col("__b") + 1) * block) - 1)
+    return park(once.unionByName(dealt.select(*rows.columns, F.explode(copies).alias("copy"))), f"{name}_numbered")
+
+
 def parked() -> int:
     """How many folders of parked tables there are: a mark for drop_parked."""
     return len(_PARKED)

@@ -70,11 +70,22 @@ class Profiles:
         return {"lang": self.langs[best], "score": float(1 / np.exp(40 * (mean[best] - mean)).sum()), "distance": float(mean[best])}
 
 
+#: N-grams of all languages that a task holds before it hands their counts on.
+HELD = 1 << 20
+
+
 def learn_profiles(docs: DataFrame, size: int = 400) -> Profiles:
     """Profiles of the `size` most frequent n-grams of each value of lang, over all rows of docs that have one."""
+    held = HELD
 
     def count(batches):
         totals: dict[str, dict[int, int]] = {}
+
+        def handed():
+            for lang, own in totals.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "code", "n"])
+            totals.clear()
+
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             for lang in sorted(set(langs)):
@@ -84,8 +95,10 @@ def learn_profiles(docs: DataFrame, size: int = 400) -> Profiles:
                     found, n = np.unique(codes, return_counts=True)
                     for c, k in zip(found.tolist(), n.tolist(), strict=True):
                         own[c] = own.get(c, 0) + k
-        for lang, own in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "code", "n"])
+                    if sum(map(len, totals.values())) >= held:
+                        yield from handed()
+                        own = totals.setdefault(lang, {})
+        yield from handed()
 
     texts = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull()).select(docs["text"].cast("string"), docs["lang"].cast("string"))
     counts = texts.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))

@@ -6,8 +6,8 @@ its queue is repeated, up to `repeats` times.  All copies, ordered by finish tim
 their words reach the total budget.
 
 Targets: the budget is shared by weight; a source stops at `repeats` times its size and the excess is shared again.
-The order is cut into ranges of finish time; their exact sums tell in which range the budget ends, and only that one is
-sorted.  Cumulative words are summed in two levels (blocks of a source, then within a block), so no task sees a whole
+The order is cut into ranges of finish time; their exact sums tell in which range the budget ends, that one is cut again
+until it is small, and only then sorted.  Cumulative words are summed in two levels (blocks of a source, then within a block), so no task sees a whole
 source.  Everything follows from the rows alone, so reruns agree.
 
 Nulls: a null text has 0 words and is never taken; null sources form one source, last; null ids are kept.  Repeated rows
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm._bytes import text_udf
-from lintlake.llm._common import id_and_text, park, row_key
+from lintlake.llm._common import id_and_text, numbered, park, row_key
 
 #: Finish times are at most about `repeats` at the least weighted source; ranges are this fraction of one.
 STEP = 1 / 4096
@@ -59,8 +59,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int =
     """doc_id, rh (the row's key), source, size, source_size, target, taken (words the mix takes of the document), one row per row of docs."""
     rows = id_and_text(docs, id_col, text_col, row="rh", source=source_col).withColumn("source", F.col("source").cast("string"))
     rows = rows.select("doc_id", "rh", "source", word_count()("text").alias("size"))
-    # The shuffle's order is by the id, then the row; ids that repeat, or are null, so make no block of their own.
-    rows = park(rows.withColumn("turn", F.xxhash64("doc_id", "rh", F.lit(17))), "sizes")
+    # The shuffle's order is by the id, then the row and its number among its equals: none of them makes a block of its own.
+    rows = numbered(rows, "sizes").withColumn("turn", F.xxhash64("doc_id", "rh", "copy", F.lit(17)))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, repeats)
     targets = park(targets, "targets").withColumnRenamed("source", "s")
     rows = rows.join(targets, rows["source"].eqNullSafe(targets["s"])).drop("s")
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int =
     sums = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "rh").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "rh", "copy").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(inside))
     rows = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["block"] == sums["b"]))
     rows = park(rows.select("doc_id", "rh", "source", "size", "source_size", "target", "turn", (F.col("upto") + F.col("before")).alias("words")), "finish")
@@ -92,24 +92,33 @@ def _finish(copy: Column) -> Column:
     return (copy * F.col("source_size") + F.col("words")) / F.col("target")
 
 
-def _cut(rows: DataFrame, repeats: int) -> tuple | None:
-    """The last (finish, turn, doc_id, words) that the budget takes, as literals; None if it takes nothing."""
+def _cut(rows: DataFrame, repeats: int, most: int = 1 << 18) -> tuple | None:
+    """The last (finish, turn, doc_id, words) that the budget takes, as literals; None if it takes nothing.
+
+    The range in which the budget ends is cut into ranges again until it holds at most `most` copies, which one task sorts.
+    """
     queue = rows.where((F.col("size") > 0) & (F.col("target") > 0)).withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     queue = queue.select(_finish(F.col("e")).alias("finish"), "turn", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "words", "size")
+    left = rows.agg(F.sum("size")).first()[0] or 0
     # What finishes by time 2 is in ranges of STEP, the rest in one; a source's last copy within its target ends by 1.
-    queue = queue.withColumn("range", F.least(F.lit(math.ceil(2 / STEP)), F.floor(F.col("finish") / STEP)).cast("int"))
-    budget = rows.agg(F.sum("size")).first()[0] or 0
-    left = budget
-    at = None
-    for r in queue.groupBy("range").agg(F.sum("size").alias("words")).orderBy("range").collect():  # at most 2 / STEP + 1 rows
-        at = r["range"]
-        if r["words"] >= left:
+    low, step, ranges = 0.0, STEP, math.ceil(2 / STEP)
+    while True:
+        numbers = queue.withColumn("range", F.greatest(F.lit(0), F.least(F.lit(ranges), F.floor((F.col("finish") - low) / step))).cast("int"))
+        at, n = None, 0
+        for r in numbers.groupBy("range").agg(F.sum("size").alias("words"), F.count("*").alias("n")).orderBy("range").collect():  # at most ranges + 1 rows
+            at, n = r["range"], r["n"]
+            if r["words"] >= left:
+                break
+            left -= r["words"]
+        if at is None:
+            return None
+        queue = numbers.where(F.col("range") == at).drop("range")
+        # Copies that finish at one time are of different sources, so few: nothing finer than doubles tell apart is needed.
+        if n <= most or at == ranges or step < 1e-15:
             break
-        left -= r["words"]
-    if at is None:
-        return None
+        low, step, ranges = low + at * step, step * STEP, math.ceil(1 / STEP)
     order = ["finish", "turn", "id", "words"]
-    last = queue.where(F.col("range") == at).withColumn("sum", F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    last = queue.withColumn("sum", F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     # The copy that reaches the budget is the last one in.
     end = last.where(F.col("sum") - F.col("size") < left).orderBy(*(F.desc(c) for c in order)).first()
     return F.lit(end["finish"]), F.lit(end["turn"]), F.lit(end["id"]), F.lit(end["words"])

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm._common import id_and_text, long_array, park, range_of, row_key
+from lintlake.llm._common import id_and_text, long_array, numbered, park, range_of, row_key
 
 
 def sample_splitters(rows: DataFrame, total_bytes: int, ranges: int, per_range: int = 256) -> list[int]:
@@ -28,7 +28,7 @@ def sample_splitters(rows: DataFrame, total_bytes: int, ranges: int, per_range:
     The sample has ranges * per_range keys on average, whatever the table's size.
     """
     rate = ranges * per_range / max(1, total_bytes)
-    draw = F.pmod(F.xxhash64("doc_id", "key", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("doc_id", "key", "copy", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(draw < F.col("size") * F.lit(rate))
     cuts = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
     found = sample.select(F.percentile_approx("key", cuts, F.lit(max(10_000, 4 * ranges))).alias("b")).first()["b"]
@@ -45,7 +45,8 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, range_rows:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
     )
-    rows = park(rows, "keys")
+    # Rows that are equal in all columns are told apart by their number, which the salt deals out.
+    rows = numbered(rows, "keys")
     count, total = rows.agg(F.count("*"), F.sum("size")).first()
     total = total or 0
     ranges = min(4096, max(8 * shards, math.ceil(count / range_rows)))
@@ -57,7 +58,7 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, range_rows:
     large = groups.where(heavy | (F.col("n") > 2 * target)).select("key", heavy.alias("heavy")).collect()
     alone, hot = [r["key"] for r in large], [r["key"] for r in large if r["heavy"]]
     bounds = sorted({*sample_splitters(rows, total, ranges), *alone, *(k + 1 for k in alone if k < (1 << 63) - 1)})
-    rows = rows.withColumn("part", range_of(F.col("key"), bounds)).withColumn("salt", F.shiftrightunsigned(F.xxhash64("doc_id", "rh", F.lit(5)), 1))
+    rows = rows.withColumn("part", range_of(F.col("key"), bounds)).withColumn("salt", F.shiftrightunsigned(F.xxhash64("doc_id", "rh", "copy", F.lit(5)), 1))
     most = min(target, range_rows)
     parts = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"))
     full = {r["part"]: (r["n"], r["a"], r["b"]) for r in parts.where(F.col("n") > 2 * most).collect()}
@@ -69,14 +70,14 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.01, range_rows:
     # The middle of a subdivided range, which is that of its one text.
     whole = Window.partitionBy("part")
     starts = starts.select("part", "sub", "base", F.when(single & (F.count("*").over(whole) > 1), F.min("base").over(whole) + F.sum("bytes").over(whole) / 2).alias("whole"))
-    inside = Window.partitionBy("part", "sub").orderBy("key", "salt", "doc_id", "rh")
+    inside = Window.partitionBy("part", "sub").orderBy("key", "salt", "doc_id", "rh", "copy")
     group = Window.partitionBy("part", "sub", "key")
     placed = (
         rows.join(F.broadcast(starts), ["part", "sub"])
         .withColumn("at", F.col("base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("middle", F.when(_is_hot(hot), F.col("at") + F.col("size") / 2).otherwise(F.coalesce("whole", F.min("at").over(group) + F.sum("size").over(group) / 2)))
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.lit(shards) * F.col("middle") / F.lit(float(max(1, total))))).cast("int"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("part", "sub", "shard").orderBy("key", "salt", "doc_id", "rh")))
+        .withColumn("rank", F.row_number().over(Window.partitionBy("part", "sub", "shard").orderBy("key", "salt", "doc_id", "rh", "copy")))
         .select("doc_id", "rh", "size", "text_crc32", "key", "part", "sub", "shard", "rank")
     )
     placed = park(placed, "placed")

@@ -98,6 +98,23 @@ def _loop_body_sql() -> str:
 _UNQUOTED = "and not regexp_matches(stripped, '^(''|\"|f''|f\"|`)')"
 ORACLES["rule_perf001"] = _loop_body_sql()
 
+
+def _numbers_sql() -> str:
+    """CL003 without looking around: a line is cut at its runs of three and more digits, and each run judged by its neighbours."""
+    listed = lambda values: ", ".join(map(str, values))
+    apart = " and ".join(f"not starts_with(stripped, '{x}')" for x in ("#", "//", "*")) + " and " + " and ".join(f"not contains(stripped, {quote(x)})" for x in ("import", '"' * 3, "'" * 3))
+    return (
+        "with " + rules.lines_sql(code_files_sql(), []) + ", pieces as (select file_id, i, line, string_split(regexp_replace(line, '(\\d{3,})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)) as ps from lines where regexp_matches(line, '\\d{3}') and " + apart + "),"
+        " runs as (select *, unnest(range(2, len(ps) + 1, 2)) as j from pieces), placed as (select *, ps[j] as digits, length(array_to_string(ps[1:j - 1], '')) as start from runs),"
+        " told as (select *, lower(substring(line, greatest(0, start - 30) + 1, start + length(digits) + 30 - greatest(0, start - 30))) as context, ltrim(digits, '0') as value from placed"
+        " where not regexp_matches(ps[j - 1], '[\"''.\\pL\\pM\\p{Nd}\\p{Pc}]$') and not regexp_matches(ps[j + 1], '^[\"''\\pL\\pM\\p{Nd}\\p{Pc}]'))"
+        f" select file_id, 'CL003' as rule_id, cast(i as integer) as line_start from told where {' and '.join(f'not contains(context, {quote(w)})' for w in book.NUMBER_CONTEXT)}"
+        f" and (length(value) > 6 or (coalesce(try_cast(value as integer), 0) not in ({listed(book.PLAIN_NUMBERS)}, {listed(book.KNOWN_PORTS)}) and coalesce(try_cast(value as integer), 0) not between {book.HTTP_STATUS[0]} and {book.HTTP_STATUS[1]}))"
+    )
+
+
+ORACLES["rule_cl003"] = _numbers_sql()
+
 _META = "(values " + ", ".join(f"({quote(r.id)}, {quote(r.key)}, {i}, {quote(r.severity)}, {quote(r.category)}, {r.confidence}::double)" for i, r in enumerate(RULES)) + ") as m(rule_id, key, rule_ord, severity, category, confidence)"
 
 
@@ -214,6 +231,19 @@ def review_bonuses(spark, sf_dir):
     return review.file_scores(files, found, structured=True).select("file_id", F.col("n_findings").cast("int").alias("n_findings"), "score")
 
 
+#: What rules find that need no structure: the shared rules' findings, magic numbers and regular expressions in loops.
+_TEXT_RULES = " union all ".join([
+    f"select * from ({_all_sql()} select file_id, rule_id, line_start, severity, category, confidence from found)",
+    *(f"select h.file_id, h.rule_id, h.line_start, m.severity, m.category, m.confidence from ({ORACLES[q]}) h join {_META} on h.rule_id = m.rule_id" for q in ("rule_cl003", "rule_perf001")),
+])
+
+
+@_query(_TEXT_RULES)
+def rules_text_findings(spark, sf_dir):
+    """Every rule that reads text alone, those with state too, over all files: what is found and where."""
+    return rules.raw_findings(code_files(spark, sf_dir)).select("file_id", "rule_id", "line_start", "severity", "category", "confidence")
+
+
 # --- Structure and taint ---
 
 
@@ -280,23 +310,37 @@ def _flows_sql() -> str:
     source = "substring(sha256(concat_ws(':', source_kind, language, call, attribute)), 1, 12)"
     sink = "substring(sha256(concat_ws(':', sink_kind, language, sink)), 1, 12)"
     return (
-        f"select doc_id as file_id, ord, substring(sha256(concat_ws(':', {source}, {sink}, 'None', sink_line)), 1, 16) as candidate_id, source_kind, sink_kind, source_line, sink_line, n_hops from documents"
+        f"select doc_id as file_id, ord, {source} as source_sig, {sink} as sink_sig, substring(sha256(concat_ws(':', {source}, {sink}, 'None', sink_line)), 1, 16) as candidate_id, source_kind, sink_kind, source_line, sink_line, n_hops from documents"
         f" join (values {rows}) as v(k, language, ord, source_kind, call, attribute, sink_kind, sink, source_line, sink_line, n_hops) on doc_id % {len(TEMPLATES)} = k"
     )
 
 
-@_query(_flows_sql())
+@_query(f"select file_id, ord, candidate_id, source_kind, sink_kind, source_line, sink_line, n_hops from ({_flows_sql()})")
 def taint_candidates(spark, sf_dir):
     return taint.taint_candidates(code_files(spark, sf_dir)).select("file_id", "ord", "candidate_id", "source_kind", "sink_kind", "source_line", "sink_line", F.size("hops").alias("n_hops"))
 
 
-@_query()
+_READS = [r["signature"] for r in taintbook.sources() if r["kind"] == "file_read"]
+_ENDS = [r["signature"] for r in taintbook.sinks()]
+
+
+def _triaged_sql() -> str:
+    """The flows whose pair has fewer than two reports, judged by their number of assignments."""
+    listed = lambda values: "[" + ", ".join(map(quote, values)) + "]"
+    pair = f"{listed(_READS)}[user_id % {len(_READS)} + 1] as source_sig, {listed(_ENDS)}[event_id % {len(_ENDS)} + 1] as sink_sig"
+    return (
+        f"with told as (select source_sig, sink_sig from (select {pair} from events) group by all having count(*) >= 2), kept as (select * from ({_flows_sql()}) c where not exists (select 1 from told t where t.source_sig = c.source_sig and t.sink_sig = c.sink_sig)),"
+        " judged as (select *, case when n_hops <= 1 then 0.9 when n_hops <= 3 then 0.7 else 0.5 end::double as confidence from kept)"
+        " select file_id, candidate_id, ord, case when confidence >= 0.85 then 'critical' else 'high' end as severity, 'security' as category, 'Tainted data flow: ' || source_kind || ' to ' || sink_kind as title, confidence,"
+        " sink_line as line_start, sink_line as line_end, 'dataflow' as source, source_kind || ' data of line ' || source_line || ' reaches ' || sink_kind as description, 'Check or escape the value before it is used there.' as suggestion from judged where confidence >= 0.6"
+    )
+
+
+@_query(_triaged_sql())
 def taint_findings(spark, sf_dir):
     """Candidates whose pair isn't suppressed, triaged by the offline scorer; events stand for the reports of pairs of file reads."""
-    reads = [r["signature"] for r in taintbook.sources() if r["kind"] == "file_read"]
-    ends = [r["signature"] for r in taintbook.sinks()]
     pick = lambda values, k: F.get(F.array(*(F.lit(v) for v in values)), F.pmod(k, F.lit(len(values))).cast("int"))
-    reports = _table(spark, sf_dir, "events").select(pick(reads, F.col("user_id")).alias("source_sig"), pick(ends, F.col("event_id")).alias("sink_sig"), "ts")
+    reports = _table(spark, sf_dir, "events").select(pick(_READS, F.col("user_id")).alias("source_sig"), pick(_ENDS, F.col("event_id")).alias("sink_sig"), "ts")
     found = taint.taint_candidates(code_files(spark, sf_dir))
     return taint.triage(taint.without_suppressed(found, feedback.pair_suppressions(reports).select("source_sig", "sink_sig"))).drop("language")
 

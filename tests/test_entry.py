@@ -7,7 +7,8 @@ from lintlake.plans.queries import ORACLES, QUERIES
 from .conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["rule_py003", "rule_rs001", "rule_perf002", "review_score", "dedup_line_category", "quality_gate", "sink_line_matches", "import_edges", "fp_suppressions", "pr_file_filter", "diff_hunk_ranges", "confusion_matrix", "event_sessions", "sarif_findings", "semgrep_findings", "golden_scores", "pull_reports", "stored_current", "apply_suppressions", "shaped_metrics", "rule_perf001", "graph_edges", "graph_siblings", "taint_candidates", "python_blocks", "asof_clicks", "shipped_in_ranges", "feedback_within"]
+SOME = ["rule_py003", "rule_rs001", "rule_perf002", "review_score", "dedup_line_category", "quality_gate", "sink_line_matches", "import_edges", "fp_suppressions", "pr_file_filter", "diff_hunk_ranges", "confusion_matrix", "event_sessions", "sarif_findings", "semgrep_findings", "golden_scores", "pull_reports", "stored_current", "apply_suppressions", "shaped_metrics", "rule_perf001", "graph_edges", "graph_siblings", "taint_candidates", "python_blocks", "asof_clicks", "shipped_in_ranges", "feedback_within",
+        "rule_cl003", "taint_findings", "report_unread_fields", "report_fields", "graph_table_edges", "review_bonuses", "agent_prompts", "app_installations", "app_pulls"]
 
 
 def test_entry_has_rows(spark):

@@ -91,6 +91,24 @@ def test_graph(spark):
     assert graph.file_context(nodes, edges, ["none"], "none.py").first()["context"] == ""
 
 
+def test_beside_keeps_classes_and_named_nodes(spark):
+    code = "def a():\n    pass\ndef b():\n    pass\nclass C:\n    pass\n"
+    files = structure.with_structure(_files(spark, ("python", code))).withColumn("path", F.lit("m.py"))
+    nodes, edges = graph.extract(files)
+    got = sorted((r["queried"], r["name"], r["kind"]) for r in graph.beside(nodes, edges, ["a", "b"]).collect())
+    assert got == [("a", "C", "class"), ("a", "b", "function"), ("b", "C", "class"), ("b", "a", "function")]
+
+
+def test_siblings_query_does_the_whole_job(spark):
+    """The functions asked for are beside each other too, and what stands beside them has its kind."""
+    from lintlake.plans.queries import QUERIES
+
+    from .conftest import SF
+
+    got = QUERIES["graph_siblings"](spark, SF).where("file_path = 'file0'").select("queried", "name", "kind").collect()
+    assert sorted(map(tuple, got)) == [("run", "load", "function"), ("run", "token_for", "function"), ("token_for", "load", "function"), ("token_for", "run", "function")]
+
+
 T0 = dt.datetime(2026, 1, 1)
 
 

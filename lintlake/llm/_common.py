@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import json
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.operators.parking import _PARKED, drop_parked, park, parked, shared_dir  # noqa: F401
+
 #: Characters that separate words: ASCII other than letters and digits.  Everything from U+0080 on belongs to a word.
 BREAKS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 #: White space of the white-space tokenizers.
@@ -19,34 +18,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARK, OTHER = "￿", "￾"
 
 
-#: Folders of parked tables that this process wrote.
-_PARKED: list[str] = []
-
-
-@functools.cache
-def _own_dir() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='lintlake-')}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines share; where none is set, and all is on one machine (tests), a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        at = _own_dir()
-    return at.rstrip("/")
-
-
-def park(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/lintlake-{uuid.uuid4().hex}"
-    _PARKED.append(folder)
-    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
-    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-
 def numbered(rows: DataFrame, name: str, block: int = 4096) -> DataFrame:
     """rows, parked, with `copy`: rows that are equal in all columns are numbered from 0.
 
@@ -64,20 +35,6 @@ def numbered(rows: DataFrame, name: str, block: int = 4096) -> DataFrame:
     return park(once.unionByName(dealt.select(*rows.columns, F.explode(copies).alias("copy"))), f"{name}_numbered")
 
 
-def parked() -> int:
-    """How many folders of parked tables there are: a mark for drop_parked."""
-    return len(_PARKED)
-
-
-def drop_parked(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Delete the tables parked since a mark, but for the newest `keep`; to be called once what reads them is written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in _PARKED[since : len(_PARKED) - keep]:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-    del _PARKED[since : len(_PARKED) - keep]
-
-
 def row_key(docs: DataFrame) -> Column:
     """A hash of all of a row's columns: rows that differ anywhere, nulls included, have different ones."""
     cols = [F.col(f"`{c}`").cast("string") if kind.startswith("map") else F.col(f"`{c}`") for c, kind in docs.dtypes]

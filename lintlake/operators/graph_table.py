@@ -77,8 +77,17 @@ def _node_id(*parts: str | None) -> str:
     return hashlib.sha256(":".join(p for p in parts if p is not None).encode()).hexdigest()[:16]
 
 
+def rows(files: DataFrame) -> DataFrame:
+    """What the table function makes of files (path, language, structure)."""
+    return CodeGraph(entities(files).asTable())
+
+
+def parts(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the table function's rows."""
+    nodes = made.where("part = 'node'").select(*(c for c, _ in NODE))
+    return nodes, made.where("part = 'edge'").select(*(c for c, _ in EDGE)).distinct()
+
+
 def extract_by_table(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) as graph.extract gives them."""
-    rows = CodeGraph(entities(files).asTable())
-    nodes = rows.where("part = 'node'").select(*(c for c, _ in NODE))
-    return nodes, rows.where("part = 'edge'").select(*(c for c, _ in EDGE)).distinct()
+    return parts(rows(files))

@@ -109,6 +109,17 @@ def test_siblings_query_does_the_whole_job(spark):
     assert sorted(map(tuple, got)) == [("run", "load", "function"), ("run", "token_for", "function"), ("token_for", "load", "function"), ("token_for", "run", "function")]
 
 
+def test_graph_queries_scan_structures_once(spark):
+    """Nodes and edges are read from what was written: no query's plan holds the scanner, which would run for each of them."""
+    from lintlake.plans.queries import QUERIES
+
+    from .conftest import SF
+
+    for name in ("graph_edges", "graph_siblings", "graph_callers", "graph_context", "graph_table_edges"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "structure_of" not in plan and "CodeGraph" not in plan, name
+
+
 T0 = dt.datetime(2026, 1, 1)
 
 

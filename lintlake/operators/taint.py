@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lintlake.functions import taintbook as book
 from lintlake.functions.textops import split_lines
 from lintlake.functions.triggers import gram_counts, indexed_matches, trigger_index
+from lintlake.operators.structure import in_slices
 
 MOST = 20
 HOP = pa.struct([("line", pa.int32()), ("col", pa.int32()), ("variable", pa.string()), ("operation", pa.string()), ("snippet", pa.string())])
@@ -150,9 +151,8 @@ def taint_candidates(files: DataFrame, most: int = MOST, strict_shell: bool = Fa
     """file_id, language, ord and the candidate's fields; at most `most` a file, in order of discovery."""
 
     def fold(lines: pa.Array, language: pa.Array) -> pa.Array:
-        kinds = language.to_pylist()
-        readers = {k: Reader(k, strict_shell) for k in set(kinds)}
-        return pa.array([candidates_of(own or [], readers[k], most) for own, k in zip(lines.to_pylist(), kinds, strict=True)], pa.list_(CANDIDATE))
+        readers = {k: Reader(k, strict_shell) for k in language.unique().to_pylist()}
+        return in_slices(lambda owns, kinds: [candidates_of(own or [], readers[k], most) for own, k in zip(owns, kinds, strict=True)], pa.list_(CANDIDATE), lines, language)
 
     run = F.arrow_udf(fold, f"array<{CANDIDATE_DDL}>")
     rows = files.select("file_id", "language", run(split_lines(F.col("code")), F.col("language")).alias("found"))

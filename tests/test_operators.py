@@ -68,6 +68,22 @@ def test_structure_counts():
     assert structure.scan(None, "java")["complexity"] == 1 and structure.scan("'''open", "python")["functions"] == []
 
 
+def test_scanner_holds_few_rows_at_a_time():
+    """A batch of ten thousand whole texts never becomes Python objects at once, nor do its results."""
+    import pyarrow as pa
+
+    sizes = []
+    got = structure.in_slices(lambda a, b: sizes.append(len(a)) or [x + y for x, y in zip(a, b, strict=True)], pa.int64(), pa.array(range(10_000)), pa.array(range(10_000)))
+    assert got.to_pylist() == [2 * x for x in range(10_000)] and max(sizes) <= 64
+    assert structure.in_slices(lambda a: a, pa.int64(), pa.array([], pa.int64())).to_pylist() == []
+
+
+def test_scanner_reads_equal_lines_once():
+    before = structure._known_line.cache_info().misses
+    s = structure.scan("def grow(a):\n" + "    a = a + 1\n" * 500, "python")
+    assert s["max_function_length"] == 501 and structure._known_line.cache_info().misses - before <= 3
+
+
 def test_graph(spark):
     code = "import os\ndef a():\n    b()\ndef b():\n    pass\nclass C:\n    pass\n"
     files = structure.with_structure(_files(spark, ("python", code))).withColumn("path", F.lit("m.py"))

@@ -136,6 +136,17 @@ def test_graph_queries_scan_structures_once(spark):
         assert "structure_of" not in plan and "CodeGraph" not in plan, name
 
 
+def test_queries_run_the_rules_once(spark):
+    """What reads findings more than once reads what was written; no text is read beside it."""
+    from lintlake.plans.queries import QUERIES
+
+    from .conftest import SF
+
+    for name in ("eval_match", "review_events", "review_states"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema" in plan and "text:string" not in plan, name
+
+
 T0 = dt.datetime(2026, 1, 1)
 
 

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lintlake.functions import rulebook as book
 from lintlake.functions import triggers
 from lintlake.functions.rulebook import RULES
 from lintlake.operators import taint
@@ -77,3 +78,21 @@ def test_index_by_rarest_grams(spark):
 def test_folding(spark):
     df = spark.createDataFrame([("PAſSWORD K İı É",), (None,)], "t string")
     assert [r[0] for r in df.select(triggers.folded(F.col("t"))).collect()] == ["password k ii é", None]
+
+
+def test_every_match_holds_a_sign_of_each_set():
+    """Random texts made from the patterns' own pieces; calls are known by their parenthesis, whatever is called."""
+    rng = random.Random(3)
+    patterns = sorted({t.pattern for r in RULES for t in _regexes(r.test)} | {*book.CONCAT.values(), *book.COMPILE_CALL.values()})
+    seen = 0
+    for p in patterns:
+        wanted, compiled = triggers.pattern_signs(p), re.compile(p)
+        pieces = re.findall(r"[A-Za-z_.]+|[^A-Za-z]", p) + [" ", "(", "'", '"', "=", "1", "{", "+"]
+        for _ in range(1500):
+            text = "".join(rng.choices(pieces, k=rng.randint(1, 12)))
+            if wanted and (m := compiled.search(text)):
+                seen += 1
+                assert all(any(c in m[0] for c in s) for s in wanted), (p, text)
+    assert seen > 100
+    log = next(r for r in RULES if r.key == "PERF005")
+    assert frozenset("(") in triggers.signs(log.test) and frozenset("+") in triggers.pattern_signs(book.CONCAT["python"])

@@ -144,17 +144,19 @@ def sanitise(docs: DataFrame, clean: bool = True, support: int = 2, generalise:
     texts = park(found.where("text is not null").groupBy("th").agg(F.first("blank").alias("blank")), "texts")
     plain = id_and_text(docs, id_col, text_col).select(F.coalesce("text", F.lit("")).alias("text"))
     risky = park(disclosures(plain, found, texts, support, generalise).groupBy("th", "term").agg(F.max("disclosure").alias("d")), "risky")
+    # Near copies have the same terms over and over: files of a few MB hold millions of such rows, so none is broadcast by a file's size.
+    wide = lambda table: table.hint("merge")
     # Every place of a text's risky terms.
     tokens = F.regexp_extract_all(F.translate("blank", MARK, OTHER), F.lit(f"[^{BREAKS}]++|[{BREAKS}]++"), F.lit(0))
-    places = texts.join(risky.select("th").distinct(), "th", "left_semi").select("th", F.posexplode(tokens).alias("i", "token"))
+    places = texts.join(wide(risky.select("th").distinct()), "th", "left_semi").select("th", F.posexplode(tokens).alias("i", "token"))
     upto = Window.partitionBy("th").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     places = places.withColumn("end", F.sum(F.length("token").cast("bigint")).over(upto))
     places = places.select("th", F.lower("token").alias("term"), (F.col("end") - F.length("token")).alias("start"), "end")
-    hits = places.join(risky, ["th", "term"])
+    hits = places.join(wide(risky), ["th", "term"])
     action = F.when(F.col("d") >= remove, "remove").otherwise("generalise")
     terms = hits.groupBy("th").agg(F.array_sort(F.collect_list(F.struct("start", "end", action.alias("action")))).alias("terms"))
     rows = rows.drop("blank") if clean else found.drop("held", "text", "blank")
-    rows = rows.join(park(terms, "terms"), "th", "left").withColumn("terms", F.coalesce("terms", F.expr(f"cast(array() as {ARRAY})")))
+    rows = rows.join(wide(park(terms, "terms")), "th", "left").withColumn("terms", F.coalesce("terms", F.expr(f"cast(array() as {ARRAY})")))
     return (rows.withColumn("clean_text", _cleaned()) if clean else rows).drop("th")
 
 

@@ -648,3 +648,11 @@ def test_a_text_of_very_many_addresses(spark):
     assert time.monotonic() - began < 90
     assert [(s["start"], s["end"]) for s in got[1]["email"]] == [(m.start(), m.end()) for m in re.finditer(PATTERNS["email"], text)]
     assert got[1]["clean_text"] == re.sub(PATTERNS["email"], "[EMAIL]", text)
+
+
+def test_pii_broadcasts_no_terms(spark):
+    """Terms of near copies are millions of rows in a few MB of files, so their size tells nothing: no broadcast by it."""
+    from tests.conftest import SF
+
+    plan = pii.op10_pii(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

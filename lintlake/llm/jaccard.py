@@ -21,8 +21,9 @@ by token, and a large bucket is cut into blocks of at most about `block` sets an
    costs about a multiple of its members.
 2. Components are formed from these links and those of the small buckets.  Buckets that still hold several components
    are taken whole: blocks of all their sets meet blocks of the sets outside the bucket's largest component, so that
-   every pair across components meets once, in the bucket of the first prefix token that both have.  Rows whose place in
-   the prefix is too far back for any set of the bucket are left out before.
+   every pair across components meets, in the bucket of the first prefix token that both have.  Rows whose place in the
+   prefix is too far back for any set of the bucket are left out before.  Blocks of bitmaps, wider ones, meet first;
+   whole sets are sent only for rows to which a bitmap of another component leaves a partner.
 
 All bounds are exact, so no link between components is missed; links within one aren't all listed.
 
@@ -128,6 +129,8 @@ class Order:
         return np.concatenate((s[~known], s[known][np.argsort(self.rank[at[known]], kind="stable")]))
 
 
+#: Blocks of bitmaps hold so many times the sets and tokens of a block of sets; a bitmap has a sixteenth to a thirty-second of its set's bytes.
+WIDE = 4
 #: Prefix tokens are handed on when a task holds so many, so that its memory is bounded.
 HELD = 1 << 20
 TOKENS = "token bigint, salt int, n int, pos int, node bigint"
@@ -198,7 +201,7 @@ def _buckets(batches, key: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
 
 def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     table = pa.Table.from_batches(batches)
-    return {c: table.column(c).to_pylist() if c == "set" else table.column(c).to_numpy() for c in table.column_names}
+    return {c: table.column(c).to_pylist() if c in ("set", "bits") else table.column(c).to_numpy() for c in table.column_names}
 
 
 def _fits(c: dict, a: np.ndarray, b: np.ndarray, t: Threshold) -> np.ndarray:
@@ -319,7 +322,7 @@ def verify(pairs: DataFrame, own: DataFrame, t: Threshold) -> DataFrame:
 
 
 def set_table(nodes: DataFrame, texts: DataFrame, sets: DataFrame, k: int, few: int = 1 << 18) -> DataFrame:
-    """node, set (its hashes as bytes) for the wanted nodes.  Up to `few` nodes (24 bytes each) are broadcast, more joined by shuffling.
+    """node, set (its hashes as bytes), bits for the wanted nodes.  Up to `few` nodes (24 bytes each) are broadcast, more joined by shuffling.
 
     Each node is read from one row; rows that are equal in all columns may give it again, once a task.
     """
@@ -334,9 +337,10 @@ def set_table(nodes: DataFrame, texts: DataFrame, sets: DataFrame, k: int, few:
             for part in runs(batch.column(0)):
                 found = {d: s for s in shingle_sets(part, k) if len(s) and (d := _digest(s)) not in seen}
                 seen.update(found)
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["node", "set"])
+                columns = [pa.array([f(s).tobytes() for s in found.values()], pa.binary()) for f in (np.asarray, bitmap)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), *columns], ["node", "set", "bits"])
 
-    return park(rows.mapInArrow(made, "node bigint, set binary"), "own")
+    return park(rows.mapInArrow(made, "node bigint, set binary, bits binary"), "own")
 
 
 def within_reach(hot: DataFrame, t: Threshold) -> DataFrame:
@@ -361,7 +365,7 @@ def first_blocks(hot: DataFrame, block: int, block_tokens: int) -> DataFrame:
 
 
 def open_blocks(hot: DataFrame, labels: DataFrame, block: int, block_tokens: int) -> DataFrame:
-    """token, cut, mine, node, root, guest: buckets in several components, as blocks of all their rows, each beside each block of guests.
+    """token, cut, mine, node, root, guest, n: buckets in several components, as blocks of all their rows, each beside each block of guests.
 
     guest: 0 for a row of the bucket's largest component, 1 for another one, 2 for the latter as a guest.
     """
@@ -378,18 +382,17 @@ def open_blocks(hot: DataFrame, labels: DataFrame, block: int, block_tokens: int
     home = F.transform(upto(F.col("guests")), lambda j: place(mine, j, F.when(F.col("other"), 1).otherwise(0)))
     away = F.when(F.col("other"), F.transform(upto(F.col("blocks")), lambda i: place(i, seat, F.lit(2))))
     rows = rows.withColumn("place", F.explode(F.concat(home, F.coalesce(away, F.slice(home, 1, 0)))))
-    return rows.select("token", F.lit(0).alias("cut"), "place.mine", "node", "root", "place.guest")
+    return rows.select("token", F.lit(0).alias("cut"), "place.mine", "node", "root", "place.guest", "n")
 
 
 class Bitmaps:
-    """Bitmaps of sets that come by rising size, so that those of a length lie together.
+    """Bitmaps of sets, of sizes n, that come by rising size, so that those of a length lie together.
 
     Partners of a set have bitmaps of its own length or the next, which are also kept folded to the shorter one.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.n = np.array([len(s) for s in sets], np.int64)
-        maps = [bitmap(s) for s in sets]
+    def __init__(self, n, maps: list[np.ndarray]):
+        self.n = np.array(n, np.int64)
         self.size, self.start, self.maps, self.folded = np.array([len(m) for m in maps]), {}, {}, {}
         for z in np.unique(self.size).tolist():
             at = np.flatnonzero(self.size == z)
@@ -408,6 +411,39 @@ class Bitmaps:
         return np.concatenate(kept)
 
 
+def _partners(i: int, maps: Bitmaps, node: np.ndarray, guest: np.ndarray | None, label: np.ndarray, t: Threshold) -> np.ndarray:
+    """The later rows of a block that row i may be linked with: of other labels, in reach of its size and its bitmap."""
+    # Rows come by rising size: the larger partners of i, up to where sizes part.
+    end = i + 1 + int(np.searchsorted(maps.n[i + 1 :], maps.n[i] * t.den // t.num, "right"))
+    j = np.arange(i + 1, end)
+    if guest is not None:  # a guest meets those at home; of two that are guests elsewhere, the lesser is at home
+        least_home = (guest[j] == 0) | (node[j] < node[i]) if guest[i] == 2 else (guest[i] == 0) | (node[i] < node[j])
+        j = j[((guest[j] == 2) != (guest[i] == 2)) & least_home]
+    j = j[label[j] != label[i]]
+    return maps.near(i, j, t) if len(j) else j
+
+
+def within_bitmaps(rows: DataFrame, own: DataFrame, t: Threshold) -> DataFrame:
+    """node, token, n of the rows (token, mine, node, root, guest, n) of open blocks that sizes and bitmaps leave a partner of another root."""
+
+    def kept(batches):
+        for c in _buckets(batches, ("token", "mine")):
+            starts = np.flatnonzero(np.concatenate(([True], (c["token"][1:] != c["token"][:-1]) | (c["mine"][1:] != c["mine"][:-1]))))
+            keep = np.zeros(len(c["token"]), bool)
+            for s, e in zip(starts, [*starts[1:], len(keep)], strict=True):
+                node, guest, label = (c[x][s:e] for x in ("node", "guest", "root"))
+                maps = Bitmaps(c["n"][s:e], [np.frombuffer(x, np.uint8) for x in c["bits"][s:e]])
+                for i in range(e - s):
+                    found = _partners(i, maps, node, guest, label, t)
+                    keep[s + found] = True
+                    keep[s + i] |= len(found) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(c[x][keep]) for x in ("node", "token", "n")], ["node", "token", "n"])
+
+    keys = ("token", "mine")
+    dealt = rows.join(own.select("node", "bits"), "node").repartition(*keys).sortWithinPartitions(*keys, "n", "node")
+    return dealt.mapInArrow(kept, "node bigint, token bigint, n int").distinct()
+
+
 def block_links(rows: DataFrame, own: DataFrame, t: Threshold, order=None) -> DataFrame:
     """u, v: in each block, links that join all its rows (token, cut, mine, node, root, guest) as all links across roots would.
 
@@ -425,7 +461,7 @@ def block_links(rows: DataFrame, own: DataFrame, t: Threshold, order=None) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     keys = ("token", "cut", "mine")
-    dealt = rows.join(own, "node").withColumn("n", F.length("set")).repartition(*keys).sortWithinPartitions(*keys, "n", "node")
+    dealt = rows.join(own.select("node", "set"), "node").withColumn("n", F.length("set")).repartition(*keys).sortWithinPartitions(*keys, "n", "node")
     return dealt.mapInArrow(links, "u bigint, v bigint")
 
 
@@ -435,18 +471,11 @@ def _linked_in(c: dict, s: int, e: int, t: Threshold, order: Order | None) -> li
     if label.max() == 0:
         return []
     sets = [np.frombuffer(x, np.uint64) for x in c["set"][s:e]]
-    maps, checked, found = Bitmaps(sets), [Checked(x, t) for x in sets], []
+    maps, checked, found = Bitmaps([len(x) for x in sets], [bitmap(x) for x in sets]), [Checked(x, t) for x in sets], []
     prefix = [order.sort(x)[: t.prefix(len(x))] for x in sets] if order else None
     first = np.uint64(int(c["token"][s]) & (1 << 64) - 1)
     for i in range(len(node)):
-        # Rows come by rising size: the larger partners of i, up to where sizes part.
-        end = i + 1 + int(np.searchsorted(maps.n[i + 1 :], maps.n[i] * t.den // t.num, "right"))
-        j = np.arange(i + 1, end)
-        if order:  # a guest meets those at home; of two that are guests elsewhere, the lesser is at home
-            least_home = (guest[j] == 0) | (node[j] < node[i]) if guest[i] == 2 else (guest[i] == 0) | (node[i] < node[j])
-            j = j[((guest[j] == 2) != (guest[i] == 2)) & least_home]
-        j = j[label[j] != label[i]]
-        for x in maps.near(i, j, t).tolist() if len(j) else ():
+        for x in _partners(i, maps, node, guest if order else None, label, t).tolist():
             if label[x] == label[i] or (prefix and not _first_common(prefix[i], prefix[x], first)):
                 continue
             if checked[i].linked(checked[x]):
@@ -473,7 +502,8 @@ def jaccard_groups(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, s
     own = set_table(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(hot.select("node")), texts, sets, k)
     links = park(verify(pairs, own, t).unionAll(block_links(first_blocks(hot, block, block_tokens), own, t)), "links")
     labels = park(components(links, few), "labels")
-    more = park(block_links(open_blocks(hot, labels, block, block_tokens), own, t, order), "more")
+    near = park(within_bitmaps(open_blocks(hot, labels, WIDE * block, WIDE * block_tokens), own, t), "near")
+    more = park(block_links(open_blocks(near, labels, block, block_tokens), own, t, order), "more")
     if more.take(1):
         links = links.unionAll(more)
         labels = components(links, few)

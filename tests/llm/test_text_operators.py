@@ -244,6 +244,45 @@ def test_jaccard_components(spark, copies, options):
     assert bag(jaccard.jaccard_components(df, **options), "doc_id", "n_shingles", "component_id") == brute_components(copies)
 
 
+def test_jaccard_sends_sets_only_where_bitmaps_leave_a_partner(spark, monkeypatch):
+    """Texts of one passage and little else share a large bucket, in as many components; whole sets go to no block but those of near pairs."""
+    rng = random.Random(3)
+    passage = prose(rng, 60)
+    rows = [(i, passage + " " + prose(rng, 30)) for i in range(90)]
+    sent, real = [], jaccard.block_links
+
+    def spy(blocks, own, t, order=None):
+        if order:
+            sent.append((blocks.count(), blocks.select("node").distinct().count()))
+        return real(blocks, own, t, order)
+
+    monkeypatch.setattr(jaccard, "block_links", spy)
+    near = prose(rng, 120)
+    for table, most in ((rows, 0), (rows + [(200, near), (201, edited(rng, near, 1))], 0), ([(i, edited(rng, near, 2)) for i in range(40)] + rows, 40)):
+        sent.clear()
+        df = spark.createDataFrame(table, "doc_id bigint, text string").repartition(3)
+        got = jaccard.jaccard_components(df, small=3, block=8)
+        assert bag(got, "doc_id", "n_shingles", "component_id") == brute_components(table)
+        assert sent and all(nodes <= most for _, nodes in sent)
+
+
+def test_bitmaps_keep_linked_rows_of_open_buckets(spark):
+    """Both rows of every linked pair across roots stay, once each; most others go."""
+    rng, t = random.Random(4), jaccard.Threshold()
+    texts = [prose(rng, 60) for _ in range(30)]
+    texts += [edited(rng, x, 1) for x in texts[:5]]
+    sets = jaccard.shingle_sets([x.encode() for x in texts], 5)
+    hot = spark.createDataFrame([(i, 7, len(s)) for i, s in enumerate(sets)], "node bigint, token bigint, n int")
+    own = spark.createDataFrame([(i, s.tobytes(), jaccard.bitmap(s).tobytes()) for i, s in enumerate(sets)], "node bigint, set binary, bits binary")
+    for labelled in ([], [(0, 100), (30, 100)]):
+        labels = spark.createDataFrame(labelled, "node bigint, root bigint")
+        for block in (4, 100):
+            near = jaccard.within_bitmaps(jaccard.open_blocks(hot, labels, block, 1 << 22), own, t)
+            linked = {x for i, a in enumerate(sets) for x, b in enumerate(sets) if i != x and {i, x} != {y for y, _ in labelled} and 180 * len(np.intersect1d(a, b)) >= 80 * (len(a) + len(b))}
+            got = [r["node"] for r in near.collect()]
+            assert len(got) == len(set(got)) and linked and linked <= set(got) and len(got) < 14
+
+
 def test_words_that_a_polynomial_cannot_tell_apart(spark):
     """Thue-Morse words and their complements collide under every polynomial hash modulo a power of two with an odd base."""
     morse = ["".join("ab"[bin(i).count("1") % 2] for i in range(n)) for n in (32, 1024, 4096)]
